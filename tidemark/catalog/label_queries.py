@@ -58,13 +58,13 @@ def l01_labels_forward(spark, sf):
 
 
 @query("l02_window_quality", """
-SELECT e.security_id, CAST(e.reaction_idx AS BIGINT) AS idx, w.why_1, w.why_2, w.why_5, w.why_10, w.why_20, round(w.close_5, 6) AS close_5 FROM (SELECT DISTINCT security_id, reaction_idx FROM v_early WHERE early_reason IS NULL) e
+SELECT e.security_id, CAST(e.reaction_idx AS BIGINT) AS idx, w.why_1, w.why_2, w.why_5, w.why_10, w.why_20, CASE WHEN w.why_5 IS NULL THEN round(w.close_5, 6) END AS close_5 FROM (SELECT DISTINCT security_id, reaction_idx FROM v_early WHERE early_reason IS NULL) e
 JOIN (SELECT security_id, reaction_idx, min(event_id) AS rep FROM v_early WHERE early_reason IS NULL GROUP BY 1, 2) r USING (security_id, reaction_idx) JOIN v_windows w ON w.event_id = r.rep""", ["v_windows"])
 def l02(spark, sf):
     """Quality of every window some event needs."""
     q = L.window_quality(L.bar_grid(I.bars(spark, sf), I.sessions(spark), I.providers(spark), I.actions(spark, sf), I.days(spark), I.as_of()), I.sessions(spark))
     need = outcomes(spark, sf).filter("early_reason is null").select("security_id", F.col("reaction_idx").alias("idx")).distinct()
-    return need.join(q, ["security_id", "idx"]).select("security_id", F.col("idx").cast("bigint").alias("idx"), *[F.col(f"reason_{n}").alias(f"why_{n}") for n in (1, 2, 5, 10, 20)], F.round("close_5", 6).alias("close_5"))
+    return need.join(q, ["security_id", "idx"]).select("security_id", F.col("idx").cast("bigint").alias("idx"), *[F.col(f"reason_{n}").alias(f"why_{n}") for n in (1, 2, 5, 10, 20)], F.when(F.col("reason_5").isNull(), F.round("close_5", 6)).alias("close_5"))
 
 
 @query("a01_build_report", """
@@ -147,7 +147,7 @@ def v07(spark, sf):
 
 
 @query("v08_event_record_rules", counts_sql("""(SELECT n.*, s.timestamp_evidence AS evidence, CASE WHEN n.event_no % 8 = 0 THEN 'premarket' ELSE t.timing END AS expected, t.timing, t.reaction_idx,
-  CASE WHEN n.event_no % 17 = 0 THEN ['day1_open_return', 'made_up'] ELSE ['day1_open_return'] END AS caveats FROM v_news n JOIN v_sources s USING (source_id) JOIN v_timed t USING (event_id))""", [
+  CASE WHEN n.event_no % 17 = 0 THEN ['day1_open_return', 'made_up'] ELSE ['day1_open_return'] END AS caveats FROM v_news n JOIN v_sources s ON s.source_id = n.source_id JOIN v_timed t ON t.event_id = n.event_id)""", [
     ("PRECISION_NOT_MINUTE", "precision <> 'minute'"), ("NOT_MINUTE_ALIGNED", "date_trunc('minute', published_at) <> published_at"),
     ("EVIDENCE_NOT_LOCAL_MINUTE", "strftime(published_at - INTERVAL 5 HOUR, '%H:%M') <> right(evidence, 5)"), ("SEEN_BEFORE_PUBLISHED", "first_seen_at < published_at"),
     ("TIMING_DISAGREES", "CASE WHEN reaction_idx IS NOT NULL THEN timing END IS DISTINCT FROM CASE WHEN event_no % 8 = 0 OR reaction_idx IS NOT NULL THEN expected END"),
