@@ -16,7 +16,7 @@ SELECT s.session, CAST(s.idx AS BIGINT) AS idx, epoch_us(s.open_utc) AS open_utc
 FROM v_sessions s LEFT JOIN events e ON e.ts >= s.open_utc AND e.ts < s.close_utc GROUP BY ALL""", ["v_sessions"])
 def k01(spark, sf):
     """Sessions with their UTC bells, and how many events fell inside each: the join key is the UTC day, bells are checked after it."""
-    s = I.sessions(spark)
+    s = I.calendar(spark).sessions
     e = I.table(spark, sf, "events").groupBy(F.date_trunc("minute", "ts").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
     hits = (e.withColumn("session", F.to_date("ts")).join(F.broadcast(s), "session")
             .filter((F.col("ts") >= F.col("open_utc")) & (F.col("ts") < F.col("close_utc"))).groupBy("session").agg(F.sum("n").alias("events")))
@@ -41,7 +41,7 @@ FROM v_news n LEFT JOIN v_days d ON d.day = CAST(n.published_at - INTERVAL 5 HOU
 
 @query("k03_classify_instant", CLASSIFY, ["v_news", "v_days"])
 def k03(spark, sf):
-    out = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE)
+    out = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark))
     return out.select("event_id", "timing", F.col("reaction_idx").cast("bigint").alias("reaction_idx"))
 
 
@@ -49,8 +49,8 @@ def k03(spark, sf):
 SELECT c.event_id, s.session AS offset_session, CASE WHEN s.session IS NULL THEN 'CALENDAR_OUT_OF_RANGE' END AS offset_session_reason
 FROM ({CLASSIFY}) c LEFT JOIN v_sessions s ON s.idx = c.reaction_idx + 4""", ["v_news", "v_days"])
 def k04(spark, sf):
-    out = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE)
-    return cal.session_offset(out, I.sessions(spark), "reaction_idx", 4).select("event_id", "offset_session", "offset_session_reason")
+    out = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark))
+    return cal.session_offset(out, I.calendar(spark), "reaction_idx", 4).select("event_id", "offset_session", "offset_session_reason")
 
 
 @query("k05_crosses_boundary", """
@@ -61,23 +61,23 @@ SELECT event_id, NOT (t0 IS NOT DISTINCT FROM t1 AND r0 IS NOT DISTINCT FROM r1)
  FROM (SELECT event_id, k, CASE WHEN precision = 'day' THEN NULL WHEN k = 1 AND precision = 'minute' THEN published_at + INTERVAL 59999999 MICROSECOND ELSE published_at END AS pt
    FROM v_news, (VALUES (0), (1)) z(k)) n LEFT JOIN v_days d ON d.day = CAST(n.pt - INTERVAL 5 HOUR AS DATE)) GROUP BY 1)""", ["v_news", "v_days"])
 def k05(spark, sf):
-    return cal.crosses_boundary(publication_bounds(I.news(spark, sf)), "pub_first", "pub_last", I.days(spark), I.ZONE).select("event_id", "crosses")
+    return cal.crosses_boundary(publication_bounds(I.news(spark, sf)), "pub_first", "pub_last", I.calendar(spark)).select("event_id", "crosses")
 
 
 @query("k06_event_window", f"""
 SELECT c.event_id, a.session AS anchor_session, l.session AS last_session, CAST(date_trunc('month', a.session) AS DATE) AS month_start, last_day(l.session) AS month_end
 FROM ({CLASSIFY}) c LEFT JOIN v_sessions a ON a.idx = c.reaction_idx - 1 LEFT JOIN v_sessions l ON l.idx = c.reaction_idx + 19""", ["v_news", "v_days"])
 def k06(spark, sf):
-    out = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE)
-    return cal.event_window(out, I.sessions(spark), "reaction_idx").select("event_id", "anchor_session", "last_session", "month_start", "month_end")
+    out = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark))
+    return cal.event_window(out, I.calendar(spark), "reaction_idx").select("event_id", "anchor_session", "last_session", "month_start", "month_end")
 
 
 @query("k07_label_availability", f"""
 SELECT c.event_id, n.n, epoch_us(s.close_utc + INTERVAL 1 MINUTE) AS label_available_at
 FROM ({CLASSIFY}) c, (VALUES (1), (2), (5), (10), (20)) n(n) LEFT JOIN v_sessions s ON s.idx = c.reaction_idx + n.n - 1""", ["v_news", "v_days"])
 def k07(spark, sf):
-    out = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE).withColumn("n", F.explode(F.array(*[F.lit(n) for n in (1, 2, 5, 10, 20)])))
-    return cal.label_available(out, I.sessions(spark), "reaction_idx", F.col("n")).select("event_id", "n", micros("label_available_at"))
+    out = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark)).withColumn("n", F.explode(F.array(*[F.lit(n) for n in (1, 2, 5, 10, 20)])))
+    return cal.label_available(out, I.calendar(spark), "reaction_idx", F.col("n")).select("event_id", "n", micros("label_available_at"))
 
 
 @query("k08_session_coverage", """
@@ -91,7 +91,7 @@ USING (security_id, session) GROUP BY 1""", ["v_sessions"])
 def k08(spark, sf):
     """Sparse bars of 400 symbols, weekends included, against the expected grid."""
     b = (I.table(spark, sf, "events").groupBy(I.security_id(n=400).alias("security_id"), F.to_date("ts").alias("session")).agg(F.count(F.lit(1)).cast("double").alias("volume")))
-    return cal.session_coverage(b, I.sessions(spark))
+    return cal.session_coverage(b, I.calendar(spark))
 
 
 @query("k09_lookback_sessions", """
@@ -102,7 +102,7 @@ SELECT n.event_id, CASE WHEN user_id % 4 = 0 THEN TIMESTAMP '2024-01-10 15:00:00
  CASE WHEN CAST(cutoff - INTERVAL 5 HOUR AS DATE) < DATE '2024-01-01' THEN NULL ELSE (SELECT count(*) FROM v_sessions s WHERE s.session < CAST(cutoff - INTERVAL 5 HOUR AS DATE)) END AS stop FROM v_news n)))""", ["v_news", "v_sessions"])
 def k09(spark, sf):
     n = I.news(spark, sf).withColumn("valid_from", F.when(F.col("user_id") % 4 == 0, I.ts("2024-01-10 15:00:00")).when(F.col("user_id") % 4 == 1, I.ts("2024-01-06 00:00:00")).otherwise(I.ts("2023-01-01 00:00:00")))
-    out = cal.lookback_sessions(n, I.sessions(spark), I.days(spark), "cutoff", "valid_from", (3, 6, 15), I.ZONE)
+    out = cal.lookback_sessions(n, I.calendar(spark), "cutoff", "valid_from", (3, 6, 15))
     return out.select("event_id", *[F.col(c).cast("bigint").alias(c) for c in ("supported", "first_idx", "last_idx")])
 
 

@@ -5,6 +5,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import sessions as cal
+from tidemark.runtime import literal_table
 
 ZONE = "America/New_York"
 CALENDAR = {"start": "2024-01-01", "end": "2024-01-31", "timezone": ZONE,
@@ -27,12 +28,8 @@ def as_of():
     return ts(AS_OF)
 
 
-def sessions(spark):
-    return cal.build_sessions(spark, CALENDAR)
-
-
-def days(spark):
-    return cal.day_map(spark, CALENDAR)
+def calendar(spark):
+    return cal.Calendar(spark, CALENDAR)
 
 
 def minutes(col):
@@ -47,12 +44,12 @@ def providers(spark):
     rows = [("P1", "https://p1.example/terms", "regular", True, ["sip"]),
             ("P2", "https://p2.example/terms", "regular", False, ["sip"]),
             ("P3", "https://p3.example/terms", "extended", True, ["sip"])]
-    return spark.createDataFrame(rows, "provider_id string, terms_url string, session_scope string, research_permitted boolean, feeds array<string>")
+    return literal_table(spark, rows, "provider_id string, terms_url string, session_scope string, research_permitted boolean, feeds array<string>")
 
 
 def bars(spark, sf, n=SECURITIES) -> DataFrame:
     """Daily bars from the events of each security and session, with a few quality faults by modulo."""
-    s = F.broadcast(sessions(spark).select("session", "idx", "close_utc"))
+    s = F.broadcast(calendar(spark).sessions.select("session", "idx", "close_utc"))
     at = F.struct("ts", "event_id")
     base = (table(spark, sf, "events").filter(F.col("value") > 0)
             .select(security_id(n=n).alias("security_id"), F.to_date("ts").alias("session"), "ts", "event_id", "value")

@@ -8,8 +8,8 @@ from tidemark.plans import outcomes as L
 
 
 def outcomes(spark, sf, mode=V.HISTORICAL, with_ids=False):
-    return L.build_outcomes(I.news(spark, sf), I.securities(spark, sf), I.bars(spark, sf), I.actions(spark, sf), I.providers(spark), I.sessions(spark),
-                            I.days(spark), I.as_of(), I.ZONE, mode, with_ids)
+    return L.build_outcomes(I.news(spark, sf), I.securities(spark, sf), I.bars(spark, sf), I.actions(spark, sf), I.providers(spark), I.calendar(spark),
+                            I.as_of(), mode, with_ids)
 
 
 def micros(c, name=None):
@@ -62,7 +62,7 @@ SELECT e.security_id, CAST(e.reaction_idx AS BIGINT) AS idx, w.why_1, w.why_2, w
 JOIN (SELECT security_id, reaction_idx, min(event_id) AS rep FROM v_early WHERE early_reason IS NULL GROUP BY 1, 2) r USING (security_id, reaction_idx) JOIN v_windows w ON w.event_id = r.rep""", ["v_windows"])
 def l02(spark, sf):
     """Quality of every window some event needs."""
-    q = L.window_quality(L.bar_grid(I.bars(spark, sf), I.sessions(spark), I.providers(spark), I.actions(spark, sf), I.days(spark), I.as_of()), I.sessions(spark))
+    q = L.window_quality(L.bar_grid(I.bars(spark, sf), I.calendar(spark), I.providers(spark), I.actions(spark, sf), I.as_of()), I.calendar(spark))
     need = outcomes(spark, sf).filter("early_reason is null").select("security_id", F.col("reaction_idx").alias("idx")).distinct()
     return need.join(q, ["security_id", "idx"]).select("security_id", F.col("idx").cast("bigint").alias("idx"), *[F.col(f"reason_{n}").alias(f"why_{n}") for n in (1, 2, 5, 10, 20)], F.when(F.col("reason_5").isNull(), F.round("close_5", 6)).alias("close_5"))
 
@@ -132,7 +132,7 @@ FROM (SELECT user_id AS security_id, CAST(ts AS DATE) AS session, max(ts) + INTE
 WHERE s.close_utc IS NULL OR available_at < s.close_utc""", ["v_sessions"])
 def v05(spark, sf):
     b = I.table(spark, sf, "events").groupBy(F.col("user_id").alias("security_id"), F.to_date("ts").alias("session")).agg((F.max("ts") + F.expr("interval 30 minutes")).alias("available_at"))
-    return V.check_bar_clock(b, I.sessions(spark)).select("security_id", "session", "violation")
+    return V.check_bar_clock(b, I.calendar(spark)).select("security_id", "session", "violation")
 
 
 @query("v06_source_chronology", counts_sql("v_sources", [("URL_NOT_HTTPS", "NOT starts_with(url, 'https://')"), ("CHRONOLOGY_INVALID", "first_seen_at > retrieved_at"),
@@ -153,7 +153,7 @@ def v07(spark, sf):
     ("TIMING_DISAGREES", "CASE WHEN reaction_idx IS NOT NULL THEN timing END IS DISTINCT FROM CASE WHEN event_no % 8 = 0 OR reaction_idx IS NOT NULL THEN expected END"),
     ("UNKNOWN_CAVEAT_LABEL", "list_contains(caveats, 'made_up')")]), ["v_sources", "v_timed"])
 def v08(spark, sf):
-    n = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE).join(I.sources(spark, sf).select("source_id", "timestamp_evidence"), "source_id")
+    n = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark)).join(I.sources(spark, sf).select("source_id", "timestamp_evidence"), "source_id")
     n = (n.withColumn("expected_timing", F.when(F.col("event_no") % 8 == 0, "premarket").otherwise(F.col("timing")))
          .withColumn("caveat_labels", F.when(F.col("event_no") % 17 == 0, F.array(F.lit("day1_open_return"), F.lit("made_up"))).otherwise(F.array(F.lit("day1_open_return"))))
          .withColumn("known_labels", F.array(*[F.lit(x) for x in L.LABELS])))
@@ -208,23 +208,23 @@ def v23(spark, sf):
 SELECT t.event_id, k.k, b.price_id, round(b.close, 6) AS close FROM v_timed t CROSS JOIN (VALUES (-1), (0), (1), (4), (9), (19)) k(k)
 LEFT JOIN v_bars b ON b.security_id = t.security_id AND b.idx = t.reaction_idx + k.k""", ["v_timed", "v_bars"])
 def j02(spark, sf):
-    t = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE)
+    t = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark))
     return J.bars_at_offsets(t, I.bars(spark, sf), (-1, 0, 1, 4, 9, 19)).select("event_id", "k", "price_id", F.round("close", 6).alias("close"))
 
 
 @query("j03_window_membership", """
 SELECT t.event_id, s.session, b.price_id FROM v_timed t JOIN v_sessions s ON s.idx BETWEEN t.reaction_idx - 1 AND t.reaction_idx + 4 LEFT JOIN v_bars b ON b.security_id = t.security_id AND b.session = s.session""", ["v_timed", "v_bars"])
 def j03(spark, sf):
-    t = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE)
-    return J.event_window_bars(t, I.bars(spark, sf), I.sessions(spark), 5).select("event_id", "session", "price_id")
+    t = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark))
+    return J.event_window_bars(t, I.bars(spark, sf), I.calendar(spark), 5).select("event_id", "session", "price_id")
 
 
 @query("j04_action_in_window", """
 SELECT t.event_id FROM v_timed t JOIN v_sessions a ON a.idx = t.reaction_idx - 1 JOIN v_sessions l ON l.idx = t.reaction_idx + 4
 WHERE EXISTS (SELECT 1 FROM v_actions x WHERE x.security_id = t.security_id AND x.effective_date > a.session AND x.effective_date <= l.session)""", ["v_timed", "v_actions"])
 def j04(spark, sf):
-    t = cal.classify(I.news(spark, sf), "published_at", I.days(spark), I.ZONE)
-    return J.actions_in_window(t, I.actions(spark, sf), I.sessions(spark), I.days(spark), 5).select("event_id")
+    t = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark))
+    return J.actions_in_window(t, I.actions(spark, sf), I.calendar(spark), 5).select("event_id")
 
 
 @query("j05_interval_overlap", """

@@ -10,7 +10,7 @@ from tidemark.operators import asof as A, sessions as cal
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.validate import FORWARD, HISTORICAL
 from tidemark.plans import analogues as N, cells as C, outcomes as L
-from tidemark.runtime import cut_lineage
+from tidemark.runtime import cut_lineage, literal_table
 
 CELLS_AS_OF = "2024-01-25 00:00:00"
 
@@ -35,7 +35,7 @@ KEEP = ("event_id", "event_no", "cluster_id", "cik", "sic", "security_id", "timi
 def study_labels(spark, sf):
     """The long label table with the instant each label, present or absent, is first known."""
     rows = L.label_rows(study_events(spark, sf), keep=KEEP)
-    return cal.label_available(rows.drop("label_available_at"), I.sessions(spark), "reaction_idx", F.col("n_sessions")).withColumnRenamed("label_available_at", "matures_at")
+    return cal.label_available(rows.drop("label_available_at"), I.calendar(spark), "reaction_idx", F.col("n_sessions")).withColumnRenamed("label_available_at", "matures_at")
 
 
 ASOF_SQL = """
@@ -163,7 +163,7 @@ def pool_sql(stats, by, cols):
     def step(i, level_filter, parent):
         on = " AND ".join(["u.key = s.parent_key", "u.label = s.label", "u.level = s.parent_level"] + [f"u.{b} = s.{b}" for b in by])
         return f"""p{i} AS (SELECT *, coalesce(pooled, value, prior) AS pv, CASE WHEN value IS NOT NULL THEN level ELSE up END AS pl FROM (
- SELECT *, CASE WHEN value IS NOT NULL AND prior IS NOT NULL THEN round((n * value + 10 * prior) / (n + 10), 10) + 0.0 END AS pooled, CASE WHEN value IS NOT NULL AND prior IS NOT NULL THEN up END AS toward FROM (
+ SELECT *, CASE WHEN value IS NOT NULL AND prior IS NOT NULL THEN CAST(round(CAST(CAST((n * value + 10 * prior) / (n + 10) AS VARCHAR) AS DECIMAL(38, 18)), 10) AS DOUBLE) + 0.0 END AS pooled, CASE WHEN value IS NOT NULL AND prior IS NOT NULL THEN up END AS toward FROM (
  SELECT s.*, u.pv AS prior, u.pl AS up FROM {stats} s LEFT JOIN {parent} u ON {on} WHERE {level_filter})))"""
     steps = ",\n".join([step(1, "s.level IN ('timing', 'sic_division')", "p0"), step(2, "s.level = 'sic_major_group'", "p1"), step(3, "s.level = 'issuer'", "p2")])
     return POOL.format(stats=stats, steps=steps, cols=cols)
@@ -193,12 +193,12 @@ LEFT JOIN (SELECT * FROM v_lab QUALIFY row_number() OVER (PARTITION BY label, cl
   WHEN 'sic_major_group' THEN d.sic_major_group = t.sic_major_group ELSE d.cik = t.cik END GROUP BY ALL)""")
 
 
-@query("l13_target_fingerprint", pool_sql("v_tstats", ["event_id"], "event_id, level, key, label, n, n_absent, k, round(value, 8) + 0.0 AS value, round(pooled, 8) + 0.0 AS pooled"), ["v_tstats"])
+@query("l13_target_fingerprint", pool_sql("v_tstats", ["event_id"], "event_id, level, key, label, n, n_absent, k, value, pooled"), ["v_tstats"])
 def l13(spark, sf):
     labels = cut_lineage(study_labels(spark, sf))
     targets = labels.filter("label = 'day1_close_return'").select("event_id", "cluster_id", "timing", "sic_division", "sic_major_group", "cik", "cutoff")
     t = C.target_fingerprint(targets, labels)
-    return t.select("event_id", "level", "key", "label", "n", "n_absent", "k", (F.round("value", 8) + 0.0).alias("value"), (F.round("pooled", 8) + 0.0).alias("pooled"))
+    return t.select("event_id", "level", "key", "label", "n", "n_absent", "k", "value", "pooled")
 
 
 VIEWS["v_pairs"] = (("v_lab",), """
@@ -254,7 +254,7 @@ WINDOW w AS (PARTITION BY target_id, label)))""")
 
 
 def descriptors(spark):
-    return (spark.createDataFrame(DESCRIPTORS, "target_id string, t_timing string, t_division string, t_group string")
+    return (literal_table(spark, DESCRIPTORS, "target_id string, t_timing string, t_division string, t_group string")
             .withColumn("t_cutoff", I.ts(ASKED_AT)).withColumn("target_event", F.lit(None).cast("string")).withColumn("target_cluster", F.lit(None).cast("string")))
 
 

@@ -2,7 +2,7 @@
 
 A calendar is one row per day of a configured range, so its size is bounded by the range (`MAX_DAYS`) and broadcasting it is safe.
 """
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -10,43 +10,47 @@ MAX_DAYS = 100_000
 OUT_OF_RANGE = "CALENDAR_OUT_OF_RANGE"
 
 
-def check_spec(spec):
+def session_days(spec):
+    """The session dates of a calendar specification, in order."""
     first, last = date.fromisoformat(spec["start"]), date.fromisoformat(spec["end"])
     if not 0 <= (last - first).days < MAX_DAYS:
         raise ValueError("calendar range must be positive and at most %d days" % MAX_DAYS)
-    return first, last
+    span = (first + timedelta(days=i) for i in range((last - first).days + 1))
+    return [d for d in span if d.weekday() < 5 and d.isoformat() not in set(spec["holidays"])]
 
 
-def _days(spark: SparkSession, spec) -> DataFrame:
-    first, last = check_spec(spec)
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
-
-
-def _is_session(day: Column, spec) -> Column:
-    holidays = [date.fromisoformat(d) for d in spec["holidays"]]
-    return (F.weekday(day) < 5) & (~day.isin(holidays) if holidays else F.lit(True))
-
-
-def build_sessions(spark: SparkSession, spec) -> DataFrame:
-    """K1. Weekdays minus holidays with their ordinal and their UTC open and close (New York wall clock, early closes included)."""
-    early = F.create_map(*[F.lit(x) for item in (spec["early_closes"] or {"": ""}).items() for x in item])
-    close = F.coalesce(F.try_element_at(early, F.col("session").cast("string")), F.lit("16:00"))
-    wall = lambda text: F.to_timestamp(F.concat(F.col("session").cast("string"), F.lit(" "), text, F.lit(":00")))
-    return (_days(spark, spec).filter(_is_session(F.col("day"), spec)).withColumnRenamed("day", "session")
-            .withColumn("idx", F.row_number().over(W.orderBy("session")) - 1)  # at most MAX_DAYS rows
-            .withColumn("open_utc", F.to_utc_timestamp(wall(F.lit("09:30")), spec["timezone"]))
-            .withColumn("close_utc", F.to_utc_timestamp(wall(close), spec["timezone"])))
+class Calendar:
+    """A calendar specification as two literal tables: `sessions` (K1) and `days`, every calendar day with its next session.
 
+    The session dates are configuration, so they enter the plan as one array literal; no window, shuffle or cross join is needed to number them.
+    """
 
-def day_map(spark: SparkSession, spec) -> DataFrame:
-    """Every calendar day with its own session ordinal (null when closed) and the ordinal of the next session after it."""
-    sessions = build_sessions(spark, spec)
-    last = sessions.select(F.max("idx").alias("last_idx"))
-    days = _days(spark, spec).join(F.broadcast(sessions.withColumnRenamed("session", "day")), "day", "left")
-    upto = F.count("idx").over(W.orderBy("day"))  # sessions up to and including the day; at most MAX_DAYS rows
-    return (days.withColumn("upto", upto).crossJoin(last)  # `last` is one row
-            .select("day", "idx", "open_utc", "close_utc",
-                    F.when(F.col("upto") <= F.col("last_idx"), F.col("upto")).cast("int").alias("next_idx")))
+    def __init__(self, spark: SparkSession, spec):
+        dates = session_days(spec)
+        self.spec, self.zone = spec, spec["timezone"]
+        self.first_day, self.last_day = date.fromisoformat(spec["start"]), date.fromisoformat(spec["end"])
+        self.size = len(dates)
+        self.last_idx = self.size - 1
+        self.dates = F.array(*[F.lit(d) for d in dates])
+        one = spark.sql("SELECT 1 AS one")
+        self.sessions = self._clocked(one.select(F.posexplode(self.dates).alias("idx", "session")), "session").select("session", "idx", "open_utc", "close_utc")
+        # session i answers for the days from the one before it up to its own eve
+        n = self.size
+        at = F.get(self.dates, F.col("i") - 1)
+        upto = F.when(F.col("i") == n, F.lit(self.last_day)).otherwise(F.date_sub(F.get(self.dates, F.col("i")), 1))
+        spans = (one.select(F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i")).withColumn("_own", F.when(F.col("i") > 0, at))
+                 .withColumn("_from", F.coalesce("_own", F.lit(self.first_day))).withColumn("_to", upto).filter("_from <= _to"))
+        days = (spans.select("i", "_own", F.explode(F.sequence("_from", "_to")).alias("day"))
+                .select("day", F.when(F.col("day") == F.col("_own"), F.col("i") - 1).alias("idx"), F.when(F.col("i") < n, F.col("i")).alias("next_idx")))
+        self.days = self._clocked(days, "day").select("day", "idx", *[F.when(F.col("idx").isNotNull(), F.col(c)).alias(c) for c in ("open_utc", "close_utc")], "next_idx")
+
+    def _clocked(self, df: DataFrame, day: str) -> DataFrame:
+        """UTC open and close of a session date: New York wall clock, early closes included."""
+        close = F.lit("16:00")
+        for early, text in self.spec["early_closes"].items():
+            close = F.when(F.col(day) == F.lit(date.fromisoformat(early)), text).otherwise(close)
+        wall = lambda text: F.to_utc_timestamp(F.to_timestamp(F.concat(F.col(day).cast("string"), F.lit(" "), text, F.lit(":00"))), self.zone)
+        return df.withColumn("open_utc", wall(F.lit("09:30"))).withColumn("close_utc", wall(close))
 
 
 def merge_calendars(*specs):
@@ -73,13 +77,13 @@ def local_wall(ts: Column, zone: str) -> Column:
     return F.from_utc_timestamp(ts, zone)
 
 
-def classify(df: DataFrame, ts: str, days: DataFrame, zone: str, prefix: str = "") -> DataFrame:
+def classify(df: DataFrame, ts: str, calendar: Calendar, prefix: str = "") -> DataFrame:
     """K3. Timing class of an instant and the ordinal of the session that reacts to it.
 
     Adds `<prefix>timing` and `<prefix>reaction_idx`; both null outside the calendar, or where no later session exists.
     """
-    p = prefix
-    dim = F.broadcast(days.select(F.col("day").alias("_day"), F.col("idx").alias("_idx"), F.col("open_utc").alias("_open"),
+    p, zone = prefix, calendar.zone
+    dim = F.broadcast(calendar.days.select(F.col("day").alias("_day"), F.col("idx").alias("_idx"), F.col("open_utc").alias("_open"),
                                   F.col("close_utc").alias("_close"), F.col("next_idx").alias("_next")))
     t, opening, close = F.col(ts), F.col("_open"), F.col("_close")
     timing = (F.when(F.col("_day").isNull(), None)
@@ -96,23 +100,23 @@ def classify(df: DataFrame, ts: str, days: DataFrame, zone: str, prefix: str = "
             .drop("_local", "_day", "_idx", "_open", "_close", "_next", "_timing"))
 
 
-def session_offset(df: DataFrame, sessions: DataFrame, idx: str, n: int, out: str = "offset_session") -> DataFrame:
+def session_offset(df: DataFrame, calendar: Calendar, idx: str, n: int, out: str = "offset_session") -> DataFrame:
     """K4. The session `n` ordinals away, or the reason it cannot be named."""
-    dim = F.broadcast(sessions.select(F.col("idx").alias("_i"), F.col("session").alias(out)))
+    dim = F.broadcast(calendar.sessions.select(F.col("idx").alias("_i"), F.col("session").alias(out)))
     return (df.join(dim, F.col(idx) + n == F.col("_i"), "left").drop("_i")
             .withColumn(out + "_reason", F.when(F.col(out).isNull(), OUT_OF_RANGE)))
 
 
-def crosses_boundary(df: DataFrame, first: str, last: str, days: DataFrame, zone: str) -> DataFrame:
+def crosses_boundary(df: DataFrame, first: str, last: str, calendar: Calendar) -> DataFrame:
     """K5. Whether the first and last possible instants of a publication fall in different classes."""
-    both = classify(classify(df, first, days, zone), last, days, zone, "last_")
+    both = classify(classify(df, first, calendar), last, calendar, "last_")
     return both.withColumn("crosses", ~(F.col("timing").eqNullSafe(F.col("last_timing"))
                                         & F.col("reaction_idx").eqNullSafe(F.col("last_reaction_idx"))))
 
 
-def event_window(df: DataFrame, sessions: DataFrame, idx: str, n_sessions: int = 20) -> DataFrame:
+def event_window(df: DataFrame, calendar: Calendar, idx: str, n_sessions: int = 20) -> DataFrame:
     """K6. Anchor session, last required session and the whole months they span; null where the calendar is too short."""
-    dim = sessions.select(F.col("idx").alias("_i"), F.col("session").alias("_s"))
+    dim = calendar.sessions.select(F.col("idx").alias("_i"), F.col("session").alias("_s"))
     at = lambda k, name: F.broadcast(dim.select(F.col("_i").alias("_i" + name), F.col("_s").alias(name)))
     out = df
     for k, name in ((-1, "anchor_session"), (n_sessions - 1, "last_session")):
@@ -121,23 +125,21 @@ def event_window(df: DataFrame, sessions: DataFrame, idx: str, n_sessions: int =
             .withColumn("month_end", F.last_day("last_session")))
 
 
-def label_available(df: DataFrame, sessions: DataFrame, idx: str, n: Column, lag_seconds: int = 60) -> DataFrame:
+def label_available(df: DataFrame, calendar: Calendar, idx: str, n: Column, lag_seconds: int = 60) -> DataFrame:
     """K7. A label is first known a minute after the close of the last session of its window."""
-    dim = F.broadcast(sessions.select(F.col("idx").alias("_i"), F.col("close_utc").alias("_c")))
+    dim = F.broadcast(calendar.sessions.select(F.col("idx").alias("_i"), F.col("close_utc").alias("_c")))
     return (df.withColumn("_last", F.col(idx) + n - 1).join(dim, F.col("_last") == F.col("_i"), "left")
             .withColumn("label_available_at", F.col("_c") + F.make_dt_interval(secs=F.lit(lag_seconds)))
             .drop("_last", "_i", "_c"))
 
 
-def session_coverage(bars: DataFrame, sessions: DataFrame, key: str = "security_id", first_n: int = 20) -> DataFrame:
+def session_coverage(bars: DataFrame, calendar: Calendar, key: str = "security_id", first_n: int = 20) -> DataFrame:
     """K8, O8. Per symbol: expected, received, missing, zero-volume and unexpected sessions, and the first few bad dates.
 
     The expected grid is exploded per symbol from the calendar; a symbol has at most one row per calendar day.
     """
-    spine = sessions.agg(F.array_sort(F.collect_list("session")).alias("all_sessions"))  # one row, bounded by the calendar
     have = bars.select(key, F.col("session"), "volume", F.lit(True).alias("got"))
-    expected = (bars.select(key).distinct().crossJoin(F.broadcast(spine))
-                .select(key, F.explode("all_sessions").alias("session"), F.lit(True).alias("want")))
+    expected = bars.select(key).distinct().select(key, F.explode(calendar.dates).alias("session"), F.lit(True).alias("want"))
     both = expected.join(have, [key, "session"], "full_outer")
     missing = F.col("want").isNotNull() & F.col("got").isNull()
     unexpected = F.col("want").isNull()
@@ -150,30 +152,24 @@ def session_coverage(bars: DataFrame, sessions: DataFrame, key: str = "security_
         dates(missing).alias("first_missing"), dates(unexpected).alias("first_unexpected"))
 
 
-def lookback_sessions(df: DataFrame, sessions: DataFrame, days: DataFrame, cutoff: str, valid_from: str, lengths, zone: str) -> DataFrame:
+def lookback_sessions(df: DataFrame, calendar: Calendar, cutoff: str, valid_from: str, lengths) -> DataFrame:
     """K9. Ordinals of the last L sessions before the cutoff's local day inside the identity interval, for the largest supported L."""
-    top = max(lengths)
-    dim = F.broadcast(days.select(F.col("day").alias("_day"), F.coalesce("idx", "next_idx").alias("_stop")))
+    top, zone, size = max(lengths), calendar.zone, calendar.size
+    dim = F.broadcast(calendar.days.select(F.col("day").alias("_day"), F.coalesce("idx", "next_idx", F.lit(size)).alias("_stop")))
     # valid_from to the first session whose open is at or after it, by its local day
-    lows = F.broadcast(days.select(F.col("day").alias("_vday"), F.col("idx").alias("_vidx"), F.col("open_utc").alias("_vopen"),
-                                   F.col("next_idx").alias("_vnext")))
-    bounds = days.agg(F.min("day").alias("_first"), (F.max("idx") + 1).alias("_size"))
+    lows = F.broadcast(calendar.days.select(F.col("day").alias("_vday"), F.col("idx").alias("_vidx"), F.col("open_utc").alias("_vopen"), F.col("next_idx").alias("_vnext")))
+    low = (F.when(F.col("_vlocal") < F.lit(calendar.first_day), 0)
+           .when(F.col("_vidx").isNotNull() & (F.col("_vopen") >= F.col(valid_from)), F.col("_vidx")).otherwise(F.coalesce("_vnext", F.lit(size))))
     support = F.lit(0)
     for length in sorted(lengths):
         support = F.when(F.col("_have") >= length, length).otherwise(support)
-    return (df.withColumn("_local", F.to_date(local_wall(F.col(cutoff), zone)))
-            .withColumn("_vlocal", F.to_date(local_wall(F.col(valid_from), zone)))
+    return (df.withColumn("_local", F.to_date(local_wall(F.col(cutoff), zone))).withColumn("_vlocal", F.to_date(local_wall(F.col(valid_from), zone)))
             .join(dim, F.col("_local") == F.col("_day"), "left").join(lows, F.col("_vlocal") == F.col("_vday"), "left")
-            .crossJoin(F.broadcast(bounds))
-            .withColumn("_stop", F.when(F.col("_day").isNotNull(), F.coalesce("_stop", "_size")))
-            .withColumn("_low", F.when(F.col("_vlocal") < F.col("_first"), 0)
-                        .when(F.col("_vidx").isNotNull() & (F.col("_vopen") >= F.col(valid_from)), F.col("_vidx"))
-                        .otherwise(F.coalesce("_vnext", "_size")))
-            .withColumn("_have", F.greatest(F.lit(0), F.col("_stop") - F.greatest("_low", F.col("_stop") - top, F.lit(0))))
+            .withColumn("_have", F.greatest(F.lit(0), F.col("_stop") - F.greatest(low, F.col("_stop") - top, F.lit(0))))
             .withColumn("supported", support)
             .withColumn("first_idx", F.when(F.col("supported") > 0, F.col("_stop") - F.col("supported")))
             .withColumn("last_idx", F.when(F.col("supported") > 0, F.col("_stop") - 1))
-            .drop(*[c for c in ("_local", "_vlocal", "_day", "_stop", "_vday", "_vidx", "_vopen", "_vnext", "_first", "_size", "_low", "_have")]))
+            .drop("_local", "_vlocal", "_day", "_stop", "_vday", "_vidx", "_vopen", "_vnext", "_have"))
 
 
 def merge_ranges(spans: DataFrame, key: str, start: str = "first_idx", end: str = "last_idx") -> DataFrame:

@@ -54,9 +54,9 @@ def ohlcv_rules():
             ("INVALID_OHLC_ORDER", ~((l <= F.least(o, c)) & (F.greatest(o, c) <= h)))]
 
 
-def check_bar_clock(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+def check_bar_clock(bars: DataFrame, calendar) -> DataFrame:
     """V5. Bars on no session, or available before their session closed."""
-    dim = F.broadcast(sessions.select("session", F.col("close_utc").alias("_close")))
+    dim = F.broadcast(calendar.sessions.select("session", F.col("close_utc").alias("_close")))
     return (bars.join(dim, "session", "left")
             .withColumn("violation", F.when(F.col("_close").isNull(), "NOT_A_SESSION").when(F.col("available_at") < F.col("_close"), "AVAILABLE_BEFORE_CLOSE"))
             .filter(F.col("violation").isNotNull()).drop("_close"))

@@ -1,8 +1,6 @@
 """Joins between events and session windows: always an equality on (security, session ordinal) or on a day."""
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import sessions as cal
-
 
 def bars_at_offsets(events: DataFrame, bars: DataFrame, ks, idx="reaction_idx") -> DataFrame:
     """J2. The bar at each session offset. A session without a bar stays missing and never shifts to the next one."""
@@ -16,23 +14,22 @@ def explode_windows(events: DataFrame, n: int, idx="reaction_idx", out="window_i
     return events.filter(F.col(idx).isNotNull()).withColumn(out, F.explode(F.sequence(F.col(idx) - 1, F.col(idx) + n - 1)))
 
 
-def event_window_bars(events: DataFrame, bars: DataFrame, sessions: DataFrame, n: int) -> DataFrame:
+def event_window_bars(events: DataFrame, bars: DataFrame, calendar, n: int) -> DataFrame:
     """J3. Every session of each event's window with its bar, if there is one."""
-    dim = F.broadcast(sessions.select(F.col("idx").alias("window_idx"), "session"))
+    dim = F.broadcast(calendar.sessions.select(F.col("idx").alias("window_idx"), "session"))
     have = bars.select("security_id", F.col("idx").alias("window_idx"), "price_id", "open", "high", "low", "close", "volume", "available_at")
     return explode_windows(events, n).join(dim, "window_idx").join(have, ["security_id", "window_idx"], "left")
 
 
-def actions_in_window(events: DataFrame, actions: DataFrame, sessions: DataFrame, days: DataFrame, n: int) -> DataFrame:
+def actions_in_window(events: DataFrame, actions: DataFrame, calendar, n: int) -> DataFrame:
     """J4. Events with an action after the anchor and on or before the last session of the window.
 
     The half-open date test is an ordinal test, and 'any action in idx..idx+n-1' is worked out once per (security, session); events then meet it by equality.
     """
-    day = F.broadcast(days.select(F.col("day").alias("effective_date"), F.coalesce("idx", "next_idx").alias("at")))
+    day = F.broadcast(calendar.days.select(F.col("day").alias("effective_date"), F.coalesce("idx", "next_idx").alias("at")))
     hit = (actions.join(day, "effective_date").filter("at is not null").select("security_id", "at").distinct()
            .select("security_id", F.explode(F.sequence(F.col("at") - n + 1, F.col("at"))).alias("reaction_idx")).distinct())
-    top = sessions.agg((F.max("idx") - n + 1).alias("_top"))
-    return (events.crossJoin(F.broadcast(top)).filter((F.col("reaction_idx") <= F.col("_top")) & (F.col("reaction_idx") >= 1)).drop("_top")
+    return (events.filter(F.col("reaction_idx").between(1, calendar.last_idx - n + 1))
             .join(hit, ["security_id", "reaction_idx"], "left_semi"))
 
 

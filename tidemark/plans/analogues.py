@@ -10,6 +10,7 @@ from tidemark.functions.numeric import normal_quantile, rounded, wilson_high, wi
 from tidemark.operators.asof import asof_sums, dedupe_clusters
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.cells import POLICY, WITHHELD, band
+from tidemark.plans.outcomes import LABELS
 
 FOUND, INSUFFICIENT = "ANALOGUES_FOUND", "INSUFFICIENT_ANALOGUES"
 
@@ -95,8 +96,9 @@ def pool_report(pool: DataFrame) -> DataFrame:
 
 
 def candidates(targets: DataFrame, labels: DataFrame, policy=POLICY) -> DataFrame:
-    """J9, W3. Every event against each of the given targets, with the reason it may not be used; needs target_id, target_cluster, t_* and t_cutoff."""
-    rows = targets.join(labels, F.col("t_category") == F.col("category") if "t_category" in targets.columns else F.lit(True))
+    """J9, W3. Every event against each of the given targets, with the reason it may not be used; needs target_id, target_event, target_cluster, t_timing, t_division, t_group, t_cutoff."""
+    asked = targets.withColumn("label", F.explode(F.array(*[F.lit(x) for x in LABELS])))
+    rows = labels.join(asked, "label")  # a short list of targets, so the planner broadcasts it
     reason = (F.when(F.col("event_id") == F.col("target_event"), "SELF").when(F.col("cluster_id") == F.col("target_cluster"), "SAME_CLUSTER")
               .when(F.col("matures_at").isNull() | (F.col("matures_at") > F.col("t_cutoff")), "LABEL_NOT_YET_MATURED").when(F.col("reason").isNotNull(), "LABEL_ABSENT"))
     rows = rows.withColumn("exclusion", reason)

@@ -5,6 +5,7 @@ from tidemark.functions.numeric import normal_quantile, rounded, wilson_high, wi
 from tidemark.functions.text import sic_division
 from tidemark.operators.asof import dedupe_clusters
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.plans.outcomes import LABELS, RETURN_LABELS
 from tidemark.runtime import cut_lineage
 
 # The reporting policy.
@@ -150,8 +151,8 @@ def target_fingerprint(targets: DataFrame, labels: DataFrame, category="all_news
     measures = {"n": F.count_if(present), "k": F.count_if(F.col("flag")), "total": F.sum(F.coalesce("num", F.lit(0.0))), "n_absent": F.count_if(~present)}
     facts = group_cells(kept, category).withColumn("_at", F.col("matures_at")).filter("_at is not null")
     facts = (facts.groupBy("label", "level", "key", "_at").agg(*[c.alias(m) for m, c in measures.items()]))
-    kinds = labels.select("label", "kind").distinct()
-    asks = group_cells(targets, category).crossJoin(kinds)  # sixteen rows
+    names = F.array(*[F.struct(F.lit(x).alias("label"), F.lit("return" if x in RETURN_LABELS else "boolean").alias("kind")) for x in LABELS])
+    asks = group_cells(targets, category).withColumn("_x", F.explode(names)).select("*", "_x.label", "_x.kind").drop("_x")
     sums = join_asof_sums(asks, facts, ["label", "level", "key"], "_at", "cutoff", {m: F.col(m) for m in measures})
     own = kept.select("label", F.col("cluster_id").alias("_c"), F.col("timing").alias("_t"), F.col("sic_division").alias("_d"), F.col("sic_major_group").alias("_g"), F.col("cik").alias("_i"),
                       "reason", "flag", "num", F.col("matures_at").alias("_m"))

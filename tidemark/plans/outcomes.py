@@ -37,40 +37,36 @@ def bar_reasons(as_of: Column):
             ("LABEL_NOT_MATURE", F.col("available_at") > as_of)]
 
 
-def action_ordinals(actions: DataFrame, days: DataFrame) -> DataFrame:
+def action_ordinals(actions: DataFrame, calendar) -> DataFrame:
     """Each action on the ordinal of the first session on or after its effective date: the half-open window test becomes an integer test."""
-    dim = F.broadcast(days.select(F.col("day").alias("effective_date"), F.coalesce("idx", "next_idx").alias("idx")))
+    dim = F.broadcast(calendar.days.select(F.col("day").alias("effective_date"), F.coalesce("idx", "next_idx").alias("idx")))
     return actions.join(dim, "effective_date").filter("idx is not null").groupBy("security_id", "idx").agg(F.count(F.lit(1)).alias("n_actions"))
 
 
-def bar_grid(bars: DataFrame, sessions: DataFrame, providers: DataFrame, actions: DataFrame, days: DataFrame, as_of: Column) -> DataFrame:
+def bar_grid(bars: DataFrame, calendar, providers: DataFrame, actions: DataFrame, as_of: Column) -> DataFrame:
     """Every (security, session) with its bar, the bar's first fault and the number of actions falling on it."""
-    spine = sessions.agg(F.array_sort(F.collect_list(F.struct("idx", "session"))).alias("_spine"))
-    grid = (bars.select("security_id").distinct().crossJoin(F.broadcast(spine))  # the spine is one row
-            .select("security_id", F.explode("_spine").alias("_s")).select("security_id", "_s.idx", "_s.session"))
+    grid = bars.select("security_id").distinct().select("security_id", F.posexplode(calendar.dates).alias("idx", "session"))
     judged = (bars.join(providers, "provider_id", "left")
               .withColumn("bar_reason", first_reason(bar_reasons(as_of)))
               .withColumn("feed_key", F.concat_ws("|", "provider_id", "feed", "price_basis"))
               .select("security_id", "session", "price_id", "open", "high", "low", "close", "volume", "available_at", "first_seen_at", "bar_reason", "feed_key"))
     return (grid.join(judged, ["security_id", "session"], "left")
-            .join(action_ordinals(actions, days), ["security_id", "idx"], "left").fillna({"n_actions": 0}))
+            .join(action_ordinals(actions, calendar), ["security_id", "idx"], "left").fillna({"n_actions": 0}))
 
 
-def window_quality(grid: DataFrame, sessions: DataFrame, lengths=(1,) + HORIZONS, mode=HISTORICAL, with_ids=False) -> DataFrame:
+def window_quality(grid: DataFrame, calendar, lengths=(1,) + HORIZONS, mode=HISTORICAL, with_ids=False) -> DataFrame:
     """L2. For every (security, reaction ordinal) and length n: first fault of the window anchor..n, its last close and its availability.
 
     A security has at most one row per session, so the window partition is bounded by the calendar whatever the event skew.
     """
     w = W.partitionBy("security_id").orderBy("idx")
-    last = sessions.agg(F.max("idx").alias("_last"))
     known = available_at("available_at", "first_seen_at", mode)
-    out = grid.crossJoin(F.broadcast(last))
     cols = []
     for n in lengths:
         frame, days_after = w.rowsBetween(-1, n - 1), w.rowsBetween(0, n - 1)
         feeds = (F.min("feed_key").over(frame) != F.max("feed_key").over(frame))
         reason = first_reason([
-            (cal.OUT_OF_RANGE, (F.col("idx") + n - 1 > F.col("_last")) | (F.col("idx") < 1)),
+            (cal.OUT_OF_RANGE, (F.col("idx") + n - 1 > calendar.last_idx) | (F.col("idx") < 1)),
             ("MISSING_SESSION", F.count("price_id").over(frame) < n + 1),
             ("MIXED_PRICE_FEEDS", feeds)])
         cols += [F.coalesce(reason, F.first("bar_reason", ignorenulls=True).over(frame),
@@ -79,7 +75,7 @@ def window_quality(grid: DataFrame, sessions: DataFrame, lengths=(1,) + HORIZONS
         if with_ids:
             cols.append(F.array_join(F.collect_list("price_id").over(frame), ",").alias(f"ids_{n}"))
     anchor = [F.lag(c).over(w).alias("anchor_" + c) for c in ("price_id", "close", "available_at", "first_seen_at", "session")]
-    return out.select("security_id", "idx", "session", "open", "high", "low", "close", *anchor, *cols)
+    return grid.select("security_id", "idx", "session", "open", "high", "low", "close", *anchor, *cols)
 
 
 def with_identity(events: DataFrame, securities: DataFrame) -> DataFrame:
@@ -89,12 +85,12 @@ def with_identity(events: DataFrame, securities: DataFrame) -> DataFrame:
     return events.join(s, "security_id", "left")
 
 
-def build_outcomes(news, securities, bars, actions, providers, sessions, days, as_of, zone, mode=HISTORICAL, with_ids=False) -> DataFrame:
+def build_outcomes(news, securities, bars, actions, providers, calendar, as_of, mode=HISTORICAL, with_ids=False) -> DataFrame:
     """L1. One row per event: state, first quarantine reason, timing, anchor and the label inputs (wide)."""
-    timed = cal.classify(cal.classify(publication_bounds(news), "pub_first", days, zone), "pub_last", days, zone, "last_")
+    timed = cal.classify(cal.classify(publication_bounds(news), "pub_first", calendar), "pub_last", calendar, "last_")
     known = with_identity(timed, securities).withColumn("known_at", available_at("pub_available", "first_seen_at", mode))
-    opens = F.broadcast(sessions.select(F.col("idx").alias("reaction_idx"), F.col("open_utc").alias("reaction_open")))
-    quality = (window_quality(bar_grid(bars, sessions, providers, actions, days, as_of), sessions, mode=mode, with_ids=with_ids)
+    opens = F.broadcast(calendar.sessions.select(F.col("idx").alias("reaction_idx"), F.col("open_utc").alias("reaction_open")))
+    quality = (window_quality(bar_grid(bars, calendar, providers, actions, as_of), calendar, mode=mode, with_ids=with_ids)
                .withColumnRenamed("idx", "reaction_idx").withColumnRenamed("session", "reaction_session"))
     cheap = first_reason([("AMBIGUOUS_PUBLICATION_TIME", F.col("pub_first").isNull()),
                           ("FIRST_PUBLIC_TIME_UNVERIFIED", ~F.col("first_public_verified")),

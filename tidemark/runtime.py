@@ -42,3 +42,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A few configured rows as a plan of literals: nothing is shipped or scanned, and the optimizer knows that the table is tiny."""
+    from pyspark.sql import functions as F, types as T
+    fields = T._parse_datatype_string(schema).fields
+
+    def lit(value, dtype):
+        if isinstance(value, (list, tuple)):
+            return F.array(*[F.lit(v) for v in value]).cast(dtype)
+        return F.lit(value).cast(dtype)
+
+    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.sql("SELECT 1 AS one").select(F.inline(F.array(*structs)))
