@@ -10,7 +10,7 @@ from tidemark.operators import asof as A, sessions as cal
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.validate import FORWARD, HISTORICAL
 from tidemark.plans import analogues as N, cells as C, outcomes as L
-from tidemark.runtime import cut_lineage, literal_table
+from tidemark.runtime import cut_lineage, literal_table, shared_table
 
 CELLS_AS_OF = "2024-01-25 00:00:00"
 
@@ -26,7 +26,7 @@ FROM v_labels l JOIN v_events e USING (event_id) LEFT JOIN v_sessions s ON s.idx
 
 def study_events(spark, sf):
     """Mapped events with timing, sector and label inputs; events whose SIC belongs to no division are left out."""
-    return C.with_sector(outcomes(spark, sf).filter("state = 'MAPPED'")).filter("sic_division is not null")
+    return shared_table(spark, ("events", sf), lambda: C.with_sector(outcomes(spark, sf).filter("state = 'MAPPED'")).filter("sic_division is not null"))
 
 
 KEEP = ("event_id", "event_no", "cluster_id", "cik", "sic", "security_id", "timing", "reaction_idx", "reaction_session", "cutoff", "category", "sic_division", "sic_major_group")
@@ -34,6 +34,10 @@ KEEP = ("event_id", "event_no", "cluster_id", "cik", "sic", "security_id", "timi
 
 def study_labels(spark, sf):
     """The long label table with the instant each label, present or absent, is first known."""
+    return shared_table(spark, ("labels", sf), lambda: build_labels(spark, sf))
+
+
+def build_labels(spark, sf):
     rows = L.label_rows(study_events(spark, sf), keep=KEEP)
     return cal.label_available(rows.drop("label_available_at"), I.calendar(spark), "reaction_idx", F.col("n_sessions")).withColumnRenamed("label_available_at", "matures_at")
 
@@ -195,7 +199,7 @@ LEFT JOIN (SELECT * FROM v_lab QUALIFY row_number() OVER (PARTITION BY label, cl
 
 @query("l13_target_fingerprint", pool_sql("v_tstats", ["event_id"], "event_id, level, key, label, n, n_absent, k, value, pooled"), ["v_tstats"])
 def l13(spark, sf):
-    labels = cut_lineage(study_labels(spark, sf))
+    labels = study_labels(spark, sf)
     targets = labels.filter("label = 'day1_close_return'").select("event_id", "cluster_id", "timing", "sic_division", "sic_major_group", "cik", "cutoff")
     t = C.target_fingerprint(targets, labels)
     return t.select("event_id", "level", "key", "label", "n", "n_absent", "k", "value", "pooled")
@@ -216,7 +220,7 @@ SELECT target, label, count_if(x1 IS NULL) AS eligible, count_if(x1 IS NULL AND
 
 
 def pool(spark, sf):
-    return N.pool_table(cut_lineage(study_labels(spark, sf)))
+    return N.pool_table(study_labels(spark, sf))
 
 
 @query("j09_analogue_candidates", """
@@ -271,13 +275,13 @@ def m09(spark, sf):
 
 @query("o07_analogue_members", "SELECT target_id, label, event_id, CAST(distance AS DOUBLE) AS distance, round(num, 9) + 0.0 AS num, flag FROM v_asked WHERE exclusion IS NULL", ["v_asked"])
 def o07(spark, sf):
-    rows = N.analogues(descriptors(spark), cut_lineage(study_labels(spark, sf))).filter("exclusion is null")
+    rows = N.analogues(descriptors(spark), study_labels(spark, sf)).filter("exclusion is null")
     return rows.select("target_id", "label", "event_id", "distance", (F.round("num", 9) + 0.0).alias("num"), "flag").orderBy("target_id", "label", "distance", "event_id")
 
 
 @query("l14_analogue_exclusions", "SELECT target_id, label, event_id, exclusion FROM v_asked WHERE exclusion IS NOT NULL", ["v_asked"])
 def l14_exclusions(spark, sf):
-    return N.analogues(descriptors(spark), cut_lineage(study_labels(spark, sf))).filter("exclusion is not null").select("target_id", "label", "event_id", "exclusion")
+    return N.analogues(descriptors(spark), study_labels(spark, sf)).filter("exclusion is not null").select("target_id", "label", "event_id", "exclusion")
 
 
 @query("l14_analogue_summary", """
@@ -286,7 +290,7 @@ SELECT target_id, label, kind, n, gate_n, CAST(reached AS DOUBLE) AS distance_re
 FROM (SELECT target_id, label, kind, gate_n, reached, count(*) AS n, count(DISTINCT cik) AS issuers, count(DISTINCT reaction_idx) AS reaction_sessions, count_if(flag) AS k, avg(num) AS mean, quantile_cont(num, 0.5) AS median, quantile_cont(num, 0.1) AS p10
  FROM v_asked WHERE exclusion IS NULL AND gate_n >= 10 GROUP BY ALL)""", ["v_asked"])
 def l14_summary(spark, sf):
-    rows = cut_lineage(N.analogues(descriptors(spark), cut_lineage(study_labels(spark, sf))))
+    rows = cut_lineage(N.analogues(descriptors(spark), study_labels(spark, sf)))
     return N.summarize(rows).select("target_id", "label", "kind", "n", "gate_n", "distance_reached", "issuers", "reaction_sessions", "effective_sample_size", "proportion", (F.round("mean", 8) + 0.0).alias("mean"), "median", "p10")
 
 

@@ -56,3 +56,14 @@ def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
 
     structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
     return spark.sql("SELECT 1 AS one").select(F.inline(F.array(*structs)))
+
+
+_WRITTEN = {}
+
+
+def shared_table(spark: SparkSession, name, build) -> DataFrame:
+    """An intermediate table that several queries read: built and written once per application, then read back."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut_lineage(build())
+    return _WRITTEN[key]
