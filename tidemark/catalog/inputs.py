@@ -128,7 +128,7 @@ def features(spark, sf) -> DataFrame:
 def long_bars(spark, sf) -> DataFrame:
     """A long daily series from line items: 5 symbols over every weekday that ships anything."""
     at = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    price = F.col("l_extendedprice") / F.col("l_quantity")
     return (table(spark, sf, "lineitem").withColumn("session", F.to_date("l_shipdate")).filter(F.weekday("session") < 5)
             .withColumn("price", price).withColumn("security_id", (F.col("l_suppkey") % 5).cast("string"))
             .groupBy("security_id", "session")

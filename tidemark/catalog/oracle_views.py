@@ -55,7 +55,7 @@ SELECT CAST(user_id % 10 AS VARCHAR) AS security_id, 'f' || (event_id % 5) AS na
 FROM events WHERE event_type = 'view'"""),
     "v_long_bars": ((), """
 SELECT security_id, session, arg_min(price, k) AS open, max(price) AS high, min(price) AS low, arg_max(price, k) AS close, sum(l_quantity) AS volume
-FROM (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS security_id, CAST(l_shipdate AS DATE) AS session, round(l_extendedprice / l_quantity, 4) AS price, l_quantity,
+FROM (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS security_id, CAST(l_shipdate AS DATE) AS session, l_extendedprice / l_quantity AS price, l_quantity,
         {'a': l_orderkey, 'b': l_linenumber, 'c': l_extendedprice} AS k FROM lineitem WHERE isodow(l_shipdate) < 6) GROUP BY 1, 2"""),
     "v_filings": ((), """
 SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-' || lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS accession,
