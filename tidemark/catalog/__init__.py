@@ -1,7 +1,7 @@
 """The registered queries, grouped as in the operator inventory."""
 import importlib
 
-MODULES = ["calendar_queries", "label_queries", "study_queries", "fold_queries", "enrich_queries", "report_queries"]
+MODULES = ["calendar_queries", "label_queries", "study_queries", "fold_queries", "enrich_queries", "report_queries", "model_queries"]
 
 
 def _load():

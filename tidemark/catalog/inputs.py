@@ -70,7 +70,11 @@ def bars(spark, sf, n=SECURITIES) -> DataFrame:
 
 
 def news(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").filter(F.col("event_type") == "signup")
+    return news_of(table(spark, sf, "events"))
+
+
+def news_of(events) -> DataFrame:
+    e = events.filter(F.col("event_type") == "signup")
     n = F.col("event_id")
     seen = F.date_trunc("minute", "ts") + minutes(1 + n % 9)
     return e.select(
@@ -116,7 +120,11 @@ def actions(spark, sf) -> DataFrame:
 
 
 def features(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").filter(F.col("event_type") == "view")
+    return features_of(table(spark, sf, "events"))
+
+
+def features_of(events) -> DataFrame:
+    e = events.filter(F.col("event_type") == "view")
     n = F.col("event_id")
     return e.select(security_id().alias("security_id"), F.concat(F.lit("f"), (n % 5).cast("string")).alias("name"),
                     F.lpad(n.cast("string"), 10, "0").alias("revision_id"), F.col("value"), F.col("ts").alias("available_at"),
@@ -166,7 +174,11 @@ def facts(spark, sf) -> DataFrame:
 
 
 def trades(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").filter(F.col("event_type") == "click")
+    return trades_of(table(spark, sf, "events"))
+
+
+def trades_of(events) -> DataFrame:
+    e = events.filter(F.col("event_type") == "click")
     n = F.col("event_id")
     day = F.to_date("ts")
     opening = F.to_utc_timestamp(F.to_timestamp(F.concat(day.cast("string"), F.lit(" 09:30:00"))), ZONE)
@@ -175,3 +187,11 @@ def trades(spark, sf) -> DataFrame:
                     F.when(n % 5 == 0, "C").otherwise("Q").alias("tape_venue"),
                     F.when(n % 4 == 0, F.array(F.lit("@"))).otherwise(F.array(F.lit("@"), F.lit("Q"))).alias("conditions"),
                     F.when(n % 53 == 0, "X").alias("correction"), (t + F.make_dt_interval(secs=(n % 8).cast("decimal(18,6)"))).alias("received_at"))
+
+
+def event_stream(session, sf) -> DataFrame:
+    """The events table as a file stream, with timestamps a watermark accepts."""
+    path = f"{sf}/events.parquet"
+    schema = session.read.parquet(path).schema
+    s = session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
