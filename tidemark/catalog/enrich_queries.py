@@ -412,7 +412,11 @@ def u06(spark, sf):
     return U.needed_ranges(files, recent, "1999-02-15", "cik_no").select("cik_no", "y")
 
 
-@query("u07_connected_partitions")
+@query("u07_connected_partitions", """
+WITH RECURSIVE d AS (SELECT o_custkey AS c, CAST(o_orderdate AS DATE) || '-' || o_orderkey % 97 AS s, CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' THEN 2 WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 1 ELSE 0 END AS part FROM orders),
+e AS (SELECT DISTINCT a.c AS a, b.c AS b FROM d a JOIN d b USING (s)), reach(a, b) AS (SELECT c, c FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+best AS (SELECT r.a AS c, max(m.part) AS part FROM reach r JOIN (SELECT c, max(part) AS part FROM d GROUP BY 1) m ON m.c = r.b GROUP BY 1)
+SELECT best.part, count(*) AS n FROM d JOIN best USING (c) GROUP BY 1""")
 def u07(spark, sf):
     """Orders as events: clusters by customer, sessions by day; whole clusters and sessions end in one partition."""
     o = I.table(spark, sf, "orders")

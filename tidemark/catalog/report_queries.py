@@ -1,4 +1,6 @@
 """Registered queries: market structure, reports, sources, audits (W7-W13, W17, W20, A17-A30, L15-L18, S, Q, O6)."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import inputs as I
@@ -228,11 +230,27 @@ def a30(spark, sf):
     return R.scan_summary(o, kinds)
 
 
+@query("o08_first_missing_dates", """
+SELECT security_id, array_to_string(list_sort(list(CAST(session AS VARCHAR)))[1:3], ',') AS first_missing FROM (SELECT g.security_id, s.session FROM (SELECT DISTINCT CAST(user_id % 400 AS VARCHAR) AS security_id FROM events) g, v_sessions s) w
+ANTI JOIN (SELECT DISTINCT CAST(user_id % 400 AS VARCHAR) AS security_id, CAST(ts AS DATE) AS session FROM events) b USING (security_id, session) GROUP BY 1""", ["v_sessions"])
+def o08(spark, sf):
+    b = I.table(spark, sf, "events").groupBy(I.security_id(n=400).alias("security_id"), F.to_date("ts").alias("session")).agg(F.count(F.lit(1)).cast("double").alias("volume"))
+    return cal.session_coverage(b, I.calendar(spark), first_n=3).filter("missing > 0").select("security_id", "first_missing")
+
+
+@query("o09_latest_period", """
+SELECT cik_no, arg_max(accession, {'p': filing_date - 300, 'a': -epoch_us(accepted_at), 'c': -order_no}) AS accession FROM v_filings WHERE form = '10-Q' GROUP BY 1""", ["v_filings"])
+def o09(spark, sf):
+    """Newest period per issuer, the earliest available filing of it."""
+    f = I.filings(spark, sf).filter("form = '10-Q'")
+    return f.groupBy("cik_no").agg(F.max_by("accession", F.struct(F.date_sub("filing_date", 300), -F.unix_micros("accepted_at"), -F.col("order_no"))).alias("accession"))
+
+
 # ---- sources ----
 @query("s01_bundle_scan", "SELECT n_name AS ticker, n_regionkey AS region, 'securities' AS list FROM nation UNION ALL SELECT r_name, r_regionkey, 'providers' FROM region")
 def s01(spark, sf):
     """A bundle written from two tables as one JSON document, read back as typed tables."""
-    folder = f"{shared_folder(spark)}/bundle-{abs(hash(sf))}"
+    folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
     sec = I.table(spark, sf, "nation").agg(F.collect_list(F.struct(F.col("n_name").alias("ticker"), F.col("n_regionkey").alias("region"))).alias("securities"), F.lit(1).alias("k"))  # a bundle is one document
     prov = I.table(spark, sf, "region").agg(F.collect_list(F.struct(F.col("r_name").alias("ticker"), F.col("r_regionkey").alias("region"))).alias("providers"), F.lit(1).alias("k"))
     sec.join(prov, "k").drop("k").coalesce(1).write.mode("overwrite").json(folder)
@@ -265,7 +283,7 @@ def s03(spark, sf):
 
 @query("s04_pipe_listing", "SELECT CAST(p_partkey AS VARCHAR) AS symbol, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
 def s04(spark, sf):
-    folder = f"{shared_folder(spark)}/listing-{abs(hash(sf))}"
+    folder = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
     p = I.table(spark, sf, "part").select(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string")).alias("value"))
     edges = p.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(F.lit("symbol|name|size"), F.concat(F.lit("File Creation Time: 0101202400:00|"), F.col("n").cast("string")))).alias("value"))
     p.unionByName(edges).write.mode("overwrite").text(folder)
@@ -351,7 +369,7 @@ def s11(spark, sf):
 
 def _snapshot(spark, sf):
     o = outcomes(spark, sf).select("event_id", "state", "reason", F.col("timing"))
-    root = f"{shared_folder(spark)}/snapshots-{abs(hash(sf))}"
+    root = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
     return N.write_snapshot({"news": I.news(spark, sf), "outcomes": o}, root), root
 
 
@@ -362,7 +380,7 @@ def s12(spark, sf):
     return N.read_snapshot_table(spark, root, sid, "outcomes").groupBy("state", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s13_snapshot_verify")
+@query("s13_snapshot_verify", "SELECT * FROM (VALUES ('news', true), ('outcomes', true)) t(name, ok)")
 def s13(spark, sf):
     sid, root = _snapshot(spark, sf)
     return N.verify_snapshot(spark, root, sid).select("name", "ok")
@@ -370,7 +388,7 @@ def s13(spark, sf):
 
 @query("s14_report_sink", "SELECT timing, count(*) AS rows, count(DISTINCT cik) AS issuers, count(DISTINCT reaction_idx) AS sessions FROM v_events GROUP BY 1", ["v_events"])
 def s14(spark, sf):
-    path = f"{shared_folder(spark)}/report-{abs(hash(sf))}"
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     N.write_report(R.support(study_events(spark, sf), ["timing"]), path, mode="overwrite")
     return spark.read.schema("timing string, rows bigint, issuers bigint, sessions bigint").json(path)
 

@@ -97,12 +97,11 @@ def hash_sample(df: DataFrame, key: str, seed: str, n: int, exclude: DataFrame =
 def freeze_at_boundary(df: DataFrame, order, batch: int, min_c: int, min_i: int) -> DataFrame:
     """O2. First batch boundary at which cumulative candidates and cumulative issuers with candidates reach their targets; null when never.
 
-    Rows are summed per batch of positions first, so only one row per batch is accumulated.
+    Rows are summed per batch of positions first, and the running totals over batches are themselves split by range.
     """
-    from tidemark.operators.ranking import positions
+    from tidemark.operators.ranking import positions, running_totals
     p = positions(df, order)
     last = p.groupBy((F.floor(F.col("position") / batch) + 1).alias("b")).agg(F.sum("candidates").alias("c"), F.count_if(F.col("candidates") > 0).alias("i"), F.count(F.lit(1)).alias("rows"))
-    w = W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    run = last.select("b", "rows", F.sum("c").over(w).alias("cum_candidates"), F.sum("i").over(w).alias("cum_issuers"))
+    run = running_totals(last, [F.asc("b")], ["c", "i"]).withColumnsRenamed({"cum_c": "cum_candidates", "cum_i": "cum_issuers"})
     ok = (F.col("rows") == batch) & (F.col("cum_candidates") >= min_c) & (F.col("cum_issuers") >= min_i)
     return run.agg(F.min(F.when(ok, F.col("b") * batch)).alias("stop_position"), F.min(F.when(ok, F.struct("b", "cum_candidates", "cum_issuers"))).alias("_s")).select("stop_position", "_s.cum_candidates", "_s.cum_issuers")

@@ -67,3 +67,8 @@ def shared_table(spark: SparkSession, name, build) -> DataFrame:
     if key not in _WRITTEN:
         _WRITTEN[key] = cut_lineage(build())
     return _WRITTEN[key]
+
+
+def forget_shared_tables() -> None:
+    """Build shared tables anew from here on (for timing)."""
+    _WRITTEN.clear()
