@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.functions.numeric import normal_quantile, wilson_high, wilson_low
 from tidemark.functions.text import hash_draw
 from tidemark.operators.ranking import average_precision, equal_bins, positions, top_k
+from tidemark.runtime import broadcast_if_small
 
 CLIP = 1e-6
+BLOCKS = 64
 QUANTILES = (0.1, 0.5, 0.9)
 
 
@@ -107,9 +109,14 @@ def cluster_bootstrap(diffs: DataFrame, by, axes=("session", "issuer"), seed=0,
     axis = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("cluster")) for a in axes])
     sums = (diffs.withColumn("_x", F.explode(axis)).groupBy(*by, "_x.axis", "_x.cluster").agg(F.sum("difference").alias("total"), F.count(F.lit(1)).alias("size")))
     numbered = positions(sums, [F.asc("cluster")], keys, out="j")  # written once: read as slots and as targets
-    slots = (numbered.select(*keys, F.col("j").alias("slot"), "group_n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # clusters are few rows in few partitions, so replicates are dealt out in blocks before they are opened
+    chunk = max(1, -(-replicates // BLOCKS))
+    parallel = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, or these few bytes would be coalesced into one task
+    slots = (numbered.select(*keys, F.col("j").alias("slot"), "group_n", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk))).alias("_block"))
+             .repartition(parallel, *keys, "_block")
+             .withColumn("replicate", F.explode(F.sequence(F.col("_block") * chunk, F.least(F.col("_block") * chunk + chunk, F.lit(replicates)) - 1)))
              .withColumn("j", hash_draw(F.col("group_n"), F.lit(seed), "replicate", "slot")))
-    means = (slots.join(numbered.select(*keys, "j", "total", "size"), [*keys, "j"]).groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("size")).alias("m")))
+    means = (slots.join(broadcast_if_small(numbered.select(*keys, "j", "total", "size")), [*keys, "j"]).groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("size")).alias("m")))
     cuts = [((1 - lv) / 2, 1 - (1 - lv) / 2) for lv in levels]
     bands = means.groupBy(*keys).agg(*[F.percentile("m", F.lit(c)).alias(f"{n}_{int(lv * 100)}") for lv, pair in zip(levels, cuts) for n, c in zip(("low", "high"), pair)])  # `replicates` values a group
     base = numbered.groupBy(*keys).agg((F.sum("total") / F.sum("size")).alias("estimate"), F.sum("size").alias("events"), F.count(F.lit(1)).alias("clusters"))

@@ -21,6 +21,7 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every column expression are not needed
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate())
 
@@ -72,3 +73,9 @@ def shared_table(spark: SparkSession, name, build) -> DataFrame:
 def forget_shared_tables() -> None:
     """Build shared tables anew from here on (for timing)."""
     _WRITTEN.clear()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A broadcast hint, but only after counting a materialised table; beyond the bound the join is left to shuffle (and AQE to split its skew)."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
