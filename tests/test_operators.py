@@ -190,11 +190,16 @@ def test_permutation_keeps_the_values_and_user_predictors_never_see_labels(spark
     assert p.count() == d.count() and p.join(d.select("event_id", F.col("a").alias("a0")), "event_id").filter("a <> a0").count() > 300
 
     class Peeker:
-        def fit(self, train):
-            return train["y"].mean()
+        def partial(self, train):
+            return {"n": len(train), "s": train["y"].sum()}
+
+        def finish(self, stats):
+            return stats["s"] / stats["n"]
 
         def predict(self, model, view):
             assert "y" not in view.columns
             return [model] * len(view)
 
-    assert M.fit_groups(d, Peeker(), ["k"], "k string, event_id string, p double").count() == 80
+    out = M.fit_groups(d.repartition(6), Peeker(), ["k"]).collect()
+    want = d.filter("role = 'train'").agg(F.avg("y")).first()[0]
+    assert len(out) == 80 and all(r["p"] == pytest.approx(want) for r in out)

@@ -251,9 +251,9 @@ def o09(spark, sf):
 def s01(spark, sf):
     """A bundle written from two tables as one JSON document, read back as typed tables."""
     folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
-    sec = I.table(spark, sf, "nation").agg(F.collect_list(F.struct(F.col("n_name").alias("ticker"), F.col("n_regionkey").alias("region"))).alias("securities"), F.lit(1).alias("k"))  # a bundle is one document
-    prov = I.table(spark, sf, "region").agg(F.collect_list(F.struct(F.col("r_name").alias("ticker"), F.col("r_regionkey").alias("region"))).alias("providers"), F.lit(1).alias("k"))
-    sec.join(prov, "k").drop("k").coalesce(1).write.mode("overwrite").json(folder)
+    sec = I.table(spark, sf, "nation").agg(F.collect_list(F.struct(F.col("n_name").alias("ticker"), F.col("n_regionkey").alias("region"))).alias("securities"))  # a bundle is one document
+    prov = I.table(spark, sf, "region").agg(F.collect_list(F.struct(F.col("r_name").alias("ticker"), F.col("r_regionkey").alias("region"))))
+    sec.select("securities", prov.scalar().alias("providers")).coalesce(1).write.mode("overwrite").json(folder)
     row = "array<struct<ticker:string,region:int>>"
     b = D.read_bundle(spark, folder, f"securities {row}, providers {row}")
     return b["securities"].withColumn("list", F.lit("securities")).unionByName(b["providers"].withColumn("list", F.lit("providers")))
@@ -440,10 +440,10 @@ def q02(spark, sf):
     from tidemark.functions.text import local_day
     counts = o.agg(F.count(F.lit(1)).alias("events"), F.count_if((F.col("precision") != "day") & local_day("published_at", I.ZONE).between(F.lit("2024-01-02").cast("date"), F.lit("2024-01-29").cast("date"))).alias("in_window"),
                    F.count_if(F.col("category") == "earnings").alias("of_category"), F.count_if(complete).alias("complete"), F.count_distinct(F.when(complete, F.col("cik"))).alias("issuers"),
-                   F.count_if(F.rlike("cik", F.lit(r"^\d{10}$"))).alias("valid_identity"), F.lit(0).alias("bad_candidates"), F.lit(1).alias("_k"))
-    bad = I.sources(spark, sf).agg(F.count_if(F.col("sha256") != F.sha2("text", 256)).alias("bad_sources"), F.lit(1).alias("_k"))
-    checks = Q.spot_checks(reviews(spark, sf), study_events(spark, sf)).agg(F.count_if(~F.col("passed")).alias("classes_unchecked"), F.lit(1).alias("_k"))
-    facts = counts.join(bad, "_k").join(checks, "_k")  # one row each
+                   F.count_if(F.rlike("cik", F.lit(r"^\d{10}$"))).alias("valid_identity"), F.lit(0).alias("bad_candidates"))
+    bad = I.sources(spark, sf).agg(F.count_if(F.col("sha256") != F.sha2("text", 256)))
+    checks = Q.spot_checks(reviews(spark, sf), study_events(spark, sf)).agg(F.count_if(~F.col("passed")))
+    facts = counts.select("*", bad.scalar().alias("bad_sources"), checks.scalar().alias("classes_unchecked"))  # three aggregates in one row
     return Q.audit_cohort(facts, {"events": 10, "issuers": 5}).select("events", "complete", "issuers", F.array_join("failed_gates", ",").alias("failed_gates"))
 
 

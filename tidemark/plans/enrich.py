@@ -251,21 +251,21 @@ def join_evidence(events: DataFrame, evidence: DataFrame, key="event_id", fields
                     F.when(both, F.array_join(wrong, ",")).alias("fields"))
 
 
-def match_names(records: DataFrame, companies: DataFrame, record_name="name", company_name="company", gram=4) -> DataFrame:
+def match_names(records: DataFrame, companies: DataFrame, record_name="name", company_name="company") -> DataFrame:
     """J15. Sponsor match: normalized names equal, or one contained in the other.
 
-    A name can only contain another if it holds the other's leading characters somewhere, so names meet by equality on (leading characters, substring): the shorter side
-    offers its first `gram` characters, the longer side every window of that length. Names shorter than `gram` are few and are met on their whole text.
+    A name is contained in another exactly when it equals one of the other's substrings, so names meet by equality on text: the longer side offers its substrings of the
+    lengths that occur on the shorter side. No pair is formed that does not match, however many names begin alike.
     """
     r = records.withColumn("_r", norm_company(record_name)).filter("_r != ''").select("_r").distinct()
     c = companies.withColumn("_c", norm_company(company_name)).filter("_c != ''").select("_c").distinct()
 
-    def windows(col):
-        pos = lambda n: F.when(F.length(col) >= n, F.transform(F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substring(F.col(col), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.flatten(F.array(*[pos(n) for n in range(1, gram + 1)])))
+    def inside(long, lc, short, sc):
+        lengths = short.agg(F.array_sort(F.collect_set(F.length(sc)))).scalar()  # distinct lengths of names, a few dozen
+        sized = long.select(lc, F.explode(lengths).alias("_n")).filter(F.col("_n") <= F.length(lc))
+        pieces = F.transform(F.sequence(F.lit(1), F.length(lc) - F.col("_n") + 1), lambda i: F.substring(F.col(lc), i, F.col("_n")))
+        return sized.select(lc, F.explode(F.array_distinct(pieces)).alias(sc)).join(short, sc).select("_r", "_c")
 
-    head = lambda col: F.substring(col, 1, gram)
-    inside = lambda long, lc, short, sc: (long.withColumn("_w", F.explode(windows(lc))).join(short.withColumn("_w", head(sc)), "_w").filter(F.contains(F.col(lc), F.col(sc))).select("_r", "_c"))
     pairs = inside(r, "_r", c, "_c").unionByName(inside(c, "_c", r, "_r")).distinct()
     return (records.withColumn("_r", norm_company(record_name)).join(pairs, "_r").join(companies.withColumn("_c", norm_company(company_name)), "_c").drop("_r", "_c"))
 

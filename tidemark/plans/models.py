@@ -1,4 +1,6 @@
 """Per-fold models. Spark reduces the rows of every (target, version, fold) group to sums; only k-by-k systems are ever solved in Python."""
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -231,13 +233,37 @@ def permuted(rows: DataFrame, feature: str, keys, seed: int, id_col="event_id")
     return by_id.join(by_hash.select(*keys, "_k", feature), [*keys, "_k"]).drop("_k")
 
 
-def fit_groups(df: DataFrame, predictor, keys, schema, label="y") -> DataFrame:
-    """D1. A user's model per group: `predictor.fit(train)` then `predictor.predict(model, view)`, the view being the test rows without their label."""
-    def run(pdf):
-        train, view = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"].drop(columns=[label])
-        out = view[[c for c in view.columns if c in [f.split(" ")[0] for f in schema.split(", ")]]].copy()
-        out["p"] = predictor.predict(predictor.fit(train), view)
-        return out
+def fit_groups(df: DataFrame, predictor, keys, label="y") -> DataFrame:
+    """D1. A user's model per group, in a form that never needs a whole group in one place.
+
+    `predictor.partial(train)` turns any part of a group's training rows into additive statistics (a dict of numbers); Spark adds them up per group.
+    `predictor.finish(statistics)` makes the model and `predictor.predict(model, view)` scores any part of the test rows; a view never holds the label.
+    """
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    train = df.filter(F.col("role") == "train").filter(F.col(label).isNotNull())
 
-    blind = df.withColumn(label, F.when(F.col("role") == "train", F.col(label)))
-    return blind.groupBy(*keys).applyInPandas(run, schema)
+    def partials(batches):
+        for pdf in batches:
+            rows = []
+            for key, part in pdf.groupby(keys, sort=False):
+                rows += [(*key, name, float(value)) for name, value in predictor.partial(part).items()]
+            yield pd.DataFrame(rows, columns=[*keys, "stat", "value"])
+
+    stats = train.mapInPandas(partials, key_schema + ", stat string, value double").groupBy(*keys, "stat").agg(F.sum("value").alias("value"))
+    models = stats.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("stat", "value")))).alias("_stats"))  # as many entries as the predictor has statistics
+    view = df.filter(F.col("role") == "test").drop(label).join(models, keys, "left")
+    columns = [c for c in view.columns if c != "_stats"]
+
+    def scores(batches):
+        for pdf in batches:
+            out = []
+            for _, part in pdf.groupby(keys, sort=False):
+                text = part["_stats"].iloc[0]
+                part = part[columns].copy()
+                part["p"] = None if text is None else predictor.predict(predictor.finish(json.loads(text)), part)
+                out.append(part)
+            yield pd.concat(out) if out else pd.DataFrame(columns=[*columns, "p"])
+
+    return view.mapInPandas(scores, ", ".join(f"{c} {types[c]}" for c in columns) + ", p double")

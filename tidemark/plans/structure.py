@@ -18,9 +18,9 @@ def numbered_sessions(bars: DataFrame) -> DataFrame:
 
 
 def densify(bars: DataFrame, sessions: DataFrame, key="security_id") -> DataFrame:
-    """H1. Every (symbol, session) with its bar or nulls. Sessions are gathered into one array (bounded by the calendar) and exploded per symbol."""
-    spine = sessions.agg(F.array_sort(F.collect_list(F.struct("idx", "session"))).alias("_s")).withColumn("_k", F.lit(1))
-    grid = bars.select(key).distinct().withColumn("_k", F.lit(1)).join(F.broadcast(spine), "_k").select(key, F.explode("_s").alias("_e")).select(key, "_e.idx", "_e.session")
+    """H1. Every (symbol, session) with its bar or nulls: ordinals are exploded per symbol up to the last session, and name their session by equality."""
+    last = sessions.agg(F.max("idx")).scalar()
+    grid = bars.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), last)).alias("idx")).join(F.broadcast(sessions.select("idx", "session")), "idx")  # sessions: one row per day
     return grid.join(bars, [key, "session"], "left")
 
 

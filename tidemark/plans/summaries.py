@@ -41,9 +41,8 @@ def dependence(events: DataFrame) -> DataFrame:
 def two_largest(events: DataFrame, column="sic_major_group") -> DataFrame:
     """A19. The two largest groups and the share they hold together."""
     g = events.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = g.agg(F.sum("n").alias("total"), F.max_by(F.lit(1), "n").alias("_x")).select("total", F.lit(1).alias("_k"))
-    top = g.orderBy(F.desc("n"), F.asc(column)).limit(2).withColumn("_k", F.lit(1))
-    return top.join(F.broadcast(total), "_k").select(column, "n", (F.col("n") / F.col("total")).alias("share"))
+    total = events.agg(F.count(F.lit(1))).scalar()
+    return g.orderBy(F.desc("n"), F.asc(column)).limit(2).select(column, "n", (F.col("n") / total).alias("share"))
 
 
 def dispositions(ledger: DataFrame, by="source") -> DataFrame:
