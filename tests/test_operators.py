@@ -128,6 +128,42 @@ def test_connected_partitions_reach_a_fixed_point(spark):
     assert got == part
 
 
+@pytest.mark.parametrize("seed,n", [(1, 20), (2, 60), (3, 97)])
+def test_ordered_partitions_take_whole_sessions_from_the_end(spark, seed, n):
+    rnd = random.Random(seed)
+    rows = [(i, f"c{rnd.randrange(3 * n)}", f"2024-01-{rnd.randrange(1, 25):02d}") for i in range(n)]
+    got = {r["event_id"]: r["part"] for r in U.ordered_partitions(spark.createDataFrame(rows, "event_id int, cluster_id string, s string").withColumn("reaction_session", F.to_date("s")).drop("s")).collect()}
+    minimum, sessions, part = (15 * n + 99) // 100, sorted({r[2] for r in rows}), {}
+    for label in (2, 1):
+        size = 0
+        while sessions and size < minimum:
+            day = sessions.pop()
+            size += sum(r[2] == day for r in rows)
+            part.update({r[0]: label for r in rows if r[2] == day})
+    part = {r[0]: part.get(r[0], 0) for r in rows}
+    while True:
+        new = {r[0]: max(part[o[0]] for o in rows if o[1] == r[1] or o[2] == r[2]) for r in rows}
+        if new == part:
+            break
+        part = new
+    assert got == part
+
+
+def test_decision_rule(spark):
+    from tidemark.plans.metrics import decide
+    df = spark.createDataFrame([("EVALUABLE", -0.2, -0.1, -0.05), ("EVALUABLE", -0.2, -0.1, 0.05), ("EVALUABLE", 0.1, 0.2, 0.3), ("EVALUABLE", -0.1, 0.2, 0.3), ("NO", -0.2, -0.1, -0.05), ("EVALUABLE", -0.2, -0.1, None)],
+                               "state string, low double, high double, all_event_estimate double")
+    assert [r[0] for r in df.select(decide()).collect()] == ["DISTINGUISHABLE_BETTER", "NOT_DISTINGUISHABLE", "DISTINGUISHABLE_WORSE", "NOT_DISTINGUISHABLE", "INSUFFICIENT_DATA", "NOT_DISTINGUISHABLE"]
+
+
+def test_constant_difference_gives_a_degenerate_interval(spark):
+    from tidemark.plans.metrics import cluster_bootstrap, headline
+    d = spark.createDataFrame([("t", i % 5, f"i{i % 7}", 0.25) for i in range(40)], "target string, session int, issuer string, difference double")
+    b = cluster_bootstrap(d, ["target"], replicates=200)
+    assert all(r["low_99"] == r["high_99"] == r["estimate"] == 0.25 for r in b.collect()) and b.count() == 2
+    assert headline(b, ["target"]).first()["clustering"] == "session"
+
+
 def test_overlaps_closed_intervals(spark):
     w = spark.sql("SELECT 1 id, 'k' key, date'2024-01-05' a, date'2024-01-08' b UNION ALL SELECT 2, 'k', date'2024-01-11', date'2024-01-12' UNION ALL SELECT 3, 'z', date'2024-01-05', date'2024-01-08'")
     s = spark.sql("SELECT 'k' key, date'2024-01-08' s, date'2024-01-10' e")

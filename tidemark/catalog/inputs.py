@@ -21,8 +21,8 @@ def _once(spark, key, build):
     """A plan that many queries start from is resolved once per application."""
     key = (spark.sparkContext.applicationId, id(spark._jsparkSession), *key)
     if key not in _SEEN:
-        _SEEN[key] = build()
-    return _SEEN[key]
+        _SEEN[key] = (spark, build())  # the session is kept, so that its id is not used again
+    return _SEEN[key][1]
 
 
 def table(spark, sf, name) -> DataFrame:

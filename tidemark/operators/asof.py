@@ -34,10 +34,9 @@ def asof_features(cutoffs: DataFrame, features: DataFrame, mode=HISTORICAL, enti
     tiny = r.filter("_g = -1")  # intervals shorter than the finest bucket and inside one
     r = r.filter("_g >= 0").withColumn("_w", width).withColumn("_bs", F.floor(F.col("_s") / F.col("_w"))).withColumn("_bx", F.floor(F.col("_x") / F.col("_w")))
 
-    names = features.select(F.col(entity).alias("_e"), "name").distinct()
-    asks = cutoffs.select(F.col(entity).alias("_e"), us(F.col(cutoff)).alias("_t")).distinct().join(names, "_e")
-    grains = F.array(*[F.struct(F.lit(i).alias("_g"), F.lit(g).alias("_w")) for i, g in enumerate(GRAINS)])
-    asks_b = (asks.withColumn("_l", F.explode(grains)).select("_e", "name", "_l._g", F.floor(F.col("_t") / F.col("_l._w")).alias("_b"), "_t"))
+    asks = cutoffs.select(F.col(entity).alias("_e"), us(F.col(cutoff)).alias("_t")).distinct()
+    combos = r.select("_e", "name", "_g", "_w").distinct()  # only the grains an entity's features really use
+    asks_b = asks.join(combos, "_e").select("_e", "name", "_g", F.floor(F.col("_t") / F.col("_w")).alias("_b"), "_t")
     none = F.lit(None).cast(r.schema["_r"].dataType)
 
     # what whole buckets contribute: finite intervals by expansion over the buckets they cover, open ones by a running maximum over buckets
@@ -63,7 +62,7 @@ def asof_features(cutoffs: DataFrame, features: DataFrame, mode=HISTORICAL, enti
     found = line.withColumn("_a", forward).withColumn("_z", backward).filter("_k = 1").select("_e", "name", "_t", F.greatest("_a", "_z").alias("_r"))
     finest = GRAINS[-1]
     brief = (tiny.withColumn("_b", F.floor(F.col("_s") / finest)).alias("r")
-             .join(asks.withColumn("_b", F.floor(F.col("_t") / finest)).alias("q"), ["_e", "name", "_b"])
+             .join(asks.withColumn("_b", F.floor(F.col("_t") / finest)).alias("q"), ["_e", "_b"])
              .filter("_s <= _t and _t < _x").select("_e", "name", "_t", "_r"))
     return (found.unionByName(brief).groupBy("_e", "name", "_t").agg(F.max("_r").alias("_r")).filter("_r is not null")
             .select(F.col("_e").alias(entity), "name", F.timestamp_micros("_t").alias(cutoff), "_r.revision_id", "_r.value",

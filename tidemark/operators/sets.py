@@ -75,12 +75,12 @@ def connected_partitions(df: DataFrame, part="part", keys=("cluster_id", "reacti
     raise RuntimeError("partitions did not settle")
 
 
-def ordered_partitions(df: DataFrame, share=0.15, session="reaction_session") -> DataFrame:
-    """P5. Fit 0, select 1, calibrate 2: whole sessions from the end, at least `share` of the rows each, then U7. At most one row per calendar session enters the window."""
+def ordered_partitions(df: DataFrame, percent=15, session="reaction_session") -> DataFrame:
+    """P5. Fit 0, select 1, calibrate 2: whole sessions from the end, at least `percent` of the rows each, then U7. At most one row per calendar session enters the window."""
     s = df.groupBy(session).agg(F.count(F.lit(1)).alias("c"))
     after = F.sum("c").over(W.orderBy(F.desc(session)).rowsBetween(W.unboundedPreceding, -1))
     total = F.sum("c").over(W.partitionBy(F.lit(1)))
-    s = s.withColumn("_after", F.coalesce(after, F.lit(0))).withColumn("_min", F.ceil(total * F.lit(share))).withColumn("_upto", F.col("_after") + F.col("c"))
+    s = s.withColumn("_after", F.coalesce(after, F.lit(0))).withColumn("_min", F.floor((total * percent + 99) / 100)).withColumn("_upto", F.col("_after") + F.col("c"))
     s = s.withColumn("_cal", F.min(F.when(F.col("_upto") >= F.col("_min"), F.col("_upto"))).over(W.partitionBy(F.lit(1))))
     in_sel = (F.col("_after") >= F.col("_cal"))
     s = s.withColumn("_sel", F.min(F.when(in_sel & (F.col("_upto") - F.col("_cal") >= F.col("_min")), F.col("_upto"))).over(W.partitionBy(F.lit(1))))
