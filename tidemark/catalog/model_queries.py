@@ -57,7 +57,16 @@ SELECT *, ln(c / (1 - c)) AS logit_history FROM (SELECT f.target, f.version, f.f
 FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.version = 'all_event' AND f.target IN ('gap_ge_3pct', 'gap_ge_5pct'))""")
 
 
-@query("p05_ordered_partitions")
+@query("p05_ordered_partitions", """
+WITH RECURSIVE s AS (SELECT reaction_session, count(*) AS c FROM v_events GROUP BY 1),
+t AS (SELECT *, coalesce(sum(c) OVER (ORDER BY reaction_session DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS aft, (15 * sum(c) OVER () + 99) // 100 AS mn FROM s),
+u AS (SELECT *, min(CASE WHEN aft + c >= mn THEN aft + c END) OVER () AS cal FROM t),
+v AS (SELECT *, min(CASE WHEN aft >= cal AND aft + c - cal >= mn THEN aft + c END) OVER () AS sel FROM u),
+p AS (SELECT reaction_session, CASE WHEN aft < cal THEN 2 WHEN sel IS NULL OR aft < sel THEN 1 ELSE 0 END AS part FROM v),
+e AS (SELECT DISTINCT a.reaction_session AS a, b.reaction_session AS b FROM v_events a JOIN v_events b USING (cluster_id)),
+reach(a, b) AS (SELECT reaction_session, reaction_session FROM p UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+best AS (SELECT r.a, max(p.part) AS part FROM reach r JOIN p ON p.reaction_session = r.b GROUP BY 1)
+SELECT best.part, count(*) AS events, count(DISTINCT x.reaction_session) AS sessions FROM v_events x JOIN best ON best.a = x.reaction_session GROUP BY 1""", ["v_events"])
 def p05(spark, sf):
     return U.ordered_partitions(study_events(spark, sf).select("event_id", "cluster_id", "reaction_session")).groupBy("part").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("reaction_session").alias("sessions"))
 

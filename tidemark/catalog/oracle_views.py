@@ -99,6 +99,8 @@ def with_views(body, names):
         return body.strip()
     ctes = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name][1].strip()})" for name in ordered)
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
