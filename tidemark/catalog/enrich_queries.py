@@ -275,7 +275,7 @@ LEFT JOIN LATERAL (SELECT f.accession FROM v_filings f WHERE f.form = '10-Q' AND
 def j10(spark, sf):
     f = I.filings(spark, sf).withColumn("period_end", F.date_sub("filing_date", 300))
     e = f.filter("form = '8-K'").select(F.col("order_no").alias("event_id"), "cik_no", F.col("accepted_at").alias("published_at"), (F.col("accepted_at") + F.expr("interval 400 days")).alias("deadline"))
-    return E.latest_filing_before(e, f.filter("form = '10-Q'"), "cik_no", I.ZONE, 600).select("event_id", "accession")
+    return E.latest_filing_before(e, f.filter("form = '10-Q'"), "cik_no", I.ZONE, 600, bucket_days=30).select("event_id", "accession")
 
 
 @query("j11_source_priority", """

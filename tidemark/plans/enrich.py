@@ -216,14 +216,15 @@ def revenue_growth(facts: DataFrame) -> DataFrame:
     return g.select("entity", "accn", F.when(good, "usable").otherwise("unusable_revenue").alias("status"), F.when(good, growth(F.col("pair.cv"), F.col("pair.pv"))).alias("growth"))
 
 
-def latest_filing_before(events: DataFrame, filings: DataFrame, key: str, zone: str, max_age=110) -> DataFrame:
+def latest_filing_before(events: DataFrame, filings: DataFrame, key: str, zone: str, max_age=110, bucket_days=1) -> DataFrame:
     """J10. For each event the filing with the newest period (then earliest available, then accession) accepted in [published_at, deadline) and not late in the day.
 
-    Events and filings meet on (key, local day of acceptance), the window of an event covering only the few days up to its deadline.
+    Events and filings meet on (key, bucket of days of acceptance), the window of an event covering only the few buckets up to its deadline; wide windows want wide buckets.
     """
     f = (filings.withColumn("available", filing_available("accepted_at", "filing_date", zone)).filter("available is not null")
-         .withColumn("_day", F.to_date("accepted_at")).select(key, "_day", "accession", "accepted_at", "available", "period_end"))
-    e = events.withColumn("_day", F.explode(F.sequence(F.to_date("published_at"), F.to_date("deadline"))))
+         .withColumn("_day", F.floor(F.unix_date(F.to_date("accepted_at")) / bucket_days)).select(key, "_day", "accession", "accepted_at", "available", "period_end"))
+    bucket = lambda c: F.floor(F.unix_date(F.to_date(c)) / bucket_days)
+    e = events.withColumn("_day", F.explode(F.sequence(bucket("published_at"), bucket("deadline"))))
     age = F.datediff(local_day("published_at", zone), "period_end")
     ok = (F.col("accepted_at") >= F.col("published_at")) & (F.col("accepted_at") < F.col("deadline")) & (F.col("available") < F.col("deadline")) & age.between(0, max_age)
     best = F.min_by(F.struct("accession", "period_end", "available"), F.struct((-F.unix_date("period_end")).alias("p"), "available", "accession"))
