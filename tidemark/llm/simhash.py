@@ -3,7 +3,7 @@
 Fingerprints within `RADIUS` bits of each other agree on two of four 16-bit pieces, so distinct fingerprints meet in six buckets of 32 equal bits. A bucket that still
 holds more than `split_at` fingerprints is dealt again by three pieces of its other 32 bits, on one of which two such fingerprints also agree. In a bucket, bit planes
 stand vertically: one word of a plane holds the same bit of 64 members. The distances of a query to 64 members are updated plane by plane with carry-save counters, and
-a (query, word) block is abandoned once all its lanes exceed the radius. A bucket emits a spanning forest of its links, never all pairs.
+a (query, word) block is abandoned once all its lanes exceed the radius. The same comparison serves a wider print for documents of similarity 0.8 (`similar_documents`). A bucket emits a spanning forest of its links, never all pairs.
 """
 import numpy as np
 import pyarrow as pa
@@ -47,32 +47,45 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray, chunk: int = 1 << 19):
-    """Indices (i, root) of a spanning forest of the links inside equal keys; both arrays are sorted by key."""
-    n = len(keys)
+def _exceeds(counter, limit):
+    """Lanes whose bit-sliced counter, lowest plane first, is over `limit`."""
+    over, equal = np.zeros_like(counter[0]), np.full_like(counter[0], ALL)
+    for b in range(len(counter) - 1, -1, -1):
+        if limit >> b & 1:
+            equal &= counter[b]
+        else:
+            over |= equal & counter[b]
+            equal &= ~counter[b]
+    return over
+
+
+def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int = RADIUS, chunk: int = 1 << 19):
+    """Indices (i, root) of a spanning forest of the links inside equal keys; rows are sorted by key, `prints` has one column per 64 bits."""
+    prints = prints.reshape(len(keys), -1)
+    n, nothing = len(keys), (np.empty(0, np.int64), np.empty(0, np.int64))
     if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return nothing
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, n))
-    keep = sizes > 1
-    starts, sizes = starts[keep], sizes[keep]
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return nothing
     words = (sizes + 63) // 64
     first_word = np.concatenate(([0], np.cumsum(words)[:-1]))
     member = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
     inside = member - np.repeat(starts, sizes)
     own_word, lane = np.repeat(first_word, sizes) + inside // 64, inside % 64
-    laid = np.zeros((int(words.sum()), 64), np.uint64)
-    laid[own_word, lane] = prints[member]
     at = np.full((int(words.sum()), 64), -1, np.int64)
     at[own_word, lane] = member
     used = np.packbits(at >= 0, axis=1, bitorder="little").view(np.uint64).ravel()
-    planes = np.stack([np.packbits(((laid >> np.uint64(b)) & np.uint64(1)).astype(bool), axis=1, bitorder="little").view(np.uint64).ravel() for b in range(64)])
+    planes = []
+    for column in range(prints.shape[1]):
+        laid = np.zeros(at.shape, np.uint64)
+        laid[own_word, lane] = prints[member, column]
+        planes += [np.packbits(((laid >> np.uint64(b)) & np.uint64(1)).astype(bool), axis=1, bitorder="little").view(np.uint64).ravel() for b in range(64)]
     parent = np.arange(n)
     left = np.repeat(first_word + words, sizes) - own_word  # words from the member's own to the last of its bucket
-    begin = 0
-    sums = np.cumsum(left)
+    begin, sums = 0, np.cumsum(left)
     while begin < len(member):
         stop = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + chunk, "right")))
         reps = left[begin:stop]
@@ -80,18 +93,16 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, chunk: int = 1 << 19):
         word = np.repeat(own_word[begin:stop], reps) + np.arange(len(q)) - np.repeat(np.cumsum(reps) - reps, reps)
         low = np.where(word == own_word[q], (ALL << lane[q].astype(np.uint64)) << np.uint64(1), ALL)  # later lanes only
         far = ~(used[word] & low)
-        one, two, bits = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint64), prints[member[q]]
-        for b in range(64):
-            miss = planes[b][word] ^ (np.uint64(0) - ((bits >> np.uint64(b)) & np.uint64(1)))
-            carry = one & miss
-            one ^= miss
-            far |= two & carry
-            two ^= carry
-            far |= one & two
+        counter = [np.zeros(len(q), np.uint64) for _ in range((radius + 4).bit_length())]
+        for b, plane in enumerate(planes):
+            carry = plane[word] ^ (np.uint64(0) - ((prints[member[q], b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
+            for k, held in enumerate(counter):
+                counter[k], carry = held ^ carry, held & carry
             if b % 4 == 3 and len(q):
+                far |= _exceeds(counter, radius)
                 alive = far != ALL
                 if not alive.all():
-                    q, word, far, one, two, bits = q[alive], word[alive], far[alive], one[alive], two[alive], bits[alive]
+                    q, word, far, counter = q[alive], word[alive], far[alive], [c[alive] for c in counter]
         if len(q):
             near = np.unpackbits((~far).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
             row, col = np.nonzero(near)
@@ -119,27 +130,28 @@ def _unite(parent, i, j):
         np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
 
 
-def _links(batches):
-    """Reads a partition sorted by key, a bucket never split over two calls of `bucket_links`; yields edges between fingerprints."""
-    keys, prints = [], []
-    held = 0
-    for batch in batches:
-        keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-        prints.append(batch.column(1).to_numpy(zero_copy_only=False))
-        held += batch.num_rows
-        if held >= 1 << 17:
-            k, p = np.concatenate(keys), np.concatenate(prints)
-            cut = int(np.searchsorted(k, k[-1]))
-            if cut:
-                yield _edges(k[:cut], p[:cut])
-            keys, prints, held = [k[cut:]], [p[cut:]], len(k) - cut
-    if held:
-        yield _edges(np.concatenate(keys), np.concatenate(prints))
-
+def _links(radius, names):
+    """Reads a partition sorted by key (first column; the second names the row, the rest is its print), a bucket never split over two comparisons; yields edges of names."""
+    def edges(keys, rows, prints):
+        i, root = bucket_links(keys, prints.view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(rows[i], pa.int64()), pa.array(rows[root], pa.int64())], names)
 
-def _edges(keys, prints):
-    i, root = bucket_links(keys, prints.view(np.uint64))
-    return pa.RecordBatch.from_arrays([pa.array(prints[i], pa.int64()), pa.array(prints[root], pa.int64())], ["a", "b"])
+    def run(batches):
+        held = []
+        count = 0
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            held.append((cols[0], cols[1], np.column_stack(cols[2:])))
+            count += batch.num_rows
+            if count >= 1 << 17:
+                keys, rows, prints = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield edges(keys[:cut], rows[:cut], prints[:cut])
+                held, count = [(keys[cut:], rows[cut:], prints[cut:])], len(keys) - cut
+        if count:
+            yield edges(*(np.concatenate(x) for x in zip(*held)))
+    return run
 
 
 def _bits(column, shift, width):
@@ -161,7 +173,7 @@ def near_links(prints: DataFrame, split_at: int = 1 << 16) -> DataFrame:
     dealt = keyed.join(hot, ["pair", "key"], "left").select("fp", "pair", "key", F.explode(F.when(F.col("held").isNull(), once).otherwise(again)).alias("_s"))
     # 35 bits of (pair, key) and the refinement above them: one exact long, so the task compares integers only
     code = F.col("pair") * F.lit(1 << 32) + F.col("key") + (F.col("_s.sub") + 1) * F.lit(1 << 36) + F.col("_s.sub_key") * F.lit(1 << 39)
-    return dealt.select(code.alias("code"), "fp").repartition("code").sortWithinPartitions("code").mapInArrow(_links, "a long, b long")
+    return dealt.select(code.alias("code"), "fp", F.col("fp").alias("print")).repartition("code").sortWithinPartitions("code").mapInArrow(_links(RADIUS, ["a", "b"]), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, split_at: int = 1 << 16) -> DataFrame:
@@ -179,7 +191,68 @@ def near_duplicates(docs: DataFrame, width: int = 3, split_at: int = 1 << 16) ->
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---- similarity of at least 0.8 over five-word shingles: wider prints, buckets by minimum hashes
+
+LANES, MINIMA, WIDE_RADIUS = 4, 6, 48
+
+
+def _turn(h, k):
+    """The k-th of several independent mixings of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def wide_print(text: bytes, width: int):
+    """256-bit SimHash of the distinct shingles and the least of `MINIMA` mixings of their hashes; zeros for a text without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(LANES, np.uint64), np.zeros(MINIMA, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[min(width, len(words)) - 1:]
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e]) for s, e in zip(starts.tolist(), last.tolist())), np.uint64))
+    counts = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        lanes = np.column_stack([_turn(h[at:at + (1 << 14)], k) for k in range(LANES)])
+        counts += np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64), np.array([_turn(h, LANES + k).min() for k in range(MINIMA)])
+
+
+def _wide_prints(width):
+    def run(batches):
+        for batch in batches:
+            made = [wide_print(t or b"", width) for t in batch.column(1).to_pylist()]
+            prints = np.array([p for p, _ in made], np.uint64).reshape(-1, LANES).view(np.int64)
+            minima = np.array([m for _, m in made], np.uint64).reshape(-1, MINIMA).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(np.ascontiguousarray(c)) for c in (*prints.T, *minima.T)], ["doc_id", *PRINT, *LEAST])
+    return run
+
+
+PRINT, LEAST = [f"p{k}" for k in range(LANES)], [f"m{k}" for k in range(MINIMA)]
+
+
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, split_at: int = 1 << 15) -> DataFrame:
+    """(doc_id, component_id): components of documents whose shingles have a similarity of 0.8 or more, judged by 256-bit SimHash.
+
+    At a similarity of 0.8 the prints differ in 39 bits on average (a standard deviation of 6), so nearly all such pairs lie within the radius; pairs of 0.6 or less almost
+    never do. Pairs meet in buckets of equal minimum hashes, of which six are tried: two documents of similarity 0.8 share none with probability 0.00006. A bucket of more than
+    `split_at` distinct prints is dealt again by three other minima. Rows without an id are left out; texts without words are alike.
+    """
+    rows = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null").mapInArrow(_wide_prints(width), "doc_id long, " + ", ".join(f"{c} long" for c in PRINT + LEAST)))
+    classes = saved(rows.groupBy(*PRINT, *LEAST).agg(F.min("doc_id").alias("rep")))
+    keyed = classes.select("rep", *PRINT, *LEAST, F.posexplode(F.array(*LEAST)).alias("turn", "least")).withColumn("key", F.xxhash64("turn", "least"))
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > split_at)
+    others = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.xxhash64("key", k, F.get(F.array(*LEAST), F.pmod(F.col("turn") + k, F.lit(MINIMA)))))
+    code = F.explode(F.when(F.col("held").isNull(), F.array("key")).otherwise(others)).alias("code")
+    dealt = keyed.join(hot, "key", "left").select(code, "rep", *PRINT)
+    found = connected_components(dealt.repartition("code").sortWithinPartitions("code").mapInArrow(_links(radius, ["a", "b"]), "a long, b long"))
+    rooted = saved(classes.join(found, F.col("rep") == F.col("node"), "left").select(*PRINT, *LEAST, F.coalesce("root", "rep").alias("component_id")))
+    return rows.join(rooted, [*PRINT, *LEAST]).select("doc_id", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; rows without an id stay."""
-    found = near_duplicates(docs, width)
+    """The rows of `docs` whose id is the smallest of their component of similar documents; rows without an id stay, and rows that share the smallest id all stay."""
+    found = similar_documents(docs, width)
     return docs.join(found.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
