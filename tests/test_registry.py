@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check_oracles import TABLES, norm, rows_of
@@ -43,19 +44,34 @@ def test_plans_have_no_cross_join_and_no_row_python(spark, sf, name):
     assert not any(bad in plan for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"))
 
 
-def test_labels_of_the_test_side_are_not_in_the_prediction_plan(spark):
-    """The design a model predicts from may hold y, but the prediction expression must not read it."""
+def test_predictions_do_not_depend_on_test_labels(spark):
+    """Fits and predictions stay the same when the labels of the test side are turned around."""
     from tidemark.plans import models as M
-    rows = spark.sql("SELECT 'g' k, 'test' role, 1.0D z_a")
-    models = spark.sql("SELECT 'g' k, 'FITTED' state, array(0.1D, 0.2D) beta")
-    assert "y" not in M.predict(rows, models, ["a"], ["k"]).columns
-
-
-def test_same_result_for_other_partitionings(spark, sf):
-    from tidemark.catalog import inputs as I
-    from tidemark.sources.snapshots import table_digest
-    df = I.news(spark, sf)
-    assert tuple(table_digest(df).first()) == tuple(table_digest(df.repartition(13, "cik").orderBy("event_id")).first())
+    rows = spark.sql("SELECT 'g' k, if(id % 4 = 0, 'test', 'train') role, id event_id, cast(id % 7 as double) a, cast(id * 13 % 11 as double) b, cast(id * 31 % 17 > 8 as double) y FROM range(200)")
+    turned = rows.withColumn("y", F.when(F.col("role") == "test", 1 - F.col("y")).otherwise(F.col("y")))
+
+    def run(df):
+        z = M.standardize(df, ["a", "b"], ["k"])
+        out = M.predict(z.filter("role = 'test'"), M.fit_logistic(z, ["a", "b"], ["k"]), ["a", "b"], ["k"], link="logit")
+        tested = z.filter("role = 'test'")
+        ridge = M.quantile_forecast(tested, M.fit_ridge(z, ["a", "b"], ["k"]), M.residual_quantiles(z, M.fit_ridge(z, ["a", "b"], ["k"]), ["a", "b"], ["k"]), ["a", "b"], ["k"])
+        return {r["event_id"]: r["p"] for r in out.collect()}, {r["event_id"]: r["q"] for r in ridge.collect()}
+    assert run(rows) == run(turned)
+
+
+def test_same_result_for_other_partitionings(spark):
+    """Operators over differently dealt rows: as-of sums, exact quantiles, running totals and components."""
+    from tidemark.operators import asof as A, quantiles as Q, ranking as R
+    from tidemark.operators.components import connected_components
+    df = spark.sql("SELECT cast(id % 5 as string) k, timestamp_seconds(1700000000 + id * 977 % 300000) at, id * 37 % 101 / 4 v, id % 60 a, id * 7 % 90 b FROM range(500)")
+    other = df.repartition(13, "v").sortWithinPartitions(F.desc("at"))
+
+    def run(d):
+        sums = A.asof_sums(d, d, "k", "at", "at", {"s": F.col("v")}).collect()
+        quantiles = Q.exact_quantiles(d, ["k"], "v", (0.1, 0.5, 0.9)).collect()
+        totals = R.running_totals(d.select("k", "v", F.unix_micros("at").alias("t")), [F.asc("t"), F.asc("v")], ["v"], ["k"]).collect()
+        return [sorted(map(str, x)) for x in (sums, quantiles, totals, connected_components(d.select("a", "b")).collect())]
+    assert run(df) == run(other)
 
 
 def test_snapshot_is_content_addressed(spark, sf, tmp_path):

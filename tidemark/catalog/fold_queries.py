@@ -370,14 +370,14 @@ def x05(spark, sf):
 
 
 @query("x06_contrasts", """
-SELECT target, model, baseline, scope, count(*) AS events, round(avg(d), 8) + 0.0 AS estimate FROM (
+SELECT target, model, baseline, scope, count(d) AS events, count(*) - count(d) AS unpaired, CASE WHEN count(*) = count(d) THEN round(avg(d), 8) + 0.0 END AS estimate FROM (
 SELECT target, 'history' AS model, 'pooled' AS baseline, pow(p - y, 2) - pow(v_preds.baseline - y, 2) AS d, unnest(['pooled', 'fold ' || fold]) AS scope FROM v_preds
 UNION ALL SELECT target, 'history', 'constant', pow(p - y, 2) - pow(0.5 - y, 2), unnest(['pooled', 'fold ' || fold]) FROM v_preds) GROUP BY ALL""", ["v_preds"])
 def x06(spark, sf):
     p = predictions(spark, sf)
     long = (p.withColumn("_r", F.explode(F.array(F.struct(F.lit("history").alias("predictor"), X.event_brier("p", "y").alias("loss")), F.struct(F.lit("pooled").alias("predictor"), X.event_brier("baseline", "y").alias("loss")),
                                                  F.struct(F.lit("constant").alias("predictor"), F.pow(F.lit(0.5) - F.col("y"), 2).alias("loss"))))).select("target", "version", "fold", "event_id", "_r.*"))
-    return X.contrasts(long, [("history", "pooled"), ("history", "constant")]).select("target", "model", "baseline", "scope", "events", r("estimate", 8))
+    return X.contrasts(long, [("history", "pooled"), ("history", "constant")]).select("target", "model", "baseline", "scope", "events", "unpaired", r("estimate", 8))
 
 
 @query("x07_decision", f"""
@@ -447,11 +447,11 @@ def x13(spark, sf):
 
 
 @query("p10_nested_cap", """
-SELECT b.event_id, CAST(b.fold AS BIGINT) AS fold, round(least(b.p, coalesce(a.p, b.p)), 8) AS p, coalesce(b.p > a.p, false) AS repaired FROM v_preds b LEFT JOIN v_preds a ON a.event_id = b.event_id AND a.fold = b.fold AND a.target = 'gap_ge_3pct' WHERE b.target = 'gap_ge_5pct'""", ["v_preds"])
+SELECT b.event_id, CAST(b.fold AS BIGINT) AS fold, CASE WHEN a.p IS NOT NULL THEN round(least(b.p, a.p), 8) END AS p, coalesce(b.p > a.p, false) AS repaired, a.p IS NULL AS looser_missing FROM v_preds b LEFT JOIN v_preds a ON a.event_id = b.event_id AND a.fold = b.fold AND a.target = 'gap_ge_3pct' WHERE b.target = 'gap_ge_5pct'""", ["v_preds"])
 def p10(spark, sf):
     p = predictions(spark, sf)
     out = P.cap_nested(p.filter("target = 'gap_ge_3pct'"), p.filter("target = 'gap_ge_5pct'"), ("event_id", "fold"))
-    return out.select("event_id", F.col("fold").cast("bigint").alias("fold"), F.round("p", 8).alias("p"), "repaired")
+    return out.select("event_id", F.col("fold").cast("bigint").alias("fold"), F.round("p", 8).alias("p"), "repaired", "looser_missing")
 
 
 @query("p15_select_config", """

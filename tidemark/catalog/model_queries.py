@@ -7,6 +7,7 @@ from tidemark.catalog import inputs as I
 from tidemark.catalog.fold_queries import HIST, R10, RATE, r, target_rows
 from tidemark.catalog.label_queries import outcomes
 from tidemark.catalog.oracle_views import VIEWS
+from tidemark.catalog import sql_models as Q
 from tidemark.catalog.registry import query
 from tidemark.catalog.report_queries import opens
 from tidemark.catalog.study_queries import KEEP, study_events
@@ -57,6 +58,15 @@ SELECT *, ln(c / (1 - c)) AS logit_history FROM (SELECT f.target, f.version, f.f
 FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.version = 'all_event' AND f.target IN ('gap_ge_3pct', 'gap_ge_5pct'))""")
 
 
+VIEWS["v_regression"] = (("v_folds", "v_history"), f"""
+SELECT * FROM (SELECT f.target, f.version, f.fold, f.role, f.event_id, f.reaction_idx, f.cik, f.y, CASE WHEN f.timing = 'after_hours' THEN 1.0 ELSE 0.0 END AS after_hours, CASE WHEN f.sic_division = 'I' THEN 1.0 ELSE 0.0 END AS is_I, {RATE.format(default='NULL')} AS history_mean
+FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.version = 'all_event' AND f.target = 'day1_close_return') WHERE history_mean IS NOT NULL""")
+Q.standardized("v_zdesign", "v_design", FEATURES)
+Q.standardized("v_zreg", "v_regression", REG)
+Q.ridge("v_ridge", "v_zreg", REG)
+Q.logistic("v_logistic", "v_zdesign", FEATURES)
+
+
 @query("p05_ordered_partitions", """
 WITH RECURSIVE s AS (SELECT reaction_session, count(*) AS c FROM v_events GROUP BY 1),
 t AS (SELECT *, coalesce(sum(c) OVER (ORDER BY reaction_session DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS aft, (15 * sum(c) OVER () + 99) // 100 AS mn FROM s),
@@ -71,6 +81,36 @@ def p05(spark, sf):
     return U.ordered_partitions(study_events(spark, sf).select("event_id", "cluster_id", "reaction_session")).groupBy("part").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("reaction_session").alias("sessions"))
 
 
+@query("p05_four_parts", """
+WITH RECURSIVE b AS (SELECT quantile_disc(reaction_session, 0.85) AS cut FROM v_events), s AS (SELECT reaction_session, count(*) AS c FROM v_events, b WHERE reaction_session <= cut GROUP BY 1),
+t AS (SELECT *, coalesce(sum(c) OVER (ORDER BY reaction_session DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS aft, (15 * sum(c) OVER () + 99) // 100 AS mn FROM s),
+u AS (SELECT *, min(CASE WHEN aft + c >= mn THEN aft + c END) OVER () AS cal FROM t),
+v AS (SELECT *, min(CASE WHEN aft >= cal AND aft + c - cal >= mn THEN aft + c END) OVER () AS sel FROM u),
+p AS (SELECT reaction_session, CASE WHEN aft < cal THEN 2 WHEN sel IS NULL OR aft < sel THEN 1 ELSE 0 END AS part FROM v UNION ALL SELECT DISTINCT reaction_session, 3 FROM v_events, b WHERE reaction_session > cut),
+e AS (SELECT DISTINCT a.reaction_session AS a, b.reaction_session AS b FROM v_events a JOIN v_events b ON a.cluster_id || (a.event_no % 200) = b.cluster_id || (b.event_no % 200)),
+reach(a, b) AS (SELECT reaction_session, reaction_session FROM p UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+best AS (SELECT r.a, max(p.part) AS part FROM reach r JOIN p ON p.reaction_session = r.b GROUP BY 1)
+SELECT best.part, count(*) AS events FROM v_events x JOIN best ON best.a = x.reaction_session GROUP BY 1""", ["v_events"])
+def p05_four(spark, sf):
+    """The last sessions are the test side; whatever is linked to them goes with them."""
+    e = study_events(spark, sf).select("event_id", F.concat("cluster_id", (F.col("event_no") % 200).cast("string")).alias("cluster_id"), "reaction_session")
+    cut = e.agg(F.expr("percentile_disc(0.85) within group (order by datediff(reaction_session, date'1970-01-01'))").cast("int").alias("cut")).first()["cut"]
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.lit(cut))
+    return U.ordered_partitions(e.filter(F.col("reaction_session") <= day), test=e.filter(F.col("reaction_session") > day)).groupBy("part").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("j12_maturity_gate", """
+SELECT f.fold::BIGINT AS fold, count(*) FILTER (NOT late) AS kept, count(*) FILTER (late) AS refused, 0 AS violations FROM (SELECT f.*, coalesce(f.role = 'train' AND f.y IS NOT NULL AND f.matures_at >= b.boundary, false) AS late FROM v_folds f
+LEFT JOIN (SELECT fold, min(cutoff) AS boundary FROM v_folds WHERE role = 'test' GROUP BY 1) b USING (fold) WHERE f.version = 'all_event' AND f.target IN ('gap_ge_3pct', 'gap_ge_5pct')) f GROUP BY 1""", ["v_folds"])
+def j12_gate(spark, sf):
+    """Rows kept and refused by the gate, and training labels that still mature too late: none."""
+    f = cut_lineage(P.folds(target_rows(spark, sf, HIST[:2]).withColumn("version", F.lit("all_event"))))
+    kept, refused = P.maturity_gate(f)
+    counts = kept.groupBy("fold").agg(F.count(F.lit(1)).alias("kept")).join(refused.groupBy("fold").agg(F.count(F.lit(1)).alias("refused")), "fold", "left")
+    bad = P.maturity_slack(kept).groupBy("fold").agg(F.sum("violations").cast("int").alias("violations"))
+    return counts.join(bad, "fold", "left").select(fold_col(), "kept", F.coalesce("refused", F.lit(0)).cast("bigint").alias("refused"), F.coalesce("violations", F.lit(0)).alias("violations"))
+
+
 @query("p06_standardize", """
 SELECT d.target, CAST(d.fold AS BIGINT) AS fold, d.role, d.event_id, round((d.after_hours - m.a) / m.sa, 7) + 0.0 AS z_after_hours, round((d.logit_history - m.b) / m.sb, 7) + 0.0 AS z_logit_history FROM v_design d JOIN (
 SELECT target, fold, avg(after_hours) AS a, stddev_pop(after_hours) AS sa, avg(logit_history) AS b, stddev_pop(logit_history) AS sb FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2) m USING (target, fold)""", ["v_design"])
@@ -84,24 +124,35 @@ def fitted_logistic(spark, sf):
     return shared_table(spark, ("logistic", sf), build)
 
 
-@query("p07_ridge")
+def beta_columns(n):
+    return [(F.round(F.element_at("beta", i + 1), 6) + 0.0).alias(f"b{i}") for i in range(n)]
+
+
+@query("p07_ridge", f"SELECT target, CAST(fold AS BIGINT) AS fold, n, state, {Q.betas(4)} FROM v_ridge", ["v_ridge"])
 def p07(spark, sf):
     m = M.fit_ridge(M.standardize(regression_design(spark, sf), REG, KEYS), REG, KEYS)
-    return m.select("target", fold_col(), "n", "state", F.transform("beta", lambda b: F.round(b, 6)).alias("beta"))
+    return m.select("target", fold_col(), "n", "state", *beta_columns(4))
 
 
-@query("p08_logistic")
+@query("p08_logistic", f"SELECT target, CAST(fold AS BIGINT) AS fold, n, state, iterations, {Q.betas(5)} FROM v_logistic", ["v_logistic"])
 def p08(spark, sf):
-    return fitted_logistic(spark, sf).select("target", fold_col(), "n", "state", "iterations", F.transform("beta", lambda b: F.round(b, 6)).alias("beta"))
+    return fitted_logistic(spark, sf).select("target", fold_col(), "n", "state", "iterations", *beta_columns(5))
 
 
-@query("p09_residual_quantiles")
+@query("p09_residual_quantiles", f"""
+WITH fitted AS (SELECT d.*, {Q.linear(REG)} AS f FROM v_zreg d JOIN v_ridge m USING (target, fold)),
+q AS (SELECT target, fold, [quantile_cont(y - f, 0.1), quantile_cont(y - f, 0.5), quantile_cont(y - f, 0.9)] AS q FROM fitted WHERE role = 'train' AND y IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT f.target, f.version, f.y, q.q[1] + f.f AS a, q.q[2] + f.f AS b, q.q[3] + f.f AS c FROM fitted f JOIN q USING (target, fold) WHERE f.role = 'test' AND f.y IS NOT NULL AND f.f IS NOT NULL),
+l AS (SELECT *, greatest(0.1 * (y - a), -0.9 * (y - a)) AS p1, greatest(0.5 * (y - b), -0.5 * (y - b)) AS p5, greatest(0.9 * (y - c), -0.1 * (y - c)) AS p9 FROM t)
+SELECT target, version, count(*) AS n, round(avg((p1 + p5 + p9) / 3), 8) AS mean_pinball, round(avg(p1), 8) AS pinball_10, round(avg(p5), 8) AS pinball_50, round(avg(p9), 8) AS pinball_90,
+ round(avg(CASE WHEN y >= a AND y <= c THEN 1.0 ELSE 0.0 END), 8) AS interval_coverage, round(avg(abs(y - b)), 8) AS mae_of_the_median FROM l GROUP BY 1, 2""", ["v_zreg", "v_ridge"])
 def p09(spark, sf):
     z = M.standardize(regression_design(spark, sf), REG, KEYS)
     m = cut_lineage(M.fit_ridge(z, REG, KEYS))
     q = M.residual_quantiles(z, m, REG, KEYS)
     out = M.quantile_forecast(z.filter("role = 'test' and y is not null"), m, q, REG, KEYS)
-    return X.regression_metrics(out.filter("q is not null"), ["target", "version"])
+    got = X.regression_metrics(out.filter("q is not null"), ["target", "version"])
+    return got.select(*[F.round(c, 8).alias(c) if t == "double" else c for c, t in got.dtypes])
 
 
 @query("p11_tree_models")
@@ -127,11 +178,17 @@ def p12(spark, sf):
     return M.encode(d, ["logit_history", "after_hours"], KEYS).select("target", fold_col(), "role", "event_id", r("logit_history", 8), "logit_history_missing")
 
 
-@query("p13_platt_calibration")
+VIEWS["v_platt_rows"] = (("v_design",), "SELECT target, fold, role, y, history_rate, ln(least(greatest(history_rate, 0.01), 0.99) / (1 - least(greatest(history_rate, 0.01), 0.99))) AS z_logit FROM v_design")
+Q.logistic("v_platt", "v_platt_rows", ["logit"])
+
+
+@query("p13_platt_calibration", f"""
+SELECT target, CAST(fold AS BIGINT) AS fold, CASE WHEN b0 IS NULL THEN state ELSE 'CALIBRATED' END AS calibration, count(*) AS n, round(avg(CASE WHEN b0 IS NULL THEN history_rate WHEN b1 < 0 THEN base ELSE {Q.sigmoid(Q.linear(['logit']))} END), 6) AS mean_calibrated, round(avg(y), 6) AS mean_outcome
+FROM v_platt_rows d JOIN v_platt m USING (target, fold) JOIN (SELECT target, fold, avg(y) AS base FROM v_platt_rows WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2) b USING (target, fold) WHERE role = 'test' AND y IS NOT NULL GROUP BY 1, 2, 3""", ["v_platt_rows", "v_platt"])
 def p13(spark, sf):
     d = design(spark, sf).withColumn("p", F.col("history_rate"))
     out = M.platt(d, KEYS)
-    return out.filter("role = 'test' and y is not null").groupBy("target", "fold", "calibration").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 6).alias("mean_calibrated"), F.round(F.avg("y"), 6).alias("mean_outcome"))
+    return out.withColumn("fold", F.col("fold").cast("bigint")).filter("role = 'test' and y is not null").groupBy("target", "fold", "calibration").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 6).alias("mean_calibrated"), F.round(F.avg("y"), 6).alias("mean_outcome"))
 
 
 @query("p14_stump", """
@@ -147,14 +204,28 @@ def p14(spark, sf):
     return gain.select("target", fold_col(), r("x_left", 7), "gain")
 
 
-@query("p16_out_of_fold_predictions")
+@query("p16_out_of_fold_predictions", f"SELECT target, CAST(fold AS BIGINT) AS fold, event_id, state, round({Q.sigmoid(Q.linear(FEATURES))}, 6) AS p, y FROM v_zdesign d JOIN v_logistic m USING (target, fold) WHERE role = 'test'", ["v_zdesign", "v_logistic"])
 def p16(spark, sf):
     z = M.standardize(design(spark, sf), FEATURES, KEYS)
     p = M.predict(z.filter("role = 'test'"), fitted_logistic(spark, sf), FEATURES, KEYS, link="logit")
     return p.select("target", fold_col(), "event_id", "state", F.round("p", 6).alias("p"), "y")
 
 
-@query("p17_paired_folds")
+VIEWS["v_pairs"] = (("v_folds", "v_history_strict", "v_events"), """
+SELECT *, CASE WHEN gap <> 0 THEN -sign(gap) * ((1 + ret) / (1 + gap) - 1) END AS y, abs(gap) AS size, sign(gap) AS direction, -sign(gap) * context / nullif(1 + gap, 0) AS tilt FROM (
+SELECT f.target, f.fold, f.role, f.event_id, h.n_own, CASE WHEN n_own > 0 THEN (s_own - n_own * (s_all / n_all)) / (n_own + 10) ELSE 0 END AS context, e.open / e.anchor_close - 1 AS gap, e.close / e.anchor_close - 1 AS ret
+FROM v_folds f JOIN v_history_strict h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role JOIN v_events e ON e.event_id = f.event_id WHERE f.version = 'all_event' AND f.target = 'day1_close_return')""")
+VIEWS["v_paired"] = (("v_pairs",), "SELECT * FROM v_pairs WHERE y IS NOT NULL")
+Q.standardized("v_zbase", "v_paired", ["size", "direction"])
+Q.standardized("v_zchal", "v_paired", ["size", "direction", "tilt"])
+Q.ridge("v_base", "v_zbase", ["size", "direction"])
+Q.ridge("v_chal", "v_zchal", ["size", "direction", "tilt"])
+
+
+@query("p17_paired_folds", f"""
+SELECT CAST(fold AS BIGINT) AS fold, count(*) AS pairs, round(avg(pow(y - b, 2)), 6) AS baseline_mse, round(avg(pow(y - c, 2)), 6) AS challenger_mse, round((avg(pow(y - b, 2)) - avg(pow(y - c, 2))) / avg(pow(y - b, 2)), 6) AS relative_reduction FROM (
+SELECT b.fold, b.y, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.fold, d.event_id, d.y, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d JOIN v_base m USING (target, fold) WHERE role = 'test') b
+JOIN (SELECT d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d JOIN v_chal m USING (target, fold) WHERE role = 'test') c USING (fold, event_id) WHERE b.p IS NOT NULL) GROUP BY 1""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
 def p17(spark, sf):
     """Baseline (size and sign of the gap) against the same plus issuer context, on the continuation outcome; events without own history fall back to the baseline."""
     t = target_rows(spark, sf, HIST[2:])
@@ -178,14 +249,31 @@ def ridge_losses(rows, model, feats):
     return M.predict(z.filter("role = 'test' and y is not null"), model, feats, KEYS).withColumn("loss", F.pow(F.col("p") - F.col("y"), 2)).filter("p is not null")
 
 
-@query("p18_ablation")
+ABLATED = {"timing": ["is_I", "is_other", "logit_history"], "sector": ["after_hours", "logit_history"], "history": ["after_hours", "is_I", "is_other"], "none": FEATURES}
+for _family, _kept in ABLATED.items():
+    Q.ridge(f"v_ablate_{_family}", "v_zdesign", _kept)
+    VIEWS[f"v_loss_{_family}"] = (("v_zdesign", f"v_ablate_{_family}"), f"SELECT target, fold, count(*) AS n, avg(pow({Q.linear(_kept)} - y, 2)) AS loss FROM v_zdesign d JOIN v_ablate_{_family} m USING (target, fold) WHERE role = 'test' AND y IS NOT NULL AND b0 IS NOT NULL GROUP BY 1, 2")
+
+
+@query("p18_ablation", " UNION ALL ".join(f"SELECT target, CAST(fold AS BIGINT) AS fold, '{x}' AS family, l.n, round(l.loss - f.loss, 7) + 0.0 AS loss_difference FROM v_loss_{x} l JOIN v_loss_none f USING (target, fold)" for x in ("timing", "sector", "history")), [f"v_loss_{x}" for x in ABLATED])
 def p18(spark, sf):
     fit = lambda rows, feats: cut_lineage(M.fit_ridge(M.standardize(rows, feats, KEYS), feats, KEYS))
     out = M.ablate(design(spark, sf), {"timing": ["after_hours"], "sector": ["is_I", "is_other"], "history": ["logit_history"]}, FEATURES, KEYS, fit, ridge_losses)
-    return out.select("target", fold_col(), "family", "n", F.round("loss_difference", 7).alias("loss_difference"))
+    return out.select("target", fold_col(), "family", "n", (F.round("loss_difference", 7) + 0.0).alias("loss_difference"))
+
+
+def permuted_sql(feature):
+    value = Q.sigmoid(Q.linear(FEATURES).replace(f"z_{feature}", "shuffled"))
+    return f"""SELECT target, fold, '{feature}' AS feature, avg(pow({value} - y, 2)) AS loss FROM (SELECT a.*, b.z_{feature} AS shuffled FROM (SELECT *, row_number() OVER (PARTITION BY target, fold ORDER BY event_id) AS k FROM v_tested) a
+ JOIN (SELECT target, fold, z_{feature}, row_number() OVER (PARTITION BY target, fold ORDER BY CAST('0x' || md5('5|' || event_id)[1:8] AS BIGINT), event_id) AS k FROM v_tested) b USING (target, fold, k)) JOIN v_logistic USING (target, fold) GROUP BY 1, 2"""
+
+
+VIEWS["v_tested"] = (("v_zdesign",), "SELECT * FROM v_zdesign WHERE role = 'test' AND y IS NOT NULL")
 
 
-@query("p19_permutation_importance")
+@query("p19_permutation_importance", f"""
+WITH base AS (SELECT target, fold, avg(pow({Q.sigmoid(Q.linear(FEATURES))} - y, 2)) AS base FROM v_tested JOIN v_logistic USING (target, fold) GROUP BY 1, 2)
+SELECT target, CAST(fold AS BIGINT) AS fold, feature, round(loss - base, 7) + 0.0 AS loss_difference FROM ({permuted_sql('logit_history')} UNION ALL {permuted_sql('after_hours')}) JOIN base USING (target, fold)""", ["v_tested", "v_logistic"])
 def p19(spark, sf):
     z = M.standardize(design(spark, sf), FEATURES, KEYS)
     test = z.filter("role = 'test' and y is not null")
@@ -196,7 +284,7 @@ def p19(spark, sf):
     for feature in ("logit_history", "after_hours"):
         part = loss(M.permuted(test, "z_" + feature, ["target", "version", "fold"], seed=5), "shuffled").withColumn("feature", F.lit(feature))
         out = part if out is None else out.unionByName(part)
-    return out.join(base, ["target", "fold"]).select("target", fold_col(), "feature", F.round(F.col("shuffled") - F.col("base"), 7).alias("loss_difference"))
+    return out.join(base, ["target", "fold"]).select("target", fold_col(), "feature", (F.round(F.col("shuffled") - F.col("base"), 7) + 0.0).alias("loss_difference"))
 
 
 class TrainingMean:
@@ -258,7 +346,7 @@ def scratch(spark, name):
 
 @query("t01_opening_monitor", """
 SELECT symbol, session, CASE WHEN t < open_utc OR received_at < t OR received_at > open_utc + INTERVAL 60 SECOND OR received_at > t + INTERVAL 5 SECOND THEN 'outside_timing_limits' ELSE 'observed' END AS status, count(*) AS n
-FROM v_trades JOIN v_sessions USING (session) WHERE tape_venue = 'Q' AND list_contains(conditions, 'Q') GROUP BY 1, 2, 3""", ["v_trades", "v_sessions"])
+FROM v_trades JOIN v_sessions USING (session) WHERE tape_venue = 'Q' AND list_contains(conditions, 'Q') AND received_at <= open_utc + INTERVAL 60 SECOND GROUP BY 1, 2, 3""", ["v_trades", "v_sessions"])
 def t01(spark, sf):
     s = stream_session(spark)
     out, ck = scratch(spark, "t01")
@@ -271,8 +359,12 @@ def t01(spark, sf):
 def t02(spark, sf):
     s = stream_session(spark)
     out, ck = scratch(spark, "t02")
-    T.run_to_table(T.stream_official_open(I.trades_of(I.event_stream(s, sf)), opens(s)), out, ck, "update")
-    return T.last_update(spark, out, ["symbol", "session"]).select("symbol", "session", "reason", "official_open")
+    src, _ = scratch(spark, "t02-trades")
+    trades = I.trades_of(I.table(spark, sf, "events"))
+    trades.repartition(3).write.parquet(src)  # several files, rows in no order
+    trades.limit(1).withColumns({"t": F.col("t") + F.expr("interval 4000 days"), "received_at": F.col("received_at") + F.expr("interval 4000 days"), "symbol": F.lit(-1).cast(trades.schema["symbol"].dataType)}).write.mode("append").parquet(src)
+    T.run_to_table(T.stream_official_open(s.readStream.schema(trades.schema).parquet(src), opens(s)), out, ck)
+    return spark.read.parquet(out).select("symbol", "session", "reason", "official_open")
 
 
 @query("t03_stream_dedupe", "SELECT DISTINCT cluster_id FROM v_news", ["v_news"])
@@ -289,18 +381,23 @@ def t04(spark, sf):
     s = stream_session(spark)
     out, ck = scratch(spark, "t04")
     T.stream_latest(I.features_of(I.event_stream(s, sf)).withColumn("known_at", F.greatest("available_at", "first_seen_at")), out, ck).awaitTermination()
+    T.compact_latest(spark, out)
     return T.read_latest(spark, out).select("security_id", "name", "revision_id", "value")
 
 
 @query("t05_stream_label_release", """
-SELECT t.event_id, CAST(b.idx AS BIGINT) AS idx, round(b.close, 6) AS close, epoch_us(b.available_at) AS label_available_at FROM v_timed t JOIN v_bars b ON b.security_id = t.security_id AND b.idx = t.reaction_idx AND b.available_at >= t.cutoff AND b.available_at <= t.cutoff + INTERVAL 8 DAY""", ["v_timed", "v_bars"])
+SELECT t.event_id, CAST(b.idx AS BIGINT) AS idx, round(b.close, 6) AS close, epoch_us(b.available_at) AS label_available_at FROM v_timed t
+JOIN (SELECT * REPLACE (CASE WHEN idx % 50 = 7 THEN available_at + INTERVAL 10 DAY ELSE available_at END AS available_at) FROM v_bars) b ON b.security_id = t.security_id AND b.idx = t.reaction_idx AND b.available_at >= t.cutoff""", ["v_timed", "v_bars"])
 def t05(spark, sf):
     s = stream_session(spark)
     out, ck = scratch(spark, "t05")
     src, _ = scratch(spark, "t05-bars")
-    b = I.bars(spark, sf)
+    b = I.bars(spark, sf)  # one bar in fifty comes ten days late, after the stream has let go of its event
+    b = b.withColumn("available_at", F.when(F.col("idx") % 50 == 7, F.col("available_at") + F.expr("interval 10 days")).otherwise(F.col("available_at")))
     b.write.parquet(src)
     news = cal.classify(I.news_of(I.event_stream(s, sf)), "published_at", I.calendar(s)).filter("reaction_idx is not null")
     bars = s.readStream.schema(b.schema).parquet(src)
-    T.run_to_table(T.stream_labels(news, bars), out, ck)
-    return spark.read.parquet(out).select("event_id", F.col("idx").cast("bigint").alias("idx"), F.round("close", 6).alias("close"), F.unix_micros("label_available_at").alias("label_available_at"))
+    T.run_to_table(T.stream_labels(news, bars, f"{T.longest_wait(I.calendar(s))} days"), out, ck)
+    released = spark.read.parquet(out)
+    late = T.late_labels(cal.classify(I.news(spark, sf), "published_at", I.calendar(spark)), b, released)
+    return released.unionByName(late).select("event_id", F.col("idx").cast("bigint").alias("idx"), F.round("close", 6).alias("close"), F.unix_micros("label_available_at").alias("label_available_at"))

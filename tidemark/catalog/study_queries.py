@@ -25,8 +25,16 @@ FROM v_labels l JOIN v_events e USING (event_id) LEFT JOIN v_sessions s ON s.idx
 
 
 def study_events(spark, sf):
-    """Mapped events with timing, sector and label inputs; events whose SIC belongs to no division are left out."""
-    return shared_table(spark, ("events", sf), lambda: C.with_sector(outcomes(spark, sf).filter("state = 'MAPPED'")).filter("sic_division is not null"))
+    """Mapped events with timing, sector and label inputs; events whose SIC belongs to no division are quarantined by `C.sector_quarantine`."""
+    return shared_table(spark, ("events", sf), lambda: C.sector_quarantine(outcomes(spark, sf).filter("state = 'MAPPED'"))[0])
+
+
+@query("v09_sector_quarantine", """
+SELECT coalesce(reason, 'KEPT') AS reason, count(*) AS events FROM (SELECT CASE WHEN sic IS NULL OR NOT regexp_matches(sic, '^[0-9]{4}$') THEN 'MALFORMED_SIC' WHEN NOT (g BETWEEN 1 AND 9 OR g BETWEEN 10 AND 17 OR g BETWEEN 20 AND 67 OR g BETWEEN 70 AND 89 OR g BETWEEN 91 AND 99) THEN 'UNKNOWN_SIC_DIVISION' END AS reason
+FROM (SELECT sic, TRY_CAST(sic[1:2] AS INTEGER) AS g FROM v_outcomes WHERE state = 'MAPPED')) GROUP BY 1""", ["v_outcomes"])
+def v09_sectors(spark, sf):
+    kept, refused = C.sector_quarantine(outcomes(spark, sf).filter("state = 'MAPPED'"))
+    return kept.select(F.lit("KEPT").alias("reason")).unionByName(refused.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("events"))
 
 
 KEEP = ("event_id", "event_no", "cluster_id", "cik", "sic", "security_id", "timing", "reaction_idx", "reaction_session", "cutoff", "category", "sic_division", "sic_major_group")
@@ -130,9 +138,8 @@ def a04(spark, sf):
 SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
  round(quantile_cont(l_extendedprice, 0.75), 6) AS p75, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1, 2""")
 def a05(spark, sf):
-    """Prices are large, so the bins are coarse: floor(x / 1024), then floor(x * 2)."""
     levels = C.POLICY["levels"]
-    q = exact_quantiles(I.table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", levels, rounds=(-10, 1))
+    q = exact_quantiles(I.table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", levels)
     return q.select("l_returnflag", "l_linestatus", "n", *[F.round(F.element_at("q", i + 1), 6).alias(f"p{int(p * 100)}") for i, p in enumerate(levels)])
 
 

@@ -51,8 +51,7 @@ def split_master_name(col) -> Column:
 
 
 # Corporate suffixes that carry no identity.
-COMPANY_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "ltd", "llc")
-COMPANY_SUFFIX_PATTERN = r"[,.]?\s*(" + "|".join(COMPANY_SUFFIXES) + r")\.?\s*$"
+COMPANY_SUFFIX_PATTERN = r"[,.]?\s*(inc|incorporated|corp|corporation|co|ltd|llc)\.?\s*$"
 
 
 def norm_company(col) -> Column:

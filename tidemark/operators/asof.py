@@ -13,13 +13,28 @@ DAY = 86_400_000_000
 GRAINS = (DAY, 1_800_000_000, 20_000_000)  # a day, half an hour, twenty seconds, in microseconds
 
 
+LEVELS = 24  # blocks of up to 2^23 buckets: the longest interval of days between two timestamps needs 22
+
+
+def canonical_blocks(low, high):
+    """The half-open range [low, high) of whole numbers as an array of struct(level, block), block b of level k being [b * 2^k, (b + 1) * 2^k): at most two per level."""
+    def at(k):
+        size = F.pow(F.lit(2.0), k)
+        a, b = F.ceil(low / size), F.floor(high / size)
+        last = k == LEVELS - 1
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        left, right = F.when((a < b) & odd(a), F.struct(k.alias("level"), a.alias("block"))), F.when((a < b) & odd(b), F.struct(k.alias("level"), (b - 1).alias("block")))
+        return F.when(last, F.transform(F.sequence(a, F.greatest(a, b - 1)), lambda x: F.when(a < b, F.struct(k.alias("level"), x.alias("block"))))).otherwise(F.array(left, right))
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)), lambda x: x.isNotNull())
+
+
 def asof_features(cutoffs: DataFrame, features: DataFrame, mode=HISTORICAL, entity="security_id", cutoff="cutoff") -> DataFrame:
     """J1. For each distinct (entity, cutoff) and feature name: the latest revision available, valid and mature at the cutoff.
 
     A revision is eligible during [start, end), start the latest of its availability, validity and label clocks. Of the eligible revisions the one with the
     largest (available, revision_id) wins. Each interval is assigned the coarsest grain whose buckets it spans, and there falls into three parts:
-    a running maximum inside its first bucket, a reverse running maximum inside its last, and one aggregated row for every bucket between.
-    Open-ended intervals carry over to all later buckets by a running maximum over buckets.
+    a running maximum inside its first bucket, a reverse running maximum inside its last, and the buckets between, covered by at most two blocks per power of two, so that
+    the distance of an end (9999-12-31, say) does not matter. Open-ended intervals carry over to all later buckets by a running maximum over buckets.
     """
     us = F.unix_micros
     known = available_at("available_at", "first_seen_at", mode)
@@ -39,9 +54,12 @@ def asof_features(cutoffs: DataFrame, features: DataFrame, mode=HISTORICAL, enti
     asks_b = asks.join(combos, "_e").select("_e", "name", "_g", F.floor(F.col("_t") / F.col("_w")).alias("_b"), "_t")
     none = F.lit(None).cast(r.schema["_r"].dataType)
 
-    # what whole buckets contribute: finite intervals by expansion over the buckets they cover, open ones by a running maximum over buckets
-    covered = (r.filter("_x is not null and _bx > _bs + 1").withColumn("_b", F.explode(F.sequence(F.col("_bs") + 1, F.col("_bx") - 1)))
-               .groupBy("_e", "name", "_g", "_b").agg(F.max("_r").alias("_full")))
+    # what whole buckets contribute: finite intervals by the blocks of the buckets they cover, met by the asked buckets' own blocks; open ones by a running maximum over buckets
+    blocks = (r.filter("_x is not null and _bx > _bs + 1").withColumn("_c", F.explode(canonical_blocks(F.col("_bs") + 1, F.col("_bx"))))
+              .groupBy("_e", "name", "_g", "_c").agg(F.max("_r").alias("_full")))
+    asked = asks_b.select("_e", "name", "_g", "_b").distinct()
+    covered = (asked.withColumn("_c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col("_b") / F.pow(F.lit(2.0), k)).alias("block")))))
+               .join(blocks, ["_e", "name", "_g", "_c"]).groupBy("_e", "name", "_g", "_b").agg(F.max("_full").alias("_full")))
     opened = r.filter("_x is null").groupBy("_e", "name", "_g", F.col("_bs").alias("_b")).agg(F.max("_r").alias("_open"))
     buckets = (covered.select("*", none.alias("_open")).unionByName(opened.select("_e", "name", "_g", "_b", none.alias("_full"), "_open"))
                .unionByName(asks_b.select("_e", "name", "_g", "_b").distinct().select("*", none.alias("_full"), none.alias("_open")))

@@ -1,22 +1,28 @@
 """Exact type-7 quantiles of groups of any size.
 
 A built-in exact percentile keeps a whole group's values in one task. Here each round counts rows per (group, bin), finds the bins holding the wanted
-order statistics and looks only inside those; bins are floor(x * 2^k), which is exactly monotone in x.
+order statistics and looks only inside those. A bin is a slice of an octave, numbered by sign and floor(log2|x| * 2^k), which never falls as x rises; so bins follow the
+values' own scale, need no choice of unit and no clamp, and a group has at most 2^k bins for every octave its values cover.
 """
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-CLIP = 2.0 ** 21
+ROUNDS = (6, 19)  # slices per octave as powers of two: about a thousand bins in the first round for values over sixteen octaves
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, levels, rounds=(9, 20), out="q") -> DataFrame:
-    """A5. One row per group: n and `out`, the array of quantiles at `levels` (linear interpolation between order statistics). Null values are left out.
+def exact_quantiles(df: DataFrame, keys, value: str, levels, out="q") -> DataFrame:
+    """A5. One row per group: n and `out`, the array of quantiles at `levels` (linear interpolation between order statistics). Null and NaN values are left out.
 
     `keys` must be non-null. Cost is one aggregate per round over a shrinking part of the rows.
     """
     keys = list(keys)
     levels = sorted(levels)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    bin_of = lambda k: F.floor(F.greatest(F.least(F.col("_x") * float(2 ** k), F.lit(2.0 ** 52)), F.lit(-2.0 ** 52)))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)")
+    rounds = ROUNDS
+
+    def bin_of(k):
+        place = F.floor(F.log2(F.abs(F.col("_x"))) * float(2 ** k)) + (1100 << k)  # above zero for every double
+        return F.when(F.col("_x") > 0, place).when(F.col("_x") < 0, -place).otherwise(F.lit(0)).cast("long")
+
     first = rows.groupBy(*keys, bin_of(rounds[0]).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
     sizes = first.groupBy(*keys).agg(F.sum("_c").alias("n"))
     asks = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p")) for i, p in enumerate(levels)])

@@ -5,7 +5,7 @@ comes before a partition is one small row per partition and group in it.
 """
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.runtime import broadcast_if_small, cut_lineage
+from tidemark.runtime import cut_lineage, written
 
 
 def range_partitioned(df: DataFrame, order) -> DataFrame:
@@ -21,7 +21,7 @@ def positions(df: DataFrame, order, by=(), out="position") -> DataFrame:
     sizes = rows.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_first"))  # a few rows per partition
     w = W.partitionBy(*keys).orderBy("_p")
     before = sizes.select(*keys, "_p", "_first", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy(*keys)).alias("group_n"))
-    return rows.join(broadcast_if_small(before), [*keys, "_p"]).withColumn(out, F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_before")
+    return rows.join(written(before), [*keys, "_p"]).withColumn(out, F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_before")
 
 
 def running_totals(df: DataFrame, order, measures, by=()) -> DataFrame:
@@ -32,7 +32,7 @@ def running_totals(df: DataFrame, order, measures, by=()) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     before = parts.select(*keys, "_p", *[F.coalesce(F.sum("_t_" + m).over(w), F.lit(0)).alias("_b_" + m) for m in measures])
     inside = W.partitionBy(*keys, "_p").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
-    return (rows.join(broadcast_if_small(before), [*keys, "_p"])
+    return (rows.join(written(before), [*keys, "_p"])
             .select("*", *[(F.col("_b_" + m) + F.sum(m).over(inside)).alias("cum_" + m) for m in measures]).drop("_p", "_i", *["_b_" + m for m in measures]))
 
 

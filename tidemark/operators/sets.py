@@ -3,8 +3,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.functions.text import hash_draw, row_digest
-from tidemark.runtime import cut_lineage
+from tidemark.functions.text import row_digest
+from tidemark.operators.components import connected_components
 
 
 def union_no_conflict(dfs, keys) -> DataFrame:
@@ -16,8 +16,13 @@ def union_no_conflict(dfs, keys) -> DataFrame:
             .select(*keys, *[f"_r.{c}" for c in rest], "conflict", "copies"))
 
 
-def merge_bundles(bundles, keys: dict) -> dict:
-    """U1. Merge bundles table by table: plain union, except tables named in `keys`, which keep one row per key and mark conflicts."""
+def merge_bundles(bundles, keys: dict, stamps=()) -> dict:
+    """U1. Merge bundles table by table: plain union, except tables named in `keys`, which keep one row per key and mark conflicts.
+
+    `stamps` gives each bundle's (as_of, mode); bundles that disagree are refused.
+    """
+    if len(set(stamps)) > 1:
+        raise ValueError(f"bundles disagree in as_of or mode: {sorted(set(map(str, stamps)))}")
     names = {n for b in bundles for n in b}
     return {n: union_no_conflict([b[n] for b in bundles if n in b], keys[n]) if n in keys else reduce(lambda a, b: a.unionByName(b), [b[n] for b in bundles if n in b]) for n in sorted(names)}
 
@@ -56,27 +61,27 @@ def needed_ranges(files: DataFrame, recent_first: DataFrame, start, by: str) ->
     return files.join(recent_first, by, "left").filter((F.col("recent_first").isNull() | (F.col("recent_first") > s)) & (F.col("range_to") >= s))
 
 
-def connected_partitions(df: DataFrame, part="part", keys=("cluster_id", "reaction_session"), id_col="event_id", max_rounds=50) -> DataFrame:
-    """U7. Rows linked through shared clusters or sessions all take the latest partition among them: the largest label spreads until nothing moves.
+def connected_partitions(df: DataFrame, part="part", keys=("cluster_id", "reaction_session")) -> DataFrame:
+    """U7. Rows linked through shared clusters or sessions all take the latest partition among them, however long the chain of links.
+
+    Keys are the nodes of a graph and distinct rows of keys its edges, so a hot key is one node; components come from `connected_components`, which has no limit of
+    rounds. A null key links nothing; a row without any key keeps its own partition.
+    """
+    node = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{keys.index(k)}|"), F.col(k).cast("string")))
+    names = [f"_n{i}" for i in range(len(keys))]
+    rows = df.withColumns({n: node(k) for n, k in zip(names, keys)}).withColumn("_node", F.coalesce(*[F.col(n) for n in names]))
+    pairs = F.array(*[F.struct(F.col("_node").alias("a"), F.col(n).alias("b")) for n in names[1:]])
+    found = connected_components(rows.select(F.explode(pairs).alias("_e")).select("_e.*").filter("a is not null and b is not null").distinct())
+    placed = rows.join(found.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
+    top = placed.filter("_root is not null").groupBy("_root").agg(F.max(part).alias("_t"))
+    return placed.join(top, "_root", "left").withColumn(part, F.coalesce("_t", part)).select(*df.columns)
+
+
+def ordered_partitions(df: DataFrame, percent=15, session="reaction_session", test: DataFrame = None) -> DataFrame:
+    """P5. Fit 0, select 1, calibrate 2: whole sessions from the end, at least `percent` of the rows each, then U7. At most one row per calendar session enters the window.
 
-    Each round is a grouped maximum per key (map-side combined, so a hot key is no hot task) joined back, with the lineage cut. Labels only grow and are few, so rounds are.
+    `test` rows make part 3 and pull the rows that are linked to them, directly or through others, into it.
     """
-    cur = cut_lineage(df)
-    for _ in range(max_rounds):
-        nxt = cur
-        for k in keys:
-            top = nxt.groupBy(k).agg(F.max(part).alias("_t"))
-            nxt = nxt.join(top, k).withColumn(part, F.greatest(part, "_t")).drop("_t")
-        nxt = cut_lineage(nxt.select(*df.columns))
-        moved = nxt.agg(F.sum(part)).first()[0] != cur.agg(F.sum(part)).first()[0]
-        cur = nxt
-        if not moved:
-            return cur
-    raise RuntimeError("partitions did not settle")
-
-
-def ordered_partitions(df: DataFrame, percent=15, session="reaction_session") -> DataFrame:
-    """P5. Fit 0, select 1, calibrate 2: whole sessions from the end, at least `percent` of the rows each, then U7. At most one row per calendar session enters the window."""
     s = df.groupBy(session).agg(F.count(F.lit(1)).alias("c"))
     after = F.sum("c").over(W.orderBy(F.desc(session)).rowsBetween(W.unboundedPreceding, -1))
     total = F.sum("c").over(W.partitionBy(F.lit(1)))
@@ -85,12 +90,16 @@ def ordered_partitions(df: DataFrame, percent=15, session="reaction_session") ->
     in_sel = (F.col("_after") >= F.col("_cal"))
     s = s.withColumn("_sel", F.min(F.when(in_sel & (F.col("_upto") - F.col("_cal") >= F.col("_min")), F.col("_upto"))).over(W.partitionBy(F.lit(1))))
     s = s.withColumn("part", F.when(F.col("_after") < F.col("_cal"), 2).when(F.col("_after") < F.coalesce("_sel", F.lit(1 << 60)), 1).otherwise(0))
-    return connected_partitions(df.join(F.broadcast(s.select(session, "part")), session))
+    parts = df.join(s.select(session, "part"), session)
+    return connected_partitions(parts if test is None else parts.unionByName(test.withColumn("part", F.lit(3)).select(*parts.columns)))
 
 
 def hash_sample(df: DataFrame, key: str, seed: str, n: int, exclude: DataFrame = None) -> DataFrame:
-    """O1. The first n keys by content hash of (seed, key); `exclude` is left out first. A short frame is reported by the caller's count."""
+    """O1. The first n keys by content hash of (seed, key); `exclude` is left out first. A frame of fewer than n keys is refused."""
     d = df if exclude is None else df.join(exclude.select(key), key, "left_anti")
+    held = d.count()
+    if held < n:
+        raise ValueError(f"the frame holds {held} keys, {n} are asked for")
     return d.withColumn("selection_key", F.sha2(F.concat_ws("|", F.lit(seed), F.col(key)), 256)).orderBy("selection_key", key).limit(n)
 
 

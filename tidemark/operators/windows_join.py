@@ -1,5 +1,5 @@
 """Joins between events and session windows: always an equality on (security, session ordinal) or on a day."""
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def bars_at_offsets(events: DataFrame, bars: DataFrame, ks, idx="reaction_idx") -> DataFrame:
@@ -34,17 +34,17 @@ def actions_in_window(events: DataFrame, actions: DataFrame, calendar, n: int) -
 
 
 def overlaps(windows: DataFrame, spans: DataFrame, key: str, window, span) -> DataFrame:
-    """J5. Windows touched by any span of the same key, both closed.
+    """J5. Windows touched by any span of the same key, both closed; ends may lie at any distance (null: open).
 
-    Spans are turned into the set of days they cover, windows into the days they ask about; both are bounded by their own length and a hot key
-    is spread over its days, so no pair of rows of one key ever meets on the key alone.
+    A span touches a window if, of the spans that start by the window's last day, the latest end is not before its first day. Both sides are reduced to one row per
+    (key, day) before the running maximum, so a key's rows in one task are bounded by the calendar however hot it is.
     """
-    covered = spans.select(key, F.explode(F.sequence(F.col(span[0]), F.col(span[1]))).alias("_day")).distinct()
-    # a window and its days may repeat over rows of a hot key: ask each (key, window) once
-    asked = windows.select(key, *window).distinct()
-    hit = (asked.withColumn("_day", F.explode(F.sequence(F.col(window[0]), F.col(window[1])))).join(covered, [key, "_day"], "left_semi")
-           .select(key, *window).distinct())
-    return windows.join(hit, [key, *window], "left_semi")
+    far = F.to_date(F.lit("9999-12-31"))
+    starts = spans.filter(F.col(span[0]).isNotNull()).groupBy(key, F.col(span[0]).alias("_day")).agg(F.max(F.coalesce(F.col(span[1]), far)).alias("_end"))
+    asked = windows.select(key, F.col(window[1]).alias("_day")).distinct()
+    line = starts.unionByName(asked.withColumn("_end", F.lit(None).cast("date"))).groupBy(key, "_day").agg(F.max("_end").alias("_end"))
+    reach = line.withColumn("_reach", F.max("_end").over(W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, 0))).select(key, F.col("_day").alias(window[1]), "_reach")
+    return windows.join(reach, [key, window[1]]).filter(F.col("_reach") >= F.col(window[0])).select(*windows.columns)
 
 
 def resolve_security(events: DataFrame, securities: DataFrame, at: str) -> DataFrame:

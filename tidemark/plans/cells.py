@@ -21,6 +21,13 @@ def with_sector(events: DataFrame) -> DataFrame:
     return events.withColumn("sic_division", sic_division("sic")).withColumn("sic_major_group", F.substring("sic", 1, 2))
 
 
+def sector_quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with their sector, and those whose SIC code is malformed or belongs to no division, with the reason."""
+    d = with_sector(events)
+    reason = F.when(~F.coalesce(F.rlike("sic", F.lit(r"^\d{4}$")), F.lit(False)), "MALFORMED_SIC").when(F.col("sic_division").isNull(), "UNKNOWN_SIC_DIVISION")
+    return d.filter("sic_division is not null"), d.withColumn("reason", reason).filter("reason is not null")
+
+
 def cell_keys(category: str) -> Column:
     """A2. The five (level, key, parent level, parent key) rows of an event."""
     row = lambda level, key, plevel, pkey: F.struct(F.lit(level).alias("level"), key.alias("key"), F.lit(plevel).alias("parent_level"), pkey.alias("parent_key"))

@@ -88,14 +88,13 @@ def current_reports(df: DataFrame, first, last, required) -> DataFrame:
 
 
 # Words of a security name that need a type review.
-REVIEW_WORDS = ("warrant", "warrants", "preferred", "unit", "units", "depositary", "depositary shares", "rights")
+REVIEW_PATTERN = r"(?i)\b(warrants?|preferred|units?|depositary|depositary shares|rights)\b"
 
 
 def listing_state() -> Column:
     """V18. Eligibility of a listing row: test_issue, etf, exchange, security_name; the first that applies."""
-    words = r"(?i)\b(" + "|".join(REVIEW_WORDS) + r")\b"
     return (F.when(F.col("test_issue") == "Y", "EXCLUDED_TEST").when(F.col("etf") == "Y", "EXCLUDED_ETF").when(F.col("exchange") == "OTHER", "EXCLUDED_EXCHANGE")
-            .when(F.rlike(F.col("security_name"), F.lit(words)), "EXCLUDED_OR_REQUIRES_TYPE_REVIEW").otherwise("REQUIRES_IDENTITY_REVIEW"))
+            .when(F.rlike(F.col("security_name"), F.lit(REVIEW_PATTERN)), "EXCLUDED_OR_REQUIRES_TYPE_REVIEW").otherwise("REQUIRES_IDENTITY_REVIEW"))
 
 
 def valid_return(col) -> Column:

@@ -129,6 +129,14 @@ def maturity_slack(f: DataFrame) -> DataFrame:
     return t.groupBy("target", "fold").agg(F.min(slack).alias("min_slack_days"), F.count_if(F.col("matures_at") > F.col("boundary")).alias("violations"))
 
 
+def maturity_gate(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fold rows a fit may see, and the training rows refused as `fit_label_not_mature`: their label is first known at or after the first test cutoff of the fold."""
+    first = f.filter("role = 'test'").groupBy("fold").agg(F.min("cutoff").alias("_boundary"))  # one row per fold
+    late = F.coalesce((F.col("role") == "train") & F.col("y").isNotNull() & (F.col("matures_at") >= F.col("_boundary")), F.lit(False))
+    j = f.join(first, "fold", "left").withColumn("_late", late).drop("_boundary")
+    return j.filter("not _late").drop("_late"), j.filter("_late").drop("_late").withColumn("reason", F.lit("fit_label_not_mature"))
+
+
 def history_sums(rows: DataFrame, strict=False) -> DataFrame:
     """J7, J8. For every (event, target): n and total of earlier matured outcomes of its issuer, of its major group and of all events, under two clocks.
 
@@ -224,8 +232,15 @@ def bucket(positives, negatives, estimable=30, thin=10):
     return F.when(F.least(positives, negatives) >= estimable, "estimable_with_wide_uncertainty").when((positives >= thin) & (negatives >= thin), "thin").otherwise("insufficient")
 
 
-def cap_nested(looser: DataFrame, tighter: DataFrame, keys, p="p") -> DataFrame:
-    """P10. A tighter threshold is never more likely than the looser one; repairs are flagged."""
+def cap_nested(looser: DataFrame, tighter: DataFrame, keys, p="p", missing="refuse") -> DataFrame:
+    """P10. A tighter threshold is never more likely than the looser one; repairs are flagged.
+
+    A row without a looser prediction is flagged and refused (no prediction); `missing="keep"` leaves it uncapped, for the sensitivity only.
+    """
+    if missing not in ("refuse", "keep"):
+        raise ValueError("missing is refuse or keep")
     cap = looser.select(*keys, F.col(p).alias("_cap"))
-    return (tighter.join(cap, list(keys), "left").withColumn("repaired", F.coalesce(F.col(p) > F.col("_cap"), F.lit(False)))
-            .withColumn(p, F.least(F.col(p), F.coalesce("_cap", F.col(p)))).drop("_cap"))
+    absent = F.col("_cap").isNull()
+    alone = F.col(p) if missing == "keep" else F.lit(None).cast("double")
+    return (tighter.join(cap, list(keys), "left").withColumn("repaired", F.coalesce(F.col(p) > F.col("_cap"), F.lit(False))).withColumn("looser_missing", absent)
+            .withColumn(p, F.when(absent, alone).otherwise(F.least(F.col(p), F.col("_cap")))).drop("_cap"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.functions.numeric import normal_quantile, wilson_high, wilson_low
 from tidemark.functions.text import hash_draw
 from tidemark.operators.ranking import average_precision, equal_bins, positions, top_k
-from tidemark.runtime import broadcast_if_small
+from tidemark.runtime import written
 
 CLIP = 1e-6
 BLOCKS = 64
@@ -108,7 +108,7 @@ def cluster_bootstrap(diffs: DataFrame, by, axes=("session", "issuer"), seed=0,
     keys = [*by, "axis"]
     axis = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("cluster")) for a in axes])
     sums = (diffs.withColumn("_x", F.explode(axis)).groupBy(*by, "_x.axis", "_x.cluster").agg(F.sum("difference").alias("total"), F.count(F.lit(1)).alias("size")))
-    numbered = positions(sums, [F.asc("cluster")], keys, out="j")  # written once: read as slots and as targets
+    numbered = written(positions(sums, [F.asc("cluster")], keys, out="j"))  # read as slots and as targets; its size decides the join below
     # clusters are few rows in few partitions, so replicates are dealt out in blocks before they are opened
     chunk = max(1, -(-replicates // BLOCKS))
     parallel = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, or these few bytes would be coalesced into one task
@@ -116,7 +116,7 @@ def cluster_bootstrap(diffs: DataFrame, by, axes=("session", "issuer"), seed=0,
              .repartition(parallel, *keys, "_block")
              .withColumn("replicate", F.explode(F.sequence(F.col("_block") * chunk, F.least(F.col("_block") * chunk + chunk, F.lit(replicates)) - 1)))
              .withColumn("j", hash_draw(F.col("group_n"), F.lit(seed), "replicate", "slot")))
-    means = (slots.join(broadcast_if_small(numbered.select(*keys, "j", "total", "size")), [*keys, "j"]).groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("size")).alias("m")))
+    means = (slots.join(numbered.select(*keys, "j", "total", "size"), [*keys, "j"]).groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("size")).alias("m")))
     cuts = [((1 - lv) / 2, 1 - (1 - lv) / 2) for lv in levels]
     bands = means.groupBy(*keys).agg(*[F.percentile("m", F.lit(c)).alias(f"{n}_{int(lv * 100)}") for lv, pair in zip(levels, cuts) for n, c in zip(("low", "high"), pair)])  # `replicates` values a group
     base = numbered.groupBy(*keys).agg((F.sum("total") / F.sum("size")).alias("estimate"), F.sum("size").alias("events"), F.count(F.lit(1)).alias("clusters"))
@@ -135,13 +135,16 @@ def headline(boot: DataFrame, by, level=99, order=("session", "issuer")) -> Data
 
 
 def contrasts(losses: DataFrame, pairs, keys=("target", "version")) -> DataFrame:
-    """X6. Mean loss of model minus baseline for each listed pair, pooled and per fold. `losses` is long: predictor, loss."""
+    """X6. Mean loss of model minus baseline for each listed pair, pooled and per fold. `losses` is long: predictor, loss.
+
+    An event that only one of the two scored is counted as unpaired, and a scope with such an event has no estimate; an event that neither scored does not belong to the pair.
+    """
     wanted = F.array(*[F.struct(F.lit(a).alias("model"), F.lit(b).alias("baseline")) for a, b in pairs])
     names = sorted({x for pair in pairs for x in pair})
     wide = losses.groupBy(*keys, "fold", "event_id").agg(F.map_from_entries(F.collect_list(F.struct("predictor", "loss"))).alias("_m"))  # a few predictors per event
-    rows = (wide.withColumn("_w", F.explode(wanted)).withColumn("d", F.try_element_at("_m", F.col("_w.model")) - F.try_element_at("_m", F.col("_w.baseline"))).filter("d is not null")
+    rows = (wide.withColumn("_w", F.explode(wanted)).withColumn("_a", F.try_element_at("_m", F.col("_w.model"))).withColumn("_b", F.try_element_at("_m", F.col("_w.baseline"))).withColumn("d", F.col("_a") - F.col("_b")).filter("_a is not null or _b is not null")
             .withColumn("scope", F.explode(F.array(F.lit("pooled"), F.concat(F.lit("fold "), F.col("fold").cast("string"))))))
-    return rows.groupBy(*keys, "_w.model", "_w.baseline", "scope").agg(F.count(F.lit(1)).alias("events"), F.avg("d").alias("estimate"))
+    return rows.groupBy(*keys, "_w.model", "_w.baseline", "scope").agg(F.count("d").alias("events"), F.count_if(F.col("d").isNull()).alias("unpaired"), F.when(F.count_if(F.col("d").isNull()) == 0, F.avg("d")).alias("estimate"))
 
 
 BETTER, WORSE, UNCLEAR, INSUFFICIENT = "DISTINGUISHABLE_BETTER", "DISTINGUISHABLE_WORSE", "NOT_DISTINGUISHABLE", "INSUFFICIENT_DATA"

@@ -14,7 +14,7 @@ NO_GAP = "NOT_POSITIVE_GAP_GE_0_5PCT"
 RETURN_LABELS = tuple(f"day1_{f}_return" for f in ("open", "high", "low", "close")) + tuple(f"session_{n}_close_return" for n in HORIZONS)
 BOOLEAN_LABELS = tuple(f"gap_ge_{t}pct" for t in THRESHOLDS) + ("positive_gap_retained_half", "positive_gap_filled")
 LABELS = RETURN_LABELS + BOOLEAN_LABELS
-PRICE = "decimal(20,8)"
+PRICE = "decimal(33,16)"  # times a four-digit number this is the widest decimal that keeps every digit
 
 
 def simple_return(x: Column, base: Column) -> Column:
@@ -24,7 +24,9 @@ def simple_return(x: Column, base: Column) -> Column:
 
 def ge_pct(price: Column, base: Column, percent) -> Column:
     """M2. price >= base * (1 + percent/100), exactly, on decimals."""
-    return price.cast(PRICE) * 1000 >= base.cast(PRICE) * int(round(1000 + percent * 10))
+    exact = lambda c: c.cast("string").try_cast(PRICE)  # the shortest text of a double, not its binary value
+    whole = lambda n: F.lit(n).cast("decimal(4,0)")
+    return exact(price) * whole(1000) >= exact(base) * whole(int(round(1000 + percent * 10)))
 
 
 def bar_reasons(as_of: Column):

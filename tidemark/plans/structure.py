@@ -27,10 +27,12 @@ def densify(bars: DataFrame, sessions: DataFrame, key="security_id") -> DataFram
 def action_days(actions: DataFrame, spans: DataFrame, sessions: DataFrame, key="security_id") -> DataFrame:
     """Actions and unresolved spans as counts on session ordinals: `on_*` for days that are sessions, `before_*` for closed days, which count for windows that reach past them.
 
-    Spans are opened into the days they cover; each kind is one row per (symbol, session) after a grouping.
+    Spans are opened into the days of the calendar they cover (an open end reaches the last session); each kind is one row per (symbol, session) after a grouping.
     """
+    first, last = sessions.agg(F.min("session")).scalar(), sessions.agg(F.max("session")).scalar()
+    inside = spans.select(key, F.greatest("start", first).alias("start"), F.least("end", last).alias("end")).filter("start <= end")
     days = (actions.select(key, F.col("date").alias("day"), F.lit("action").alias("kind"))
-            .unionByName(spans.select(key, F.explode(F.sequence("start", "end")).alias("day"), F.lit("span").alias("kind"))).distinct())
+            .unionByName(inside.select(key, F.explode(F.sequence("start", "end")).alias("day"), F.lit("span").alias("kind"))).distinct())
     own = F.broadcast(sessions.select(F.col("session").alias("day"), F.col("idx").alias("own")))
     nxt = F.lead("session").over(W.orderBy("session"))
     gaps = (sessions.withColumn("_n", nxt).filter(F.datediff("_n", "session") > 1)
@@ -89,12 +91,20 @@ def regime_table(grid: DataFrame, singles, spreads, key="security_id", n=20) ->
 
 
 def structure_features(events: DataFrame, table: DataFrame, sessions: DataFrame, day="day", key="security_id") -> DataFrame:
-    """L15. The features of each event's symbol as of the last session before its day; the grid row is met by equality on (symbol, ordinal)."""
-    # day -> ordinal of the session before it; one row per calendar day
-    w = W.orderBy("session")
-    spans = sessions.withColumn("_n", F.coalesce(F.lead("session").over(w), F.date_add("session", 31)))
-    before = spans.select(F.col("idx").alias("_before"), F.explode(F.sequence(F.date_add("session", 1), F.col("_n"))).alias(day))
-    return events.join(F.broadcast(before), day, "left").join(table.withColumnRenamed("idx", "_before").drop("session"), [key, "_before"], "left").drop("_before")
+    """L15. The features of each event's symbol as of the last session before its day; the grid row is met by equality on (symbol, ordinal).
+
+    A day after the last session reads the last one, however much later it is; a day on or before the first has insufficient history.
+    """
+    # days between two sessions -> ordinal of the earlier one; one row per calendar day
+    nxt = F.lead("session").over(W.orderBy("session"))
+    spans = sessions.withColumn("_n", nxt).filter("_n is not null")
+    before = spans.select(F.col("idx").alias("_between"), F.explode(F.sequence(F.date_add("session", 1), F.col("_n"))).alias(day))
+    ends = sessions.agg(F.max_by("idx", "session").alias("_last"), F.max("session").alias("_end")).withColumn("_one", F.lit(1))
+    asked = events.join(F.broadcast(before), day, "left").withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")
+    asked = asked.withColumn("_before", F.coalesce("_between", F.when(F.col(day) > F.col("_end"), F.col("_last")))).drop("_between", "_last", "_end", "_one")
+    out = asked.join(table.withColumnRenamed("idx", "_before").drop("session"), [key, "_before"], "left")
+    early = F.col("_before").isNull() & F.col(day).isNotNull()
+    return out.withColumns({c: F.when(early, F.lit("insufficient_history")).otherwise(F.col(c)) for c in table.columns if c.startswith("why_")}).drop("_before")
 
 
 def feature_coverage(df: DataFrame, names, by=()) -> DataFrame:

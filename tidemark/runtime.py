@@ -1,6 +1,7 @@
 """Session settings shared by every job, and lineage cuts that survive the loss of an executor."""
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -45,6 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as Parquet in the shared folder, read back: unlike a checkpoint its size in bytes is known to the planner, which then chooses the joins."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A few configured rows as a plan of literals: nothing is shipped or scanned, and the optimizer knows that the table is tiny."""
     from pyspark.sql import functions as F, types as T
@@ -73,9 +83,3 @@ def shared_table(spark: SparkSession, name, build) -> DataFrame:
 def forget_shared_tables() -> None:
     """Build shared tables anew from here on (for timing)."""
     _WRITTEN.clear()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A broadcast hint, but only after counting a materialised table; beyond the bound the join is left to shuffle (and AQE to split its skew)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

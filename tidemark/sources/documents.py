@@ -1,4 +1,7 @@
 """Sources that arrive as text: columnar JSON, matrices, listings, submissions, pages, and line-level screens. Whole texts, column expressions only."""
+import html.entities
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
@@ -31,20 +34,37 @@ def matrix_rows(df: DataFrame, fields, names="fields", data="data", keep=()) ->
     return d.select(*keep, *[F.when(ok, F.get("_row", F.array_position(F.col(names), f).cast("int") - 1)).alias(f) for f in fields], (~ok).alias("refused"))
 
 
-def read_listing(spark: SparkSession, path: str, columns) -> DataFrame:
-    """S4. A pipe-delimited listing whose last line is a creation-time footer: header and footer are left out, the footer's stamp is kept on no row."""
-    return parse_listing(spark.read.text(path), columns)
-
+FOOTER = "File Creation Time:"
 
-def parse_listing(lines: DataFrame, columns) -> DataFrame:
-    parts = F.split("value", r"\|")
-    body = lines.filter(~F.startswith("value", F.lit("File Creation Time:")) & ~F.startswith("value", F.lit(columns[0] + "|")) & (F.trim("value") != ""))
-    return body.select(*[F.get(parts, i).alias(c) for i, c in enumerate(columns)])
 
+def read_listing(spark: SparkSession, path: str, columns, key=None) -> DataFrame:
+    """S4. A pipe-delimited listing file: a header line, rows, and exactly one creation-time footer, else the file is refused.
 
-def listing_footers(lines: DataFrame) -> Column:
-    """How many footers a listing has; anything but one is a fault."""
-    return F.count_if(F.startswith("value", F.lit("File Creation Time:")))
+    Columns are taken by the header's names, in any order. A row without its key column (by default the first of `columns`), or with one that occurs again, keeps its
+    values and says so in `reason`. Only the first line of the file is a header and only a line without any further field is a footer, whatever rows are called.
+    """
+    raw = spark.read.option("header", "true").option("sep", "|").option("quote", "").option("inferSchema", "false").csv(path)
+    missing = [c for c in columns if c not in raw.columns]
+    if missing:
+        raise ValueError(f"listing lacks the columns {missing}")
+    return check_listing(raw, columns, key)
+
+
+def check_listing(raw: DataFrame, columns, key=None) -> DataFrame:
+    """The rules of `read_listing` on rows already split by column name."""
+    key = key or columns[0]
+    first, rest = raw.columns[0], raw.columns[1:]
+    footer = F.startswith(F.col(first), F.lit(FOOTER))
+    for c in rest:
+        footer = footer & (F.coalesce(F.trim(F.col(c)), F.lit("")) == "")
+    footer = F.coalesce(footer, F.lit(False))
+    found = raw.agg(F.count_if(footer)).first()[0]
+    if found != 1:
+        raise ValueError(f"listing has {found} footers")
+    body = raw.filter(~footer)
+    again = body.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_k"), F.lit(True).alias("_again"))
+    reason = F.when(F.coalesce(F.trim(F.col(key)), F.lit("")) == "", "MISSING_SYMBOL").when(F.col("_again"), "DUPLICATE_SYMBOL")
+    return body.join(again, F.col(key) == F.col("_k"), "left").select(*columns, reason.alias("reason"))
 
 
 def extract_positions(df: DataFrame, text: str, marker: str, fields: dict, keep=()) -> DataFrame:
@@ -69,8 +89,23 @@ def extract_exhibits(df: DataFrame, text: str, keep=()) -> DataFrame:
             .withColumn("filename", F.trim(F.regexp_extract("_b", r"(?im)^<FILENAME>([^\r\n<]+)", 1))).withColumn("body", F.regexp_extract("_b", r"(?is)<TEXT>(.*)</TEXT>", 1)).drop("_b"))
 
 
-# Character references that occur in filings, after which `&amp;` is resolved.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+def unescape(c: Column) -> Column:
+    """Character references to characters: every named one that ends in a semicolon, and numeric ones (128 to 159 as in windows-1252, numbers of no character as U+FFFD).
+
+    The text is split before each ampersand; names come from the standard table of HTML5, as one constant map.
+    """
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})), "map<string,string>")
+    western = F.from_json(F.lit(json.dumps({str(n): bytes([n]).decode("cp1252", "replace") for n in range(128, 160)})), "map<string,string>")
+
+    def piece(x):
+        ref = F.regexp_extract(x, r"^&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        number = F.when(F.rlike(ref, F.lit("^#[xX]")), F.conv(F.substring(ref, F.lit(3), F.lit(9)), 16, 10)).otherwise(F.substring(ref, F.lit(2), F.lit(9))).try_cast("bigint")
+        real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        numeric = F.when(number.between(128, 159), F.element_at(western, number.cast("string"))).when(real, F.decode(F.unhex(F.lpad(F.hex(F.when(real, number).otherwise(65)), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        char = F.when(F.startswith(ref, F.lit("#")), numeric).when(ref != "", F.try_element_at(names, ref))
+        return F.coalesce(F.concat(char, F.substring(x, F.length(ref) + 3, F.length(x))), x)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")).otherwise(c)
 
 
 def html_text(col) -> Column:
@@ -79,14 +114,12 @@ def html_text(col) -> Column:
     for pattern, to in ((r"(?is)<(script|style|ix:hidden)\b[^>]*>.*?</\1\s*>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<(br|li)\b[^>]*>", "\n"), (r"(?i)<(td|th)\b[^>]*>", " | "),
                         (r"(?i)</(tr|p|li|div|h1|h2|h3|h4)\s*>", "\n"), (r"(?s)<[^>]*>", "")):
         c = F.regexp_replace(c, pattern, to)
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    return unescape(c)
 
 
 def html_lines(pages: DataFrame, html: str = "html", keep=()) -> DataFrame:
     """S7. One row per non-empty text line of a page, numbered in order, blanks squeezed and outer bars trimmed."""
-    squeezed = F.transform(F.split(html_text(html), r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "), F.lit(" |")))
+    squeezed = F.transform(F.split(html_text(html), r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(" |")))
     return pages.select(*keep, F.posexplode(F.filter(squeezed, lambda x: x != "")).alias("line_no", "line"))
 
 
@@ -159,7 +192,7 @@ def line_context(lines: DataFrame, by, before=6, after=2, order="line_no", text=
 # Words that mark an outlook passage.
 ANCHOR = r"(?i)\b(guidance|outlook|business outlook|financial outlook|forecast|expects?|anticipates?|projects?|reaffirms?)\b"
 REVENUE = r"(?i)\b(revenues?|net sales)\b"
-HORIZON = r"(?i)\b(full.{0,3}year|fiscal year|entire year|annual|FY\s*20\d{2}|FY\s*\d{2}|20\d{2})\b"
+HORIZON = r"(?i)\b(?:full.{0,3}year|fiscal year|entire year|annual|FY\s*20\d{2}|FY\s*\d{2}|20\d{2})\b"
 
 
 def outlook_excerpts(lines: DataFrame, by, keep=14, revenue=REVENUE, anchor=ANCHOR, horizon=HORIZON, figure=r"\d") -> DataFrame:

@@ -1,5 +1,6 @@
 """Content-addressed snapshots and report sinks."""
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +12,7 @@ PARTS = 4  # a 256-bit row hash is summed as four 64-bit words, each in a decima
 def table_digest(df: DataFrame) -> DataFrame:
     """Q1. Order-free digest of a table's contents: row count and the sums of the words of each row's hash. One partial-aggregated pass, nothing sorted or gathered."""
     h = df.select(row_digest(*df.columns).alias("_h"))
-    word = lambda i: F.sum(F.conv(F.substring("_h", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)"))
+    word = lambda i: F.sum(F.conv(F.substring("_h", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)"))
     g = h.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(word(i), F.lit(0)).alias(f"s{i}") for i in range(PARTS)])
     return g.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(PARTS)]), 256).alias("digest"))
 
@@ -24,13 +25,22 @@ def snapshot_id(tables: dict) -> tuple:
 
 
 def write_snapshot(tables: dict, root: str) -> str:
-    """S12. Write tables under an id that is the hash of their contents; contents already there are not written again."""
-    sid, digests = snapshot_id(tables)
-    for name, df in tables.items():
-        df.write.mode("ignore").parquet(f"{root}/snapshot_id={sid}/table={name}")
+    """S12. Write tables under an id that is the hash of what was written; contents already there are not written again.
+
+    Tables and manifest go to a staging folder, are digested as stored, and are published by one rename, so a folder with an id is always whole.
+    """
     spark = next(iter(tables.values())).sparkSession
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{staging}/table={name}")
+    sid, digests = snapshot_id({name: spark.read.parquet(f"{staging}/table={name}") for name in tables})
     rows = [(name, n, d) for name, (n, d) in digests.items()]
-    spark.createDataFrame(rows, "name string, n bigint, digest string").coalesce(1).write.mode("ignore").parquet(f"{root}/snapshot_id={sid}/manifest")
+    spark.createDataFrame(rows, "name string, n bigint, digest string").coalesce(1).write.parquet(f"{staging}/manifest")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = path(staging), path(f"{root}/snapshot_id={sid}")
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) or not files.rename(source, target):
+        files.delete(source, True)
     return sid
 
 
