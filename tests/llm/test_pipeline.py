@@ -19,8 +19,9 @@ def test_stages_follow_each_other(spark, sf):
     assert collections.Counter(map(str, whole)) == collections.Counter(map(str, last))
 
 
-def test_planted_cases(spark, sf, tmp_path):
+def test_planted_cases(spark, tmp_path):
     """A toxic document, an exact copy, a passage that repeats and a benchmark item among clean documents."""
+    sf = "/root/testdata/sf0.01"  # enough labels to learn from
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
     passage = " ".join(f"thorn{i} eddy" for i in range(30))

@@ -1,6 +1,6 @@
 """Exact duplicates: immutable snapshots screened by static binary-fuse filters, with byte checks of what remains.
 
-A snapshot is a table of digests that does not change; per bucket of digests a binary-fuse filter with 8-bit fingerprints (about 9 bits a key, three probes) is built
+A snapshot is a table of digests that does not change; per bucket of digests a binary-fuse filter with 8-bit fingerprints (9 bits a key in large filters, 13 at some thousand keys; three probes) is built
 once. The digests of a new batch are first grouped among themselves, then screened: a negative is certainly new, a positive is joined to the exact bucket of the snapshot.
 Groups of more than one row are then grouped again by their bytes.
 """

@@ -44,11 +44,11 @@ def registered_domain(host: Column, suffixes=tuple(TWO_LABEL_SUFFIXES)) -> tuple
 
 
 def _strength(rows: DataFrame, prior: str, name: str, most: float) -> DataFrame:
-    """One row (one, name): prior strength by moments, from rates around their prior means; between 1 and `most`, `most` where rates spread no more than chance would."""
+    """At most one row (one, name): prior strength by moments, from rates around their prior means; between 1 and `most`, `most` where rates spread no more than chance would."""
     p, v = F.col("bad") / F.col("n"), F.col(prior) * (1 - F.col(prior))
-    s = rows.agg(F.sum(F.col("n") * (p - F.col(prior)) ** 2).alias("s"), F.sum(v).alias("v"), F.sum(F.col("n") * v).alias("nv"))
+    s = rows.groupBy("one").agg(F.sum(F.col("n") * (p - F.col(prior)) ** 2).alias("s"), F.sum(v).alias("v"), F.sum(F.col("n") * v).alias("nv"))
     rho = (F.col("s") - F.col("v")) / F.nullif(F.col("nv") - F.col("v"), F.lit(0.0))
-    return s.select(F.lit(1).alias("one"), F.coalesce(F.when(rho > 0, F.least(F.lit(most), F.greatest(F.lit(1.0), 1 / rho - 1))), F.lit(most)).alias(name))
+    return s.select("one", F.coalesce(F.when(rho > 0, F.least(F.lit(most), F.greatest(F.lit(1.0), 1 / rho - 1))), F.lit(most)).alias(name))
 
 
 def host_reputation(hosts: DataFrame, most_strength: float = 1000.0) -> DataFrame:
@@ -61,7 +61,7 @@ def host_reputation(hosts: DataFrame, most_strength: float = 1000.0) -> DataFram
     above, keys = total, ["one"]
     for level, rows in levels.items():
         rows = rows.join(above, keys)
-        rows = rows.join(_strength(rows.filter("n > 0"), "prior", "strength", most_strength), "one")
+        rows = rows.join(_strength(rows.filter("n > 0"), "prior", "strength", most_strength), "one", "left").fillna({"strength": most_strength})
         rows = saved(rows.withColumn("weight", F.col("strength") + F.col("n")).withColumn("mean", (F.col("prior") * F.col("strength") + F.col("bad")) / (F.col("strength") + F.col("n"))))
         keys = keys + [level] if level != "host" else keys
         above = rows.select(*keys, F.col("mean").alias("prior"))
