@@ -313,7 +313,9 @@ def o03(spark, sf):
 
 RANDOM = """
 SELECT target, avg(v) AS random_mean, quantile_cont(v, 0.025) AS random_low, quantile_cont(v, 0.975) AS random_high FROM (SELECT target, rep, sum(y) / 20 AS v FROM (
-SELECT target, rep, y, row_number() OVER (PARTITION BY target, rep ORDER BY draw, event_id) AS rn FROM (SELECT target, event_id, y, rep, CAST('0x' || md5('7|' || rep || '|' || event_id)[1:8] AS BIGINT) AS draw FROM v_preds, range(1000) t(rep))) WHERE rn <= 20 GROUP BY 1, 2) GROUP BY 1"""
+SELECT *, row_number() OVER (PARTITION BY target, rep ORDER BY slot) AS rn FROM (SELECT target, rep, position, min(slot) AS slot FROM (SELECT target, rep, slot, CAST('0x' || md5('7|' || rep || '|' || slot)[1:8] AS BIGINT) % n AS position
+ FROM (SELECT target, count(*) AS n FROM v_preds GROUP BY 1), range(1000) t(rep), range(120) u(slot)) GROUP BY 1, 2, 3))
+JOIN (SELECT target, y, row_number() OVER (PARTITION BY target ORDER BY event_id) - 1 AS position FROM v_preds) USING (target, position) WHERE rn <= 20 GROUP BY 1, 2) GROUP BY 1"""
 
 
 @query("o05_random_ranking", f"SELECT target, round(random_mean, 8) AS random_mean, round(random_low, 8) AS random_low, round(random_high, 8) AS random_high FROM ({RANDOM})", ["v_preds"])
