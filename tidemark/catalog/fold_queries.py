@@ -356,8 +356,11 @@ boot AS (SELECT e.*, low_95, high_95, low_99, high_99 FROM (SELECT target, axis,
 
 
 def bootstrap(spark, sf):
-    model, base = losses(predictions(spark, sf))
-    return X.cluster_bootstrap(X.pair_predictions(model, base).filter("paired"), ["target"], seed=11)
+    """One table of replicate bands for X4, X5 and X7."""
+    def build():
+        model, base = losses(predictions(spark, sf))
+        return X.cluster_bootstrap(X.pair_predictions(model, base).filter("paired"), ["target"], seed=11)
+    return shared_table(spark, ("bootstrap", sf), build)
 
 
 @query("x04_cluster_bootstrap", f"WITH {BOOT} SELECT target, axis, events, clusters, round(estimate, 7) + 0.0 AS estimate, round(low_95, 7) + 0.0 AS low_95, round(high_95, 7) + 0.0 AS high_95, round(low_99, 7) + 0.0 AS low_99, round(high_99, 7) + 0.0 AS high_99 FROM boot", ["v_preds"])
@@ -396,10 +399,7 @@ def x07(spark, sf):
 SELECT target, concat_ws(',', CASE WHEN n < 200 THEN 'support' END, CASE WHEN issuers < 30 THEN 'issuers' END, CASE WHEN sessions < 10 THEN 'sessions' END, CASE WHEN abs(mp - my) > 0.1 THEN 'calibration' END, CASE WHEN red < 0 OR red IS NULL THEN 'reduction' END) AS failed_gates
 FROM (SELECT target, count(*) AS n, count(DISTINCT issuer) AS issuers, count(DISTINCT session) AS sessions, avg(p) AS mp, avg(y) AS my, 1 - avg(pow(p - y, 2)) / avg(pow(baseline - y, 2)) AS red FROM v_preds GROUP BY 1)""", ["v_preds"])
 def x08(spark, sf):
-    g = predictions(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("issuer").alias("issuers"), F.count_distinct("session").alias("sessions"), F.avg("p").alias("mp"), F.avg("y").alias("my"),
-                                                     (1 - F.avg(X.event_brier("p", "y")) / F.avg(X.event_brier("baseline", "y"))).alias("red"))
-    rules = [("support", F.col("n") >= 200), ("issuers", F.col("issuers") >= 30), ("sessions", F.col("sessions") >= 10), ("calibration", F.abs(F.col("mp") - F.col("my")) <= 0.1), ("reduction", F.col("red") >= 0)]
-    return X.gates(g, rules).select("target", F.array_join("failed_gates", ",").alias("failed_gates"))
+    return X.promotion_gates(predictions(spark, sf), ["target"]).select("target", F.array_join("failed_gates", ",").alias("failed_gates"))
 
 
 @query("x09_mse_reduction", """

@@ -110,11 +110,8 @@ def l16(spark, sf):
 SELECT coalesce(o.reason, CASE WHEN b.close IS NULL THEN 'missing_anchor' END, 'verified_open') AS disposition, count(*) AS n, round(sum(CASE WHEN o.reason IS NULL THEN o.official_open / b.close - 1 END), 6) + 0.0 AS gap_sum
 FROM v_opens o JOIN v_sessions s ON s.session = o.session LEFT JOIN v_bars b ON b.security_id = CAST(o.symbol % 10 AS VARCHAR) AND b.idx = s.idx - 1 GROUP BY 1""", ["v_opens", "v_bars"])
 def l17(spark, sf):
-    o = E.official_open(I.trades(spark, sf), opens(spark), ["symbol", "session"])
-    s = F.broadcast(I.calendar(spark).sessions.select("session", (F.col("idx") - 1).alias("idx")))
-    j = o.join(s, "session").withColumn("security_id", (F.col("symbol") % 10).cast("string")).join(I.bars(spark, sf).select("security_id", "idx", "close"), ["security_id", "idx"], "left")
-    state = F.coalesce("reason", F.when(F.col("close").isNull(), "missing_anchor"), F.lit("verified_open"))
-    return j.groupBy(state.alias("disposition")).agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.when(F.col("reason").isNull(), F.col("official_open") / F.col("close") - 1)), 6) + 0.0).alias("gap_sum"))
+    o = E.official_open(I.trades(spark, sf), opens(spark), ["symbol", "session"]).withColumn("security_id", (F.col("symbol") % 10).cast("string"))
+    return E.opening_gaps(o, I.bars(spark, sf), I.calendar(spark)).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("opening_gap"), 6) + 0.0).alias("gap_sum"))
 
 
 # ---- reports ----
@@ -207,7 +204,7 @@ def a27(spark, sf):
 
 @query("a28_action_counts", "SELECT security_id, type, count(*) AS n FROM v_actions GROUP BY 1, 2", ["v_actions"])
 def a28(spark, sf):
-    return I.actions(spark, sf).groupBy("security_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return E.action_counts(I.actions(spark, sf))
 
 
 @query("a29_allocation_crosstab", """
@@ -243,7 +240,7 @@ SELECT cik_no, arg_max(accession, {'p': filing_date - 300, 'a': -epoch_us(accept
 def o09(spark, sf):
     """Newest period per issuer, the earliest available filing of it."""
     f = I.filings(spark, sf).filter("form = '10-Q'")
-    return f.groupBy("cik_no").agg(F.max_by("accession", F.struct(F.date_sub("filing_date", 300), -F.unix_micros("accepted_at"), -F.col("order_no"))).alias("accession"))
+    return E.latest_period(f, ["cik_no"], F.date_sub("filing_date", 300), F.col("accepted_at"), "accession", F.col("order_no"))
 
 
 # ---- sources ----

@@ -310,12 +310,31 @@ def issuer_pool(frame: DataFrame, keys=("cik", "accession"), fields=("name",)) -
     return f.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("filings"), F.count_if("conflict").alias("conflicts"), F.min(fields[0]).alias("first_" + fields[0]), F.count_distinct(fields[0]).alias("n_names"), F.max(keys[1]).alias("last_accession"))
 
 
+def opening_gaps(opens: DataFrame, bars: DataFrame, calendar) -> DataFrame:
+    """L17. Each official open with the close of the session before it: gap, and the disposition (why there is none, or verified_open). Rows need security_id and session."""
+    at = F.broadcast(calendar.sessions.select("session", (F.col("idx") - 1).alias("idx")))  # one row per session
+    j = opens.join(at, "session").join(bars.select("security_id", "idx", F.col("close").alias("anchor_close")), ["security_id", "idx"], "left")
+    state = F.coalesce("reason", F.when(F.col("anchor_close").isNull(), "missing_anchor"), F.lit("verified_open"))
+    return j.withColumn("disposition", state).withColumn("opening_gap", F.when(state == "verified_open", F.col("official_open") / F.nullif("anchor_close", F.lit(0.0)) - 1)).drop("idx")
+
+
+def action_counts(actions: DataFrame, by=("security_id", "type")) -> DataFrame:
+    """A28."""
+    return actions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def latest_period(filings: DataFrame, by, period: Column, available: Column, value: str, tie: Column) -> DataFrame:
+    """O9. Of each group the value of the newest period; of several filings of it the earliest available, then the first by `tie`."""
+    return filings.groupBy(*by).agg(F.max_by(value, F.struct(period, -F.unix_micros(available), -tie)).alias(value))
+
+
 def official_open(trades: DataFrame, opens: DataFrame, by, zone_open="open_utc", seconds=60) -> DataFrame:
     """L16. The unique official opening print of each (symbol, session): right venue, condition Q, inside [open, open + 60 s). Suspect or several different prints are ambiguous.
 
-    `opens` holds one row per session with its open and is bounded by the calendar.
+    `opens` holds one row per session, or per (symbol, session) where venues differ by symbol; the planner chooses the join by its size.
     """
-    t = trades.join(F.broadcast(opens), "session").filter((F.col("t") >= F.col(zone_open)) & (F.col("t") < F.col(zone_open) + F.make_dt_interval(secs=F.lit(seconds)))
+    on = [c for c in ("symbol", "session") if c in opens.columns]
+    t = trades.join(opens, on).filter((F.col("t") >= F.col(zone_open)) & (F.col("t") < F.col(zone_open) + F.make_dt_interval(secs=F.lit(seconds)))
                                                           & (F.col("tape_venue") == F.col("venue")) & F.array_contains("conditions", "Q"))
     suspect = F.col("correction").isNotNull() | F.col("trade_id").isNull() | F.col("price").isNull() | F.isnan("price") | ~(F.col("price") > 0)
     g = t.groupBy(*by).agg(F.count_if(suspect).alias("suspects"), F.count_distinct(F.when(~suspect, F.struct("trade_id", "t", "price"))).alias("prints"), F.max(F.when(~suspect, F.col("price"))).alias("price"))

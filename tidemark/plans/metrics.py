@@ -164,6 +164,20 @@ def decide(state="state", low="low", high="high", all_event="all_event_estimate"
             .when((F.col(low) > 0) & (F.col(all_event) > 0), WORSE).otherwise(UNCLEAR))
 
 
+# Floors and limits of promotion.
+PROMOTION = {"rows": 200, "issuers": 30, "sessions": 10, "calibration": 0.1, "reduction": 0.0}
+
+
+def promotion_gates(preds: DataFrame, by, floors=None) -> DataFrame:
+    """X8. Support, calibration in the large and relative reduction of the Brier score against the baseline, per group of predictions; failed gates by name."""
+    f = {**PROMOTION, **(floors or {})}
+    g = preds.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("issuer").alias("issuers"), F.count_distinct("session").alias("sessions"), F.avg("p").alias("mean_prediction"), F.avg("y").alias("mean_outcome"),
+                               (1 - F.avg(event_brier("p", "y")) / F.nullif(F.avg(event_brier("baseline", "y")), F.lit(0.0))).alias("reduction"))
+    rules = [("support", F.col("n") >= f["rows"]), ("issuers", F.col("issuers") >= f["issuers"]), ("sessions", F.col("sessions") >= f["sessions"]),
+             ("calibration", F.abs(F.col("mean_prediction") - F.col("mean_outcome")) <= f["calibration"]), ("reduction", F.col("reduction") >= f["reduction"])]
+    return gates(g, rules)
+
+
 def gates(df: DataFrame, rules) -> DataFrame:
     """X8, Q2. Named boolean gates; adds `failed_gates` (array) and `passed`. A gate that cannot be evaluated fails."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules]))
