@@ -298,6 +298,33 @@ def l11(spark, sf):
     return out.select("order_no", "source", M.rounded("value", 8).alias("growth"))
 
 
+VIEWS["v_growth_evidence"] = (("v_filings",), """
+SELECT *, accepted_at - INTERVAL 3 MINUTE AS published_at, CAST(((accepted_at - INTERVAL 3 MINUTE) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS pday, accepted_at + INTERVAL 6 HOUR AS deadline, hour(l) * 60 + minute(l) AS mins,
+ greatest(accepted_at + INTERVAL 2 MINUTE, (filing_date::TIMESTAMP AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC') AS exhibit_at FROM (SELECT *, (accepted_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS l FROM v_filings)""")
+
+
+@query("l11_growth_evidence", """
+WITH p AS (SELECT *, filing_date - CAST(order_no % 140 AS INTEGER) AS period_end, filing_date - CAST(order_no % 140 AS INTEGER) - CAST(330 + order_no % 80 AS INTEGER) AS prior_end, CASE WHEN order_no % 19 = 0 THEN 0 ELSE 1000 END AS prior_usd FROM v_growth_evidence),
+r AS (SELECT *, CASE WHEN NOT (pday - period_end BETWEEN 0 AND 110) THEN 'PERIOD_AGE' WHEN NOT (period_end - prior_end BETWEEN 340 AND 390) THEN 'PERIOD_DISTANCE' WHEN prior_usd <= 0 THEN 'INVALID_AMOUNTS' END AS pair FROM p)
+SELECT source, coalesce(reason, 'usable') AS reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN (1000 + order_no % 500) / prior_usd - 1 END), 6) AS growth_sum FROM (
+SELECT order_no, prior_usd, 'original_wire' AS source, CASE WHEN order_no % 11 = 0 THEN 'TIMESTAMP_MISMATCH' WHEN order_no % 13 = 0 THEN 'SOURCE_MISMATCH' WHEN order_no % 17 = 0 THEN 'NOT_AVAILABLE_IN_TIME' ELSE pair END AS reason FROM r WHERE order_no % 2 = 0
+UNION ALL SELECT order_no, prior_usd, 'sec_earnings_exhibit', CASE WHEN form <> '8-K' OR order_no % 11 = 0 THEN 'IDENTITY_MISMATCH' WHEN order_no % 13 = 0 THEN 'TIMING_MISMATCH' WHEN order_no % 5 = 0 THEN 'COMPARISON_CAVEAT' WHEN mins >= 1050 OR exhibit_at >= deadline OR order_no % 17 = 0 THEN 'NOT_AVAILABLE_IN_TIME' ELSE pair END FROM r WHERE order_no % 2 = 1) GROUP BY 1, 2""", ["v_growth_evidence"])
+def l11_evidence(spark, sf):
+    """Wire evidence for even filings, exhibits for odd ones, with planted disagreements of every kind."""
+    n, minutes = F.col("order_no"), lambda k: F.expr(f"interval {k} minutes")
+    f = I.filings(spark, sf).withColumn("event_id", n).withColumn("published_at", F.col("accepted_at") - minutes(3)).withColumn("cutoff", F.col("accepted_at") + minutes(30)).withColumn("cik", F.lpad(F.col("cik_no").cast("string"), 10, "0"))
+    f = f.withColumn("deadline", F.when(n % 17 == 0, F.col("published_at")).otherwise(F.col("accepted_at") + F.expr("interval 6 hours"))).withColumn("source_url", F.concat(F.lit("https://wire/"), n.cast("string")))
+    events = f.select("event_id", "published_at", "cutoff", "source_url", "deadline", "accession", "cik")
+    end = F.date_sub("filing_date", (n % 140).cast("int"))
+    pair = [(1000 + n % 500).alias("current_usd"), F.when(n % 19 == 0, 0).otherwise(1000).alias("prior_usd"), end.alias("period_end"), F.date_sub(end, (330 + n % 80).cast("int")).alias("prior_end")]
+    wire = f.filter("order_no % 2 = 0").select("event_id", F.when(n % 11 == 0, F.col("published_at") + minutes(1)).otherwise(F.col("published_at")).alias("published_at"), "cutoff", F.when(n % 13 == 0, "other").otherwise(F.col("source_url")).alias("source_url"), F.lit("GAAP").alias("basis"), *pair)
+    url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.col("cik_no").cast("string"), F.lit("/"), F.replace(F.col("accession"), F.lit("-"), F.lit("")), F.lit("/ex991.htm"))
+    exhibits = f.filter("order_no % 2 = 1").select("event_id", "accession", "cik", "form", F.when(n % 11 == 0, "10.1").otherwise("99.1").alias("exhibit"), F.lit("USD").alias("currency"), url.alias("release_url"),
+                                                   F.when(n % 13 == 0, F.col("accepted_at") + minutes(1)).otherwise(F.col("accepted_at")).alias("accepted_at"), "filing_date", F.when(n % 5 == 0, "acquired business").alias("comparison_caveat"), *pair)
+    out = E.wire_growth(wire, events, I.ZONE).unionByName(E.exhibit_growth(exhibits, events, f.select("accession", "form", "accepted_at", "filing_date"), I.ZONE))
+    return out.groupBy("source", F.coalesce("reason", F.lit("usable")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("growth"), 6).alias("growth_sum"))
+
+
 @query("j14_evidence_agreement", """
 SELECT event_id, CASE WHEN event_no % 10 = 0 THEN 'EVIDENCE_MISSING' WHEN event_no % 7 = 0 THEN 'DISAGREES' ELSE 'AGREES' END AS state, CASE WHEN event_no % 10 = 0 THEN NULL WHEN event_no % 7 = 0 THEN 'cutoff' ELSE '' END AS fields FROM v_news
 UNION ALL SELECT 'X' || event_id, 'EVENT_MISSING', NULL FROM v_news WHERE event_no % 50 = 0""", ["v_news"])

@@ -240,6 +240,51 @@ def prefer_sources(events: DataFrame, sources, key="event_id", value="value") ->
     return out.withColumn("_c", chosen).select(*events.columns, F.col("_c.source").alias("source"), F.col("_c.value").alias("value"))
 
 
+def revenue_pair_reason(published, zone, current="current_usd", prior="prior_usd", end="period_end", prior_end="prior_end") -> Column:
+    """Why a pair of revenues is no year-over-year growth: age of the period (0 to 110 local days at publication), distance of the periods (340 to 390 days), amounts."""
+    age = F.datediff(local_day(published, zone), end)
+    return (F.when(~F.coalesce(age.between(0, 110), F.lit(False)), "PERIOD_AGE").when(~F.coalesce(F.datediff(end, prior_end).between(340, 390), F.lit(False)), "PERIOD_DISTANCE")
+            .when(~F.coalesce((F.col(current) >= 0) & (F.col(prior) > 0), F.lit(False)), "INVALID_AMOUNTS"))
+
+
+def wire_growth(wire: DataFrame, events: DataFrame, zone: str, key="event_id") -> DataFrame:
+    """L11. Growth stated by the original wire, available a minute after publication; rows that disagree with their event are refused with a reason, late ones are unavailable.
+
+    `wire` carries published_at, cutoff, source_url, basis and the revenue pair; `events` published_at, cutoff, source_url and deadline.
+    """
+    e = events.select(key, *[F.col(c).alias("_" + c) for c in ("published_at", "cutoff", "source_url", "deadline")])
+    available = F.col("published_at") + F.expr("interval 1 minute")
+    agrees = F.col("published_at").eqNullSafe(F.col("_published_at")) & F.col("cutoff").eqNullSafe(F.col("_cutoff"))
+    reason = (F.when(~agrees, "TIMESTAMP_MISMATCH").when(~F.col("source_url").eqNullSafe(F.col("_source_url")) | (F.coalesce("basis", F.lit("")) == ""), "SOURCE_MISMATCH")
+              .when(available >= F.col("_deadline"), "NOT_AVAILABLE_IN_TIME").otherwise(revenue_pair_reason("published_at", zone)))
+    return _stated(wire.join(e, key).withColumn("reason", reason).withColumn("available_at", available), key, "original_wire")
+
+
+def exhibit_growth(exhibits: DataFrame, events: DataFrame, submissions: DataFrame, zone: str, key="event_id") -> DataFrame:
+    """L11. Growth stated by an 8-K exhibit 99.1 or 99.2, by F11's clock; identity against the event, timing against the submission index, no comparison caveat.
+
+    `exhibits` carries accession, cik, form, exhibit, currency, release_url, accepted_at, filing_date, comparison_caveat and the revenue pair; `events` accession, cik,
+    published_at and deadline; `submissions` accession, form, accepted_at and filing_date.
+    """
+    e = events.select(key, *[F.col(c).alias("_" + c) for c in ("accession", "cik", "published_at", "deadline")])
+    s = submissions.select(F.col("accession").alias("_acc"), *[F.col(c).alias("_s_" + c) for c in ("form", "accepted_at", "filing_date")])
+    folder = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.col("cik").cast("bigint").cast("string"), F.lit("/"), F.replace(F.col("accession"), F.lit("-"), F.lit("")), F.lit("/"))
+    same = (F.col("accession").eqNullSafe(F.col("_accession")) & F.col("cik").eqNullSafe(F.col("_cik")) & F.col("form").eqNullSafe(F.lit("8-K")) & F.coalesce(F.col("exhibit").isin("99.1", "99.2"), F.lit(False))
+            & F.col("currency").eqNullSafe(F.lit("USD")) & F.coalesce(F.startswith(F.col("release_url"), folder), F.lit(False)))
+    timed = F.col("accepted_at").eqNullSafe(F.col("_s_accepted_at")) & F.col("filing_date").eqNullSafe(F.col("_s_filing_date")) & F.col("form").eqNullSafe(F.col("_s_form"))
+    available = filing_available("accepted_at", "filing_date", zone)
+    reason = (F.when(~same, "IDENTITY_MISMATCH").when(~timed, "TIMING_MISMATCH").when(F.coalesce("comparison_caveat", F.lit("")) != "", "COMPARISON_CAVEAT")
+              .when((F.col("accepted_at") < F.col("_published_at")) | available.isNull() | (available >= F.col("_deadline")), "NOT_AVAILABLE_IN_TIME").otherwise(revenue_pair_reason("_published_at", zone)))
+    j = exhibits.join(e, key).join(s, F.col("accession") == F.col("_acc"), "left")
+    return _stated(j.withColumn("reason", reason).withColumn("available_at", available), key, "sec_earnings_exhibit")
+
+
+def _stated(rows, key, source):
+    good = F.col("reason").isNull()
+    growth = F.when(good, F.col("current_usd") / F.nullif("prior_usd", F.lit(0)) - 1)
+    return rows.select(key, F.lit(source).alias("source"), "reason", F.when(good, F.col("available_at")).alias("available_at"), growth.alias("growth"))
+
+
 def join_evidence(events: DataFrame, evidence: DataFrame, key="event_id", fields=("published_at", "cutoff")) -> DataFrame:
     """J14. Full comparison by id: rows on one side only, and rows whose fields disagree, with the names of what disagrees."""
     a = events.select(key, *[F.col(f).alias("_a_" + f) for f in fields], F.lit(True).alias("_a"))
