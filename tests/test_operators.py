@@ -245,6 +245,17 @@ def test_listing_rules(spark, tmp_path):
         read_listing(spark, str(f), ["symbol", "name"])
 
 
+def test_sizes_for_a_halfwidth(spark):
+    from tidemark.plans.metrics import sizes_for_halfwidth
+    z = 1.959963984540054
+
+    def width(k, n):
+        p = k / n
+        return z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    got = {r["width"]: r["n_needed"] for r in sizes_for_halfwidth(spark).collect()}
+    assert got == {w: next(n for n in range(2, 3000) if width(n // 2, n) <= w) for w in (0.10, 0.15, 0.20)}
+
+
 def test_overlaps_closed_intervals(spark):
     w = spark.sql("SELECT 1 id, 'k' key, date'2024-01-05' a, date'2024-01-08' b UNION ALL SELECT 2, 'k', date'2024-01-11', date'2024-01-12' UNION ALL SELECT 3, 'z', date'2024-01-05', date'2024-01-08'")
     s = spark.sql("SELECT 'k' key, date'2024-01-08' s, date'2024-01-10' e")

@@ -421,6 +421,26 @@ def x11(spark, sf):
     return X.precision_plan(rates).select("target", F.round("base_rate", 8).alias("base_rate"), "k", F.col("hits_needed").cast("bigint").alias("hits_needed"), F.round("precision_needed", 8).alias("precision_needed"))
 
 
+@query("x11_interval_plan", f"""
+WITH {BOOT}, scores AS (SELECT target, avg(pow(baseline - y, 2)) AS score FROM v_preds GROUP BY 1)
+SELECT target, events, round(w / score, 6) AS half_width_share, CAST(ceil(events * pow(w / score / 0.05, 2)) AS BIGINT) AS events_for_5_percent, CAST(ceil(events * pow(w / score / 0.1, 2)) AS BIGINT) AS events_for_10_percent, round(w / score / 2, 6) AS share_at_4x
+FROM (SELECT target, events, (high_99 - low_99) / 2 AS w FROM boot WHERE axis = 'session') JOIN scores USING (target)""", ["v_preds"])
+def x11_plan(spark, sf):
+    b = bootstrap(spark, sf).filter("axis = 'session'").select("target", "events", ((F.col("high_99") - F.col("low_99")) / 2).alias("half_width"))
+    score = predictions(spark, sf).groupBy("target").agg(F.avg(X.event_brier("baseline", "y")).alias("comparator_score"))
+    out = X.interval_plan(b.join(score, "target"))
+    return out.select("target", "events", F.round("half_width_share", 6).alias("half_width_share"), "events_for_5_percent", "events_for_10_percent", F.round("share_at_4x", 6).alias("share_at_4x"))
+
+
+@query("x11_wilson_widths", f"""
+SELECT target, n, rate, round((high - low) / 2, 8) AS halfwidth FROM (SELECT *, greatest(0.0, ((h / n + {Z} * {Z} / (2 * n)) - {Z} * sqrt(h / n * (1 - h / n) / n + {Z} * {Z} / (4.0 * n * n))) / (1 + {Z} * {Z} / n)) AS low,
+ least(1.0, ((h / n + {Z} * {Z} / (2 * n)) + {Z} * sqrt(h / n * (1 - h / n) / n + {Z} * {Z} / (4.0 * n * n))) / (1 + {Z} * {Z} / n)) AS high FROM (
+SELECT target, n, rate, round_even(rate * n, 0) AS h FROM (SELECT target, count(*) AS n FROM v_targets WHERE knd = 'binary' AND y IS NOT NULL GROUP BY 1), (VALUES (0.1), (0.25), (0.5)) v(rate)))""", ["v_targets"])
+def x11_widths(spark, sf):
+    sizes = target_rows(spark, sf).filter("kind = 'binary' and y is not null").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return X.wilson_plan(sizes).select("target", "n", "rate", F.round("halfwidth", 8).alias("halfwidth"))
+
+
 @query("x12_sign_check", """
 SELECT target, d IS NOT NULL AS comparable, CAST(sign(h) AS INTEGER) AS holdout_sign, CAST(sign(d) AS INTEGER) AS development_sign, CASE WHEN d IS NOT NULL THEN sign(h) = sign(d) AND h <> 0 END AS same_sign FROM (
 SELECT target, avg(pow(p - y, 2) - pow(baseline - y, 2)) FILTER (fold < (SELECT max(fold) FROM v_preds)) AS d, avg(pow(p - y, 2) - pow(baseline - y, 2)) FILTER (fold = (SELECT max(fold) FROM v_preds)) AS h FROM v_preds GROUP BY 1)""", ["v_preds"])

@@ -151,10 +151,12 @@ def v07(spark, sf):
     ("PRECISION_NOT_MINUTE", "precision <> 'minute'"), ("NOT_MINUTE_ALIGNED", "date_trunc('minute', published_at) <> published_at"),
     ("EVIDENCE_NOT_LOCAL_MINUTE", "strftime(published_at - INTERVAL 5 HOUR, '%H:%M') <> right(evidence, 5)"), ("SEEN_BEFORE_PUBLISHED", "first_seen_at < published_at"),
     ("TIMING_DISAGREES", "CASE WHEN reaction_idx IS NOT NULL THEN timing END IS DISTINCT FROM CASE WHEN event_no % 8 = 0 OR reaction_idx IS NOT NULL THEN expected END"),
-    ("UNKNOWN_CAVEAT_LABEL", "list_contains(caveats, 'made_up')")]), ["v_sources", "v_timed"])
+    ("SESSION_DISAGREES", "event_no % 9 = 0"), ("UNKNOWN_CAVEAT_LABEL", "list_contains(caveats, 'made_up')")]), ["v_sources", "v_timed"])
 def v08(spark, sf):
     n = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark)).join(I.sources(spark, sf).select("source_id", "timestamp_evidence"), "source_id")
+    n = n.join(F.broadcast(I.calendar(spark).sessions.select(F.col("idx").alias("reaction_idx"), F.col("session").alias("reaction_session"))), "reaction_idx", "left")
     n = (n.withColumn("expected_timing", F.when(F.col("event_no") % 8 == 0, "premarket").otherwise(F.col("timing")))
+         .withColumn("expected_session", F.when(F.col("event_no") % 9 == 0, F.date_add(F.coalesce("reaction_session", F.to_date("published_at")), 1)).otherwise(F.col("reaction_session")))
          .withColumn("caveat_labels", F.when(F.col("event_no") % 17 == 0, F.array(F.lit("day1_open_return"), F.lit("made_up"))).otherwise(F.array(F.lit("day1_open_return"))))
          .withColumn("known_labels", F.array(*[F.lit(x) for x in L.LABELS])))
     return V.violation_counts(n, V.event_rules(I.ZONE))

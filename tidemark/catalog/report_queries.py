@@ -8,7 +8,7 @@ from tidemark.catalog.enrich_queries import _pick, _sqlpick
 from tidemark.catalog.fold_queries import GAP, caveats, fold_rows, r, target_rows
 from tidemark.catalog.label_queries import outcomes
 from tidemark.catalog.oracle_views import VIEWS
-from tidemark.catalog.registry import query
+from tidemark.catalog.registry import ORACLES, query
 from tidemark.catalog.study_queries import CELLS_AS_OF, WILSON, study_events, study_labels
 from tidemark.operators import sessions as cal, validate as V
 from tidemark.plans import audit as Q, cells as C, enrich as E, folds as P, structure as S, summaries as R
@@ -180,13 +180,25 @@ def named(events):
 @query("a26_caveat_sensitivity", """
 WITH x AS (SELECT l.*, coalesce(l.num, CAST(l.flag AS DOUBLE)) AS v, n.event_id IS NULL AS k1, c.event_id IS NULL AS k2, l.event_no % 5 <> 0 AS k3 FROM v_lab l LEFT JOIN v_named n USING (event_id, label) LEFT JOIN v_closed c USING (event_id, label) WHERE l.reason IS NULL),
 y AS (SELECT unnest(['all', timing]) AS pool, label, kind, v, k1, k2, k3 FROM x),
-b AS (SELECT pool, label, count(*) AS n_with, avg(v) AS ew, CASE WHEN kind = 'boolean' THEN CASE WHEN avg(v) > 0 AND avg(v) < 1 THEN sqrt(avg(v) * (1 - avg(v)) / count(*)) END ELSE stddev_samp(v) / sqrt(count(*)) END AS se FROM y GROUP BY pool, label, kind),
-w AS (SELECT pool, label, 'as_recorded' AS variant, count(*) AS n, avg(v) AS e FROM y WHERE k1 GROUP BY 1, 2 UNION ALL SELECT pool, label, 'with_derived', count(*), avg(v) FROM y WHERE k2 GROUP BY 1, 2 UNION ALL SELECT pool, label, 'events_dropped', count(*), avg(v) FROM y WHERE k3 GROUP BY 1, 2)
-SELECT pool, label, variant, n_with, n AS n_without, round(ew, 8) + 0.0 AS estimate_with, round(e, 8) + 0.0 AS estimate_without, round((e - ew) / nullif(se, 0), 6) + 0.0 AS shift_in_standard_errors FROM w JOIN b USING (pool, label)""", ["v_lab", "v_named", "v_closed"])
+b AS (SELECT pool, label, count(*) AS n_with, avg(v) AS ew, CASE WHEN kind = 'boolean' THEN CASE WHEN avg(v) > 0 AND avg(v) < 1 THEN sqrt(avg(v) * (1 - avg(v)) / count(*)) END ELSE stddev_samp(v) / sqrt(count(*)) END AS se, CASE WHEN kind <> 'boolean' THEN median(v) END AS mw FROM y GROUP BY pool, label, kind),
+w AS (SELECT pool, label, 'as_recorded' AS variant, count(*) AS n, avg(v) AS e, CASE WHEN any_value(kind) <> 'boolean' THEN median(v) END AS m FROM y WHERE k1 GROUP BY 1, 2 UNION ALL SELECT pool, label, 'with_derived', count(*), avg(v), CASE WHEN any_value(kind) <> 'boolean' THEN median(v) END FROM y WHERE k2 GROUP BY 1, 2
+ UNION ALL SELECT pool, label, 'events_dropped', count(*), avg(v), CASE WHEN any_value(kind) <> 'boolean' THEN median(v) END FROM y WHERE k3 GROUP BY 1, 2)
+SELECT pool, label, variant, n_with, n AS n_without, round(ew, 8) + 0.0 AS estimate_with, round(e, 8) + 0.0 AS estimate_without, round((e - ew) / nullif(se, 0), 6) + 0.0 AS shift_in_standard_errors, round(mw, 8) + 0.0 AS median_with, round(m, 8) + 0.0 AS median_without FROM w JOIN b USING (pool, label)""", ["v_lab", "v_named", "v_closed"])
 def a26(spark, sf):
     labels = study_labels(spark, sf)
     e = study_events(spark, sf)
-    return R.sensitivity(labels, named(e), P.close_caveats(caveats(e))).select("pool", "label", "variant", "n_with", "n_without", r("estimate_with", 8), r("estimate_without", 8), r("shift_in_standard_errors", 6))
+    return R.sensitivity(labels, named(e), P.close_caveats(caveats(e))).select("pool", "label", "variant", "n_with", "n_without", r("estimate_with", 8), r("estimate_without", 8), r("shift_in_standard_errors", 6), r("median_with", 8), r("median_without", 8))
+
+
+A26_SQL = ORACLES["a26_caveat_sensitivity"]
+
+
+@query("a26_shift_summary", f"""
+SELECT variant, count(*) AS comparisons, count_if(s >= 0.5) AS notable, count_if(s >= 1.0) AS large, round(max(s), 5) AS largest FROM (SELECT variant, abs(shift_in_standard_errors) AS s FROM ({A26_SQL})) WHERE s IS NOT NULL GROUP BY 1""")
+def a26_summary(spark, sf):
+    e = study_events(spark, sf)
+    s = R.sensitivity(study_labels(spark, sf), named(e), P.close_caveats(caveats(e)))
+    return R.shift_summary(s).select("variant", "comparisons", "notable", "large", F.round("largest", 5).alias("largest"))
 
 
 @query("a27_state_changes", """

@@ -77,12 +77,14 @@ def check_evidence(events: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def event_rules(zone: str):
-    """V8. Record rules of an accepted event; needs published_at, precision, timestamp_evidence, first_seen_at, timing, expected_timing, caveat_labels."""
+    """V8. Record rules of an accepted event; needs published_at, precision, timestamp_evidence, first_seen_at, timing, expected_timing,
+    reaction_session, expected_session, caveat_labels, known_labels."""
     return [("PRECISION_NOT_MINUTE", F.col("precision") != "minute"),
             ("NOT_MINUTE_ALIGNED", F.date_trunc("minute", "published_at") != F.col("published_at")),
             ("EVIDENCE_NOT_LOCAL_MINUTE", F.date_format(local_wall(F.col("published_at"), zone), "HH:mm") != F.right("timestamp_evidence", F.lit(5))),
             ("SEEN_BEFORE_PUBLISHED", F.col("first_seen_at") < F.col("published_at")),
             ("TIMING_DISAGREES", ~F.col("timing").eqNullSafe(F.col("expected_timing"))),
+            ("SESSION_DISAGREES", ~F.col("reaction_session").eqNullSafe(F.col("expected_session"))),
             ("UNKNOWN_CAVEAT_LABEL", F.size(F.array_except("caveat_labels", F.col("known_labels"))) > 0)]
 
 

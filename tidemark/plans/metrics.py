@@ -2,6 +2,8 @@
 
 A prediction row is (target, version, fold, event_id, session, issuer, y, p, base_rate); quantile forecasts carry an array instead of p.
 """
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.numeric import normal_quantile, wilson_high, wilson_low
@@ -203,6 +205,38 @@ def precision_plan(rates: DataFrame, ks=(10, 20, 40), z=None) -> DataFrame:
     return ok.groupBy(*keys, "k").agg(F.min("hits").alias("hits_needed")).withColumn("precision_needed", F.col("hits_needed") / F.col("k")).withColumn("lift_needed", F.col("precision_needed") / F.nullif("base_rate", F.lit(0.0)))
 
 
+# Improvements planned for, as shares of the comparator's score; multiples of the present number of events.
+IMPROVEMENTS, MULTIPLES = (0.05, 0.10), (1, 2, 4, 8)
+
+
+def interval_plan(df: DataFrame, improvements=IMPROVEMENTS, multiples=MULTIPLES) -> DataFrame:
+    """X11. From events, half_width and comparator_score: the events at which each improvement equals the half-width, and the half-width's share of the score at multiples of the
+    present events. Half-widths shrink with the square root of the events."""
+    share = F.col("half_width") / F.nullif("comparator_score", F.lit(0.0))
+    out = df.withColumn("half_width_share", share)
+    for r in improvements:
+        out = out.withColumn(f"events_for_{round(100 * r)}_percent", F.ceil(F.col("events") * F.pow(share / r, 2)))
+    for m in multiples:
+        out = out.withColumn(f"share_at_{m}x", share / math.sqrt(m))
+    return out
+
+
+def wilson_plan(sizes: DataFrame, rates=(0.1, 0.25, 0.5), z=None) -> DataFrame:
+    """X11. Wilson half-width of an observed proportion at each sample size `n`; hits are rounded to even."""
+    z = z or normal_quantile(0.95)
+    grid = sizes.withColumn("rate", F.explode(F.array(*[F.lit(p) for p in rates])))
+    return grid.withColumn("halfwidth", wilson_halfwidth(F.bround(F.col("rate") * F.col("n"), 0), F.col("n"), z))
+
+
+def sizes_for_halfwidth(spark, widths=(0.10, 0.15, 0.20), most=2000, z=None) -> DataFrame:
+    """X11. The smallest n whose Wilson half-width at a proportion of one half is at most each width; a grid of `most` sizes, enough for widths from 0.022 on (checked)."""
+    z = z or normal_quantile(0.95)
+    if z / (2 * math.sqrt(most)) > min(widths):
+        raise ValueError("widen the grid of sizes")
+    grid = spark.range(2, most + 1).withColumnRenamed("id", "n").withColumn("width", F.explode(F.array(*[F.lit(float(w)) for w in widths])))
+    return grid.filter(wilson_halfwidth(F.floor(F.col("n") / 2), F.col("n"), z) <= F.col("width")).groupBy("width").agg(F.min("n").alias("n_needed"))
+
+
 def sign_check(df: DataFrame, development="development", holdout="holdout") -> DataFrame:
     """X12. Whether the holdout estimate points the way the development estimate did; zero has no sign."""
     return (df.withColumn("comparable", F.col(development).isNotNull()).withColumn("holdout_sign", F.signum(holdout).cast("int")).withColumn("development_sign", F.signum(development).cast("int"))

@@ -80,8 +80,23 @@ def sensitivity(labels: DataFrame, named: DataFrame, closed: DataFrame) -> DataF
     g = g.withColumn("se", se)
     base = g.filter("variant = 'none'").select("pool", "label", F.col("n").alias("n_with"), F.col("estimate").alias("estimate_with"), F.col("se").alias("_se"))
     out = g.filter("variant <> 'none'").join(base, ["pool", "label"])
+    medians = exact_quantiles(long.filter("kind <> 'boolean'"), ["pool", "label", "variant"], "v", (0.5,)).select("pool", "label", "variant", F.element_at("q", 1).alias("_median"))
+    before = medians.filter("variant = 'none'").select("pool", "label", F.col("_median").alias("median_with"))
+    out = out.join(medians.withColumnRenamed("_median", "median_without"), ["pool", "label", "variant"], "left").join(before, ["pool", "label"], "left")
     return out.select("pool", "label", "variant", "n_with", F.col("n").alias("n_without"), "estimate_with", F.col("estimate").alias("estimate_without"),
-                      ((F.col("estimate") - F.col("estimate_with")) / F.nullif("_se", F.lit(0.0))).alias("shift_in_standard_errors"))
+                      ((F.col("estimate") - F.col("estimate_with")) / F.nullif("_se", F.lit(0.0))).alias("shift_in_standard_errors"), "median_with", "median_without")
+
+
+# A shift of so many standard errors is notable, or large.
+NOTABLE, LARGE = 0.5, 1.0
+
+
+def shift_summary(shifts: DataFrame, by=("variant",)) -> DataFrame:
+    """A26. Per variant: comparisons with a shift, how many are notable and large, and the largest with its pool and label (the later in order on a tie)."""
+    size = F.abs("shift_in_standard_errors")
+    return (shifts.filter("shift_in_standard_errors is not null").groupBy(*by)
+            .agg(F.count(F.lit(1)).alias("comparisons"), F.count_if(size >= NOTABLE).alias("notable"), F.count_if(size >= LARGE).alias("large"), F.max(F.struct(size.alias("size"), "pool", "label")).alias("_m"))
+            .select(*by, "comparisons", "notable", "large", F.col("_m.size").alias("largest"), F.col("_m.pool").alias("largest_pool"), F.col("_m.label").alias("largest_label")))
 
 
 def state_changes(before: DataFrame, after: DataFrame, keys=("level", "key", "label")) -> DataFrame:
