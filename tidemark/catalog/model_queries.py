@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.catalog import inputs as I
-from tidemark.catalog.fold_queries import HIST, R10, RATE, r, target_rows
+from tidemark.catalog.fold_queries import HIST, R10, RATE, caveats, r, target_rows
 from tidemark.catalog.label_queries import outcomes
 from tidemark.catalog.oracle_views import VIEWS
 from tidemark.catalog import sql_models as Q
@@ -21,12 +21,17 @@ KEYS = ["target", "version", "fold"]
 FEATURES = ["after_hours", "is_I", "is_other", "logit_history"]
 
 
+def versioned(t):
+    """Both versions of the target rows; history is the same under either."""
+    return P.versions(t, caveats(t.select("event_id", "event_no").distinct()))
+
+
 def design(spark, sf):
-    """Fold rows of the two nested gap targets with the features a model may see under each row's own clock."""
+    """Fold rows of the two nested gap targets, in both versions, with the features a model may see under each row's own clock."""
     def build():
         t = target_rows(spark, sf, HIST[:2])
         hist = P.issuer_history(P.history_sums(P.with_clocks(t))).select("event_id", "target", "role", "history_rate")
-        f = P.folds(t.withColumn("version", F.lit("all_event"))).join(hist, ["event_id", "target", "role"])
+        f = P.folds(versioned(t)).join(hist, ["event_id", "target", "role"])
         g = F.col("sic_division")
         return (f.withColumns({"after_hours": (F.col("timing") == "after_hours").cast("double"), "is_I": (g == "I").cast("double"), "is_other": (~g.isin("D", "I")).cast("double"),
                                "logit_history": N.logit(N.clip_rate("history_rate"))})
@@ -39,7 +44,7 @@ def regression_design(spark, sf):
     def build():
         t = target_rows(spark, sf, HIST[2:])
         hist = P.issuer_history(P.history_sums(P.with_clocks(t))).select("event_id", "target", "role", "history_mean")
-        f = P.folds(t.withColumn("version", F.lit("all_event"))).join(hist, ["event_id", "target", "role"])
+        f = P.folds(versioned(t)).join(hist, ["event_id", "target", "role"])
         return (f.filter("history_mean is not null").withColumns({"after_hours": (F.col("timing") == "after_hours").cast("double"), "is_I": (F.col("sic_division") == "I").cast("double")})
                 .select(*KEYS, "role", "event_id", "reaction_idx", "cik", "y", "after_hours", "is_I", "history_mean"))
     return shared_table(spark, ("regression", sf), build)
@@ -55,12 +60,12 @@ def fold_col():
 VIEWS["v_design"] = (("v_folds", "v_history"), f"""
 SELECT *, ln(c / (1 - c)) AS logit_history FROM (SELECT f.target, f.version, f.fold, f.role, f.event_id, f.y, CASE WHEN f.timing = 'after_hours' THEN 1.0 ELSE 0.0 END AS after_hours, CASE WHEN f.sic_division = 'I' THEN 1.0 ELSE 0.0 END AS is_I, CASE WHEN f.sic_division NOT IN ('D', 'I') THEN 1.0 ELSE 0.0 END AS is_other,
  least(greatest({RATE.format(default='0.5')}, 0.01), 0.99) AS c, {RATE.format(default='0.5')} AS history_rate
-FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.version = 'all_event' AND f.target IN ('gap_ge_3pct', 'gap_ge_5pct'))""")
+FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.target IN ('gap_ge_3pct', 'gap_ge_5pct'))""")
 
 
 VIEWS["v_regression"] = (("v_folds", "v_history"), f"""
 SELECT * FROM (SELECT f.target, f.version, f.fold, f.role, f.event_id, f.reaction_idx, f.cik, f.y, CASE WHEN f.timing = 'after_hours' THEN 1.0 ELSE 0.0 END AS after_hours, CASE WHEN f.sic_division = 'I' THEN 1.0 ELSE 0.0 END AS is_I, {RATE.format(default='NULL')} AS history_mean
-FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.version = 'all_event' AND f.target = 'day1_close_return') WHERE history_mean IS NOT NULL""")
+FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.target = 'day1_close_return') WHERE history_mean IS NOT NULL""")
 Q.standardized("v_zdesign", "v_design", FEATURES)
 Q.standardized("v_zreg", "v_regression", REG)
 Q.ridge("v_ridge", "v_zreg", REG)
@@ -112,10 +117,10 @@ def j12_gate(spark, sf):
 
 
 @query("p06_standardize", """
-SELECT d.target, CAST(d.fold AS BIGINT) AS fold, d.role, d.event_id, round((d.after_hours - m.a) / m.sa, 7) + 0.0 AS z_after_hours, round((d.logit_history - m.b) / m.sb, 7) + 0.0 AS z_logit_history FROM v_design d JOIN (
-SELECT target, fold, avg(after_hours) AS a, stddev_pop(after_hours) AS sa, avg(logit_history) AS b, stddev_pop(logit_history) AS sb FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2) m USING (target, fold)""", ["v_design"])
+SELECT d.target, d.version, CAST(d.fold AS BIGINT) AS fold, d.role, d.event_id, round((d.after_hours - m.a) / m.sa, 7) + 0.0 AS z_after_hours, round((d.logit_history - m.b) / m.sb, 7) + 0.0 AS z_logit_history FROM v_design d JOIN (
+SELECT target, version, fold, avg(after_hours) AS a, stddev_pop(after_hours) AS sa, avg(logit_history) AS b, stddev_pop(logit_history) AS sb FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3) m USING (target, version, fold)""", ["v_design"])
 def p06(spark, sf):
-    return M.standardize(design(spark, sf), FEATURES, KEYS).select("target", fold_col(), "role", "event_id", r("z_after_hours", 7), r("z_logit_history", 7))
+    return M.standardize(design(spark, sf), FEATURES, KEYS).select("target", "version", fold_col(), "role", "event_id", r("z_after_hours", 7), r("z_logit_history", 7))
 
 
 def fitted_logistic(spark, sf):
@@ -128,21 +133,21 @@ def beta_columns(n):
     return [(F.round(F.element_at("beta", i + 1), 6) + 0.0).alias(f"b{i}") for i in range(n)]
 
 
-@query("p07_ridge", f"SELECT target, CAST(fold AS BIGINT) AS fold, n, state, {Q.betas(4)} FROM v_ridge", ["v_ridge"])
+@query("p07_ridge", f"SELECT target, version, CAST(fold AS BIGINT) AS fold, n, state, {Q.betas(4)} FROM v_ridge", ["v_ridge"])
 def p07(spark, sf):
     m = M.fit_ridge(M.standardize(regression_design(spark, sf), REG, KEYS), REG, KEYS)
-    return m.select("target", fold_col(), "n", "state", *beta_columns(4))
+    return m.select("target", "version", fold_col(), "n", "state", *beta_columns(4))
 
 
-@query("p08_logistic", f"SELECT target, CAST(fold AS BIGINT) AS fold, n, state, iterations, {Q.betas(5)} FROM v_logistic", ["v_logistic"])
+@query("p08_logistic", f"SELECT target, version, CAST(fold AS BIGINT) AS fold, n, state, iterations, {Q.betas(5)} FROM v_logistic", ["v_logistic"])
 def p08(spark, sf):
-    return fitted_logistic(spark, sf).select("target", fold_col(), "n", "state", "iterations", *beta_columns(5))
+    return fitted_logistic(spark, sf).select("target", "version", fold_col(), "n", "state", "iterations", *beta_columns(5))
 
 
 @query("p09_residual_quantiles", f"""
-WITH fitted AS (SELECT d.*, {Q.linear(REG)} AS f FROM v_zreg d JOIN v_ridge m USING (target, fold)),
-q AS (SELECT target, fold, [quantile_cont(y - f, 0.1), quantile_cont(y - f, 0.5), quantile_cont(y - f, 0.9)] AS q FROM fitted WHERE role = 'train' AND y IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT f.target, f.version, f.y, q.q[1] + f.f AS a, q.q[2] + f.f AS b, q.q[3] + f.f AS c FROM fitted f JOIN q USING (target, fold) WHERE f.role = 'test' AND f.y IS NOT NULL AND f.f IS NOT NULL),
+WITH fitted AS (SELECT d.*, {Q.linear(REG)} AS f FROM v_zreg d JOIN v_ridge m USING (target, version, fold)),
+q AS (SELECT target, version, fold, [quantile_cont(y - f, 0.1), quantile_cont(y - f, 0.5), quantile_cont(y - f, 0.9)] AS q FROM fitted WHERE role = 'train' AND y IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2, 3),
+t AS (SELECT f.target, f.version, f.y, q.q[1] + f.f AS a, q.q[2] + f.f AS b, q.q[3] + f.f AS c FROM fitted f JOIN q USING (target, version, fold) WHERE f.role = 'test' AND f.y IS NOT NULL AND f.f IS NOT NULL),
 l AS (SELECT *, greatest(0.1 * (y - a), -0.9 * (y - a)) AS p1, greatest(0.5 * (y - b), -0.5 * (y - b)) AS p5, greatest(0.9 * (y - c), -0.1 * (y - c)) AS p9 FROM t)
 SELECT target, version, count(*) AS n, round(avg((p1 + p5 + p9) / 3), 8) AS mean_pinball, round(avg(p1), 8) AS pinball_10, round(avg(p5), 8) AS pinball_50, round(avg(p9), 8) AS pinball_90,
  round(avg(CASE WHEN y >= a AND y <= c THEN 1.0 ELSE 0.0 END), 8) AS interval_coverage, round(avg(abs(y - b)), 8) AS mae_of_the_median FROM l GROUP BY 1, 2""", ["v_zreg", "v_ridge"])
@@ -159,8 +164,8 @@ def p09(spark, sf):
 def p11(spark, sf):
     """Four families on the last fold; each fit is distributed, the driver walks the short list of families."""
     d = design(spark, sf).filter("target = 'gap_ge_3pct' and y is not null")
-    last = d.groupBy("target").agg(F.max("fold").alias("fold"))
-    d = cut_lineage(d.join(F.broadcast(last), ["target", "fold"]))
+    last = d.groupBy("target", "version").agg(F.max("fold").alias("fold"))
+    d = cut_lineage(d.join(F.broadcast(last), ["target", "version", "fold"]))
     train, test = d.filter("role = 'train'"), d.filter("role = 'test'")
     out = None
     for family in ("single_tree", "random_forest", "gradient_boosting", "equal_weight_ensemble"):
@@ -171,50 +176,50 @@ def p11(spark, sf):
 
 
 @query("p12_encoder", """
-SELECT d.target, CAST(d.fold AS BIGINT) AS fold, d.role, d.event_id, round(coalesce(CASE WHEN CAST(event_id[2:] AS BIGINT) % 4 <> 0 THEN d.logit_history END, m.med, 0), 8) + 0.0 AS logit_history, CASE WHEN CAST(event_id[2:] AS BIGINT) % 4 = 0 THEN 1.0 ELSE 0.0 END AS logit_history_missing FROM v_design d LEFT JOIN (
-SELECT target, fold, quantile_cont(logit_history, 0.5) AS med FROM v_design WHERE role = 'train' AND CAST(event_id[2:] AS BIGINT) % 4 <> 0 GROUP BY 1, 2) m USING (target, fold)""", ["v_design"])
+SELECT d.target, d.version, CAST(d.fold AS BIGINT) AS fold, d.role, d.event_id, round(coalesce(CASE WHEN CAST(event_id[2:] AS BIGINT) % 4 <> 0 THEN d.logit_history END, m.med, 0), 8) + 0.0 AS logit_history, CASE WHEN CAST(event_id[2:] AS BIGINT) % 4 = 0 THEN 1.0 ELSE 0.0 END AS logit_history_missing FROM v_design d LEFT JOIN (
+SELECT target, version, fold, quantile_cont(logit_history, 0.5) AS med FROM v_design WHERE role = 'train' AND CAST(event_id[2:] AS BIGINT) % 4 <> 0 GROUP BY 1, 2, 3) m USING (target, version, fold)""", ["v_design"])
 def p12(spark, sf):
     d = design(spark, sf).withColumn("logit_history", F.when(F.substring("event_id", 2, 20).cast("bigint") % 4 != 0, F.col("logit_history")))
-    return M.encode(d, ["logit_history", "after_hours"], KEYS).select("target", fold_col(), "role", "event_id", r("logit_history", 8), "logit_history_missing")
+    return M.encode(d, ["logit_history", "after_hours"], KEYS).select("target", "version", fold_col(), "role", "event_id", r("logit_history", 8), "logit_history_missing")
 
 
-VIEWS["v_platt_rows"] = (("v_design",), "SELECT target, fold, role, y, history_rate, ln(least(greatest(history_rate, 0.01), 0.99) / (1 - least(greatest(history_rate, 0.01), 0.99))) AS z_logit FROM v_design")
+VIEWS["v_platt_rows"] = (("v_design",), "SELECT target, version, fold, role, y, history_rate, ln(least(greatest(history_rate, 0.01), 0.99) / (1 - least(greatest(history_rate, 0.01), 0.99))) AS z_logit FROM v_design")
 Q.logistic("v_platt", "v_platt_rows", ["logit"])
 
 
 @query("p13_platt_calibration", f"""
-SELECT target, CAST(fold AS BIGINT) AS fold, CASE WHEN b0 IS NULL THEN state ELSE 'CALIBRATED' END AS calibration, count(*) AS n, round(avg(CASE WHEN b0 IS NULL THEN history_rate WHEN b1 < 0 THEN base ELSE {Q.sigmoid(Q.linear(['logit']))} END), 6) AS mean_calibrated, round(avg(y), 6) AS mean_outcome
-FROM v_platt_rows d JOIN v_platt m USING (target, fold) JOIN (SELECT target, fold, avg(y) AS base FROM v_platt_rows WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2) b USING (target, fold) WHERE role = 'test' AND y IS NOT NULL GROUP BY 1, 2, 3""", ["v_platt_rows", "v_platt"])
+SELECT target, version, CAST(fold AS BIGINT) AS fold, CASE WHEN b0 IS NULL THEN state ELSE 'CALIBRATED' END AS calibration, count(*) AS n, round(avg(CASE WHEN b0 IS NULL THEN history_rate WHEN b1 < 0 THEN base ELSE {Q.sigmoid(Q.linear(['logit']))} END), 6) AS mean_calibrated, round(avg(y), 6) AS mean_outcome
+FROM v_platt_rows d JOIN v_platt m USING (target, version, fold) JOIN (SELECT target, version, fold, avg(y) AS base FROM v_platt_rows WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3) b USING (target, version, fold) WHERE role = 'test' AND y IS NOT NULL GROUP BY 1, 2, 3, 4""", ["v_platt_rows", "v_platt"])
 def p13(spark, sf):
     d = design(spark, sf).withColumn("p", F.col("history_rate"))
     out = M.platt(d, KEYS)
-    return out.withColumn("fold", F.col("fold").cast("bigint")).filter("role = 'test' and y is not null").groupBy("target", "fold", "calibration").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 6).alias("mean_calibrated"), F.round(F.avg("y"), 6).alias("mean_outcome"))
+    return out.withColumn("fold", F.col("fold").cast("bigint")).filter("role = 'test' and y is not null").groupBy("target", "version", "fold", "calibration").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 6).alias("mean_calibrated"), F.round(F.avg("y"), 6).alias("mean_outcome"))
 
 
 @query("p14_stump", """
-SELECT target, CAST(fold AS BIGINT) AS fold, round(arg_max(x, {'g': gain, 'x': -x}), 7) + 0.0 AS x_left, round(max(gain), 6) AS gain FROM (SELECT *, cc * pow(cs / cc - ts / tc, 2) + (tc - cc) * pow((ts - cs) / nullif(tc - cc, 0) - ts / tc, 2) AS gain FROM (
-SELECT *, sum(s) OVER (PARTITION BY target, fold ORDER BY x) AS cs, sum(c) OVER (PARTITION BY target, fold ORDER BY x) AS cc, sum(s) OVER (PARTITION BY target, fold) AS ts, sum(c) OVER (PARTITION BY target, fold) AS tc FROM (
-SELECT target, fold, round(history_rate, 6) AS x, sum(y) AS s, count(*) AS c FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3))) WHERE cc >= 10 AND tc - cc >= 10 AND gain > 0 GROUP BY 1, 2""", ["v_design"])
+SELECT target, version, CAST(fold AS BIGINT) AS fold, round(arg_max(x, {'g': gain, 'x': -x}), 7) + 0.0 AS x_left, round(max(gain), 6) AS gain FROM (SELECT *, cc * pow(cs / cc - ts / tc, 2) + (tc - cc) * pow((ts - cs) / nullif(tc - cc, 0) - ts / tc, 2) AS gain FROM (
+SELECT *, sum(s) OVER (PARTITION BY target, version, fold ORDER BY x) AS cs, sum(c) OVER (PARTITION BY target, version, fold ORDER BY x) AS cc, sum(s) OVER (PARTITION BY target, version, fold) AS ts, sum(c) OVER (PARTITION BY target, version, fold) AS tc FROM (
+SELECT target, version, fold, round(history_rate, 6) AS x, sum(y) AS s, count(*) AS c FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3, 4))) WHERE cc >= 10 AND tc - cc >= 10 AND gain > 0 GROUP BY 1, 2, 3""", ["v_design"])
 def p14(spark, sf):
     d = design(spark, sf).withColumn("x0", F.round("history_rate", 6))
     s = M.stump(d, "x0", KEYS)
     left = s.filter("x_left is not null")
     tr = d.filter("role = 'train' and y is not null").join(F.broadcast(left), KEYS)
-    gain = tr.groupBy("target", "fold", "x_left").agg(F.round(F.sum(F.pow(F.when(F.col("x0") <= F.col("x_left"), F.col("left_mean")).otherwise(F.col("right_mean")) - F.col("pooled"), 2)), 6).alias("gain"))
-    return gain.select("target", fold_col(), r("x_left", 7), "gain")
+    gain = tr.groupBy("target", "version", "fold", "x_left").agg(F.round(F.sum(F.pow(F.when(F.col("x0") <= F.col("x_left"), F.col("left_mean")).otherwise(F.col("right_mean")) - F.col("pooled"), 2)), 6).alias("gain"))
+    return gain.select("target", "version", fold_col(), r("x_left", 7), "gain")
 
 
-@query("p16_out_of_fold_predictions", f"SELECT target, CAST(fold AS BIGINT) AS fold, event_id, state, round({Q.sigmoid(Q.linear(FEATURES))}, 6) AS p, y FROM v_zdesign d JOIN v_logistic m USING (target, fold) WHERE role = 'test'", ["v_zdesign", "v_logistic"])
+@query("p16_out_of_fold_predictions", f"SELECT target, version, CAST(fold AS BIGINT) AS fold, event_id, state, round({Q.sigmoid(Q.linear(FEATURES))}, 6) AS p, y FROM v_zdesign d JOIN v_logistic m USING (target, version, fold) WHERE role = 'test'", ["v_zdesign", "v_logistic"])
 def p16(spark, sf):
     z = M.standardize(design(spark, sf), FEATURES, KEYS)
     p = M.predict(z.filter("role = 'test'"), fitted_logistic(spark, sf), FEATURES, KEYS, link="logit")
-    return p.select("target", fold_col(), "event_id", "state", F.round("p", 6).alias("p"), "y")
+    return p.select("target", "version", fold_col(), "event_id", "state", F.round("p", 6).alias("p"), "y")
 
 
 VIEWS["v_pairs"] = (("v_folds", "v_history_strict", "v_events"), """
-SELECT *, CASE WHEN gap <> 0 THEN -sign(gap) * ((1 + ret) / (1 + gap) - 1) END AS y, abs(gap) AS size, sign(gap) AS direction, -sign(gap) * context / nullif(1 + gap, 0) AS tilt FROM (
-SELECT f.target, f.fold, f.role, f.event_id, h.n_own, CASE WHEN n_own > 0 THEN (s_own - n_own * (s_all / n_all)) / (n_own + 10) ELSE 0 END AS context, e.open / e.anchor_close - 1 AS gap, e.close / e.anchor_close - 1 AS ret
-FROM v_folds f JOIN v_history_strict h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role JOIN v_events e ON e.event_id = f.event_id WHERE f.version = 'all_event' AND f.target = 'day1_close_return')""")
+SELECT * EXCLUDE (y0), CASE WHEN y0 IS NOT NULL AND gap <> 0 THEN -sign(gap) * ((1 + ret) / (1 + gap) - 1) END AS y, abs(gap) AS size, sign(gap) AS direction, -sign(gap) * context / nullif(1 + gap, 0) AS tilt FROM (
+SELECT f.target, f.version, f.fold, f.role, f.event_id, f.y AS y0, h.n_own, CASE WHEN n_own > 0 THEN (s_own - n_own * (s_all / n_all)) / (n_own + 10) ELSE 0 END AS context, e.open / e.anchor_close - 1 AS gap, e.close / e.anchor_close - 1 AS ret
+FROM v_folds f JOIN v_history_strict h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role JOIN v_events e ON e.event_id = f.event_id WHERE f.target = 'day1_close_return')""")
 VIEWS["v_paired"] = (("v_pairs",), "SELECT * FROM v_pairs WHERE y IS NOT NULL")
 Q.standardized("v_zbase", "v_paired", ["size", "direction"])
 Q.standardized("v_zchal", "v_paired", ["size", "direction", "tilt"])
@@ -223,17 +228,17 @@ Q.ridge("v_chal", "v_zchal", ["size", "direction", "tilt"])
 
 
 @query("p17_paired_folds", f"""
-SELECT CAST(fold AS BIGINT) AS fold, count(*) AS pairs, round(avg(pow(y - b, 2)), 6) AS baseline_mse, round(avg(pow(y - c, 2)), 6) AS challenger_mse, round((avg(pow(y - b, 2)) - avg(pow(y - c, 2))) / avg(pow(y - b, 2)), 6) AS relative_reduction FROM (
-SELECT b.fold, b.y, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.fold, d.event_id, d.y, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d JOIN v_base m USING (target, fold) WHERE role = 'test') b
-JOIN (SELECT d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d JOIN v_chal m USING (target, fold) WHERE role = 'test') c USING (fold, event_id) WHERE b.p IS NOT NULL) GROUP BY 1""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
+SELECT version, CAST(fold AS BIGINT) AS fold, count(*) AS pairs, round(avg(pow(y - b, 2)), 6) AS baseline_mse, round(avg(pow(y - c, 2)), 6) AS challenger_mse, round((avg(pow(y - b, 2)) - avg(pow(y - c, 2))) / avg(pow(y - b, 2)), 6) AS relative_reduction FROM (
+SELECT b.version, b.fold, b.y, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.version, d.fold, d.event_id, d.y, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d JOIN v_base m USING (target, version, fold) WHERE role = 'test') b
+JOIN (SELECT d.version, d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d JOIN v_chal m USING (target, version, fold) WHERE role = 'test') c USING (version, fold, event_id) WHERE b.p IS NOT NULL) GROUP BY 1, 2""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
 def p17(spark, sf):
     """Baseline (size and sign of the gap) against the same plus issuer context, on the continuation outcome; events without own history fall back to the baseline."""
     t = target_rows(spark, sf, HIST[2:])
     ctx = P.issuer_context(P.history_sums(P.with_clocks(t), strict=True)).select("event_id", "role", "context", "n_own")
     e = study_events(spark, sf).select("event_id", (F.col("open") / F.col("anchor_close") - 1).alias("gap"), (F.col("close") / F.col("anchor_close") - 1).alias("ret"))
-    f = P.folds(t.withColumn("version", F.lit("all_event"))).join(ctx, ["event_id", "role"]).join(e, "event_id")
+    f = P.folds(versioned(t)).join(ctx, ["event_id", "role"]).join(e, "event_id")
     sign = F.signum("gap")
-    d = (f.withColumn("y", N.continuation("gap", "ret")).withColumns({"size": F.abs("gap"), "direction": sign, "tilt": -sign * F.col("context") / F.nullif(1 + F.col("gap"), F.lit(0.0))}).filter("y is not null"))
+    d = (f.withColumn("y", F.when(F.col("y").isNotNull(), N.continuation("gap", "ret"))).withColumns({"size": F.abs("gap"), "direction": sign, "tilt": -sign * F.col("context") / F.nullif(1 + F.col("gap"), F.lit(0.0))}).filter("y is not null"))
     d = cut_lineage(d.select(*KEYS, "role", "event_id", "reaction_idx", "cik", "y", "size", "direction", "tilt", "n_own"))
     preds = []
     for name, feats in (("baseline", ["size", "direction"]), ("challenger", ["size", "direction", "tilt"])):
@@ -241,7 +246,7 @@ def p17(spark, sf):
         preds.append(M.predict(z.filter("role = 'test'"), cut_lineage(M.fit_ridge(z, feats, KEYS)), feats, KEYS, out=name).select(*KEYS, "event_id", "y", "n_own", name))
     pair = preds[0].join(preds[1].select(*KEYS, "event_id", "challenger"), [*KEYS, "event_id"])
     pair = pair.withColumn("challenger", F.when(F.col("n_own") > 0, F.col("challenger")).otherwise(F.col("baseline"))).filter("baseline is not null")
-    return X.mse_reduction(pair, ["target", "fold"]).select(fold_col(), "pairs", F.round("baseline_mse", 6).alias("baseline_mse"), F.round("challenger_mse", 6).alias("challenger_mse"), F.round("relative_reduction", 6).alias("relative_reduction"))
+    return X.mse_reduction(pair, ["target", "version", "fold"]).select("version", fold_col(), "pairs", F.round("baseline_mse", 6).alias("baseline_mse"), F.round("challenger_mse", 6).alias("challenger_mse"), F.round("relative_reduction", 6).alias("relative_reduction"))
 
 
 def ridge_losses(rows, model, feats):
@@ -252,39 +257,39 @@ def ridge_losses(rows, model, feats):
 ABLATED = {"timing": ["is_I", "is_other", "logit_history"], "sector": ["after_hours", "logit_history"], "history": ["after_hours", "is_I", "is_other"], "none": FEATURES}
 for _family, _kept in ABLATED.items():
     Q.ridge(f"v_ablate_{_family}", "v_zdesign", _kept)
-    VIEWS[f"v_loss_{_family}"] = (("v_zdesign", f"v_ablate_{_family}"), f"SELECT target, fold, count(*) AS n, avg(pow({Q.linear(_kept)} - y, 2)) AS loss FROM v_zdesign d JOIN v_ablate_{_family} m USING (target, fold) WHERE role = 'test' AND y IS NOT NULL AND b0 IS NOT NULL GROUP BY 1, 2")
+    VIEWS[f"v_loss_{_family}"] = (("v_zdesign", f"v_ablate_{_family}"), f"SELECT target, version, fold, count(*) AS n, avg(pow({Q.linear(_kept)} - y, 2)) AS loss FROM v_zdesign d JOIN v_ablate_{_family} m USING (target, version, fold) WHERE role = 'test' AND y IS NOT NULL AND b0 IS NOT NULL GROUP BY 1, 2, 3")
 
 
-@query("p18_ablation", " UNION ALL ".join(f"SELECT target, CAST(fold AS BIGINT) AS fold, '{x}' AS family, l.n, round(l.loss - f.loss, 7) + 0.0 AS loss_difference FROM v_loss_{x} l JOIN v_loss_none f USING (target, fold)" for x in ("timing", "sector", "history")), [f"v_loss_{x}" for x in ABLATED])
+@query("p18_ablation", " UNION ALL ".join(f"SELECT target, version, CAST(fold AS BIGINT) AS fold, '{x}' AS family, l.n, round(l.loss - f.loss, 7) + 0.0 AS loss_difference FROM v_loss_{x} l JOIN v_loss_none f USING (target, version, fold)" for x in ("timing", "sector", "history")), [f"v_loss_{x}" for x in ABLATED])
 def p18(spark, sf):
     fit = lambda rows, feats: cut_lineage(M.fit_ridge(M.standardize(rows, feats, KEYS), feats, KEYS))
     out = M.ablate(design(spark, sf), {"timing": ["after_hours"], "sector": ["is_I", "is_other"], "history": ["logit_history"]}, FEATURES, KEYS, fit, ridge_losses)
-    return out.select("target", fold_col(), "family", "n", (F.round("loss_difference", 7) + 0.0).alias("loss_difference"))
+    return out.select("target", "version", fold_col(), "family", "n", (F.round("loss_difference", 7) + 0.0).alias("loss_difference"))
 
 
 def permuted_sql(feature):
     value = Q.sigmoid(Q.linear(FEATURES).replace(f"z_{feature}", "shuffled"))
-    return f"""SELECT target, fold, '{feature}' AS feature, avg(pow({value} - y, 2)) AS loss FROM (SELECT a.*, b.z_{feature} AS shuffled FROM (SELECT *, row_number() OVER (PARTITION BY target, fold ORDER BY event_id) AS k FROM v_tested) a
- JOIN (SELECT target, fold, z_{feature}, row_number() OVER (PARTITION BY target, fold ORDER BY CAST('0x' || md5('5|' || event_id)[1:8] AS BIGINT), event_id) AS k FROM v_tested) b USING (target, fold, k)) JOIN v_logistic USING (target, fold) GROUP BY 1, 2"""
+    return f"""SELECT target, version, fold, '{feature}' AS feature, avg(pow({value} - y, 2)) AS loss FROM (SELECT a.*, b.z_{feature} AS shuffled FROM (SELECT *, row_number() OVER (PARTITION BY target, version, fold ORDER BY event_id) AS k FROM v_tested) a
+ JOIN (SELECT target, version, fold, z_{feature}, row_number() OVER (PARTITION BY target, version, fold ORDER BY CAST('0x' || md5('5|' || event_id)[1:8] AS BIGINT), event_id) AS k FROM v_tested) b USING (target, version, fold, k)) JOIN v_logistic USING (target, version, fold) GROUP BY 1, 2, 3"""
 
 
 VIEWS["v_tested"] = (("v_zdesign",), "SELECT * FROM v_zdesign WHERE role = 'test' AND y IS NOT NULL")
 
 
 @query("p19_permutation_importance", f"""
-WITH base AS (SELECT target, fold, avg(pow({Q.sigmoid(Q.linear(FEATURES))} - y, 2)) AS base FROM v_tested JOIN v_logistic USING (target, fold) GROUP BY 1, 2)
-SELECT target, CAST(fold AS BIGINT) AS fold, feature, round(loss - base, 7) + 0.0 AS loss_difference FROM ({permuted_sql('logit_history')} UNION ALL {permuted_sql('after_hours')}) JOIN base USING (target, fold)""", ["v_tested", "v_logistic"])
+WITH base AS (SELECT target, version, fold, avg(pow({Q.sigmoid(Q.linear(FEATURES))} - y, 2)) AS base FROM v_tested JOIN v_logistic USING (target, version, fold) GROUP BY 1, 2, 3)
+SELECT target, version, CAST(fold AS BIGINT) AS fold, feature, round(loss - base, 7) + 0.0 AS loss_difference FROM ({permuted_sql('logit_history')} UNION ALL {permuted_sql('after_hours')}) JOIN base USING (target, version, fold)""", ["v_tested", "v_logistic"])
 def p19(spark, sf):
     z = M.standardize(design(spark, sf), FEATURES, KEYS)
     test = z.filter("role = 'test' and y is not null")
     m = fitted_logistic(spark, sf)
-    loss = lambda rows, name: M.predict(rows, m, FEATURES, KEYS, link="logit").groupBy("target", "fold").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias(name))
+    loss = lambda rows, name: M.predict(rows, m, FEATURES, KEYS, link="logit").groupBy("target", "version", "fold").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias(name))
     base = loss(test, "base")
     out = None
     for feature in ("logit_history", "after_hours"):
         part = loss(M.permuted(test, "z_" + feature, ["target", "version", "fold"], seed=5), "shuffled").withColumn("feature", F.lit(feature))
         out = part if out is None else out.unionByName(part)
-    return out.join(base, ["target", "fold"]).select("target", fold_col(), "feature", (F.round(F.col("shuffled") - F.col("base"), 7) + 0.0).alias("loss_difference"))
+    return out.join(base, ["target", "version", "fold"]).select("target", "version", fold_col(), "feature", (F.round(F.col("shuffled") - F.col("base"), 7) + 0.0).alias("loss_difference"))
 
 
 class TrainingMean:
@@ -302,11 +307,11 @@ class TrainingMean:
 
 
 @query("d01_user_predictor", """
-SELECT d.target, CAST(d.fold AS BIGINT) AS fold, d.event_id, round(m.p, 8) AS p FROM v_design d JOIN (SELECT target, fold, after_hours, avg(y) AS p FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3) m USING (target, fold, after_hours) WHERE d.role = 'test'""", ["v_design"])
+SELECT d.target, d.version, CAST(d.fold AS BIGINT) AS fold, d.event_id, round(m.p, 8) AS p FROM v_design d JOIN (SELECT target, version, fold, after_hours, avg(y) AS p FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3, 4) m USING (target, version, fold, after_hours) WHERE d.role = 'test'""", ["v_design"])
 def d01(spark, sf):
     d = design(spark, sf).select(*KEYS, "role", "event_id", "y", "after_hours")
     out = M.fit_groups(d, TrainingMean(), KEYS)
-    return out.select("target", fold_col(), "event_id", F.round("p", 8).alias("p"))
+    return out.select("target", "version", fold_col(), "event_id", F.round("p", 8).alias("p"))
 
 
 @query("d02_custom_target", "SELECT event_id, CASE WHEN (high - low) / anchor_close >= 0.5 THEN 1.0 ELSE 0.0 END AS y FROM v_events", ["v_events"])
@@ -319,10 +324,10 @@ def d02(spark, sf):
 
 
 @query("d03_custom_aggregates", """
-SELECT target, CAST(fold AS BIGINT) AS fold, count(*) AS n, round(sum(after_hours * logit_history), 5) + 0.0 AS g_ah_lh, round(sum(logit_history * logit_history), 5) + 0.0 AS g_lh_lh, round(sum(logit_history * y), 5) + 0.0 AS b_lh FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2""", ["v_design"])
+SELECT target, version, CAST(fold AS BIGINT) AS fold, count(*) AS n, round(sum(after_hours * logit_history), 5) + 0.0 AS g_ah_lh, round(sum(logit_history * logit_history), 5) + 0.0 AS g_lh_lh, round(sum(logit_history * y), 5) + 0.0 AS b_lh FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3""", ["v_design"])
 def d03(spark, sf):
     d = design(spark, sf).filter("role = 'train' and y is not null").withColumns({"z_a": F.col("after_hours"), "z_b": F.col("logit_history")})
-    return M.gram(d, ["a", "b"], KEYS).select("target", fold_col(), "n", r("g1_2", 5, "g_ah_lh"), r("g2_2", 5, "g_lh_lh"), r("b2", 5, "b_lh"))
+    return M.gram(d, ["a", "b"], KEYS).select("target", "version", fold_col(), "n", r("g1_2", 5, "g_ah_lh"), r("g2_2", 5, "g_lh_lh"), r("b2", 5, "b_lh"))
 
 
 @query("d04_explode_windows", """

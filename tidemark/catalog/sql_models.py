@@ -1,14 +1,11 @@
 """SQL of the model queries' oracles: standardization, ridge and Newton steps as generated text, systems solved by Gaussian elimination column by column."""
 from tidemark.catalog.oracle_views import VIEWS
 
-GROUP = ("target", "fold")
-
-
 def standardized(name, source, features):
-    """View `name`: the rows of `source` with z_<feature> by the training mean and population deviation of (target, fold)."""
+    """View `name`: the rows of `source` with z_<feature> by the training mean and population deviation of (target, version, fold)."""
     stats = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in features)
     z = ", ".join(f"CASE WHEN s_{f} > 1e-12 * greatest(1, abs(m_{f})) THEN ({f} - m_{f}) / s_{f} ELSE 0 END AS z_{f}" for f in features)
-    VIEWS[name] = ((source,), f"SELECT d.*, {z} FROM {source} d JOIN (SELECT target, fold, {stats} FROM {source} WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2) m USING (target, fold)")
+    VIEWS[name] = ((source,), f"SELECT d.*, {z} FROM {source} d JOIN (SELECT target, version, fold, {stats} FROM {source} WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3) m USING (target, version, fold)")
 
 
 def eliminated(k):
@@ -44,8 +41,8 @@ def ridge(name, source, features, minimum=40):
     k = len(x)
     sums = [f"sum({x[i]} * {x[j]}) + {1.0 if i == j and i else 0.0} AS a{i}_{j}" for i in range(k) for j in range(i, k)] + [f"sum({x[i]} * y) AS c{i}" for i in range(k)]
     betas = ", ".join(f"CASE WHEN n >= {minimum} THEN x{i} END AS b{i}" for i in range(k))
-    VIEWS[name] = ((source,), f"""SELECT target, fold, n, CASE WHEN n >= {minimum} THEN 'FITTED' ELSE 'INSUFFICIENT_DATA' END AS state, {betas} FROM (SELECT target, fold, n, {eliminated(k)}
- FROM (SELECT target, fold, count(*) AS n, {', '.join(sums)} FROM {source} WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2))""")
+    VIEWS[name] = ((source,), f"""SELECT target, version, fold, n, CASE WHEN n >= {minimum} THEN 'FITTED' ELSE 'INSUFFICIENT_DATA' END AS state, {betas} FROM (SELECT target, version, fold, n, {eliminated(k)}
+ FROM (SELECT target, version, fold, count(*) AS n, {', '.join(sums)} FROM {source} WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3))""")
 
 
 def logistic(name, source, features, minimum=10, rounds=12):
@@ -53,7 +50,7 @@ def logistic(name, source, features, minimum=10, rounds=12):
     x = ["1.0"] + [f"z_{f}" for f in features]
     k = len(x)
     zero = ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(k))
-    VIEWS[f"{name}_0"] = ((source,), f"SELECT target, fold, count(*) AS n, least(sum(y), count(*) - sum(y)) >= {minimum} AS enough, NULL::INTEGER AS iterations, {zero} FROM {source} WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2")
+    VIEWS[f"{name}_0"] = ((source,), f"SELECT target, version, fold, count(*) AS n, least(sum(y), count(*) - sum(y)) >= {minimum} AS enough, NULL::INTEGER AS iterations, {zero} FROM {source} WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3")
     for t in range(1, rounds + 1):
         last = f"{name}_{t - 1}"
         sums = [f"sum({x[i]} * {x[j]} * p * (1 - p)) + {1.0 if i == j and i else 0.0} AS a{i}_{j}" for i in range(k) for j in range(i, k)]
@@ -61,10 +58,10 @@ def logistic(name, source, features, minimum=10, rounds=12):
         carried = ", ".join(["any_value(n) AS n", "any_value(enough) AS enough", "any_value(iterations) AS iterations"] + [f"any_value(b{i}) AS b{i}" for i in range(k)])
         moved = "greatest(" + ", ".join(f"abs(x{i})" for i in range(k)) + ")"
         step = ", ".join(f"CASE WHEN iterations IS NULL THEN b{i} + x{i} ELSE b{i} END AS b{i}" for i in range(k))
-        VIEWS[f"{name}_{t}"] = ((source, last), f"""SELECT target, fold, n, enough, coalesce(iterations, CASE WHEN {moved} < 1e-8 THEN {t} END) AS iterations, {step} FROM (SELECT *, {eliminated(k)} FROM (
- SELECT target, fold, {carried}, {', '.join(sums)} FROM (SELECT d.*, m.*  EXCLUDE (target, fold), {sigmoid(linear(features, 'm.b'))} AS p FROM {source} d JOIN {last} m USING (target, fold) WHERE d.role = 'train' AND d.y IS NOT NULL) GROUP BY 1, 2))""")
+        VIEWS[f"{name}_{t}"] = ((source, last), f"""SELECT target, version, fold, n, enough, coalesce(iterations, CASE WHEN {moved} < 1e-8 THEN {t} END) AS iterations, {step} FROM (SELECT *, {eliminated(k)} FROM (
+ SELECT target, version, fold, {carried}, {', '.join(sums)} FROM (SELECT d.*, m.*  EXCLUDE (target, version, fold), {sigmoid(linear(features, 'm.b'))} AS p FROM {source} d JOIN {last} m USING (target, version, fold) WHERE d.role = 'train' AND d.y IS NOT NULL) GROUP BY 1, 2, 3))""")
     betas = ", ".join(f"CASE WHEN enough AND iterations IS NOT NULL THEN b{i} END AS b{i}" for i in range(k))
-    VIEWS[name] = ((f"{name}_{rounds}",), f"SELECT target, fold, n, CASE WHEN NOT enough THEN 'INSUFFICIENT_DATA' WHEN iterations IS NULL THEN 'MODEL_FIT_FAILED' ELSE 'FITTED' END AS state, CASE WHEN enough THEN iterations ELSE 0 END AS iterations, {betas} FROM {name}_{rounds}")
+    VIEWS[name] = ((f"{name}_{rounds}",), f"SELECT target, version, fold, n, CASE WHEN NOT enough THEN 'INSUFFICIENT_DATA' WHEN iterations IS NULL THEN 'MODEL_FIT_FAILED' ELSE 'FITTED' END AS state, CASE WHEN enough THEN iterations ELSE 0 END AS iterations, {betas} FROM {name}_{rounds}")
 
 
 def betas(k, digits=6):
