@@ -271,8 +271,8 @@ def s01(spark, sf):
 @query("s02_column_arrays", """
 SELECT o_custkey, o_orderkey AS accession, o_orderstatus AS form, CASE WHEN o_custkey % 4 <> 0 THEN o_orderpriority END AS items FROM orders WHERE o_custkey % 10 <> 0""")
 def s02(spark, sf):
-    """Each customer's filings as parallel arrays; every tenth customer's arrays differ in length and are refused."""
-    o = I.table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("s"))
+    """Each customer's filings of a quarter as one document of parallel arrays; every tenth customer's arrays differ in length and are refused."""
+    o = I.table(spark, sf, "orders").groupBy("o_custkey", F.date_trunc("quarter", "o_orderdate").alias("quarter")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("s"))
     arr = lambda f: F.transform("s", lambda x: x[f].cast("string"))
     short = lambda c: F.when(F.col("o_custkey") % 10 == 0, F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(c)
     doc = o.select("o_custkey", arr("o_orderkey").alias("accession"), short(arr("o_orderstatus")).alias("form"), F.when(F.col("o_custkey") % 4 != 0, arr("o_orderpriority")).alias("items"))
@@ -367,7 +367,8 @@ def s10(spark, sf):
     a = I.actions(spark, sf).withColumn("id", F.substring("action_id", 2, 20).cast("bigint"))
     d = F.col("effective_date").cast("string")
     one = F.struct(F.when(F.col("id") % 3 == 0, d).alias("ex_date"), F.when(F.col("id") % 3 == 1, d).alias("effective_date"), F.lit(None).cast("string").alias("payable_date"), d.alias("process_date"))
-    pages = (a.groupBy("security_id", "type").agg(F.collect_list(one).alias("l")).groupBy(F.col("security_id").alias("symbol")).agg(F.map_from_entries(F.collect_list(F.struct("type", "l"))).alias("actions")))
+    page = F.floor(F.col("id") / 500)  # a provider's pages hold a bounded number of actions
+    pages = (a.groupBy("security_id", page.alias("page"), "type").agg(F.collect_list(one).alias("l")).groupBy(F.col("security_id").alias("symbol"), "page").agg(F.map_from_entries(F.collect_list(F.struct("type", "l"))).alias("actions")))
     return D.actions_from_pages(pages, keep=("symbol",)).select("symbol", "type", "date", "date_field")
 
 
