@@ -404,6 +404,7 @@ def test_mixture_shares():
 def test_language_edges(edges, nothing):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(edges).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (8, "und")} <= got and all(p in ("en", "de", "fr", "und") for _, p in got)
+    assert {r["lang_pred"] for r in langid.identify(frame(edges.sparkSession, [(1, "½ ² 42 _", None, "a")]), edges).collect()} == {"und"}
     assert langid.identify(nothing).count() == 0
     assert {r["lang_pred"] for r in langid.identify(edges, nothing).collect()} == {"und"}
 

@@ -4,8 +4,6 @@ Per language, counts of hashed letter trigrams over all training documents give
 maximisation over the units' likelihoods estimates the share of each language; the set of languages is the one with the best penalised likelihood, grown from the most
 likely language by the share-order of the full mixture. The language with the largest share is predicted.
 """
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -13,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import remainder
 
 BUCKETS, UNIT = 1 << 15, 24
-LETTER = re.compile(r"[^\W\d_]")
 # Letters are lower-cased where ASCII; every other ASCII byte becomes a space; bytes of other characters stay.
 SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -93,7 +90,7 @@ def _predict(langs, table):
         for batch in batches:
             pred, score, mix = [], [], []
             for text in batch.column(1).to_pylist():
-                codes = trigrams((text or "").encode()) if text and LETTER.search(text) else None
+                codes = trigrams((text or "").encode()) if text and any(map(str.isalpha, text)) else None
                 if codes is None or not langs or not len(codes):
                     pred.append("und"), score.append(0.0), mix.append("")
                     continue
