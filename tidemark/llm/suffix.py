@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import saved
 
-LENGTH, GRAM, PIECE = 200, 64, 1 << 20
+LENGTH, GRAM, PIECE = 200, 64, 1 << 19
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -343,7 +343,7 @@ def repeated_substrings(docs: DataFrame, split_at: int = 1 << 13) -> DataFrame:
     source = source.withColumn("rk", F.xxhash64("doc_id", "text"))
     found = saved(source.select("rk", "text").mapInArrow(_anchor_rows, "rk long, place int, gram long, around long"))
     spot = F.xxhash64("rk", "place")
-    repeated = found.groupBy("gram").agg(F.min(spot).alias("_a"), F.max(spot).alias("_b"), F.min("around").alias("_c"), F.max("around").alias("_d")).filter("_a <> _b").select("gram", (F.col("_c") == F.col("_d")).alias("one"))
+    repeated = saved(found.groupBy("gram").agg(F.min(spot).alias("_a"), F.max(spot).alias("_b"), F.min("around").alias("_c"), F.max("around").alias("_d")).filter("_a <> _b").select("gram", (F.col("_c") == F.col("_d")).alias("one")))  # written, so that the join below can split a hot gram
     met = saved(found.join(repeated, "gram"))
     several = met.filter("not one")
     classes = saved(several.groupBy("gram", "around").agg(F.min(spot).alias("_a"), F.max(spot).alias("_b"), F.min_by("rk", spot).alias("rk"), F.min_by("place", spot).alias("place")).select("gram", "around", "rk", "place", (F.col("_a") != F.col("_b")).alias("full")))
