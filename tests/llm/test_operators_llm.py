@@ -232,7 +232,7 @@ def letters():
     return np.log((counts + 5.0 * pair[None]) / (counts.sum(axis=2, keepdims=True) + 5.0)).astype(np.float32)
 
 
-@pytest.mark.parametrize("written", ["1d10t", "i.d.i.o.t", "i d i o t", "idiiiioot", "!d!0t", "id-i-ot", "1.d.1.0.t", "i*d*i*o*t"])
+@pytest.mark.parametrize("written", ["1d10t", "i.d.i.o.t", "i d i o t", "idiiiiooot", "id!0t", "id-i-ot", "id*ot", "1.d.1.0.t", "i*d*i*o*t"])
 def test_noisy_words_are_restored(letters, written):
     assert "idiot" in toxicity.Reader(letters).words("this " + written + " here")
 

@@ -19,9 +19,14 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 # Signs that may stand between letters.
 BETWEEN = set(" .-_*'~,:;/\\^`\"#=&%")
 SYMBOLS = 64
-SUBSTITUTED, DROPPED, LITERAL = -1.5, -0.7, -0.5  # log probabilities of the channel
+# Log probabilities of the channel: a sign for a letter, any vowel under an asterisk, a sign or digit that is meant as such, one that means nothing; a separator that means
+# nothing, one that separates words, one that would separate single letters; a letter of a run of three or more, or of two, that means nothing.
+SUBSTITUTED, HIDDEN, SIGN, STRAY = -0.7, -2.0, -3.0, -3.0
+DROPPED, SEPARATED, SPELLED = -0.7, -0.5, -4.0
+STRETCHED, DOUBLED = -0.3, -8.0
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){3,}(?!\S)")
+RUN_AT_EDGE = re.compile(r"^([\W_])\1+|([\W_])\2+$")
 TRIPLE = re.compile(r"(.)\1\1")
 BEGINNINGS = (4, 5, 6)
 
@@ -77,13 +82,24 @@ def language_model(docs: DataFrame) -> np.ndarray:
 def lattice(token: str):
     """For each character of a lower-cased token the list of (what it may stand for, log probability); '' stands for nothing."""
     out = []
+    n = len(token)
+    apart = lambda i: i < 0 or i >= n or token[i] in BETWEEN
     for i, c in enumerate(token):
-        options = [(c, LITERAL if c in LEET or c in BETWEEN else 0.0)]
+        if c in BETWEEN:
+            single = (apart(i - 2) and not apart(i - 1)) or (apart(i + 2) and not apart(i + 1))
+            options = [(c, SPELLED if single else SEPARATED), ("", DROPPED)]
+            if c == "*" and not single:
+                options += [(v, HIDDEN) for v in "aeiou"]
+        elif c in LEET:
+            options = [(c, SIGN)]
+        else:
+            options = [(c, 0.0)] if c.isalnum() else [(c, SIGN)]
         options += [(x, SUBSTITUTED) for x in LEET.get(c, "")]
-        if c in BETWEEN or not c.isalnum():
-            options.append(("", DROPPED))
-        if i and token[i - 1] == c:
-            options.append(("", DROPPED))
+        if c not in BETWEEN and not c.isalnum():
+            options.append(("", STRAY))
+        elif i and c.isalpha() and token[i - 1] == c:
+            long = (i > 1 and token[i - 2] == c) or (i + 1 < n and token[i + 1] == c)
+            options.append(("", STRETCHED if long else DOUBLED))
         out.append(options)
     return out
 
@@ -128,13 +144,13 @@ class Reader:
             core = EDGE.sub("", token)
             words = []
             if core:
-                if noisy(core):
-                    whole = token.lstrip(".,;:'\"-_*#%&([{<").rstrip(".,;:?'\"-_*#%&)]}>")
-                    words = re.findall(r"[^\W\d_]+", decode(whole, self.model))
-                    if core != whole:
-                        words += re.findall(r"[^\W\d_]+", decode(core, self.model))
-                elif core.isalpha():
+                whole = RUN_AT_EDGE.sub("", token).lstrip(".,;:'\"-_*#%&([{<").rstrip(".,;:?!'\"-_*#%&)]}>")
+                if core.isalpha() and not noisy(core):
                     words = [core]
+                if noisy(core) or (whole != core and (whole[:1] in LEET or whole[-1:] in LEET)):
+                    words += re.findall(r"[^\W\d_]+", decode(whole, self.model))
+                if noisy(core) and core != whole:
+                    words += re.findall(r"[^\W\d_]+", decode(core, self.model))
             self.known[token] = self.view(list(dict.fromkeys(words)))
         return self.known[token]
 
