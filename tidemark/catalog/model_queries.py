@@ -58,7 +58,7 @@ def fold_col():
 
 
 VIEWS["v_design"] = (("v_folds", "v_history"), f"""
-SELECT *, ln(c / (1 - c)) AS logit_history FROM (SELECT f.target, f.version, f.fold, f.role, f.event_id, f.y, CASE WHEN f.timing = 'after_hours' THEN 1.0 ELSE 0.0 END AS after_hours, CASE WHEN f.sic_division = 'I' THEN 1.0 ELSE 0.0 END AS is_I, CASE WHEN f.sic_division NOT IN ('D', 'I') THEN 1.0 ELSE 0.0 END AS is_other,
+SELECT *, ln(c / (1 - c)) AS logit_history FROM (SELECT f.target, f.version, f.fold, f.role, f.event_id, f.reaction_idx, f.cik, f.category, f.y, CASE WHEN f.timing = 'after_hours' THEN 1.0 ELSE 0.0 END AS after_hours, CASE WHEN f.sic_division = 'I' THEN 1.0 ELSE 0.0 END AS is_I, CASE WHEN f.sic_division NOT IN ('D', 'I') THEN 1.0 ELSE 0.0 END AS is_other,
  least(greatest({RATE.format(default='0.5')}, 0.01), 0.99) AS c, {RATE.format(default='0.5')} AS history_rate
 FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = f.role WHERE f.target IN ('gap_ge_3pct', 'gap_ge_5pct'))""")
 
@@ -209,11 +209,14 @@ def p14(spark, sf):
     return gain.select("target", "version", fold_col(), r("x_left", 7), "gain")
 
 
-@query("p16_out_of_fold_predictions", f"SELECT target, version, CAST(fold AS BIGINT) AS fold, event_id, state, round({Q.sigmoid(Q.linear(FEATURES))}, 6) AS p, y FROM v_zdesign d JOIN v_logistic m USING (target, version, fold) WHERE role = 'test'", ["v_zdesign", "v_logistic"])
+@query("p16_out_of_fold_predictions", f"""
+SELECT target, version, CAST(fold AS BIGINT) AS fold, event_id, CAST(reaction_idx AS BIGINT) AS session, cik AS issuer, category AS source, state, round({Q.sigmoid(Q.linear(FEATURES))}, 6) AS p, y, round(base, 8) AS base_rate, complete AS pool_complete
+FROM v_zdesign d JOIN v_logistic m USING (target, version, fold) JOIN (SELECT target, version, fold, avg(y) AS base FROM v_design WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3) b USING (target, version, fold)
+JOIN (SELECT target, version, bool_and(state = 'FITTED') AS complete FROM v_logistic GROUP BY 1, 2) c USING (target, version) WHERE role = 'test'""", ["v_zdesign", "v_logistic"])
 def p16(spark, sf):
     z = M.standardize(design(spark, sf), FEATURES, KEYS)
-    p = M.predict(z.filter("role = 'test'"), fitted_logistic(spark, sf), FEATURES, KEYS, link="logit")
-    return p.select("target", "version", fold_col(), "event_id", "state", F.round("p", 6).alias("p"), "y")
+    p = M.out_of_fold(z, fitted_logistic(spark, sf), FEATURES, KEYS, link="logit")
+    return p.select("target", "version", fold_col(), "event_id", F.col("reaction_idx").cast("bigint").alias("session"), F.col("cik").alias("issuer"), F.col("category").alias("source"), "state", F.round("p", 6).alias("p"), "y", F.round("base_rate", 8).alias("base_rate"), "pool_complete")
 
 
 VIEWS["v_pairs"] = (("v_folds", "v_history_strict", "v_events"), """

@@ -129,6 +129,13 @@ def predict(rows: DataFrame, models: DataFrame, features, keys, link="identity",
     return rows.join(models.select(*keys, "state", "beta"), list(keys), "left").withColumn(out, sigmoid(value) if link == "logit" else value).drop("beta")
 
 
+def out_of_fold(rows: DataFrame, models: DataFrame, features, keys, link="identity", pool=("target", "version")) -> DataFrame:
+    """P16. Test rows with prediction, the group's training base rate, and `pool_complete`: whether every fold of the pool was fitted; pooled results of other pools are blank."""
+    base = rows.filter("role = 'train' and y is not null").groupBy(*keys).agg(F.avg("y").alias("base_rate"))
+    whole = models.groupBy(*pool).agg(F.bool_and(F.col("state") == "FITTED").alias("pool_complete"))
+    return predict(rows.filter("role = 'test'"), models, features, keys, link).join(base, list(keys), "left").join(whole, list(pool), "left")
+
+
 def residual_quantiles(rows: DataFrame, models: DataFrame, features, keys, levels=(0.1, 0.5, 0.9)) -> DataFrame:
     """P9. Per group: quantiles of training residuals; a forecast is the fitted value plus each of them."""
     fitted = predict(rows.filter("role = 'train' and y is not null"), models, features, keys, out="_f").withColumn("residual", F.col("y") - F.col("_f"))
