@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, split_at: int = 1 << 16) ->
 
 # ---- similarity of at least 0.8 over five-word shingles: wider prints, buckets by minimum hashes
 
-LANES, MINIMA, WIDE_RADIUS = 4, 6, 48
+LANES, MINIMA, WIDE_RADIUS = 8, 6, 90
 
 
 def _turn(h, k):
@@ -204,7 +204,7 @@ def _turn(h, k):
 
 
 def wide_print(text: bytes, width: int):
-    """256-bit SimHash of the distinct shingles and the least of `MINIMA` mixings of their hashes; zeros for a text without words."""
+    """512-bit SimHash of the distinct shingles and the least of `MINIMA` mixings of their hashes; zeros for a text without words."""
     words = text.lower().split()
     if not words:
         return np.zeros(LANES, np.uint64), np.zeros(MINIMA, np.uint64)
@@ -234,10 +234,10 @@ PRINT, LEAST = [f"p{k}" for k in range(LANES)], [f"m{k}" for k in range(MINIMA)]
 
 
 def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, split_at: int = 1 << 15) -> DataFrame:
-    """(doc_id, component_id): components of documents whose shingles have a similarity of 0.8 or more, judged by 256-bit SimHash.
+    """(doc_id, component_id): components of documents whose shingles have a similarity of 0.8 or more, judged by 512-bit SimHash.
 
-    At a similarity of 0.8 the prints differ in 39 bits on average (a standard deviation of 6), so nearly all such pairs lie within the radius; pairs of 0.6 or less almost
-    never do. Pairs meet in buckets of equal minimum hashes, of which six are tried: two documents of similarity 0.8 share none with probability 0.00006. A bucket of more than
+    At a similarity of 0.8 the prints differ in 78 bits on average (a standard deviation of 8), so nearly all such pairs lie within the radius of 90, and at 0.65 or less
+    almost none do. Pairs meet in buckets of equal minimum hashes, of which six are tried: two documents of similarity 0.8 share none with probability 0.00006. A bucket of more than
     `split_at` distinct prints is dealt again by three other minima. Rows without an id are left out; texts without words are alike.
     """
     rows = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null").mapInArrow(_wide_prints(width), "doc_id long, " + ", ".join(f"{c} long" for c in PRINT + LEAST)))
