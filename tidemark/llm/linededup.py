@@ -10,7 +10,7 @@ by (doc_id, line) stays, every later one is marked, and the union of a document'
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.common import saved
 
@@ -77,17 +77,21 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.xxhash64("doc_id", "at")
     twice = rows.groupBy("fp").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).filter("_a <> _b").select("fp")
     met = saved(rows.join(twice, "fp").drop("fp", "at"))
-    first = met.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    first = saved(met.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))  # written, so that the join below can split a hot window
     later = met.join(first, "window").filter(F.struct("doc_id", "first") > F.col("_first"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # at most two per line of one document
 
 
+COUNTS = ["_n_lines", "_n_removed"]
+
+
 def _cut(columns):
-    """Rewrites `text` without its runs; other columns pass as they are. The last three columns are what the query reports."""
+    """From (doc, runs) the document's columns, `text` without its runs, and the two counts."""
     def run(batches):
         for batch in batches:
+            fields = dict(zip(columns, batch.column(0).flatten()))
             out, total, removed = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist()):
+            for text, runs in zip(fields["text"].to_pylist(), batch.column(1).to_pylist()):
                 lines = (text or b"").split(b"\n")
                 total.append(sum(1 for x in lines if x.strip()))
                 gone = np.zeros(len(lines) + 1, np.int64)
@@ -97,21 +101,22 @@ def _cut(columns):
                 gone = np.cumsum(gone[:-1]) > 0
                 removed.append(int(sum(1 for x, g in zip(lines, gone) if g and x.strip())))
                 out.append(text if not runs else b"\n".join(x for x, g in zip(lines, gone.tolist()) if not g))
-            arrays = [pa.array(out, pa.binary()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*columns, "_n_lines", "_n_removed"])
+            fields["text"] = pa.array(out, pa.binary())
+            kept = [c for c in columns if c not in COUNTS]
+            yield pa.RecordBatch.from_arrays([fields[c] for c in kept] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64())], kept + COUNTS)
     return run
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with later repeated runs of lines cut out of `text`, plus `_n_lines` and `_n_removed` (non-blank lines before, and of these cut).
+    """`docs` with later repeated runs of lines cut out of `text`, plus `_n_lines` and `_n_removed` (non-blank lines before, and of these cut; they replace columns of these names).
 
     Occurrences are ordered by (doc_id, line), so the earliest stays, also inside one document. Rows that share doc_id and text count as one occurrence. Null texts and
     texts of fewer than `min_words` words pass unchanged, as do rows without an id; a text cut whole becomes empty and its row stays. An empty table gives no rows.
     """
-    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("runs").alias("_runs"))
+    runs = repeated_runs(docs, min_words)
     cols = docs.columns
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    met = rows.join(runs, (rows["doc_id"] == runs["_id"]) & (rows["_key"] == runs["_th"]), "left").select(*[rows[c].cast("binary").alias(c) if c == "text" else rows[c] for c in cols], "_runs")
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {'binary' if c == 'text' else types[c]}" for c in cols) + ", _n_lines long, _n_removed long"
-    return met.mapInArrow(_cut(cols), schema).withColumn("text", F.col("text").cast("string"))
+    doc = F.struct(*[F.col(c).cast("binary").alias(c) if c == "text" else F.col(c) for c in cols]).alias("doc")
+    rows = docs.select(doc, F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("k"))
+    met = rows.join(runs, (rows["i"] == runs["doc_id"]) & (rows["k"] == runs["text_hash"]), "left").select("doc", "runs")
+    fields = [T.StructField(c, T.BinaryType() if c == "text" else docs.schema[c].dataType) for c in cols if c not in COUNTS]
+    return met.mapInArrow(_cut(cols), T.StructType(fields + [T.StructField(c, T.LongType()) for c in COUNTS])).withColumn("text", F.col("text").cast("string"))
