@@ -19,12 +19,10 @@ def source_targets(sources: DataFrame, most_repeats: int = 3, cycle: int = 3) ->
     ranked = positions(sources, [F.col("source").asc_nulls_last()], out="src").select("source", "source_size", "src")
     ranked = saved(ranked.withColumn("weight", (F.col("src") % cycle + 1).cast("double")).withColumn("cap", F.col("source_size") * float(most_repeats)).withColumn("fills_at", F.col("cap") / F.col("weight")))
     run = running_totals(ranked, [F.col("fills_at").asc(), F.col("src").asc()], ["cap", "weight"])
-    total = ranked.agg(F.sum("source_size").alias("_total"), F.sum("weight").alias("_weight")).withColumn("one", F.lit(1))
-    run = run.withColumn("one", F.lit(1)).join(total, "one")
-    level = (F.col("_total") - (F.col("cum_cap") - F.col("cap"))) / (F.col("_weight") - (F.col("cum_weight") - F.col("weight")))
-    first = run.withColumn("level", level).filter(F.col("level") <= F.col("fills_at")).agg(F.min_by("level", F.struct("fills_at", "src")).alias("level")).withColumn("one", F.lit(1))
-    return (ranked.withColumn("one", F.lit(1)).join(first, "one")
-            .withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.lit(0.0))).drop("one", "level", "fills_at", "cap"))
+    total, weight = ranked.agg(F.sum("source_size")).scalar(), ranked.agg(F.sum("weight")).scalar()
+    level = (total - (F.col("cum_cap") - F.col("cap"))) / (weight - (F.col("cum_weight") - F.col("weight")))
+    first = run.withColumn("level", level).filter(F.col("level") <= F.col("fills_at")).agg(F.min_by("level", F.struct("fills_at", "src"))).scalar()
+    return saved(ranked.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * first), F.lit(0.0))).drop("fills_at", "cap"))
 
 
 def sainte_lague(parties: DataFrame, by, party: str, votes: str, seats: str) -> DataFrame:
@@ -55,8 +53,8 @@ def mix(docs: DataFrame, block_words: int = 8, shard_words: int = 1 << 16, most_
     """
     sizes = saved(docs.select("doc_id", "source", word_count("text").alias("size")))
     sources = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), most_repeats)
-    blocks = sources.agg(F.ceil(F.sum("source_size") / block_words).alias("blocks")).withColumn("one", F.lit(1))
-    seated = sainte_lague(sources.withColumn("one", F.lit(1)).join(blocks, "one"), ["one"], "src", "target", "blocks")
+    blocks = sources.agg(F.ceil(F.sum("source_size") / block_words)).scalar()
+    seated = sainte_lague(saved(sources.withColumns({"one": F.lit(1), "blocks": blocks})), ["one"], "src", "target", "blocks")
     seated = saved(seated.select("source", "src", "source_size", "target", F.col("won").alias("source_blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("n_shards")))
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
     rows = sizes.alias("d").join(seated.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.src", "s.source_size", "s.target", "s.source_blocks", "s.n_shards")
