@@ -194,6 +194,38 @@ def test_similar_documents_are_found(spark, split_at):
     assert sum(got[i] == first[g] for i, g in group.items()) >= len(rows) - 2
 
 
+def test_similarity_is_decided_at_its_limit(spark):
+    """Pairs on both sides of 0.8, from 5 to 500 shingles; `both` shingles are shared, `one` and `two` stand on one side only."""
+    word, rows, alike = (f"x{i}" for i in range(10**7)), [], {}
+    take = lambda n: [next(word) for _ in range(n)]
+    shapes = [(4, 1, 0), (8, 2, 0), (8, 1, 1), (20, 5, 0), (20, 3, 2), (80, 20, 0), (80, 10, 10), (400, 100, 0), (41, 9, 0), (41, 5, 4), (410, 45, 45), (39, 11, 0), (39, 6, 5), (390, 55, 55), (390, 110, 0), (3, 1, 0), (15, 2, 2), (75, 13, 12)]
+    for both, one, two in shapes:
+        for _ in range(15):
+            common = take(both + 4)
+            alike[len(rows)] = both * 5 >= (both + one + two) * 4
+            rows += [(len(rows), " ".join(common + take(one)), "en", "a"), (len(rows) + 1, " ".join(common + take(two)), "en", "a")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    missed = [i for i, same in alike.items() if same and got[i + 1] != i]
+    linked = [i for i, same in alike.items() if not same and got[i + 1] != i + 1]
+    assert (len(missed), len(linked)) == (0, 0)
+
+
+def test_chains_of_links_are_exact():
+    rng = np.random.default_rng(5)
+    sets = []
+    for g in range(6):
+        base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        for _ in range(12):
+            base = np.concatenate([base[rng.integers(0, 12):], rng.integers(0, 1 << 62, int(rng.integers(0, 12))).astype(np.uint64)])
+            sets.append(np.unique(base))
+    got = list(range(len(sets)))
+    for i, j in simhash.similar_links(sets):
+        low, high = sorted((got[i], got[j]))
+        got = [low if x == high else x for x in got]
+    plain = [set(h.tolist()) for h in sets]
+    assert got == list(brute_components(range(len(sets)), lambda a, b: 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b])).values())
+
+
 def test_counters_compare_with_any_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 62, (40, 2)).astype(np.uint64)

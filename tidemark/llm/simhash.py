@@ -3,7 +3,7 @@
 Fingerprints within `RADIUS` bits of each other agree on two of four 16-bit pieces, so distinct fingerprints meet in six buckets of 32 equal bits. A bucket that still
 holds more than `split_at` fingerprints is dealt again by three pieces of its other 32 bits, on one of which two such fingerprints also agree. In a bucket, bit planes
 stand vertically: one word of a plane holds the same bit of 64 members. The distances of a query to 64 members are updated plane by plane with carry-save counters, and
-a (query, word) block is abandoned once all its lanes exceed the radius. The same comparison serves a wider print for documents of similarity 0.8 (`similar_documents`). A bucket emits a spanning forest of its links, never all pairs.
+a (query, word) block is abandoned once all its lanes exceed the radius. The same comparison with a wider print chooses the candidates among which documents of similarity 0.8 are verified by their shingles (`similar_documents`). A bucket emits a spanning forest of its links, never all pairs.
 """
 import numpy as np
 import pyarrow as pa
@@ -131,10 +131,10 @@ def _unite(parent, i, j):
 
 
 def _links(radius, names):
-    """Reads a partition sorted by key (first column; the second names the row, the rest is its print), a bucket never split over two comparisons; yields edges of names."""
+    """Reads a partition sorted by key (first column; the second names the row, the rest is its print), a bucket never split over two comparisons; yields edges of names, with their key under a third name."""
     def edges(keys, rows, prints):
         i, root = bucket_links(keys, prints.view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(rows[i], pa.int64()), pa.array(rows[root], pa.int64())], names)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows[i], rows[root], keys[i])][:len(names)], names)
 
     def run(batches):
         held = []
@@ -191,9 +191,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, split_at: int = 1 << 16) ->
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- similarity of at least 0.8 over five-word shingles: wider prints, buckets by minimum hashes
+# ---- similarity of at least 0.8 over five-word shingles: candidates by wider prints in buckets of minimum hashes, verified by the shingles
 
-LANES, MINIMA, WIDE_RADIUS = 8, 6, 90
+LANES, MINIMA, WIDE_RADIUS = 8, 6, 136
 
 
 def _turn(h, k):
@@ -203,16 +203,22 @@ def _turn(h, k):
     return h ^ (h >> np.uint64(32))
 
 
-def wide_print(text: bytes, width: int):
-    """512-bit SimHash of the distinct shingles and the least of `MINIMA` mixings of their hashes; zeros for a text without words."""
+def shingle_set(text: bytes, width: int):
+    """XXH64 of the distinct shingles of a text, ascending."""
     words = text.lower().split()
     if not words:
-        return np.zeros(LANES, np.uint64), np.zeros(MINIMA, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(width, len(words)) - 1:]
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e]) for s, e in zip(starts.tolist(), last.tolist())), np.uint64))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e]) for s, e in zip(starts.tolist(), last.tolist())), np.uint64))
+
+
+def wide_print(h):
+    """512-bit SimHash of a set of shingles and the least of `MINIMA` mixings of its hashes; zeros for an empty set."""
+    if not len(h):
+        return np.zeros(LANES, np.uint64), np.zeros(MINIMA, np.uint64)
     counts = np.zeros(64 * LANES, np.int64)
     for at in range(0, len(h), 1 << 14):
         lanes = np.column_stack([_turn(h[at:at + (1 << 14)], k) for k in range(LANES)])
@@ -220,36 +226,123 @@ def wide_print(text: bytes, width: int):
     return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64), np.array([_turn(h, LANES + k).min() for k in range(MINIMA)])
 
 
+def _digest(h):
+    """128 bits that name a set of shingles."""
+    return np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+
+
 def _wide_prints(width):
     def run(batches):
         for batch in batches:
-            made = [wide_print(t or b"", width) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t or b"", width) for t in batch.column(1).to_pylist()]
+            made = [wide_print(h) for h in sets]
+            digests = np.array([_digest(h) for h in sets], np.int64).reshape(-1, 2)
             prints = np.array([p for p, _ in made], np.uint64).reshape(-1, LANES).view(np.int64)
             minima = np.array([m for _, m in made], np.uint64).reshape(-1, MINIMA).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(np.ascontiguousarray(c)) for c in (*prints.T, *minima.T)], ["doc_id", *PRINT, *LEAST])
+            counts = np.array([len(h) for h in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(np.ascontiguousarray(c)) for c in (*digests.T, counts, *prints.T, *minima.T)], ["doc_id", *SET, "shingles", *PRINT, *LEAST])
     return run
 
 
-PRINT, LEAST = [f"p{k}" for k in range(LANES)], [f"m{k}" for k in range(MINIMA)]
+SET, PRINT, LEAST = ["d0", "d1"], [f"p{k}" for k in range(LANES)], [f"m{k}" for k in range(MINIMA)]
 
 
-def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, split_at: int = 1 << 15) -> DataFrame:
-    """(doc_id, component_id): components of documents whose shingles have a similarity of 0.8 or more, judged by 512-bit SimHash.
+def _wanted_sets(width):
+    """(node, shingle_set) of the rows (node, d0, d1, text) whose text has the set that the digest names: other rows may share the id."""
+    def run(batches):
+        for batch in batches:
+            nodes, d0, d1, texts = (c.to_pylist() for c in batch.columns)
+            made = [(node, h.tobytes()) for node, a, b, t in zip(nodes, d0, d1, texts) for h in [shingle_set(t or b"", width)] if _digest(h).tolist() == [a, b]]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.int64()), pa.array([h for _, h in made], pa.binary())], ["node", "shingle_set"])
+    return run
+
 
-    At a similarity of 0.8 the prints differ in 78 bits on average (a standard deviation of 8), so nearly all such pairs lie within the radius of 90, and at 0.65 or less
-    almost none do. Pairs meet in buckets of equal minimum hashes, of which six are tried: two documents of similarity 0.8 share none with probability 0.00006. A bucket of more than
+def similar_links(sets: list):
+    """Indices (i, j) of a spanning forest of the pairs of sets with a similarity of 0.8 or more, exactly; pairs that are already connected are not compared again."""
+    m, size = len(sets), np.array([len(h) for h in sets], np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.concatenate(([0], np.cumsum(size)))
+    mark, root, out = np.zeros(len(values), bool), np.arange(m), []
+    for i in range(m - 1):
+        later = i + 1 + np.flatnonzero(root[i + 1:] != root[i])
+        later = later[(5 * np.minimum(size[later], size[i]) >= 4 * np.maximum(size[later], size[i]))]
+        if not len(later):
+            continue
+        own = codes[begins[i]:begins[i + 1]]
+        mark[own] = True
+        if 8 * len(later) > m - i:  # many: one pass over all that follow
+            shared = np.add.reduceat(mark[codes[begins[i + 1]:]], begins[i + 1:-1] - begins[i + 1], dtype=np.int64)[later - i - 1]
+        else:
+            shared = np.array([np.count_nonzero(mark[codes[begins[j]:begins[j + 1]]]) for j in later.tolist()], np.int64)
+        mark[own] = False
+        for j in later[9 * shared >= 4 * (size[i] + size[later])].tolist():  # shared / (sum - shared) >= 4 / 5
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def _verified(batches):
+    """Reads (code, node, shingle_set) sorted by code; yields the links (a, b) inside each code."""
+    def edges(held):
+        nodes = list(held)
+        found = similar_links([np.frombuffer(h, np.uint64) for h in held.values()])
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    code, held = None, {}
+    for batch in batches:
+        for k, node, h in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != code:
+                if len(held) > 1:
+                    yield edges(held)
+                code, held = k, {}
+            held[node] = h
+    if len(held) > 1:
+        yield edges(held)
+
+
+def _shingle_links(docs, classes, groups, width, at_most):
+    """(a, b): links of similarity 0.8 or more between the members of each of the `groups` (group, node); a group of over `at_most` shingles is compared block by block."""
+    about = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("mix"))
+    once = about.groupBy("n", "lo", "hi", "mix").agg(F.min("group").alias("group")).select("group")  # the same members met in several buckets are compared once
+    members = saved(groups.join(once, "group").join(classes.select("node", "rep", *SET, "shingles"), "node"))
+    large = members.groupBy("group").agg(F.sum("shingles").alias("held")).filter(F.col("held") > at_most)
+    dealt = members.join(large, "group", "left").select("node", _blocks("group", "held", "node", at_most).alias("code"))
+    wanted = members.select("node", F.col("rep").alias("doc_id"), *SET).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").select("node", *SET, "text")
+    sets = texts.mapInArrow(_wanted_sets(width), "node long, shingle_set binary").dropDuplicates(["node"])
+    return dealt.join(sets, "node").select("code", "node", "shingle_set").repartition("code").sortWithinPartitions("code").mapInArrow(_verified, "a long, b long")
+
+
+def _blocks(key, held, member, at_most):
+    """The codes under which a member of a group meets all others: the key itself, or where `held` is given the pairs of its block with each of the blocks of half of `at_most`."""
+    k = F.ceil(F.col(held) * 2 / F.lit(at_most)).cast("long")
+    own = F.pmod(F.xxhash64(F.col(member), F.lit(1)), k)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.xxhash64(F.col(key), F.least(own, j), F.greatest(own, j)))
+    return F.explode(F.when(F.col(held).isNull(), F.array(F.col(key))).otherwise(pairs))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, split_at: int = 1 << 15, at_most: int = 1 << 24) -> DataFrame:
+    """(doc_id, component_id): components of documents whose distinct shingles have a similarity of 0.8 or more.
+
+    Candidates meet in buckets of equal minimum hashes, of which six are tried: two documents of similarity 0.8 share none with probability 0.00006. In a bucket, 512-bit
+    prints within the radius are candidates: at a similarity of 0.8 they differ in 78 bits on average, in 96 for four of five shingles (a standard deviation of 9), so a
+    radius of 136 misses next to none. The links among connected candidates are then decided by their sets of shingles. A bucket of more than
     `split_at` distinct prints is dealt again by three other minima. Rows without an id are left out; texts without words are alike.
     """
-    rows = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null").mapInArrow(_wide_prints(width), "doc_id long, " + ", ".join(f"{c} long" for c in PRINT + LEAST)))
-    classes = saved(rows.groupBy(*PRINT, *LEAST).agg(F.min("doc_id").alias("rep")))
-    keyed = classes.select("rep", *PRINT, *LEAST, F.posexplode(F.array(*LEAST)).alias("turn", "least")).withColumn("key", F.xxhash64("turn", "least"))
+    rows = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null").mapInArrow(_wide_prints(width), "doc_id long, " + ", ".join(f"{c} long" for c in [*SET, "shingles", *PRINT, *LEAST])))
+    classes = saved(rows.groupBy(*SET, "shingles", *PRINT, *LEAST).agg(F.min("doc_id").alias("rep")).withColumn("node", F.xxhash64(*SET)))
+    keyed = classes.filter("shingles > 0").select("node", *PRINT, *LEAST, F.posexplode(F.array(*LEAST)).alias("turn", "least")).withColumn("key", F.xxhash64("turn", "least"))
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > split_at)
     others = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.xxhash64("key", k, F.get(F.array(*LEAST), F.pmod(F.col("turn") + k, F.lit(MINIMA)))))
     code = F.explode(F.when(F.col("held").isNull(), F.array("key")).otherwise(others)).alias("code")
-    dealt = keyed.join(hot, "key", "left").select(code, "rep", *PRINT)
-    found = connected_components(dealt.repartition("code").sortWithinPartitions("code").mapInArrow(_links(radius, ["a", "b"]), "a long, b long"))
-    rooted = saved(classes.join(found, F.col("rep") == F.col("node"), "left").select(*PRINT, *LEAST, F.coalesce("root", "rep").alias("component_id")))
-    return rows.join(rooted, [*PRINT, *LEAST]).select("doc_id", "component_id")
+    dealt = keyed.join(hot, "key", "left").select(code, "node", *PRINT)
+    near = saved(dealt.repartition("code").sortWithinPartitions("code").mapInArrow(_links(radius, ["a", "b", "code"]), "a long, b long, code long").withColumn("group", F.xxhash64("code", "b")))
+    groups = near.select("group", F.col("a").alias("node")).unionByName(near.select("group", F.col("b").alias("node"))).distinct()
+    found = connected_components(_shingle_links(docs, classes, groups, width, at_most))
+    rooted = saved(classes.select(*SET, "node", "rep").join(found, "node", "left").select(*SET, "rep", F.coalesce("root", "node").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows.select("doc_id", *SET).join(rooted.join(least, "root").select(*SET, "component_id"), SET).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
