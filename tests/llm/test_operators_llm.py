@@ -636,6 +636,16 @@ def test_decontamination_edges(spark, edges, nothing):
     assert kept.columns == edges.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 8, 9, None}
 
 
+def test_items_and_documents_without_an_id_are_all_judged(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, text(k)) for k in range(40)] + [(k, text(k)) for k in range(40, 60)], "item_id long, text string").repartition(4)
+    docs = frame(spark, [(k, "before " + text(k) + " after", "en", "a") for k in range(60)] + [(None, text(3), "en", "a"), (None, text(90), "en", "b"), (5, text(91), "en", "c"), (70, text(92), "en", "d"), (None, None, "en", "e")])
+    got = decontam.contaminated(docs, bench, block_items=7).collect()
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None} == set(range(60)) and sum(r["doc_id"] is None for r in got) == 1 and len(got) == 61
+    kept = sorted((r["source"], r["doc_id"]) for r in decontam.drop_contaminated(docs, bench).collect())
+    assert kept == [("b", None), ("c", 5), ("d", 70), ("e", None)]
+
+
 # ---- queries
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))

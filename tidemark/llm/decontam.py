@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.common import saved
+from tidemark.operators.ranking import positions
+
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 RUN = 3
@@ -137,22 +140,11 @@ class Index:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_items: int = 5000) -> DataFrame:
     """doc_id, item_id, distance: the items that a document holds within their distance, with the least distance (words) found.
 
-    Items are taken in blocks of `block_items` rows, ordered by id, each against all documents, so what a task holds is bounded however long the benchmark is. Null and
-    empty texts and items match nothing; items that repeat are each reported; rows without an id are reported under null; repeated rows give repeated rows.
+    Items are numbered inside Spark and taken in blocks of `block_items` rows, each against all documents, so what a task holds is bounded however long the benchmark is; items
+    without an id are numbered like any other. Null and empty texts and items match nothing; items that repeat are each reported; rows without an id are reported under null;
+    repeated rows give repeated rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    low, blocks = None, []
-    while True:
-        rest = items if low is None else items.filter(F.col("item_id") > low)
-        block = [(r["item_id"], bytes(r["text"])) for r in rest.filter("item_id is not null").orderBy("item_id").limit(block_items).collect()]
-        if not block:
-            break
-        low = block[-1][0]
-        if len(block) == block_items:  # rows that share the last id stay together
-            block = [x for x in block if x[0] != low] + [(r["item_id"], bytes(r["text"])) for r in items.filter(F.col("item_id") == low).collect()]
-        blocks.append(block)
-    unnamed = [(None, bytes(r["text"])) for r in items.filter("item_id is null").limit(block_items).collect()]
-    blocks += [unnamed] if unnamed else []
+    blocks = _blocks(benchmark, block_items)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     schema = "doc_id long, item_id long, distance int"
     out = None
@@ -174,6 +166,32 @@ def _search(block, similarity):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; rows without an id stay."""
-    return docs.join(contaminated(docs, benchmark, similarity).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _blocks(benchmark, block_items):
+    """The items (item_id, text) in lists of `block_items`, by their number in the order of id and text."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+    numbered = saved(positions(items, [F.asc_nulls_last("item_id"), F.asc("text")]).select("position", "item_id", "text"))
+    last = numbered.agg(F.max("position")).first()[0]
+    bounds = range(0, 0 if last is None else last + 1, block_items)
+    return [[(r["item_id"], bytes(r["text"])) for r in numbered.filter(F.col("position").between(low, low + block_items - 1)).orderBy("position").collect()] for low in bounds]
+
+
+def _clean(block, similarity, at):
+    """Keeps the rows whose text (column number `at`) holds no item of the block."""
+    def run(batches):
+        index = Index(block, similarity)
+        for batch in batches:
+            texts = batch.column(at)
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()) if not pa.types.is_null(texts.type) else texts
+            keep = np.ones(batch.num_rows, bool)
+            if index.items:
+                keep[[r for r, _, _ in index.matches(texts.to_pylist())]] = False
+            yield batch.filter(pa.array(keep))
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_items: int = 5000) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item. Each row is judged by its own text, whether it has an id, shares one, or has none."""
+    out = docs
+    for block in _blocks(benchmark, block_items):
+        out = out.mapInArrow(_clean(block, similarity, docs.columns.index("text")), docs.schema)
+    return out
