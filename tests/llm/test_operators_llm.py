@@ -210,6 +210,21 @@ def test_similarity_is_decided_at_its_limit(spark):
     assert (len(missed), len(linked)) == (0, 0)
 
 
+def test_hot_buckets_give_the_same_components(spark):
+    """Pairs at 0.8 among copies of one template: the size at which a bucket is cut must not decide which are found."""
+    rng, rows = random.Random(3), []
+    template = [f"t{i}" for i in range(104)]
+    for i in range(160):
+        cut = rng.choice([0, 10, 20, 30])
+        rows.append((i, " ".join(template[cut:] + [f"u{i}y{k}" for k in range(rng.choice([4, 9, 14, 20]))]), "en", "a"))
+    docs = frame(spark, rows).cache()
+    plain = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t, *_ in rows]
+    want = brute_components(range(len(rows)), lambda a, b: 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b]))
+    for split_at, at_most in ((1 << 15, 1 << 24), (4, 1 << 24), (1 << 15, 1000), (4, 1000)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, split_at=split_at, at_most=at_most).collect()}
+        assert got == want, (split_at, at_most)
+
+
 def test_chains_of_links_are_exact():
     rng = np.random.default_rng(5)
     sets = []

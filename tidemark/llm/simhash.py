@@ -322,21 +322,19 @@ def _blocks(key, held, member, at_most):
     return F.explode(F.when(F.col(held).isNull(), F.array(F.col(key))).otherwise(pairs))
 
 
-def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, split_at: int = 1 << 15, at_most: int = 1 << 24) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS, split_at: int = 1 << 15, at_most: int = 1 << 22) -> DataFrame:
     """(doc_id, component_id): components of documents whose distinct shingles have a similarity of 0.8 or more.
 
     Candidates meet in buckets of equal minimum hashes, of which six are tried: two documents of similarity 0.8 share none with probability 0.00006. In a bucket, 512-bit
     prints within the radius are candidates: at a similarity of 0.8 they differ in 78 bits on average, in 96 for four of five shingles (a standard deviation of 9), so a
     radius of 136 misses next to none. The links among connected candidates are then decided by their sets of shingles. A bucket of more than
-    `split_at` distinct prints is dealt again by three other minima. Rows without an id are left out; texts without words are alike.
+    `split_at` distinct prints is cut into blocks, which are compared pair by pair in tasks of their own, so its size changes no result. Rows without an id are left out; texts without words are alike.
     """
     rows = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null").mapInArrow(_wide_prints(width), "doc_id long, " + ", ".join(f"{c} long" for c in [*SET, "shingles", *PRINT, *LEAST])))
     classes = saved(rows.groupBy(*SET, "shingles", *PRINT, *LEAST).agg(F.min("doc_id").alias("rep")).withColumn("node", F.xxhash64(*SET)))
     keyed = classes.filter("shingles > 0").select("node", *PRINT, *LEAST, F.posexplode(F.array(*LEAST)).alias("turn", "least")).withColumn("key", F.xxhash64("turn", "least"))
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > split_at)
-    others = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.xxhash64("key", k, F.get(F.array(*LEAST), F.pmod(F.col("turn") + k, F.lit(MINIMA)))))
-    code = F.explode(F.when(F.col("held").isNull(), F.array("key")).otherwise(others)).alias("code")
-    dealt = keyed.join(hot, "key", "left").select(code, "node", *PRINT)
+    dealt = keyed.join(hot, "key", "left").select(_blocks("key", "held", "node", split_at).alias("code"), "node", *PRINT)
     near = saved(dealt.repartition("code").sortWithinPartitions("code").mapInArrow(_links(radius, ["a", "b", "code"]), "a long, b long, code long").withColumn("group", F.xxhash64("code", "b")))
     groups = near.select("group", F.col("a").alias("node")).unionByName(near.select("group", F.col("b").alias("node"))).distinct()
     found = connected_components(_shingle_links(docs, classes, groups, width, at_most))
