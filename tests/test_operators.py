@@ -216,6 +216,20 @@ def test_unpaired_events_blank_a_contrast(spark):
     assert got["fold 1"] == (1, 0, pytest.approx(0.2)) and got["fold 2"] == (1, 1, None) and got["pooled"] == (2, 1, None)
 
 
+def test_unscored_events_blank_their_group(spark):
+    from tidemark.plans.metrics import mse_reduction, regression_metrics
+    from tidemark.plans.models import ablate
+    rows = [("g", 1.0, [0.0, 1.0, 2.0]), ("g", 2.0, [0.0, 1.0, 2.0]), ("h", 1.0, [0.0, 1.0, 2.0]), ("h", 3.0, None), ("i", 1.0, None)]
+    got = {r["k"]: (r["n"], r["unscored"], r["mae_of_the_median"], r["mean_pinball"] is None) for r in regression_metrics(spark.createDataFrame(rows, "k string, y double, q array<double>"), ["k"]).collect()}
+    assert got == {"g": (2, 0, pytest.approx(0.5), False), "h": (1, 1, None, True), "i": (0, 1, None, True)}
+    rows = [("g", 1.0, 0.0, 1.0), ("h", 1.0, 0.0, 1.0), ("h", 1.0, None, None), ("h", 1.0, 0.0, None)]
+    got = {r["k"]: (r["pairs"], r["unscored"], r["baseline_mse"], r["relative_reduction"]) for r in mse_reduction(spark.createDataFrame(rows, "k string, y double, baseline double, challenger double"), ["k"]).collect()}
+    assert got == {"g": (1, 0, 1.0, 1.0), "h": (1, 2, None, None)}
+    losses = spark.createDataFrame([("g", 1.0), ("h", 1.0), ("h", None)], "k string, loss double")
+    got = {r["k"]: (r["n"], r["unscored"], r["loss_difference"]) for r in ablate(losses, {"a": ["x"]}, ["x", "z"], ["k"], lambda rows, kept: None, lambda rows, model, kept: rows).collect()}
+    assert got == {"g": (1, 0, 0.0), "h": (1, 1, None)}
+
+
 def test_nested_cap_needs_the_looser_prediction(spark):
     from tidemark.plans.folds import cap_nested
     loose = spark.createDataFrame([(1, 0.4), (2, 0.9)], "id int, p double")

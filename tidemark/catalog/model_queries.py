@@ -152,12 +152,24 @@ l AS (SELECT *, greatest(0.1 * (y - a), -0.9 * (y - a)) AS p1, greatest(0.5 * (y
 SELECT target, version, count(*) AS n, round(avg((p1 + p5 + p9) / 3), 8) AS mean_pinball, round(avg(p1), 8) AS pinball_10, round(avg(p5), 8) AS pinball_50, round(avg(p9), 8) AS pinball_90,
  round(avg(CASE WHEN y >= a AND y <= c THEN 1.0 ELSE 0.0 END), 8) AS interval_coverage, round(avg(abs(y - b)), 8) AS mae_of_the_median FROM l GROUP BY 1, 2""", ["v_zreg", "v_ridge"])
 def p09(spark, sf):
+    """Over the events with a forecast, as the SQL has it; the others are counted in `p09_unscored_events`."""
+    got = X.regression_metrics(residual_forecasts(spark, sf).filter("q is not null"), ["target", "version"]).drop("unscored")
+    return got.select(*[F.round(c, 8).alias(c) if t == "double" else c for c, t in got.dtypes])
+
+
+def residual_forecasts(spark, sf):
     z = M.standardize(regression_design(spark, sf), REG, KEYS)
     m = cut_lineage(M.fit_ridge(z, REG, KEYS))
     q = M.residual_quantiles(z, m, REG, KEYS)
-    out = M.quantile_forecast(z.filter("role = 'test' and y is not null"), m, q, REG, KEYS)
-    got = X.regression_metrics(out.filter("q is not null"), ["target", "version"])
-    return got.select(*[F.round(c, 8).alias(c) if t == "double" else c for c, t in got.dtypes])
+    return M.quantile_forecast(z.filter("role = 'test' and y is not null"), m, q, REG, KEYS)
+
+
+@query("p09_unscored_events", f"""
+SELECT d.target, d.version, count(*) FILTER (f IS NOT NULL AND q.k > 0) AS n, count(*) FILTER (f IS NULL OR coalesce(q.k, 0) = 0) AS unscored FROM (SELECT d.*, {Q.linear(REG)} AS f FROM v_zreg d LEFT JOIN v_ridge m USING (target, version, fold) WHERE role = 'test' AND y IS NOT NULL) d
+LEFT JOIN (SELECT target, version, fold, count(*) AS k FROM v_zreg WHERE role = 'train' AND y IS NOT NULL GROUP BY 1, 2, 3) q USING (target, version, fold) GROUP BY 1, 2""", ["v_zreg", "v_ridge"])
+def p09_unscored(spark, sf):
+    """Test events with and without a forecast."""
+    return X.regression_metrics(residual_forecasts(spark, sf), ["target", "version"]).select("target", "version", "n", "unscored")
 
 
 @query("p11_tree_models")
@@ -235,7 +247,11 @@ SELECT version, CAST(fold AS BIGINT) AS fold, count(*) AS pairs, round(avg(pow(y
 SELECT b.version, b.fold, b.y, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.version, d.fold, d.event_id, d.y, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d JOIN v_base m USING (target, version, fold) WHERE role = 'test') b
 JOIN (SELECT d.version, d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d JOIN v_chal m USING (target, version, fold) WHERE role = 'test') c USING (version, fold, event_id) WHERE b.p IS NOT NULL) GROUP BY 1, 2""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
 def p17(spark, sf):
-    """Baseline (size and sign of the gap) against the same plus issuer context, on the continuation outcome; events without own history fall back to the baseline."""
+    """Baseline (size and sign of the gap) against the same plus issuer context, on the continuation outcome; events without own history fall back to the baseline. Over the events that have one, as the SQL has it; the others are counted in `p17_unscored_events`."""
+    return X.mse_reduction(paired_forecasts(spark, sf).filter("baseline is not null"), ["target", "version", "fold"]).select("version", fold_col(), "pairs", F.round("baseline_mse", 6).alias("baseline_mse"), F.round("challenger_mse", 6).alias("challenger_mse"), F.round("relative_reduction", 6).alias("relative_reduction"))
+
+
+def paired_forecasts(spark, sf):
     t = target_rows(spark, sf, HIST[2:])
     ctx = P.issuer_context(P.history_sums(P.with_clocks(t), strict=True)).select("event_id", "role", "context", "n_own")
     e = study_events(spark, sf).select("event_id", (F.col("open") / F.col("anchor_close") - 1).alias("gap"), (F.col("close") / F.col("anchor_close") - 1).alias("ret"))
@@ -248,13 +264,21 @@ def p17(spark, sf):
         z = M.standardize(d, feats, KEYS)
         preds.append(M.predict(z.filter("role = 'test'"), cut_lineage(M.fit_ridge(z, feats, KEYS)), feats, KEYS, out=name).select(*KEYS, "event_id", "y", "n_own", name))
     pair = preds[0].join(preds[1].select(*KEYS, "event_id", "challenger"), [*KEYS, "event_id"])
-    pair = pair.withColumn("challenger", F.when(F.col("n_own") > 0, F.col("challenger")).otherwise(F.col("baseline"))).filter("baseline is not null")
-    return X.mse_reduction(pair, ["target", "version", "fold"]).select("version", fold_col(), "pairs", F.round("baseline_mse", 6).alias("baseline_mse"), F.round("challenger_mse", 6).alias("challenger_mse"), F.round("relative_reduction", 6).alias("relative_reduction"))
+    return pair.withColumn("challenger", F.when(F.col("n_own") > 0, F.col("challenger")).otherwise(F.col("baseline")))
+
+
+@query("p17_unscored_events", f"""
+SELECT version, CAST(fold AS BIGINT) AS fold, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS pairs, count(*) FILTER (b IS NULL OR c IS NULL) AS unscored FROM (
+SELECT b.version, b.fold, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.version, d.fold, d.event_id, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d LEFT JOIN v_base m USING (target, version, fold) WHERE role = 'test') b
+JOIN (SELECT d.version, d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d LEFT JOIN v_chal m USING (target, version, fold) WHERE role = 'test') c USING (version, fold, event_id)) GROUP BY 1, 2""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
+def p17_unscored(spark, sf):
+    """Test events scored by both models, and the others."""
+    return X.mse_reduction(paired_forecasts(spark, sf), ["target", "version", "fold"]).select("version", fold_col(), "pairs", "unscored")
 
 
 def ridge_losses(rows, model, feats):
     z = M.standardize(rows, feats, KEYS)
-    return M.predict(z.filter("role = 'test' and y is not null"), model, feats, KEYS).withColumn("loss", F.pow(F.col("p") - F.col("y"), 2)).filter("p is not null")
+    return M.predict(z.filter("role = 'test' and y is not null"), model, feats, KEYS).withColumn("loss", F.pow(F.col("p") - F.col("y"), 2))
 
 
 ABLATED = {"timing": ["is_I", "is_other", "logit_history"], "sector": ["after_hours", "logit_history"], "history": ["after_hours", "is_I", "is_other"], "none": FEATURES}
@@ -265,9 +289,19 @@ for _family, _kept in ABLATED.items():
 
 @query("p18_ablation", " UNION ALL ".join(f"SELECT target, version, CAST(fold AS BIGINT) AS fold, '{x}' AS family, l.n, round(l.loss - f.loss, 7) + 0.0 AS loss_difference FROM v_loss_{x} l JOIN v_loss_none f USING (target, version, fold)" for x in ("timing", "sector", "history")), [f"v_loss_{x}" for x in ABLATED])
 def p18(spark, sf):
+    """Folds with a scored event, as the SQL has it; the others are counted in `p18_unscored_events`."""
+    return ablated(spark, sf).filter("n > 0").select("target", "version", fold_col(), "family", "n", (F.round("loss_difference", 7) + 0.0).alias("loss_difference"))
+
+
+@query("p18_unscored_events")
+def p18_unscored(spark, sf):
+    """Test events with and without a loss, per fold and family."""
+    return ablated(spark, sf).select("target", "version", fold_col(), "family", "n", "unscored")
+
+
+def ablated(spark, sf):
     fit = lambda rows, feats: cut_lineage(M.fit_ridge(M.standardize(rows, feats, KEYS), feats, KEYS))
-    out = M.ablate(design(spark, sf), {"timing": ["after_hours"], "sector": ["is_I", "is_other"], "history": ["logit_history"]}, FEATURES, KEYS, fit, ridge_losses)
-    return out.select("target", "version", fold_col(), "family", "n", (F.round("loss_difference", 7) + 0.0).alias("loss_difference"))
+    return M.ablate(design(spark, sf), {"timing": ["after_hours"], "sector": ["is_I", "is_other"], "history": ["logit_history"]}, FEATURES, KEYS, fit, ridge_losses)
 
 
 def permuted_sql(feature):

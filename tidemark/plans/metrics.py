@@ -44,12 +44,22 @@ def binary_metrics(preds: DataFrame, by) -> DataFrame:
 
 
 def regression_metrics(preds: DataFrame, by, levels=QUANTILES) -> DataFrame:
-    """X2. Pinball loss by level and on average, interval coverage, mean absolute error of the median."""
+    """X2. Pinball loss by level and on average, interval coverage, mean absolute error of the median.
+
+    `n` counts the scored events; those without a forecast are counted as unscored, and a group with such an event has no metrics.
+    """
     each = [F.avg(pinball(F.col("y"), F.element_at("q", i + 1), level)).alias(f"pinball_{int(level * 100)}") for i, level in enumerate(levels)]
     inside = (F.col("y") >= F.element_at("q", 1)) & (F.col("y") <= F.element_at("q", len(levels)))
     mid = levels.index(0.5) + 1
-    return preds.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(event_pinball("y", "q", levels)).alias("mean_pinball"), *each,
-                                  F.avg(inside.cast("double")).alias("interval_coverage"), F.avg(F.abs(F.col("y") - F.element_at("q", mid))).alias("mae_of_the_median"))
+    scored = F.element_at("q", mid).isNotNull()  # an array of nulls is no forecast either
+    g = preds.groupBy(*by).agg(F.count_if(scored).alias("n"), F.count_if(~F.coalesce(scored, F.lit(False))).alias("unscored"), F.avg(event_pinball("y", "q", levels)).alias("mean_pinball"), *each,
+                               F.avg(inside.cast("double")).alias("interval_coverage"), F.avg(F.abs(F.col("y") - F.element_at("q", mid))).alias("mae_of_the_median"))
+    return blank_unscored(g, [c for c in g.columns if c not in (*by, "n", "unscored")])
+
+
+def blank_unscored(groups: DataFrame, metrics) -> DataFrame:
+    """Groups with an unscored event keep their counts and lose their metrics."""
+    return groups.withColumns({c: F.when(F.col("unscored") == 0, F.col(c)) for c in metrics})
 
 
 def pooled_by_fold_and_source(preds: DataFrame, keys=("target", "version")) -> DataFrame:
@@ -187,8 +197,10 @@ def gates(df: DataFrame, rules) -> DataFrame:
 
 
 def mse_reduction(pairs: DataFrame, by) -> DataFrame:
-    """X9. Mean squared errors of baseline and challenger, improvement and relative reduction."""
-    g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.pow(F.col("y") - F.col("baseline"), 2)).alias("baseline_mse"), F.avg(F.pow(F.col("y") - F.col("challenger"), 2)).alias("challenger_mse"))
+    """X9. Mean squared errors of baseline and challenger, improvement and relative reduction. `pairs` counts the events that both scored; the others are counted as unscored, and a group with such an event has no metrics."""
+    both = F.col("baseline").isNotNull() & F.col("challenger").isNotNull()
+    g = pairs.groupBy(*by).agg(F.count_if(both).alias("pairs"), F.count_if(~both).alias("unscored"), F.avg(F.pow(F.col("y") - F.col("baseline"), 2)).alias("baseline_mse"), F.avg(F.pow(F.col("y") - F.col("challenger"), 2)).alias("challenger_mse"))
+    g = blank_unscored(g, ["baseline_mse", "challenger_mse"])
     return g.withColumn("improvement", F.col("baseline_mse") - F.col("challenger_mse")).withColumn("relative_reduction", F.col("improvement") / F.nullif(F.when(F.col("baseline_mse") > 0, F.col("baseline_mse")), F.lit(0.0)))
 
 

@@ -219,16 +219,20 @@ def fit_trees(train: DataFrame, features, family: str, depth: int, binary: bool,
 
 
 def ablate(rows: DataFrame, families: dict, features, keys, fit, score) -> DataFrame:
-    """P18. Refit without each family of features; mean loss of the reduced model minus the full one. `fit(rows, features)` and `score(rows, model, features)` give losses."""
+    """P18. Refit without each family of features; mean loss of the reduced model minus the full one. `fit(rows, features)` and `score(rows, model, features)` give losses.
+
+    An event that either model leaves without a loss is counted as unscored, and a group with such an event has no difference.
+    """
     def mean_loss(kept, name):
         loss = score(rows, fit(rows, kept), kept)
-        return loss.groupBy(*keys).agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n")).withColumn("family", F.lit(name))
-    full = mean_loss(list(features), "none").select(*keys, F.col("loss").alias("full_loss"))
+        return loss.groupBy(*keys).agg(F.avg("loss").alias("loss"), F.count("loss").alias("n"), F.count_if(F.col("loss").isNull()).alias("unscored")).withColumn("family", F.lit(name))
+    full = mean_loss(list(features), "none").select(*keys, F.col("loss").alias("full_loss"), F.col("unscored").alias("_full_unscored"))
     parts = [mean_loss([f for f in features if f not in set(members)], name) for name, members in families.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.join(full, list(keys)).withColumn("loss_difference", F.col("loss") - F.col("full_loss"))
+    out = out.join(full, list(keys)).withColumn("unscored", F.greatest("unscored", "_full_unscored")).drop("_full_unscored")
+    return out.withColumn("loss_difference", F.when(F.col("unscored") == 0, F.col("loss") - F.col("full_loss")))
 
 
 def permuted(rows: DataFrame, feature: str, keys, seed: int, id_col="event_id") -> DataFrame:
