@@ -187,11 +187,9 @@ def test_similar_documents_are_found(spark, split_at):
             group[len(rows)] = g
             rows.append((len(rows), " ".join(words)))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(clashing(frame(spark, [(i, t, "en", "a") for i, t in rows])), split_at=split_at).collect()}
-    first = {}
-    for i, g in group.items():
-        first.setdefault(g, i)
-    assert len(got) == len(rows) and all(got[i] in (first[g], i) for i, g in group.items())
-    assert sum(got[i] == first[g] for i, g in group.items()) >= len(rows) - 2
+    plain = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    want = brute_components(range(len(rows)), lambda a, b: 5 * len(plain[a] & plain[b]) >= 4 * len(plain[a] | plain[b]))
+    assert got == want and sum(want[i] != i for i in want) > 50
 
 
 def test_similarity_is_decided_at_its_limit(spark):
@@ -648,7 +646,7 @@ def test_decontamination_edges(spark, edges, nothing):
     assert set(ids) == {6, 7} and {d for d, i, _ in got if i == 1} == {4, 5, None} and {d for d, i, _ in got if i is None} == {4, 5, None}
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(edges, bench.limit(0)).count() == 0
     kept = decontam.drop_contaminated(edges, bench)
-    assert kept.columns == edges.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 8, 9, None}
+    assert kept.columns == edges.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 8, 9}  # the row without an id holds item 1 and goes
 
 
 def test_items_and_documents_without_an_id_are_all_judged(spark):
