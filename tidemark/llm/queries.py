@@ -1,7 +1,7 @@
 """The registered queries of this package, each over its whole table, and their SQL where SQL can say the same."""
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, exact, langid, linededup, mixing, quality, simhash, suffix, toxicity, urls
+from tidemark.llm import decontam, exact, langid, linededup, mixing, packing, phrases, quality, resample, simhash, suffix, toxicity, urls
 from tidemark.llm.common import table
 from tidemark.runtime import pin_session
 
@@ -59,6 +59,21 @@ def op10_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark, sf_dir):
+    """Each language's 2000 best collocations of two to four words."""
+    return phrases.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_resample(spark, sf_dir):
+    """A quarter of the documents, drawn by how much likelier their words are in the benchmark."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("drawn")
+
+
+def op13_packing(spark, sf_dir):
+    """Every document's tokens in sequences of at most 1024."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op7_exact_dedup": """
         SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, sha256(body) AS text_sha256
@@ -88,9 +103,40 @@ SQL = {
         m3 AS (SELECT host, (p * k + bad) / (k + n) AS p, k + n AS w FROM s3, k3)
         SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN p - 1.645 * sqrt(p * (1 - p) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN ruled USING (page_id) LEFT JOIN m3 USING (host)""",
+    "op11_phrases": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+        counted AS (SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase, count(*) AS f FROM places, (VALUES (1), (2), (3), (4)) v(d) WHERE i + d - 1 <= len(w) GROUP BY ALL),
+        candidates AS (SELECT lang, d, phrase, f, string_split(phrase, ' ') AS w FROM counted WHERE d > 1 AND f >= 30),
+        held AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(f) AS most FROM candidates, (VALUES (2), (3)) v(k), (VALUES (1), (2), (3)) u(i) WHERE k < d AND i + k - 1 <= d GROUP BY ALL),
+        kept AS (SELECT c.* FROM candidates c LEFT JOIN held USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * f),
+        cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:d], ' ') AS rest FROM kept, (VALUES (1), (2), (3)) v(k) WHERE k < d),
+        scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = first JOIN counted y ON y.lang = c.lang AND y.phrase = rest),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        words AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE d = 1 GROUP BY lang)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best JOIN words USING (lang) QUALIFY rank <= 2000""",
+    "op12_resample": r"""
+        WITH RECURSIVE both_tables AS (SELECT false AS wanted, doc_id, text FROM documents UNION ALL SELECT true, NULL, text FROM benchmark),
+        split AS (SELECT row_number() OVER () AS row, wanted, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM both_tables),
+        places AS (SELECT row, wanted, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+        features AS (SELECT row, wanted, w[i] AS feature FROM places UNION ALL SELECT row, wanted, w[i] || ' ' || w[i + 1] FROM places WHERE i < len(w)),
+        names AS (SELECT feature, hex(encode(feature)) AS hx FROM (SELECT DISTINCT feature FROM features)),
+        crc_table AS (SELECT list(list_reduce(list_concat([x], [CAST(0 AS BIGINT) FOR b IN range(8)]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY x) AS t FROM (SELECT unnest(range(256)) AS x)),
+        digits AS (SELECT feature, t, [16 * (strpos('0123456789ABCDEF', hx[2 * j - 1]) - 1) + strpos('0123456789ABCDEF', hx[2 * j]) - 1 FOR j IN range(1, len(hx) // 2 + 1)] AS bytes FROM names, crc_table),
+        hashed AS (SELECT feature, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM digits),
+        placed AS (SELECT row, wanted, bucket, count(*) AS n FROM features JOIN hashed USING (feature) GROUP BY ALL),
+        totals AS (SELECT bucket, coalesce(sum(n) FILTER (NOT wanted), 0) AS s, coalesce(sum(n) FILTER (wanted), 0) AS t FROM placed GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS gain FROM totals),
+        sums AS (SELECT row, sum(n) AS n_features, sum(n * gain) AS total FROM placed JOIN gains USING (bucket) WHERE NOT wanted GROUP BY row),
+        weighed AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(total / n_features), 0) AS BIGINT) AS weight,
+                           CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM split LEFT JOIN sums USING (row) WHERE NOT wanted),
+        scored AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM weighed),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM ranked""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_toxicity, op4_quality, op5_line_dedup, op6_language, op7_exact_dedup, op8_url_filter, op9_suffix_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_toxicity, op4_quality, op5_line_dedup, op6_language, op7_exact_dedup, op8_url_filter, op9_suffix_dedup, op10_decontamination, op11_phrases, op12_resample, op13_packing)}
 
 
 def _pinned(fn):
