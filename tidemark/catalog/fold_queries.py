@@ -57,9 +57,13 @@ def target_rows(spark, sf, only=None):
     return cal.label_available(t, I.calendar(spark), "reaction_idx", F.col("n_sessions")).withColumnRenamed("label_available_at", "matures_at")
 
 
-def fold_rows(spark, sf, only=None):
+def version_rows(spark, sf, only=None):
     t = target_rows(spark, sf, only)
-    return P.folds(P.versions(t, caveats(t.select("event_id", "event_no").distinct())))
+    return P.versions(t, caveats(t.select("event_id", "event_no").distinct()))
+
+
+def fold_rows(spark, sf, only=None):
+    return P.folds(version_rows(spark, sf, only))
 
 
 def r(c, d=9, name=None):
@@ -108,7 +112,9 @@ def w06(spark, sf):
 
 @query("p03_walk_forward_folds", "SELECT CAST(fold AS BIGINT) AS fold, stage, role, version, target, count(*) AS events, count(y) AS defined FROM v_folds GROUP BY ALL", ["v_folds"])
 def p03(spark, sf):
-    return fold_rows(spark, sf).groupBy(F.col("fold").cast("bigint").alias("fold"), "stage", "role", "version", "target").agg(F.count(F.lit(1)).alias("events"), F.count("y").alias("defined"))
+    sides = P.fold_sums(version_rows(spark, sf), ["target", "version"], {"events": F.lit(1), "defined": F.col("y").isNotNull().cast("int").cast("long")})
+    both = F.array(*[F.struct(F.lit(role).alias("role"), F.col(role + "_events").alias("events"), F.col(role + "_defined").alias("defined")) for role in ("train", "test")])
+    return sides.select(F.col("fold").cast("bigint").alias("fold"), "stage", "version", "target", F.inline(both)).filter("events > 0").select("fold", "stage", "role", "version", "target", "events", "defined")
 
 
 @query("p04_sufficiency", """
@@ -118,7 +124,7 @@ SELECT *, CASE WHEN train_events < 40 THEN 'TOO_FEW_TRAINING_EVENTS' WHEN knd =
 SELECT target, knd, version, fold, count_if(role = 'train') AS train_events, count_if(role = 'train' AND y IS NOT NULL) AS train_defined, coalesce(count_if(role = 'train' AND y > 0 AND knd = 'binary'), 0) AS train_positives,
  count_if(role = 'test' AND y IS NOT NULL) AS test_defined FROM v_folds GROUP BY ALL))""", ["v_folds"])
 def p04(spark, sf):
-    return P.sufficiency(fold_rows(spark, sf)).select("target", "version", F.col("fold").cast("bigint").alias("fold"), "train_events", "train_defined", "train_positives", "test_defined", "reason", "state")
+    return P.sufficiency(version_rows(spark, sf)).select("target", "version", F.col("fold").cast("bigint").alias("fold"), "train_events", "train_defined", "train_positives", "test_defined", "reason", "state")
 
 
 @query("j13_cluster_disjointness", """
@@ -168,6 +174,20 @@ def j08(spark, sf):
     return history(spark, sf, True).select("event_id", "target", "role", "n_own", "n_group", "n_all", r("s_all", 6))
 
 
+@query("j08_fold_boundary", """
+SELECT q.event_id, q.target, round(epoch_us(q.boundary) / 1000000) AS boundary_second, count(h.event_id) FILTER (h.cik = q.cik) AS n_own, count(h.event_id) FILTER (h.sic_major_group = q.sic_major_group) AS n_group, count(h.event_id) AS n_all, round(coalesce(sum(h.y), 0), 6) + 0.0 AS s_all
+FROM (SELECT t.*, b.boundary FROM v_targets t JOIN (SELECT block, min(cutoff) AS boundary FROM v_targets GROUP BY 1) b USING (block) WHERE target IN ('gap_ge_3pct', 'gap_ge_5pct', 'day1_close_return')) q
+LEFT JOIN v_targets h ON h.target = q.target AND h.y IS NOT NULL AND h.matures_at < q.cutoff AND h.matures_at + INTERVAL 1 HOUR * (h.event_no % 150) < q.boundary GROUP BY q.event_id, q.target, q.boundary""", ["v_targets"])
+def j08_boundary(spark, sf):
+    """Outcomes known before the event's cutoff that also ended before the first cutoff of its fold; an outcome ends up to six days after its label is known."""
+    t = target_rows(spark, sf, HIST)
+    first = t.groupBy("block").agg(F.min("cutoff").alias("boundary"))  # one row per block
+    rows = t.join(first, "block").withColumns({"asked_at": F.col("cutoff"), "outcome_end": F.timestamp_micros(F.unix_micros("matures_at") + F.col("event_no") % 150 * 3_600_000_000), "role": F.lit("train")})
+    sums = P.history_sums(rows, True, "outcome_end", "boundary").drop("role")
+    out = sums.join(rows.select("event_id", "target", "boundary"), ["event_id", "target"])
+    return out.select("event_id", "target", F.round(F.unix_micros("boundary") / 1000000).alias("boundary_second"), "n_own", "n_group", "n_all", r("s_all", 6))
+
+
 RATE = """(s_own + 10 * CASE WHEN n_group >= 10 THEN s_group / n_group WHEN n_all > 0 THEN s_all / n_all ELSE {default} END) / (n_own + 10)"""
 
 
@@ -313,9 +333,9 @@ def o03(spark, sf):
 
 RANDOM = """
 SELECT target, avg(v) AS random_mean, quantile_cont(v, 0.025) AS random_low, quantile_cont(v, 0.975) AS random_high FROM (SELECT target, rep, sum(y) / 20 AS v FROM (
-SELECT *, row_number() OVER (PARTITION BY target, rep ORDER BY slot) AS rn FROM (SELECT target, rep, position, min(slot) AS slot FROM (SELECT target, rep, slot, CAST('0x' || md5('7|' || rep || '|' || slot)[1:8] AS BIGINT) % n AS position
- FROM (SELECT target, count(*) AS n FROM v_preds GROUP BY 1), range(1000) t(rep), range(120) u(slot)) GROUP BY 1, 2, 3))
-JOIN (SELECT target, y, row_number() OVER (PARTITION BY target ORDER BY event_id) - 1 AS position FROM v_preds) USING (target, position) WHERE rn <= 20 GROUP BY 1, 2) GROUP BY 1"""
+SELECT target, unnest(list_reduce(list_transform(range(20), lambda s: [CAST('0x' || md5('7|' || rep || '|' || s)[1:8] AS BIGINT) % (n - 20 + s + 1)]), lambda taken, d: list_append(taken, CASE WHEN list_contains(taken, d[1]) THEN n - 20 + len(taken) ELSE d[1] END))) AS position, rep
+ FROM (SELECT target, count(*) AS n FROM v_preds GROUP BY 1), range(1000) t(rep) WHERE n >= 40)
+JOIN (SELECT target, y, row_number() OVER (PARTITION BY target ORDER BY event_id) - 1 AS position FROM v_preds) USING (target, position) GROUP BY 1, 2) GROUP BY 1"""
 
 
 @query("o05_random_ranking", f"SELECT target, round(random_mean, 8) AS random_mean, round(random_low, 8) AS random_low, round(random_high, 8) AS random_high FROM ({RANDOM})", ["v_preds"])

@@ -13,7 +13,7 @@ from tidemark.catalog.report_queries import opens
 from tidemark.catalog.study_queries import KEEP, study_events
 from tidemark.functions import numeric as N
 from tidemark.operators import sessions as cal, sets as U, windows_join as J
-from tidemark.plans import folds as P, metrics as X, models as M
+from tidemark.plans import folds as P, metrics as X, models as M, trees as TR
 from tidemark.runtime import cut_lineage, pin_session, shared_folder, shared_table
 from tidemark.streaming import jobs as T
 
@@ -31,7 +31,7 @@ def design(spark, sf):
     def build():
         t = target_rows(spark, sf, HIST[:2])
         hist = P.issuer_history(P.history_sums(P.with_clocks(t))).select("event_id", "target", "role", "history_rate")
-        f = P.folds(versioned(t)).join(hist, ["event_id", "target", "role"])
+        f = P.walk_forward(versioned(t)).join(hist, ["event_id", "target", "role"])
         g = F.col("sic_division")
         return (f.withColumns({"after_hours": (F.col("timing") == "after_hours").cast("double"), "is_I": (g == "I").cast("double"), "is_other": (~g.isin("D", "I")).cast("double"),
                                "logit_history": N.logit(N.clip_rate("history_rate"))})
@@ -40,13 +40,13 @@ def design(spark, sf):
 
 
 def regression_design(spark, sf):
-    """Fold rows of the close return with the shrunken issuer mean; rows without any earlier event have no mean and leave the fit."""
+    """Rows of the close return, once under each clock, with the shrunken issuer mean; rows without any earlier event have no mean and leave the fit. `entry` says from when on a row may train."""
     def build():
         t = target_rows(spark, sf, HIST[2:])
         hist = P.issuer_history(P.history_sums(P.with_clocks(t))).select("event_id", "target", "role", "history_mean")
-        f = P.folds(versioned(t)).join(hist, ["event_id", "target", "role"])
+        f = P.walk_forward_entry(versioned(t)).join(hist, ["event_id", "target"])
         return (f.filter("history_mean is not null").withColumns({"after_hours": (F.col("timing") == "after_hours").cast("double"), "is_I": (F.col("sic_division") == "I").cast("double")})
-                .select(*KEYS, "role", "event_id", "reaction_idx", "cik", "y", "after_hours", "is_I", "history_mean"))
+                .select("target", "version", "block", "n_blocks", "entry", "role", "event_id", "reaction_idx", "cik", "y", "after_hours", "is_I", "history_mean"))
     return shared_table(spark, ("regression", sf), build)
 
 
@@ -135,8 +135,33 @@ def beta_columns(n):
 
 @query("p07_ridge", f"SELECT target, version, CAST(fold AS BIGINT) AS fold, n, state, {Q.betas(4)} FROM v_ridge", ["v_ridge"])
 def p07(spark, sf):
-    m = M.fit_ridge(M.standardize(regression_design(spark, sf), REG, KEYS), REG, KEYS)
-    return m.select("target", "version", fold_col(), "n", "state", *beta_columns(4))
+    m = M.fit_ridge_expanding(regression_design(spark, sf).filter("role = 'train'"), REG)
+    return m.filter("n > 0").select("target", "version", fold_col(), "n", "state", *beta_columns(4))
+
+
+LATE = "INTERVAL 1 DAY * (event_no % 9)"
+VIEWS["v_late_rows"] = (("v_versions", "v_history"), f"""
+SELECT f.target, f.version, f.block, f.n_blocks, f.event_id, f.cutoff, f.y, f.matures_at + {LATE} AS matures_at, CASE WHEN f.timing = 'after_hours' THEN 1.0 ELSE 0.0 END AS after_hours, CASE WHEN f.sic_division = 'I' THEN 1.0 ELSE 0.0 END AS is_I, {RATE.format(default='0.5')} AS history_rate
+FROM v_versions f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = 'train' WHERE f.target IN ('gap_ge_3pct', 'gap_ge_5pct')""")
+VIEWS["v_late_folds"] = (("v_late_rows",), """
+SELECT d.*, CASE WHEN block = fold THEN 'test' WHEN b.boundary IS NOT NULL AND NOT matures_at < b.boundary THEN 'late' ELSE 'train' END AS role FROM (SELECT *, unnest(generate_series(greatest(block, 2), greatest(n_blocks, 2))) AS fold FROM v_late_rows) d
+LEFT JOIN (SELECT block AS fold, min(cutoff) AS boundary FROM v_late_rows GROUP BY 1) b USING (fold)""")
+GATED = ["after_hours", "is_I", "history_rate"]
+Q.standardized("v_zlate", "v_late_folds", GATED)
+Q.ridge("v_late_ridge", "v_zlate", GATED)
+
+
+@query("p17_gated_fits", f"""
+SELECT target, version, CAST(fold AS BIGINT) AS fold, n, state, refused, {Q.betas(4)} FROM v_late_ridge JOIN (SELECT target, version, fold, count(*) FILTER (role = 'late' AND y IS NOT NULL) AS refused FROM v_late_folds GROUP BY 1, 2, 3) USING (target, version, fold)""", ["v_late_folds", "v_late_ridge"])
+def p17_gate(spark, sf):
+    """Ridge fits of all folds where labels become known up to eight days late: each fold refuses the ones not known before its first test cutoff, and later folds take them."""
+    t = target_rows(spark, sf, HIST[:2])
+    hist = P.issuer_history(P.history_sums(P.with_clocks(t))).filter("role = 'train'").select("event_id", "target", "history_rate")
+    late = versioned(t).withColumn("matures_at", F.timestamp_micros(F.unix_micros("matures_at") + F.col("event_no") % 9 * 86_400_000_000))
+    rows = P.walk_forward_entry(late).join(hist, ["event_id", "target"]).withColumns({"after_hours": (F.col("timing") == "after_hours").cast("double"), "is_I": (F.col("sic_division") == "I").cast("double")})
+    rows = cut_lineage(rows.select("target", "version", "block", "n_blocks", "entry", "event_id", "y", *GATED))
+    m = M.fit_ridge_expanding(rows, GATED).filter("n > 0").join(P.refused_rows(rows).drop("reason"), ["target", "version", "fold"], "left")
+    return m.select("target", "version", fold_col(), "n", "state", F.coalesce("refused", F.lit(0)).cast("bigint").alias("refused"), *beta_columns(4))
 
 
 @query("p08_logistic", f"SELECT target, version, CAST(fold AS BIGINT) AS fold, n, state, iterations, {Q.betas(5)} FROM v_logistic", ["v_logistic"])
@@ -144,24 +169,25 @@ def p08(spark, sf):
     return fitted_logistic(spark, sf).select("target", "version", fold_col(), "n", "state", "iterations", *beta_columns(5))
 
 
+P09_METRICS = [("mean_pinball", "(p1 + p5 + p9) / 3"), ("pinball_10", "p1"), ("pinball_50", "p5"), ("pinball_90", "p9"), ("interval_coverage", "CASE WHEN y >= a AND y <= c THEN 1.0 ELSE 0.0 END"), ("mae_of_the_median", "abs(y - b)")]
+
+
 @query("p09_residual_quantiles", f"""
-WITH fitted AS (SELECT d.*, {Q.linear(REG)} AS f FROM v_zreg d JOIN v_ridge m USING (target, version, fold)),
+WITH fitted AS (SELECT d.*, {Q.linear(REG)} AS f FROM v_zreg d LEFT JOIN v_ridge m USING (target, version, fold)),
 q AS (SELECT target, version, fold, [quantile_cont(y - f, 0.1), quantile_cont(y - f, 0.5), quantile_cont(y - f, 0.9)] AS q FROM fitted WHERE role = 'train' AND y IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2, 3),
-t AS (SELECT f.target, f.version, f.y, q.q[1] + f.f AS a, q.q[2] + f.f AS b, q.q[3] + f.f AS c FROM fitted f JOIN q USING (target, version, fold) WHERE f.role = 'test' AND f.y IS NOT NULL AND f.f IS NOT NULL),
+t AS (SELECT f.target, f.version, f.fold, f.y, q.q[1] + f.f AS a, q.q[2] + f.f AS b, q.q[3] + f.f AS c FROM fitted f LEFT JOIN q USING (target, version, fold) WHERE f.role = 'test' AND f.y IS NOT NULL),
 l AS (SELECT *, greatest(0.1 * (y - a), -0.9 * (y - a)) AS p1, greatest(0.5 * (y - b), -0.5 * (y - b)) AS p5, greatest(0.9 * (y - c), -0.1 * (y - c)) AS p9 FROM t)
-SELECT target, version, count(*) AS n, round(avg((p1 + p5 + p9) / 3), 8) AS mean_pinball, round(avg(p1), 8) AS pinball_10, round(avg(p5), 8) AS pinball_50, round(avg(p9), 8) AS pinball_90,
- round(avg(CASE WHEN y >= a AND y <= c THEN 1.0 ELSE 0.0 END), 8) AS interval_coverage, round(avg(abs(y - b)), 8) AS mae_of_the_median FROM l GROUP BY 1, 2""", ["v_zreg", "v_ridge"])
+SELECT target, version, CAST(fold AS BIGINT) AS fold, count(b) AS n, count(*) - count(b) AS unscored, {', '.join(f"CASE WHEN count(*) = count(b) THEN round(avg({e}), 8) END AS {n}" for n, e in P09_METRICS)} FROM l GROUP BY 1, 2, 3""", ["v_zreg", "v_ridge"])
 def p09(spark, sf):
-    """Over the events with a forecast, as the SQL has it; the others are counted in `p09_unscored_events`."""
-    got = X.regression_metrics(residual_forecasts(spark, sf).filter("q is not null"), ["target", "version"]).drop("unscored")
-    return got.select(*[F.round(c, 8).alias(c) if t == "double" else c for c, t in got.dtypes])
+    """Every test event of every fold: scored or counted as unscored, with metrics where all of a fold's events are scored."""
+    got = X.regression_metrics(residual_forecasts(spark, sf), KEYS)
+    return got.select(*[fold_col() if c == "fold" else F.round(c, 8).alias(c) if t == "double" else c for c, t in got.dtypes])
 
 
 def residual_forecasts(spark, sf):
-    z = M.standardize(regression_design(spark, sf), REG, KEYS)
-    m = cut_lineage(M.fit_ridge(z, REG, KEYS))
-    q = M.residual_quantiles(z, m, REG, KEYS)
-    return M.quantile_forecast(z.filter("role = 'test' and y is not null"), m, q, REG, KEYS)
+    rows = regression_design(spark, sf)
+    m = cut_lineage(M.fit_ridge_expanding(rows.filter("role = 'train'"), REG))
+    return M.expanding_quantile_forecast(rows.filter("y is not null"), m, REG)
 
 
 @query("p09_unscored_events", f"""
@@ -172,19 +198,41 @@ def p09_unscored(spark, sf):
     return X.regression_metrics(residual_forecasts(spark, sf), ["target", "version"]).select("target", "version", "n", "unscored")
 
 
+def tree_rows(spark, sf):
+    """Every fold of both gap targets in both versions: 0/1 outcomes of the issuer's rate, timing and sector."""
+    return design(spark, sf).filter("y is not null").withColumn("rate", F.round("history_rate", 6))
+
+
+TREE = ["after_hours", "is_I", "rate"]  # in the order of their names
+
+
 @query("p11_tree_models")
 def p11(spark, sf):
-    """Four families on the last fold; each fit is distributed, the driver walks the short list of families."""
-    d = design(spark, sf).filter("target = 'gap_ge_3pct' and y is not null")
-    last = d.groupBy("target", "version").agg(F.max("fold").alias("fold"))
-    d = cut_lineage(d.join(F.broadcast(last), ["target", "version", "fold"]))
-    train, test = d.filter("role = 'train'"), d.filter("role = 'test'")
-    out = None
-    for family in ("single_tree", "random_forest", "gradient_boosting", "equal_weight_ensemble"):
-        score = M.fit_trees(train, FEATURES, family, depth=2, binary=True, seed=17, trees=10, rounds=5)
-        part = score(test).agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")).withColumn("family", F.lit(family))
-        out = part if out is None else out.unionByName(part)
-    return out.select("family", "n", F.round("brier", 6).alias("brier"))
+    """Four families at two depths, all targets, versions and folds fitted together; mean squared error and log loss of the test rows."""
+    p = TR.tree_predictions(tree_rows(spark, sf), TREE, KEYS, depths=(1, 2), trees=10, rounds=5)
+    test = p.filter("role = 'test'")
+    return test.groupBy("target", "version", fold_col(), "family", "depth").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(X.event_brier("p", "y")), 6).alias("brier"), F.round(F.avg(X.event_log_loss("p", "y")), 6).alias("log_loss"))
+
+
+VIEWS["v_tree_rows"] = (("v_design",), "SELECT target, version, fold, role, event_id, y, [after_hours, is_I, round(history_rate, 6)] AS x FROM v_design WHERE y IS NOT NULL")
+for _level in (0, 1):
+    _source, _node = ("v_tree_rows", "1") if not _level else ("v_tree_1", "node")
+    VIEWS[f"v_split_{_level}"] = ((_source,), f"""
+WITH v AS (SELECT target, version, fold, {_node} AS node, f, x[f + 1] AS x, count(*) AS c, sum(y) AS s FROM {_source}, range(3) r(f) WHERE role = 'train' GROUP BY ALL),
+w AS (SELECT *, sum(c) OVER o AS lc, sum(s) OVER o AS ls, lead(x) OVER o AS nxt, sum(c) OVER g AS tc, sum(s) OVER g AS ts FROM v WINDOW g AS (PARTITION BY target, version, fold, node, f), o AS (PARTITION BY target, version, fold, node, f ORDER BY x)),
+g AS (SELECT *, round(lc * pow(ls / lc - ts / tc, 2) + (tc - lc) * pow((ts - ls) / nullif(tc - lc, 0) - ts / tc, 2), 10) AS gain FROM w WHERE lc >= 10 AND tc - lc >= 10)
+SELECT target, version, fold, node, f, x / 2 + nxt / 2 AS t, ls / lc AS lv, (ts - ls) / (tc - lc) AS rv FROM g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY target, version, fold, node ORDER BY gain DESC, f, x) = 1""")
+    VIEWS[f"v_tree_{_level + 1}"] = ((_source, f"v_split_{_level}"), f"""
+SELECT d.* EXCLUDE ({'node, p' if _level else 'x'}), {'d.x' if not _level else 'd.p'} AS {'x' if not _level else 'p1'}, CASE WHEN s.f IS NULL THEN {'1' if not _level else 'd.node'} ELSE {'1' if not _level else 'd.node'} * 2 + CAST(d.x[s.f + 1] > s.t AS INTEGER) END AS node,
+ CASE WHEN s.f IS NULL THEN {'m.v' if not _level else 'd.p'} WHEN d.x[s.f + 1] > s.t THEN s.rv ELSE s.lv END AS p FROM {_source} d LEFT JOIN v_split_{_level} s ON s.target = d.target AND s.version = d.version AND s.fold = d.fold AND s.node = {'1' if not _level else 'd.node'}
+ {"JOIN (SELECT target, version, fold, avg(y) AS v FROM v_tree_rows WHERE role = 'train' GROUP BY 1, 2, 3) m ON m.target = d.target AND m.version = d.version AND m.fold = d.fold" if not _level else ''}""")
+
+
+@query("p11_single_tree", "SELECT target, version, CAST(fold AS BIGINT) AS fold, event_id, unnest([1, 2]) AS depth, round(unnest([p1, p]), 8) + 0.0 AS p FROM v_tree_2 WHERE role = 'test'", ["v_tree_2"])
+def p11_single(spark, sf):
+    """The greedy tree of each target, version and fold, at depth one and two, event by event."""
+    p = TR.tree_predictions(tree_rows(spark, sf), TREE, KEYS, ("single_tree",), depths=(1, 2), bins=1 << 20)
+    return p.filter("role = 'test'").select("target", "version", fold_col(), "event_id", "depth", (F.round("p", 8) + 0.0).alias("p"))
 
 
 @query("p12_encoder", """
@@ -242,66 +290,77 @@ Q.ridge("v_base", "v_zbase", ["size", "direction"])
 Q.ridge("v_chal", "v_zchal", ["size", "direction", "tilt"])
 
 
+P17_PAIRS = f"""
+SELECT b.version, b.fold, b.y, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.version, d.fold, d.event_id, d.y, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d LEFT JOIN v_base m USING (target, version, fold) WHERE role = 'test') b
+JOIN (SELECT d.version, d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d LEFT JOIN v_chal m USING (target, version, fold) WHERE role = 'test') c USING (version, fold, event_id)"""
+
+
 @query("p17_paired_folds", f"""
-SELECT version, CAST(fold AS BIGINT) AS fold, count(*) AS pairs, round(avg(pow(y - b, 2)), 6) AS baseline_mse, round(avg(pow(y - c, 2)), 6) AS challenger_mse, round((avg(pow(y - b, 2)) - avg(pow(y - c, 2))) / avg(pow(y - b, 2)), 6) AS relative_reduction FROM (
-SELECT b.version, b.fold, b.y, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.version, d.fold, d.event_id, d.y, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d JOIN v_base m USING (target, version, fold) WHERE role = 'test') b
-JOIN (SELECT d.version, d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d JOIN v_chal m USING (target, version, fold) WHERE role = 'test') c USING (version, fold, event_id) WHERE b.p IS NOT NULL) GROUP BY 1, 2""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
+SELECT version, fold, pairs, unscored, CASE WHEN unscored = 0 THEN round(b, 6) END AS baseline_mse, CASE WHEN unscored = 0 THEN round(c, 6) END AS challenger_mse, CASE WHEN unscored = 0 THEN round((b - c) / b, 6) END AS relative_reduction FROM (
+SELECT version, CAST(fold AS BIGINT) AS fold, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS pairs, count(*) FILTER (b IS NULL OR c IS NULL) AS unscored, avg(pow(y - b, 2)) AS b, avg(pow(y - c, 2)) AS c FROM ({P17_PAIRS}) GROUP BY 1, 2)""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
 def p17(spark, sf):
-    """Baseline (size and sign of the gap) against the same plus issuer context, on the continuation outcome; events without own history fall back to the baseline. Over the events that have one, as the SQL has it; the others are counted in `p17_unscored_events`."""
-    return X.mse_reduction(paired_forecasts(spark, sf).filter("baseline is not null"), ["target", "version", "fold"]).select("version", fold_col(), "pairs", F.round("baseline_mse", 6).alias("baseline_mse"), F.round("challenger_mse", 6).alias("challenger_mse"), F.round("relative_reduction", 6).alias("relative_reduction"))
+    """Baseline (size and sign of the gap) against the same plus issuer context, on the continuation outcome; events without own history fall back to the baseline."""
+    m = X.mse_reduction(paired_forecasts(spark, sf), KEYS)
+    return m.select("version", fold_col(), "pairs", "unscored", F.round("baseline_mse", 6).alias("baseline_mse"), F.round("challenger_mse", 6).alias("challenger_mse"), F.round("relative_reduction", 6).alias("relative_reduction"))
 
 
 def paired_forecasts(spark, sf):
     t = target_rows(spark, sf, HIST[2:])
     ctx = P.issuer_context(P.history_sums(P.with_clocks(t), strict=True)).select("event_id", "role", "context", "n_own")
     e = study_events(spark, sf).select("event_id", (F.col("open") / F.col("anchor_close") - 1).alias("gap"), (F.col("close") / F.col("anchor_close") - 1).alias("ret"))
-    f = P.folds(versioned(t)).join(ctx, ["event_id", "role"]).join(e, "event_id")
+    f = P.walk_forward_entry(versioned(t)).join(ctx, "event_id").join(e, "event_id")
     sign = F.signum("gap")
     d = (f.withColumn("y", F.when(F.col("y").isNotNull(), N.continuation("gap", "ret"))).withColumns({"size": F.abs("gap"), "direction": sign, "tilt": -sign * F.col("context") / F.nullif(1 + F.col("gap"), F.lit(0.0))}).filter("y is not null"))
-    d = cut_lineage(d.select(*KEYS, "role", "event_id", "reaction_idx", "cik", "y", "size", "direction", "tilt", "n_own"))
-    preds = []
-    for name, feats in (("baseline", ["size", "direction"]), ("challenger", ["size", "direction", "tilt"])):
-        z = M.standardize(d, feats, KEYS)
-        preds.append(M.predict(z.filter("role = 'test'"), cut_lineage(M.fit_ridge(z, feats, KEYS)), feats, KEYS, out=name).select(*KEYS, "event_id", "y", "n_own", name))
-    pair = preds[0].join(preds[1].select(*KEYS, "event_id", "challenger"), [*KEYS, "event_id"])
-    return pair.withColumn("challenger", F.when(F.col("n_own") > 0, F.col("challenger")).otherwise(F.col("baseline")))
+    d = cut_lineage(d.select("target", "version", "block", "n_blocks", "entry", "role", "event_id", "reaction_idx", "cik", "y", "size", "direction", "tilt", "n_own"))
+    return M.paired_folds(d, ["size", "direction"], "tilt", F.col("n_own") > 0)
 
 
 @query("p17_unscored_events", f"""
-SELECT version, CAST(fold AS BIGINT) AS fold, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS pairs, count(*) FILTER (b IS NULL OR c IS NULL) AS unscored FROM (
-SELECT b.version, b.fold, b.p AS b, CASE WHEN b.n_own > 0 THEN c.p ELSE b.p END AS c FROM (SELECT d.version, d.fold, d.event_id, d.n_own, {Q.linear(['size', 'direction'])} AS p FROM v_zbase d LEFT JOIN v_base m USING (target, version, fold) WHERE role = 'test') b
-JOIN (SELECT d.version, d.fold, d.event_id, {Q.linear(['size', 'direction', 'tilt'])} AS p FROM v_zchal d LEFT JOIN v_chal m USING (target, version, fold) WHERE role = 'test') c USING (version, fold, event_id)) GROUP BY 1, 2""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
+SELECT version, CAST(fold AS BIGINT) AS fold, count(*) FILTER (b IS NOT NULL AND c IS NOT NULL) AS pairs, count(*) FILTER (b IS NULL OR c IS NULL) AS unscored FROM ({P17_PAIRS}) GROUP BY 1, 2""", ["v_zbase", "v_base", "v_zchal", "v_chal"])
 def p17_unscored(spark, sf):
     """Test events scored by both models, and the others."""
     return X.mse_reduction(paired_forecasts(spark, sf), ["target", "version", "fold"]).select("version", fold_col(), "pairs", "unscored")
 
 
-def ridge_losses(rows, model, feats):
-    z = M.standardize(rows, feats, KEYS)
-    return M.predict(z.filter("role = 'test' and y is not null"), model, feats, KEYS).withColumn("loss", F.pow(F.col("p") - F.col("y"), 2))
-
-
 ABLATED = {"timing": ["is_I", "is_other", "logit_history"], "sector": ["after_hours", "logit_history"], "history": ["after_hours", "is_I", "is_other"], "none": FEATURES}
 for _family, _kept in ABLATED.items():
     Q.ridge(f"v_ablate_{_family}", "v_zdesign", _kept)
-    VIEWS[f"v_loss_{_family}"] = (("v_zdesign", f"v_ablate_{_family}"), f"SELECT target, version, fold, count(*) AS n, avg(pow({Q.linear(_kept)} - y, 2)) AS loss FROM v_zdesign d JOIN v_ablate_{_family} m USING (target, version, fold) WHERE role = 'test' AND y IS NOT NULL AND b0 IS NOT NULL GROUP BY 1, 2, 3")
+    VIEWS[f"v_loss_{_family}"] = (("v_zdesign", f"v_ablate_{_family}"), f"""SELECT target, version, fold, count(loss) AS n, count(*) - count(loss) AS unscored, avg(loss) AS loss FROM (
+SELECT d.target, d.version, d.fold, pow({Q.linear(_kept)} - y, 2) AS loss FROM v_zdesign d LEFT JOIN v_ablate_{_family} m USING (target, version, fold) WHERE role = 'test' AND y IS NOT NULL) GROUP BY 1, 2, 3""")
+
+
+def _ablation_sql(columns):
+    return " UNION ALL ".join(f"SELECT target, version, CAST(fold AS BIGINT) AS fold, '{x}' AS family, l.n, greatest(l.unscored, f.unscored) AS unscored{columns} FROM v_loss_{x} l JOIN v_loss_none f USING (target, version, fold)" for x in ("timing", "sector", "history"))
 
 
-@query("p18_ablation", " UNION ALL ".join(f"SELECT target, version, CAST(fold AS BIGINT) AS fold, '{x}' AS family, l.n, round(l.loss - f.loss, 7) + 0.0 AS loss_difference FROM v_loss_{x} l JOIN v_loss_none f USING (target, version, fold)" for x in ("timing", "sector", "history")), [f"v_loss_{x}" for x in ABLATED])
+@query("p18_ablation", _ablation_sql(", CASE WHEN greatest(l.unscored, f.unscored) = 0 THEN round(l.loss - f.loss, 7) + 0.0 END AS loss_difference"), [f"v_loss_{x}" for x in ABLATED])
 def p18(spark, sf):
-    """Folds with a scored event, as the SQL has it; the others are counted in `p18_unscored_events`."""
-    return ablated(spark, sf).filter("n > 0").select("target", "version", fold_col(), "family", "n", (F.round("loss_difference", 7) + 0.0).alias("loss_difference"))
+    """Every fold: test events with and without a loss, and the difference where all have one."""
+    return ablated(spark, sf).select("target", "version", fold_col(), "family", "n", "unscored", (F.round("loss_difference", 7) + 0.0).alias("loss_difference"))
 
 
-@query("p18_unscored_events")
+@query("p18_unscored_events", _ablation_sql(""), [f"v_loss_{x}" for x in ABLATED])
 def p18_unscored(spark, sf):
     """Test events with and without a loss, per fold and family."""
     return ablated(spark, sf).select("target", "version", fold_col(), "family", "n", "unscored")
 
 
+def expanding_design(spark, sf):
+    """The rows of `design` once under each clock instead of once per fold."""
+    def build():
+        t = target_rows(spark, sf, HIST[:2])
+        hist = P.issuer_history(P.history_sums(P.with_clocks(t))).select("event_id", "target", "role", "history_rate")
+        g = F.col("sic_division")
+        return (P.walk_forward_entry(versioned(t)).join(hist, ["event_id", "target"])
+                .withColumns({"after_hours": (F.col("timing") == "after_hours").cast("double"), "is_I": (g == "I").cast("double"), "is_other": (~g.isin("D", "I")).cast("double"), "logit_history": N.logit(N.clip_rate("history_rate"))})
+                .select("target", "version", "block", "n_blocks", "entry", "role", "event_id", "y", *FEATURES))
+    return shared_table(spark, ("expanding", sf), build)
+
+
 def ablated(spark, sf):
-    fit = lambda rows, feats: cut_lineage(M.fit_ridge(M.standardize(rows, feats, KEYS), feats, KEYS))
-    return M.ablate(design(spark, sf), {"timing": ["after_hours"], "sector": ["is_I", "is_other"], "history": ["logit_history"]}, FEATURES, KEYS, fit, ridge_losses)
+    fit = lambda rows, feats: cut_lineage(M.fit_ridge_expanding(rows.filter("role = 'train'"), feats))
+    loss = lambda rows, model, feats: M.predict_expanding(rows.filter("role = 'test' and y is not null"), model, feats).withColumn("loss", F.pow(F.col("p") - F.col("y"), 2))
+    return M.ablate(expanding_design(spark, sf), {"timing": ["after_hours"], "sector": ["is_I", "is_other"], "history": ["logit_history"]}, FEATURES, KEYS, fit, loss)
 
 
 def permuted_sql(feature):

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidemark.operators.ranking import positions, prefix_sums
 from tidemark.operators.validate import HISTORICAL, available_at
 
 DAY = 86_400_000_000
@@ -88,25 +89,41 @@ def asof_features(cutoffs: DataFrame, features: DataFrame, mode=HISTORICAL, enti
 
 
 def asof_sums(facts: DataFrame, queries: DataFrame, keys, at: str, cutoff: str, measures: dict, strict=False) -> DataFrame:
-    """J7, J8. Sums over everything of the same key known by a cutoff: available at or before it, or (strict) before it.
+    """J7. Sums over everything of the same key known by a cutoff: available at or before it, or (strict) before it.
 
-    Facts are first summed per (key, instant), a partial aggregate, and asked for once per (key, cutoff); a running sum inside each (key, day) starts from the
-    total of all earlier days. Returns one row per distinct (key, cutoff).
+    Facts are first summed per (key, instant), a partial aggregate, and asked for once per (key, cutoff); both stand on one line of time per key, over which sums run. The line is cut
+    by ranges of (key, instant), so one key, or one day of one key, may hold any share of the rows. Returns one row per distinct (key, cutoff).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    sums = [F.sum(c).alias(m) for m, c in measures.items()]
-    again = [F.sum(m).alias(m) for m in measures]
-    f = facts.filter(F.col(at).isNotNull()).groupBy(*keys, F.unix_micros(F.col(at)).alias("_t")).agg(*sums).withColumn("_d", F.floor(F.col("_t") / DAY))
-    q = queries.select(*keys, F.unix_micros(F.col(cutoff)).alias("_t")).distinct().withColumn("_d", F.floor(F.col("_t") / DAY))
-    zero = [F.lit(None).cast(f.schema[m].dataType).alias(m) for m in measures]
-    daily = f.groupBy(*keys, "_d").agg(*again).unionByName(q.select(*keys, "_d").distinct().select("*", *zero)).groupBy(*keys, "_d").agg(*again)
-    earlier = W.partitionBy(*keys).orderBy("_d").rowsBetween(W.unboundedPreceding, -1)  # one row per day
-    base = daily.select(*keys, "_d", F.lit(-1).cast("long").alias("_t"), F.lit(0).alias("_k"), *[F.sum(m).over(earlier).alias(m) for m in measures])
-    line = (base.unionByName(f.select(*keys, "_d", "_t", F.lit(2 if strict else 0).alias("_k"), *measures))
-            .unionByName(q.select(*keys, "_d", "_t", F.lit(1).alias("_k"), *zero)))
-    upto = W.partitionBy(*keys, "_d").orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, 0)
-    return (line.select(*keys, "_t", "_k", *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(m) for m in measures])
-            .filter("_k = 1").select(*keys, F.timestamp_micros("_t").alias(cutoff), *measures))
+    f = facts.filter(F.col(at).isNotNull()).groupBy(*keys, F.unix_micros(F.col(at)).alias("_t")).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+    q = queries.select(*keys, F.unix_micros(F.col(cutoff)).alias("_t")).distinct()
+    none = [F.lit(None).cast(f.schema[m].dataType).alias(m) for m in measures]
+    line = f.select(*keys, "_t", F.lit(2 if strict else 0).alias("_k"), *measures).unionByName(q.select(*keys, "_t", F.lit(1).alias("_k"), *none))
+    return prefix_sums(line, [F.asc("_t"), F.asc("_k")], list(measures), keys).filter("_k = 1").select(*keys, F.timestamp_micros("_t").alias(cutoff), *measures)
+
+
+def dominance_sums(facts: DataFrame, queries: DataFrame, keys, at: str, cutoff: str, ends: str, bound: str, measures: dict, strict=True) -> DataFrame:
+    """J8. Sums over the facts of the same key that are known before the cutoff (`strict=False`: by it) and ended before the bound: two clocks, each with its own limit.
+
+    Bounds are numbered per key, and a fact gets the number of the first bound after its end. The bounds up to one number are a sum of whole blocks, one for each binary digit of it, so a
+    fact enters a block of every size and a query asks one block a digit; in each block the other clock is an as-of sum. No fact meets a query, and work grows with the logarithm of
+    the number of bounds. Returns one row per distinct (key, cutoff, bound); queries without a bound are not answered, facts without an end never count.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    q = queries.select(*keys, cutoff, F.col(bound).alias("_y")).filter("_y is not null").distinct()
+    bounds = positions(q.select(*keys, "_y").distinct(), [F.asc("_y")], keys, out="_n")
+    f = facts.filter(F.col(ends).isNotNull() & F.col(at).isNotNull()).groupBy(*keys, F.col(at).alias("_a"), F.col(ends).alias("_e")).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+    first = asof_sums(bounds, f, keys, "_y", "_e", {"_first": F.lit(1)})  # bounds at or before the end: the first one after it has this number
+    size = bounds.groupBy(*keys).agg(F.max("group_n").alias("_size"))
+    block = lambda n, k: F.floor(n / F.pow(F.lit(2.0), k)).cast("long")
+    levels = F.sequence(F.lit(0), F.floor(F.log2("_size")).cast("int"))
+    entered = f.join(first, [*keys, "_e"]).join(size, keys).filter(F.col("_first") < F.col("_size"))
+    entered = (entered.withColumn("_l", F.explode(F.filter(levels, lambda k: block(F.col("_first"), k) % 2 == 0)))  # an even block is the last one of some bounds, an odd one never
+               .withColumn("_b", block(F.col("_first"), F.col("_l"))).select(*keys, "_l", "_b", "_a", *measures))
+    asked = q.join(bounds, [*keys, "_y"]).withColumn("_size", F.col("_n") + 1)
+    asked = asked.withColumn("_l", F.explode(F.filter(levels, lambda k: block(F.col("_size"), k) % 2 == 1))).withColumn("_b", block(F.col("_size"), F.col("_l")) - 1).select(*keys, cutoff, "_y", "_l", "_b")
+    sums = asof_sums(entered, asked, [*keys, "_l", "_b"], "_a", cutoff, {m: F.col(m) for m in measures}, strict)
+    return (asked.join(sums, [*keys, "_l", "_b", cutoff], "left").groupBy(*keys, cutoff, F.col("_y").alias(bound)).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]))
 
 
 def join_asof_sums(queries: DataFrame, facts: DataFrame, keys, at: str, cutoff: str, measures: dict, strict=False) -> DataFrame:

@@ -3,6 +3,8 @@
 Rows are range-partitioned on the full ordering (whose tie-break makes it unique, so a value shared by a third of the rows still splits) and written once; what
 comes before a partition is one small row per partition and group in it.
 """
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.runtime import cut_lineage, written
@@ -36,6 +38,24 @@ def running_totals(df: DataFrame, order, measures, by=()) -> DataFrame:
             .select("*", *[(F.col("_b_" + m) + F.sum(m).over(inside)).alias("cum_" + m) for m in measures]).drop("_p", "_i", *["_b_" + m for m in measures]))
 
 
+def prefix_sums(df: DataFrame, order, measures, by) -> DataFrame:
+    """Each measure becomes its sum over all rows of the group up to and including this one in `order` (nulls add nothing); a group of any size spreads over the range partitions.
+
+    A key that goes on in the next partition takes the sums of those before it. Partitions are cut in the order of the keys, so only the first key of a partition can come from an
+    earlier one: what is carried is at most one row a partition, small enough to broadcast whatever the data.
+    """
+    keys = list(by)
+    rows = range_partitioned(df, [F.col(k) for k in keys] + list(order))
+    parts = rows.groupBy(*keys, "_p").agg(*[F.sum(m).alias(m) for m in measures])
+    w = W.partitionBy(*keys).orderBy("_p")  # one row a partition
+    before = parts.select(*keys, "_p", F.row_number().over(w).alias("_nth"), *[F.sum(m).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_b_" + m) for m in measures]).filter("_nth > 1").drop("_nth")
+    same = [F.col("r." + k).eqNullSafe(F.col("b." + k)) for k in [*keys, "_p"]]
+    inside = W.partitionBy(*keys, "_p").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    joined = rows.alias("r").join(F.broadcast(before).alias("b"), reduce(lambda a, b: a & b, same), "left").select("r.*", *["b._b_" + m for m in measures])
+    total = lambda m: F.coalesce("_b_" + m, F.lit(0)) + F.coalesce(F.sum(m).over(inside), F.lit(0))
+    return joined.withColumns({m: total(m) for m in measures}).drop("_p", "_i", *["_b_" + m for m in measures])
+
+
 def equal_bins(df: DataFrame, score: str, key: str, by=(), max_bins=4, per_bin=10) -> DataFrame:
     """W14. Equal-frequency bins by (score, key): min(max_bins, n // per_bin) of them, the first n mod bins one larger; `bin` is null when there are too few rows."""
     placed = positions(df, [F.col(score).asc(), F.col(key).asc()], by)

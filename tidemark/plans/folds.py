@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.numeric import rebase, rounded
-from tidemark.operators.asof import asof_sums
+from tidemark.operators.asof import asof_sums, dominance_sums
 from tidemark.plans.outcomes import LABELS, THRESHOLDS, ge_pct
 
 # Sufficiency floors and shrinkage strengths.
@@ -99,20 +99,73 @@ def folds(rows: DataFrame) -> DataFrame:
             .withColumn("stage", F.when(F.col("fold") == F.col("n_blocks"), "holdout").otherwise("development")))
 
 
-def sufficiency(f: DataFrame) -> DataFrame:
-    """P4. Per (target, version, fold): counts, state and reason under the training floors."""
-    train, defined = F.col("role") == "train", F.col("y").isNotNull()
-    g = f.groupBy("target", "kind", "version", "fold").agg(
-        F.count_if(train).alias("train_events"), F.count_if(train & defined).alias("train_defined"), F.count_if(train & (F.col("y") > 0) & (F.col("kind") == "binary")).alias("train_positives"),
-        F.count_if(~train & defined).alias("test_defined"))
-    neg = F.col("train_defined") - F.col("train_positives")
+def fold_sums(rows: DataFrame, keys, measures: dict, train_block="block") -> DataFrame:
+    """P3. Additive statistics of every fold without a copy of a row per fold: `train_<m>` over the blocks before it, `test_<m>` over its own, from one sum per block.
+
+    A fold's training side is a prefix of the blocks, so its sums are running sums over blocks (one row per key and block, bounded by the calendar). `train_block` may name a column that
+    lets a row in later than its own block does (`walk_forward_entry`); null never lets it in. Folds run from 2, or the key's first block, to the last block of all.
+    """
+    keys = list(keys)
+    sums = [F.sum(c).alias(m) for m, c in measures.items()]
+    own = rows.groupBy(*keys, "block").agg(*sums, F.max("n_blocks").alias("n_blocks"))
+    span = own.groupBy(*keys).agg(F.min("block").alias("_from"), F.greatest(F.max("n_blocks"), F.lit(2)).alias("_to"))
+    test = own.select(*keys, "block", *[F.col(m).alias("test_" + m) for m in measures])
+    train = own if train_block == "block" else rows.filter(F.col(train_block).isNotNull()).groupBy(*keys, F.col(train_block).alias("block")).agg(*sums)
+    train = train.select(*keys, "block", *[F.col(m).alias("_" + m) for m in measures])
+    grid = span.withColumn("block", F.explode(F.sequence(F.lit(1), "_to"))).join(train, [*keys, "block"], "left").join(test, [*keys, "block"], "left")
+    before = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = grid.select(*keys, F.col("block").alias("fold"), "_from", (F.col("block") == F.col("_to")).alias("_last"), *[zero(F.sum("_" + m).over(before)).alias("train_" + m) for m in measures], *[zero(F.col("test_" + m)).alias("test_" + m) for m in measures])
+    return out.filter(F.col("fold") >= F.greatest(F.col("_from"), F.lit(2))).withColumn("stage", F.when(F.col("_last"), "holdout").otherwise("development")).drop("_from", "_last")
+
+
+def sufficiency(rows: DataFrame) -> DataFrame:
+    """P4. Per (target, version, fold): counts, state and reason under the training floors, from rows that stand once (not the copies of `folds`)."""
     binary = F.col("kind") == "binary"
+    one = lambda c: c.cast("int").cast("long")
+    g = fold_sums(rows, ["target", "kind", "version"], {"events": F.lit(1), "defined": one(F.col("y").isNotNull()), "positives": F.coalesce(one((F.col("y") > 0) & binary), F.lit(0))}).drop("test_events", "test_positives", "stage")
+    neg = F.col("train_defined") - F.col("train_positives")
     reason = (F.when(F.col("train_events") < MIN_TRAIN, "TOO_FEW_TRAINING_EVENTS")
               .when(~binary & (F.col("train_defined") < MIN_TRAIN), "TOO_FEW_DEFINED").when(binary & (F.col("train_positives") < MIN_CLASS), "TOO_FEW_POSITIVES")
               .when(binary & (neg < MIN_CLASS), "TOO_FEW_NEGATIVES"))
     return g.withColumn("reason", reason).withColumn("state", F.when(F.col("reason").isNull(), "EVALUABLE").otherwise("INSUFFICIENT_DATA"))
 
 
+def boundaries(rows: DataFrame) -> DataFrame:
+    """(fold, boundary): the first cutoff tested in each fold; one row per block. Bounds what a fit of that fold may know."""
+    return rows.groupBy(F.col("block").alias("fold")).agg(F.min("cutoff").alias("boundary")).filter("fold >= 2")
+
+
+def walk_forward_entry(rows: DataFrame) -> DataFrame:
+    """J12, P17. `entry`: the block from whose end on a row may train, the first fold after its own block that starts later than its label is known, less one; null if there is none.
+
+    A label is known in time for a fold if it matures before the fold's first test cutoff. For a prefix-summed fit (`fold_sums`) the row then simply belongs to a later block; the folds
+    in between refuse it (`refused_rows`). A row without a maturity never trains.
+    """
+    cuts = boundaries(rows).agg(F.array_sort(F.collect_list(F.struct("fold", "boundary"))).alias("_cuts"))  # as many as there are blocks
+    last = F.greatest("n_blocks", F.lit(2))
+    open_folds = F.filter("_cuts", lambda c: (c["fold"] > F.col("block")) & (c["boundary"] > F.col("matures_at")))
+    first = F.array_min(F.transform(open_folds, lambda c: c["fold"]))
+    # folds without a test row have no cutoff and ask for nothing: with a single block the only fold is 2
+    entry = F.when(F.col("n_blocks") < 2, F.lit(1)).otherwise(first - 1)
+    return rows.withColumn("_cuts", cuts.scalar()).withColumn("entry", F.when(F.col("matures_at").isNotNull() & (entry < last), entry).cast("int")).drop("_cuts")
+
+
+def refused_rows(entered: DataFrame) -> DataFrame:
+    """(target, version, fold, refused): training rows with an outcome that a fold refuses as `fit_label_not_mature`; a few numbers per fold, not a row per fold."""
+    late = entered.filter("y is not null").groupBy("target", "version", "block", "n_blocks", "entry").agg(F.count(F.lit(1)).alias("n"))
+    stop = F.coalesce(F.col("entry"), F.greatest(F.col("n_blocks"), F.lit(2)))
+    late = late.filter(stop > F.col("block")).withColumn("fold", F.explode(F.sequence(F.greatest(F.col("block") + 1, F.lit(2)), stop)))
+    return late.groupBy("target", "version", "fold").agg(F.sum("n").alias("refused")).withColumn("reason", F.lit("fit_label_not_mature"))
+
+
+def walk_forward(rows: DataFrame) -> DataFrame:
+    """P3, J12. The rows of `folds` as a fit may see them: a training row whose label is not known before the fold's first test cutoff has the role `late`, which no fit reads."""
+    f = folds(rows).join(F.broadcast(boundaries(rows)), "fold", "left")
+    late = (F.col("role") == "train") & F.col("boundary").isNotNull() & ~F.coalesce(F.col("matures_at") < F.col("boundary"), F.lit(False))
+    return f.withColumn("role", F.when(late, "late").otherwise(F.col("role")))
+
+
 def disjointness(f: DataFrame, keys=("reaction_session", "cluster_id", "block")) -> DataFrame:
     """J13. Per fold and key: how many values appear on both sides. Must be zero."""
     both = [F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys]
@@ -137,19 +190,26 @@ def maturity_gate(f: DataFrame) -> tuple[DataFrame, DataFrame]:
     return j.filter("not _late").drop("_late"), j.filter("_late").drop("_late").withColumn("reason", F.lit("fit_label_not_mature"))
 
 
-def history_sums(rows: DataFrame, strict=False) -> DataFrame:
+def history_sums(rows: DataFrame, strict=False, outcome_end=None, boundary=None) -> DataFrame:
     """J7, J8. For every (event, target): n and total of earlier matured outcomes of its issuer, of its major group and of all events, under two clocks.
 
     `asked_at` is the row's own cutoff for a training row; for a test row it stops short of the first label of the test block, so that no outcome of its own block
-    is ever history. A matured label implies an earlier session, so as-of sums give what pairing each event with its past would.
+    is ever history. A matured label implies an earlier session, so as-of sums give what pairing each event with its past would. With `outcome_end` and `boundary` (columns of
+    `rows`) an outcome counts only if it also ended before the asking row's boundary, such as the first test cutoff of its fold.
     """
+    if (outcome_end is None) != (boundary is None):
+        raise ValueError("outcome_end and boundary go together")
     scope = F.array(*[F.struct(F.lit(s).alias("scope"), k.alias("scope_key")) for s, k in (("own", F.col("cik")), ("group", F.col("sic_major_group")), ("all", F.lit("*")))])
     exploded = rows.withColumn("_s", F.explode(scope)).select("*", "_s.scope", "_s.scope_key").drop("_s")
-    facts = exploded.filter("role = 'train' and y is not null and matures_at is not null").select("target", "scope", "scope_key", "matures_at", "y")
-    asked = exploded.select("event_id", "target", "role", "scope", "scope_key", "asked_at")
-    sums = asof_sums(facts, asked, ["target", "scope", "scope_key"], "matures_at", "asked_at", {"n": F.lit(1), "s": F.col("y")}, strict)
-    pick = lambda s, m: F.max(F.when(F.col("scope") == s, F.col(m))).alias(f"{m}_{s}")
-    return (asked.join(sums, ["target", "scope", "scope_key", "asked_at"], "left").groupBy("event_id", "target", "role")
+    keys, measures = ["target", "scope", "scope_key"], {"n": F.lit(1), "s": F.col("y")}
+    facts = exploded.filter("role = 'train' and y is not null and matures_at is not null").select(*keys, "matures_at", "y", *([outcome_end] if outcome_end else []))
+    asked = exploded.select("event_id", "role", *keys, "asked_at", *([boundary] if boundary else []))
+    if outcome_end:
+        sums = dominance_sums(facts, asked, keys, "matures_at", "asked_at", outcome_end, boundary, measures, strict)
+    else:
+        sums = asof_sums(facts, asked, keys, "matures_at", "asked_at", measures, strict)
+    pick = lambda s, m: F.coalesce(F.max(F.when(F.col("scope") == s, F.col(m))), F.lit(0)).alias(f"{m}_{s}")
+    return (asked.join(sums, [*keys, "asked_at", *([boundary] if boundary else [])], "left").groupBy("event_id", "target", "role")
             .agg(*[pick(s, m) for s in ("own", "group", "all") for m in ("n", "s")]))
 
 

@@ -2,8 +2,11 @@
 
 A prediction row is (target, version, fold, event_id, session, issuer, y, p, base_rate); quantile forecasts carry an array instead of p.
 """
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.numeric import normal_quantile, wilson_high, wilson_low
@@ -85,23 +88,20 @@ def precision_at_k(preds: DataFrame, ks, by) -> DataFrame:
     return out.select(*by, "n", "base_rate", F.explode(rows).alias("_r")).select(*by, "n", "base_rate", "_r.*").filter(F.col("n") >= 2 * F.col("k"))
 
 
-DRAWS_PER_PLACE = 6
-
-
 def random_precision(preds: DataFrame, k: int, by, seed: int, rankings=1000) -> DataFrame:
-    """O5. Precision at k of seeded random rankings: mean and the 2.5th and 97.5th percentiles. Draws are content hashes, so any engine repeats them.
+    """O5. Precision at k of seeded random rankings: mean and the 2.5th and 97.5th percentiles; only where a group holds at least 2k rows, as for O3.
 
-    Rows are numbered once by event; a ranking's places are the first k distinct numbers among `DRAWS_PER_PLACE` * k draws, and meet their rows by equality. With at least 2k
-    rows (what O3 asks for) the draws fall short with a chance below 1e-9 a ranking. So n + 6000k rows move, not 1000n.
+    Rows are numbered once by event. A ranking takes k different numbers, one a place: the place s of n draws from the s+1 numbers up to n - k + s by content hash, and takes n - k + s itself
+    where an earlier place has its draw. Every set of k is equally likely, no draw is wasted, and any engine repeats it. So n + 1000k rows move, not 1000n.
     """
     keys = list(by)
     numbered = written(positions(preds.select(*keys, "event_id", "y"), [F.asc("event_id")], keys).withColumnRenamed("group_n", "_n"))
-    groups = numbered.groupBy(*keys).agg(F.max("_n").alias("_n"))
-    slots = (groups.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(rankings - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(DRAWS_PER_PLACE * k - 1))))
-             .withColumn("position", hash_draw(F.col("_n"), F.lit(seed), "replicate", "slot")))
-    first = slots.groupBy(*keys, "replicate", "position").agg(F.min("slot").alias("slot"))
-    w = W.partitionBy(*keys, "replicate").orderBy("slot")  # some hundred slots
-    taken = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    groups = numbered.groupBy(*keys).agg(F.max("_n").alias("_n")).filter(F.col("_n") >= 2 * k)
+    rankings_of = groups.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(rankings - 1))))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: hash_draw(F.col("_n") - k + s + 1, F.lit(seed), "replicate", s))
+    place = lambda taken, s: F.col("_n") - k + s
+    step = lambda taken, d: F.concat(taken, F.array(F.when(F.array_contains(taken, d), place(taken, F.size(taken))).otherwise(d)))
+    taken = rankings_of.withColumn("position", F.explode(F.aggregate(drawn, F.array().cast("array<bigint>"), step)))
     per = taken.join(numbered.select(*keys, "position", "y"), [*keys, "position"]).groupBy(*keys, "replicate").agg((F.sum("y") / k).alias("v"))
     return per.groupBy(*keys).agg(F.avg("v").alias("random_mean"), F.percentile("v", F.lit(0.025)).alias("random_low"), F.percentile("v", F.lit(0.975)).alias("random_high"))  # `rankings` values a group
 
@@ -119,28 +119,70 @@ def pair_predictions(a: DataFrame, b: DataFrame, keys=("target", "version", "fol
             .withColumn("difference", F.col("loss_a") - F.col("loss_b")).drop("_a", "_b"))
 
 
-def cluster_bootstrap(diffs: DataFrame, by, axes=("session", "issuer"), seed=0, replicates=5000, levels=(0.95, 0.99)) -> DataFrame:
+MOST_CLUSTERS = 1 << 20  # clusters of all groups whose sums (16 bytes each) are sent to every executor; beyond it drawn clusters are met by a join
+
+
+def cluster_bootstrap(diffs: DataFrame, by, axes=("session", "issuer"), seed=0, replicates=5000, levels=(0.95, 0.99), most_clusters=MOST_CLUSTERS) -> DataFrame:
     """X4. Percentile bootstrap of the mean difference, whole clusters drawn with replacement, on each clustering axis.
 
-    Differences are first summed per cluster, so replicates touch clusters and not events. Every cluster row supplies one draw slot per replicate; the cluster drawn
-    is a content hash of (seed, replicate, slot) modulo the number of clusters, and is met by equality on its number.
+    Differences are first summed per cluster, so replicates touch clusters and not events. Every cluster row supplies one draw slot per replicate; the cluster drawn is a content hash of
+    (seed, replicate, slot) modulo the number of clusters. Up to `most_clusters` clusters a task adds what its slots draw to one array of `replicates` sums per group, from the sums of all
+    clusters: what is shuffled is one array a task, however many clusters there are. Beyond that the draws are rows and meet their clusters by equality, with the same answers.
     """
     keys = [*by, "axis"]
     axis = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("cluster")) for a in axes])
-    sums = (diffs.withColumn("_x", F.explode(axis)).groupBy(*by, "_x.axis", "_x.cluster").agg(F.sum("difference").alias("total"), F.count(F.lit(1)).alias("size")))
-    numbered = written(positions(sums, [F.asc("cluster")], keys, out="j"))  # read as slots and as targets; its size decides the join below
-    # clusters are few rows in few partitions, so replicates are dealt out in blocks before they are opened
+    sums = (diffs.withColumn("_x", F.explode(axis)).groupBy(*by, "_x.axis", "_x.cluster").agg(F.sum("difference").cast("double").alias("total"), F.count(F.lit(1)).alias("size")))
+    numbered = written(positions(sums, [F.asc("cluster")], keys, out="j"))  # read as slots and as targets
+    draw = _replicates_in_arrays if numbered.count() <= most_clusters else _replicates_by_join
+    means = draw(numbered, keys, seed, replicates)
+    cuts = [((1 - lv) / 2, 1 - (1 - lv) / 2) for lv in levels]
+    bands = means.groupBy(*keys).agg(*[F.percentile("m", F.lit(c)).alias(f"{n}_{int(lv * 100)}") for lv, pair in zip(levels, cuts) for n, c in zip(("low", "high"), pair)])  # `replicates` values a group
+    base = numbered.groupBy(*keys).agg((F.sum("total") / F.sum("size")).alias("estimate"), F.sum("size").alias("events"), F.count(F.lit(1)).alias("clusters"))
+    return base.join(bands, keys)
+
+
+def _replicates_in_arrays(numbered, keys, seed, replicates):
+    """(keys, replicate, m) from additive arrays: each task sums what its own slots draw, replicate by replicate."""
+    spark = numbered.sparkSession
+    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    held = {}
+    for row in numbered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", "total", "size"))).alias("c")).collect():  # at most `most_clusters` numbers, checked
+        held[tuple(row[k] for k in keys)] = np.array([x["total"] for x in row["c"]]), np.array([x["size"] for x in row["c"]], np.int64)
+    types = {f.name: f.dataType.simpleString() for f in numbered.schema.fields}
+
+    def add(batches):
+        begun = [hashlib.md5(f"{seed}|{r}|".encode()) for r in range(replicates)]
+        out = {}
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                key, slot = tuple(row[:-1]), str(row[-1]).encode()
+                total, size = held[key]
+                at = np.empty(replicates, np.int64)
+                for r, start in enumerate(begun):
+                    h = start.copy()
+                    h.update(slot)
+                    at[r] = int.from_bytes(h.digest()[:4], "big")
+                at %= len(total)
+                sums = out.setdefault(key, [np.zeros(replicates), np.zeros(replicates, np.int64)])
+                sums[0] += total[at]
+                sums[1] += size[at]
+        for key, (total, size) in out.items():
+            yield pd.DataFrame({**{k: [v] * replicates for k, v in zip(keys, key)}, "replicate": range(replicates), "total": total, "size": size})
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", replicate int, total double, size long"
+    slots = numbered.select(*keys, F.col("j").alias("slot")).repartition(parallel)  # few bytes and much to do with each
+    return slots.mapInPandas(add, schema).groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("size")).alias("m"))
+
+
+def _replicates_by_join(numbered, keys, seed, replicates):
+    """(keys, replicate, m) with one row per draw; replicates are dealt out in blocks before they are opened."""
     chunk = max(1, -(-replicates // BLOCKS))
-    parallel = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, or these few bytes would be coalesced into one task
+    parallel = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, or these few bytes would be coalesced into one task
     slots = (numbered.select(*keys, F.col("j").alias("slot"), "group_n", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk))).alias("_block"))
              .repartition(parallel, *keys, "_block")
              .withColumn("replicate", F.explode(F.sequence(F.col("_block") * chunk, F.least(F.col("_block") * chunk + chunk, F.lit(replicates)) - 1)))
              .withColumn("j", hash_draw(F.col("group_n"), F.lit(seed), "replicate", "slot")))
-    means = (slots.join(numbered.select(*keys, "j", "total", "size"), [*keys, "j"]).groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("size")).alias("m")))
-    cuts = [((1 - lv) / 2, 1 - (1 - lv) / 2) for lv in levels]
-    bands = means.groupBy(*keys).agg(*[F.percentile("m", F.lit(c)).alias(f"{n}_{int(lv * 100)}") for lv, pair in zip(levels, cuts) for n, c in zip(("low", "high"), pair)])  # `replicates` values a group
-    base = numbered.groupBy(*keys).agg((F.sum("total") / F.sum("size")).alias("estimate"), F.sum("size").alias("events"), F.count(F.lit(1)).alias("clusters"))
-    return base.join(bands, keys)
+    return slots.join(numbered.select(*keys, "j", "total", "size"), [*keys, "j"]).groupBy(*keys, "replicate").agg((F.sum("total") / F.sum("size")).alias("m"))
 
 
 def headline(boot: DataFrame, by, level=99, order=("session", "issuer")) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.numeric import clip_rate, logit, sigmoid
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.runtime import cut_lineage, literal_table
+from tidemark.runtime import cut_lineage, written
 
 # Penalty, convergence and the near-constant threshold.
 RIDGE_LAMBDA, NEWTON_TOLERANCE, NEWTON_MAX_ITERATIONS, ZERO_SD = 1.0, 1e-8, 100, 1e-12
@@ -73,54 +73,136 @@ def linear(features, beta="beta"):
     return sum((F.element_at(beta, i + 2) * F.col("z_" + f) for i, f in enumerate(features)), F.element_at(beta, 1))
 
 
+def _raw(features, y):
+    """Measures of one row for `fit_ridge_expanding`: 1, x, x times x, y, x times y, of the shifted features."""
+    x = [F.col("_x_" + f) for f in features]
+    k = len(features)
+    return {"n": F.lit(1), **{f"x{i}": c for i, c in enumerate(x)}, **{f"x{i}_{j}": x[i] * x[j] for i in range(k) for j in range(i, k)}, "y": F.col(y), **{f"xy{i}": c * F.col(y) for i, c in enumerate(x)}}
+
+
+def fit_ridge_expanding(rows: DataFrame, features, keys=("target", "version"), minimum=40, train_block="entry") -> DataFrame:
+    """P7 over all expanding folds at once: (keys, fold), n, state, beta for standardized features, their `means` and `deviations` (0: near-constant, dropped).
+
+    `rows` stand once each, with block, n_blocks, y and the features of a training row; `train_block` says from which block's end a row trains (P17's gate, or `block`). Every row
+    goes into the moments of one block; a fold's moments are a prefix sum over blocks, and its standardization follows from them, so no row is copied per fold. Features are shifted
+    by the key's mean first, which keeps the differences of moments exact enough.
+    """
+    from tidemark.plans.folds import fold_sums
+    keys, k = list(keys), len(features)
+    known = rows.filter(F.col("y").isNotNull())
+    centre = known.groupBy(*keys).agg(*[F.avg(f).alias("_c_" + f) for f in features])
+    shifted = known.join(centre, keys).withColumns({"_x_" + f: F.col(f).cast("double") - F.col("_c_" + f) for f in features})
+    moments = fold_sums(shifted, keys, _raw(features, "y"), train_block).join(centre, keys)
+    fields = [f for f in moments.schema.fields if f.name in (*keys, "fold")]
+    names = [f.name for f in fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", n bigint, state string, beta array<double>, means array<double>, deviations array<double>"
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                n = row["train_n"]
+                if n < minimum:
+                    out.append((n, "INSUFFICIENT_DATA", None, None, None))
+                    continue
+                x, y = np.array([row[f"train_x{i}"] for i in range(k)]), row["train_y"]
+                xx = np.array([[row[f"train_x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                mean, centre_of = x / n, np.array([row["_c_" + f] for f in features])
+                cov = xx - n * np.outer(mean, mean)
+                sd = np.sqrt(np.maximum(np.diag(cov), 0) / n)
+                kept = sd > ZERO_SD * np.maximum(1.0, np.abs(mean + centre_of))
+                scale = np.where(kept, 1 / np.where(kept, sd, 1), 0.0)
+                gram = np.zeros((k + 1, k + 1))
+                gram[0, 0], gram[1:, 1:] = n, cov * np.outer(scale, scale) + RIDGE_LAMBDA * np.eye(k)
+                right = np.concatenate([[y], scale * (np.array([row[f"train_xy{i}"] for i in range(k)]) - mean * y)])
+                out.append((n, "FITTED", np.linalg.solve(gram, right).tolist(), (mean + centre_of).tolist(), np.where(kept, sd, 0.0).tolist()))
+            yield pd.DataFrame({**{c: pdf[c] for c in names}, **dict(zip(("n", "state", "beta", "means", "deviations"), map(list, zip(*out)) if out else [[]] * 5))})
+
+    return moments.mapInPandas(solve, schema)
+
+
+def _expanded(features):
+    """The forecast of a row joined to its fold's model (beta, means, deviations)."""
+    z = lambda i, f: F.when(F.element_at("deviations", i + 1) > 0, (F.col(f) - F.element_at("means", i + 1)) / F.element_at("deviations", i + 1)).otherwise(0.0)
+    return sum((F.element_at("beta", i + 2) * z(i, f) for i, f in enumerate(features)), F.element_at("beta", 1))
+
+
+def predict_expanding(rows: DataFrame, models: DataFrame, features, keys=("target", "version"), out="p") -> DataFrame:
+    """Every row with the prediction of its own block's fold; null, with the state, where that fold has no fit. Blocks before the first fold are left out."""
+    j = rows.withColumn("fold", F.col("block")).filter("fold >= 2").join(models.select(*keys, "fold", "state", "beta", "means", "deviations"), [*keys, "fold"], "left")
+    return j.withColumn(out, F.when(F.col("beta").isNotNull(), _expanded(features))).drop("beta", "means", "deviations")
+
+
+def expanding_quantile_forecast(rows: DataFrame, models: DataFrame, features, keys=("target", "version"), levels=(0.1, 0.5, 0.9)) -> DataFrame:
+    """P9 over expanding folds: test rows with `q`, their fitted value plus the quantiles of the training residuals of their own fold.
+
+    `rows` stand once under each clock (`role`). Residuals differ from fold to fold, so each training row meets the models of the folds it trains, by key; the quantiles are exact.
+    """
+    keys = list(keys)
+    fitted = models.filter("beta is not null").select(*keys, F.col("fold").alias("_fold"), "beta", "means", "deviations")
+    train = rows.filter("role = 'train' and y is not null and entry is not null").join(fitted, keys).filter(F.col("_fold") > F.col("entry")).withColumn("fold", F.col("_fold"))
+    residuals = exact_quantiles(train.withColumn("residual", F.col("y") - _expanded(features)), [*keys, "fold"], "residual", levels, out="residual_q").drop("n")
+    test = predict_expanding(rows.filter("role = 'test'"), models, features, keys, out="_f").join(residuals, [*keys, "fold"], "left")
+    return test.withColumn("q", F.when(F.col("_f").isNotNull(), F.transform("residual_q", lambda x: x + F.col("_f")))).drop("_f", "residual_q")
+
+
+def paired_folds(rows: DataFrame, features, extra: str, has_history, keys=("target", "version"), minimum=40) -> DataFrame:
+    """P17. Every test row with the forecasts of a ridge baseline on `features` and of a challenger that also sees `extra`, both fitted on the training rows their fold may know.
+
+    `rows` stand once under each clock (`role` train and test) with block, n_blocks and `entry` (`folds.walk_forward_entry`), so that no label known too late enters a fit. Where `has_history` is not true the
+    challenger takes the baseline's forecast. Forecasts are null where a fold has too few rows.
+    """
+    train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
+    for name, names in (("baseline", list(features)), ("challenger", [*features, extra])):
+        test = predict_expanding(test, cut_lineage(fit_ridge_expanding(train, names, keys, minimum)), names, keys, out=name).drop("state")
+    return test.withColumn("challenger", F.when(F.coalesce(has_history, F.lit(False)), F.col("challenger")).otherwise(F.col("baseline")))
+
+
 def fit_logistic(rows: DataFrame, features, keys, minimum_class=10) -> DataFrame:
     """P8. Ridge-penalized logistic per group by Newton steps; every step is one grouped sum of gradients and Hessians over the design, all groups together.
 
-    The driver sees k*k sums per group and step. A group that does not converge stays null with MODEL_FIT_FAILED.
+    What a step knows is a table of one row per group: its coefficients, its state and how many steps it took. The design meets it by key, a step solves each group's k-by-k system where
+    Spark put its sums, and the loop ends when no row of the table is live; so plans keep their size and the driver sees one number a step, however many groups there are. A group that does not converge
+    stays null with MODEL_FIT_FAILED.
     """
-    spark = rows.sparkSession
+    keys = list(keys)
     design = cut_lineage(rows.filter("role = 'train' and y is not null").select(*keys, "y", *["z_" + f for f in features]))  # read once per step
     k = len(features) + 1
-    counts = [r.asDict() for r in design.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).collect()]  # one row per fold and target
-    types = {f.name: f.dataType.simpleString() for f in design.schema.fields}
-    key_of = lambda r: tuple(r[c] for c in keys)
-    sizes = {key_of(r): r["n"] for r in counts}
-    done, live = {}, {}
-    for r in counts:
-        enough = min(r["pos"], r["n"] - r["pos"]) >= minimum_class
-        if enough:
-            live[key_of(r)] = np.zeros(k)
-        else:
-            done[key_of(r)] = (None, "INSUFFICIENT_DATA", 0)
-    schema = ", ".join(f"{c} {types[c]}" for c in keys)
+    enough = F.least(F.sum("y"), F.count(F.lit(1)) - F.sum("y")) >= minimum_class
+    zeros = F.array(*[F.lit(0.0)] * k)
+    state = written(design.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(enough, "LIVE").otherwise("INSUFFICIENT_DATA").alias("state"), F.lit(0).alias("iterations"), F.when(enough, zeros).alias("beta")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
     x = [F.lit(1.0)] + [F.col("z_" + f) for f in features]
-    for step in range(1, NEWTON_MAX_ITERATIONS + 1):
-        if not live:
-            break
-        betas = literal_table(spark, [(*key, [float(b) for b in beta]) for key, beta in live.items()], schema + ", beta array<double>")
-        p = sigmoid(linear(features))
-        j = design.join(betas, list(keys)).withColumn("_p", p)
-        sums = [F.sum(x[a] * (F.col("y") - F.col("_p"))).alias(f"d{a}") for a in range(k)]
-        sums += [F.sum(x[a] * x[b] * F.col("_p") * (1 - F.col("_p"))).alias(f"h{a}_{b}") for a in range(k) for b in range(a, k)]
-        for r in j.groupBy(*keys).agg(*sums).collect():
-            key = key_of(r)
-            beta = live[key]
-            penalty = np.array([0.0] + [RIDGE_LAMBDA] * (k - 1))
-            h = np.array([[r[f"h{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)]) + np.diag(penalty)
-            g = np.array([r[f"d{a}"] for a in range(k)]) - penalty * beta
-            try:
-                move = np.linalg.solve(h, g)
-            except np.linalg.LinAlgError:
-                done[key] = (None, "MODEL_FIT_FAILED", step)
-                del live[key]
-                continue
-            live[key] = beta + move
-            if np.abs(move).max() < NEWTON_TOLERANCE:
-                done[key] = (live.pop(key), "FITTED", step)
-    for key in live:
-        done[key] = (None, "MODEL_FIT_FAILED", NEWTON_MAX_ITERATIONS)
-    out = [(*key, sizes[key], state, steps, None if beta is None else [float(b) for b in beta]) for key, (beta, state, steps) in done.items()]
-    return literal_table(spark, out, schema + ", n bigint, state string, iterations int, beta array<double>") if out else design.select(*keys).limit(0)
+    y, p = F.col("y"), F.col("_p")
+    sums = [F.sum(x[a] * (y - p)).alias(f"d{a}") for a in range(k)] + [F.sum(x[a] * x[b] * p * (1 - p)).alias(f"h{a}_{b}") for a in range(k) for b in range(a, k)]
+    penalty = np.array([0.0] + [RIDGE_LAMBDA] * (k - 1))
+
+    def move(batches):
+        for pdf in batches:
+            states, steps, betas = [], [], []
+            for row in pdf.to_dict("records"):
+                beta = np.array(row["beta"], float)
+                h = np.array([[row[f"h{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)]) + np.diag(penalty)
+                steps.append(row["iterations"] + 1)
+                try:
+                    step = np.linalg.solve(h, np.array([row[f"d{a}"] for a in range(k)]) - penalty * beta)
+                except np.linalg.LinAlgError:
+                    step = np.array([np.nan])
+                if not np.isfinite(step).all():
+                    states.append("MODEL_FIT_FAILED")
+                    betas.append(None)
+                    continue
+                beta = beta + step
+                done, last = np.abs(step).max() < NEWTON_TOLERANCE, row["iterations"] + 1 >= NEWTON_MAX_ITERATIONS
+                states.append("FITTED" if done else "MODEL_FIT_FAILED" if last else "LIVE")
+                betas.append(None if last and not done else beta.tolist())
+            yield pd.DataFrame({**{c: pdf[c] for c in keys}, "n": pdf["n"], "state": states, "iterations": np.array(steps, np.int32), "beta": betas})
+
+    while not (live := state.filter("state = 'LIVE'")).isEmpty():  # at most NEWTON_MAX_ITERATIONS steps leave a group live
+        j = design.join(live.select(*keys, "beta"), keys).withColumn("_p", sigmoid(linear(features)))
+        moved = live.join(j.groupBy(*keys).agg(*sums), keys).mapInPandas(move, schema)
+        state = written(state.filter("state <> 'LIVE'").unionByName(moved))
+    return state
 
 
 def predict(rows: DataFrame, models: DataFrame, features, keys, link="identity", out="p") -> DataFrame:
@@ -191,33 +273,6 @@ def select_config(losses: DataFrame, by) -> DataFrame:
     return g.groupBy(*by).agg(F.min_by("config", F.struct("loss", "config_order")).alias("config"), F.min("loss").alias("loss"))
 
 
-def fit_trees(train: DataFrame, features, family: str, depth: int, binary: bool, seed: int, minimum_leaf=10, trees=20, rounds=20, rate=0.1):
-    """P11. One distributed tree model: single_tree, random_forest, gradient_boosting, or equal_weight_ensemble of the last two. Returns rows -> rows with p."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-    from pyspark.ml.classification import GBTClassifier
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="error")
-    common = dict(featuresCol="_x", labelCol="y", maxDepth=depth, minInstancesPerNode=minimum_leaf, seed=seed)
-    data = assembler.transform(train)
-
-    def one(name):
-        if name == "gradient_boosting" and binary:
-            model = GBTClassifier(maxIter=rounds, stepSize=rate, **common).fit(data)
-            return lambda df: model.transform(df).withColumn("p", F.element_at(vector_to_array("probability"), 2)).drop("probability", "rawPrediction", "prediction")
-        # squared error on a 0/1 outcome is proportional to Gini impurity, so the regressors serve both kinds
-        make = {"single_tree": lambda: DecisionTreeRegressor(**common), "random_forest": lambda: RandomForestRegressor(numTrees=trees, featureSubsetStrategy="sqrt", **common),
-                "gradient_boosting": lambda: GBTRegressor(maxIter=rounds, stepSize=rate, **common)}[name]
-        model = make().fit(data)
-        return lambda df: model.transform(df).withColumn("p", F.col("prediction")).drop("prediction")
-
-    if family == "equal_weight_ensemble":
-        first, second = one("random_forest"), one("gradient_boosting")
-        return lambda df: second(first(assembler.transform(df)).withColumnRenamed("p", "_p1")).withColumn("p", (F.col("_p1") + F.col("p")) / 2).drop("_p1", "_x")
-    score = one(family)
-    return lambda df: score(assembler.transform(df)).drop("_x")
-
-
 def ablate(rows: DataFrame, families: dict, features, keys, fit, score) -> DataFrame:
     """P18. Refit without each family of features; mean loss of the reduced model minus the full one. `fit(rows, features)` and `score(rows, model, features)` give losses.
 
