@@ -256,15 +256,15 @@ def o09(spark, sf):
 
 
 # ---- sources ----
-@query("s01_bundle_scan", "SELECT n_name AS ticker, n_regionkey AS region, 'securities' AS list FROM nation UNION ALL SELECT r_name, r_regionkey, 'providers' FROM region")
+@query("s01_bundle_scan", "SELECT s_name AS ticker, s_nationkey AS region, 'securities' AS list FROM supplier UNION ALL SELECT r_name, r_regionkey, 'providers' FROM region")
 def s01(spark, sf):
-    """A bundle written from two tables as one JSON document, read back as typed tables."""
+    """A bundle written from two tables as JSON lines of a hundred rows each, read back in splits as typed tables."""
     folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
-    sec = I.table(spark, sf, "nation").agg(F.collect_list(F.struct(F.col("n_name").alias("ticker"), F.col("n_regionkey").alias("region"))).alias("securities"))  # a bundle is one document
-    prov = I.table(spark, sf, "region").agg(F.collect_list(F.struct(F.col("r_name").alias("ticker"), F.col("r_regionkey").alias("region"))))
-    sec.select("securities", prov.scalar().alias("providers")).coalesce(1).write.mode("overwrite").json(folder)
     row = "array<struct<ticker:string,region:int>>"
-    b = D.read_bundle(spark, folder, f"securities {row}, providers {row}")
+    sec = I.table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 100)).agg(F.collect_list(F.struct(F.col("s_name").alias("ticker"), F.col("s_nationkey").cast("int").alias("region"))).alias("securities")).select("securities", F.lit(None).cast(row).alias("providers"))
+    prov = I.table(spark, sf, "region").agg(F.collect_list(F.struct(F.col("r_name").alias("ticker"), F.col("r_regionkey").cast("int").alias("region"))).alias("providers")).select(F.lit(None).cast(row).alias("securities"), "providers")
+    sec.unionByName(prov).write.json(folder)
+    b = D.read_bundle(spark, folder, f"securities {row}, providers {row}", lines=True)
     return b["securities"].withColumn("list", F.lit("securities")).unionByName(b["providers"].withColumn("list", F.lit("providers")))
 
 
@@ -294,13 +294,32 @@ def s03(spark, sf):
 SELECT CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 50 = 1 THEN 'symbol' ELSE CAST(p_partkey AS VARCHAR) END AS symbol, p_name AS name, CAST(p_size AS VARCHAR) AS size,
  CASE WHEN p_partkey % 50 = 0 THEN 'MISSING_SYMBOL' WHEN p_partkey % 50 = 1 AND (SELECT count(*) FROM part WHERE p_partkey % 50 = 1) > 1 THEN 'DUPLICATE_SYMBOL' END AS reason FROM part""")
 def s04(spark, sf):
-    folder = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
-    k = F.col("p_partkey")
+    """Listing files of a thousand parts each, every other one with its columns in another order."""
+    return D.read_listing(spark, listing_files(spark, sf), ["symbol", "name", "size"])
+
+
+def listing_files(spark, sf, footer=F.lit(True)):
+    folder, k = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}", F.col("p_partkey")
     symbol = F.when(k % 50 == 0, "").when(k % 50 == 1, "symbol").otherwise(k.cast("string"))  # some without a symbol, some named like the header
-    p = I.table(spark, sf, "part").select(F.lit(1).alias("o"), F.concat_ws("|", F.col("p_size").cast("string"), symbol, "p_name").alias("value"))
-    edges = spark.sql("SELECT 0 AS o, 'size|symbol|name' AS value UNION ALL SELECT 2, 'File Creation Time: 0101202400:00|'")
-    p.unionByName(edges).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(folder)  # a listing is one small file
-    return D.read_listing(spark, folder, ["symbol", "name", "size"])
+    size, file = F.col("p_size").cast("string"), F.floor(k / 1000).cast("int").alias("file")
+    value = F.when(F.col("file") % 2 == 0, F.concat_ws("|", size, symbol, "p_name")).otherwise(F.concat_ws("|", "p_name", size, symbol))
+    p = I.table(spark, sf, "part").withColumn("file", file)
+    files = p.select("file").distinct()
+    edges = files.select("file", F.lit(0).alias("o"), F.when(F.col("file") % 2 == 0, "size|symbol|name").otherwise("name|size|symbol").alias("value")).unionByName(files.filter(footer).select("file", F.lit(2).alias("o"), F.lit("File Creation Time: 0101202400:00||").alias("value")))
+    lines = p.select("file", F.lit(1).alias("o"), value.alias("value")).unionByName(edges)
+    lines.repartition("file").sortWithinPartitions("file", "o").drop("o").write.partitionBy("file").text(folder)
+    return folder
+
+
+@query("s04_refused_files", """
+SELECT CAST(file AS INTEGER) AS file, CASE WHEN file % 3 = 1 THEN 'has 0 footers' END AS reason, CASE WHEN file % 3 <> 1 THEN n ELSE 0 END AS rows_read FROM (SELECT p_partkey // 1000 AS file, count(*) AS n FROM part GROUP BY 1)""")
+def s04_refused(spark, sf):
+    """Every third file lacks its footer and is refused by name, the rows of the others are read."""
+    rows, bad = D.read_listing(spark, listing_files(spark, sf, F.col("file") % 3 != 1), ["name", "symbol", "size"], key="symbol", on_bad="refuse")
+    number = F.regexp_extract("file", r"/file=(\d+)/", 1).cast("int").alias("file")
+    part = I.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 1000).cast("int").alias("file"), F.col("p_name").alias("name")).distinct()
+    read = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(part.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.min("file").alias("file")).filter("files = 1"), "name").groupBy("file").agg(F.sum("n").alias("n"))
+    return part.select("file").distinct().join(bad.select(number, "reason"), "file", "left").join(read, "file", "left").select("file", "reason", F.coalesce("n", F.lit(0)).alias("rows_read"))
 
 
 @query("s05_portfolio_positions", "SELECT s_suppkey, CAST(1 AS BIGINT) AS position, s_name AS name, CASE WHEN s_suppkey % 7 <> 0 THEN 'X' || s_suppkey END AS isin FROM supplier UNION ALL SELECT s_suppkey, 2, 'second', 'Y' || s_suppkey FROM supplier")
@@ -327,6 +346,35 @@ def s06(spark, sf):
     return e.select("doc_id", "form_type", "filename", "listed", "available", F.length("body").cast("bigint").alias("body_length"))
 
 
+@query("s06_refused_submissions", """
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'IDENTITY_MISMATCH' WHEN 1 THEN 'INCOMPLETE_SUBMISSION' WHEN 2 THEN 'INCOMPLETE_EXHIBIT' WHEN 3 THEN 'INVALID_FILENAME' WHEN 4 THEN 'IDENTITY_MISMATCH' END AS reason, CASE WHEN doc_id % 7 > 4 THEN length(text) END AS body_length FROM documents""")
+def s06_refused(spark, sf):
+    """Submissions of one exhibit each: foreign ones, cut ones, and ones whose exhibit lacks its text or a safe name are refused with the reason."""
+    k, m = F.col("doc_id").cast("string"), F.col("doc_id") % 7
+    identity = F.lpad(F.when(m == 0, F.lit("1")).otherwise(k), 10, "0")
+    name = F.when(m == 3, F.concat(F.lit("../ex"), k)).otherwise(F.concat(F.lit("ex"), k, F.lit(".htm")))
+    header = F.concat(F.lit("ACCESSION NUMBER:\t"), F.when(m == 4, "other").otherwise(F.concat(F.lit("a-"), k)), F.lit("\nPUBLIC DOCUMENT COUNT: 1\nCENTRAL INDEX KEY: "), identity, F.lit("\n</SEC-HEADER>\n"))
+    exhibit = F.concat(F.lit("<DOCUMENT>\n<TYPE>EX-99.1\n<FILENAME>"), name, F.lit("\n<TEXT>"), F.regexp_replace("text", "<", " "), F.when(m == 2, "").otherwise("</TEXT>"), F.lit("\n</DOCUMENT>\n"))
+    text = F.concat(header, exhibit, F.when(m == 1, "").otherwise("</SEC-DOCUMENT>\n"))
+    d = I.table(spark, sf, "documents").select("doc_id", text.alias("sub"), F.concat(F.lit("a-"), k).alias("accession"), F.lpad(k, 10, "0").alias("cik"))
+    found, refused = D.read_submissions(d, "sub", "accession", "cik", keep=("doc_id",))
+    return d.select("doc_id").join(refused, "doc_id", "left").join(found.select("doc_id", F.length("body").cast("bigint").alias("body_length")), "doc_id", "left")
+
+
+@query("s08_inline_facts", """
+SELECT page_id, 'C' || page_id AS context, 'S' || page_id || ' x&y' AS tradingsymbol, 'outer NYSE tail' AS outer_text, 'NYSE' AS securityexchangename, 'class of ' || page_id || ' goes on to its end' AS security12btitle FROM pages WHERE page_id % 5 <> 0""")
+def s08_inline(spark, sf):
+    """Inline facts of each page: one inside another, one continued twice in other places, comments and case as they come; every fifth page gives a fact two values and is left out."""
+    k, lit = F.col("page_id").cast("string"), F.lit
+    fact = lambda name, body, more="": F.concat(lit(f'<ix:nonNumeric {more} contextRef="C'), k, lit(f'" name="dei:{name}">'), body, lit("</ix:nonNumeric>"))
+    twice = F.when(F.col("page_id") % 5 == 0, fact("TradingSymbol", lit("other"))).otherwise("")
+    nested = F.concat(lit("<IX:NONNUMERIC contextref='C"), k, lit("' name='x:Outer_Text'>outer <!-- <ix:nonNumeric> --> "), fact("SecurityExchangeName", lit("<b>NY</b>SE")), lit("\n tail</IX:NONNUMERIC>"))
+    text = F.concat(lit("<html></ix:nonNumeric><p>noise 1 < 2</p>"), fact("TradingSymbol", F.concat(lit("S"), k, lit("<span> x&amp;y</span>"))), nested, lit('<div><ix:continuation id="f1" continuedAt="f2"> goes on</ix:continuation></div>'),
+                    fact("Security12bTitle", F.concat(lit("class of "), k), 'continuedAt="f1"'), twice, lit('<ix:continuation id="f2"> to its end</ix:continuation><ix:nonNumeric contextRef="C0" name="dei:never">open</html>'))
+    facts = D.inline_facts(I.table(spark, sf, "pages").select("page_id", text.alias("html")), keep=("page_id",))
+    return D.pivot_tag_contexts(facts, ["tradingsymbol", "outer_text", "securityexchangename", "security12btitle"], keep=("page_id",))
+
+
 _HTML = "html"
 for _p, _t in ((r"<(script|style|ix:hidden)\b[^>]*>.*?</(script|style|ix:hidden)\s*>", ""), (r"<!--.*?-->", ""), (r"<(br|li)\b[^>]*>", "\\n"), (r"<(td|th)\b[^>]*>", " | "), (r"</(tr|p|li|div|h1|h2|h3|h4)\s*>", "\\n"), (r"<[^>]*>", "")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', " + ("chr(10)" if _t == "\\n" else f"'{_t}'") + ", 'gis')"

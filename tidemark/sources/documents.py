@@ -5,9 +5,12 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
-def read_bundle(spark: SparkSession, path: str, schema: str) -> dict:
-    """S1. One JSON document of row lists to one DataFrame per list; `schema` is the struct of lists."""
-    doc = spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_bundle(spark: SparkSession, path: str, schema: str, lines=False) -> dict:
+    """S1. JSON documents of row lists to one DataFrame per list; `schema` is the struct of lists.
+
+    A file is one document, read by one task; with `lines` every line is one, holding some rows of some lists, and files of any size are read in splits.
+    """
+    doc = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
     lists = [f.name for f in doc.schema.fields if f.dataType.typeName() == "array"]
     return {name: doc.select(F.inline(name)) for name in lists}
 
@@ -37,34 +40,37 @@ def matrix_rows(df: DataFrame, fields, names="fields", data="data", keep=()) ->
 FOOTER = "File Creation Time:"
 
 
-def read_listing(spark: SparkSession, path: str, columns, key=None) -> DataFrame:
-    """S4. A pipe-delimited listing file: a header line, rows, and exactly one creation-time footer, else the file is refused.
+def read_listing(spark: SparkSession, path: str, columns, key=None, on_bad="raise"):
+    """S4. Pipe-delimited listing files: in each file a header line, rows, and exactly one creation-time footer, else the file is refused by name.
 
-    Columns are taken by the header's names, in any order. A row without its key column (by default the first of `columns`), or with one that occurs again, keeps its
-    values and says so in `reason`. Only the first line of the file is a header and only a line without any further field is a footer, whatever rows are called.
+    Columns are taken by the names of the file's own header, in any order. A row without its key column (by default the first of `columns`), or with one that occurs again in any file, keeps
+    its values and says so in `reason`. Only the first line of a file is a header and only a line without any further field is a footer, whatever rows are called. Files are read
+    in splits; what is known per file is one row. A refused file raises an error with its name and reason, or (`on_bad="refuse"`) is left out, and (rows, refused files) are returned. Empty files hold nothing.
     """
-    raw = spark.read.option("header", "true").option("sep", "|").option("quote", "").option("inferSchema", "false").csv(path)
-    missing = [c for c in columns if c not in raw.columns]
-    if missing:
-        raise ValueError(f"listing lacks the columns {missing}")
-    return check_listing(raw, columns, key)
-
-
-def check_listing(raw: DataFrame, columns, key=None) -> DataFrame:
-    """The rules of `read_listing` on rows already split by column name."""
-    key = key or columns[0]
-    first, rest = raw.columns[0], raw.columns[1:]
-    footer = F.startswith(F.col(first), F.lit(FOOTER))
-    for c in rest:
-        footer = footer & (F.coalesce(F.trim(F.col(c)), F.lit("")) == "")
-    footer = F.coalesce(footer, F.lit(False))
-    found = raw.agg(F.count_if(footer)).first()[0]
-    if found != 1:
-        raise ValueError(f"listing has {found} footers")
-    body = raw.filter(~footer)
-    again = body.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_k"), F.lit(True).alias("_again"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")).filter("value <> ''")
+    key, fields = key or columns[0], F.split("value", r"\|", -1)
+    heads = lines.filter("_start = 0").groupBy("_file").agg(F.min_by("value", "_at").alias("_head"), F.min("_at").alias("_first"))
+    place = lambda c: F.array_position("_names", c).cast("int")
+    # split lines know their file's header by its name; a table of one row per file
+    body = lines.join(heads.withColumn("_names", F.split("_head", r"\|", -1)), "_file").filter("not (_start = 0 and _at = _first)").withColumn("_f", fields)
+    footer = F.startswith("value", F.lit(FOOTER)) & F.forall(F.slice("_f", F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0))), lambda x: F.trim(x) == "")
+    body = body.withColumn("_footer", footer)
+    lacking = F.filter(F.array(*[F.lit(c) for c in columns]), lambda c: ~F.array_contains("_names", c))
+    count = body.groupBy("_file").agg(F.count_if("_footer").alias("_n"))
+    state = heads.withColumn("_names", F.split("_head", r"\|", -1)).join(count, "_file", "left").select("_file", F.when(F.size(lacking) > 0, F.concat(F.lit("lacks the columns "), F.array_join(lacking, ", ")))
+                                                                                                     .when(F.coalesce("_n", F.lit(0)) != 1, F.concat(F.lit("has "), F.coalesce("_n", F.lit(0)).cast("string"), F.lit(" footers"))).alias("reason"))
+    bad = state.filter("reason is not null")
+    if on_bad == "raise":
+        if found := bad.take(5):
+            raise ValueError("; ".join(f"listing {r['_file']} {r['reason']}" for r in found))
+        good = body
+    else:
+        good = body.join(bad.select("_file"), "_file", "left_anti")
+    good = good.filter("not _footer").select(*[F.nullif(F.get("_f", place(c) - 1), F.lit("")).alias(c) for c in columns])
+    again = good.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_k"), F.lit(True).alias("_again"))
     reason = F.when(F.coalesce(F.trim(F.col(key)), F.lit("")) == "", "MISSING_SYMBOL").when(F.col("_again"), "DUPLICATE_SYMBOL")
-    return body.join(again, F.col(key) == F.col("_k"), "left").select(*columns, reason.alias("reason"))
+    rows = good.join(again, F.col(key) == F.col("_k"), "left").select(*columns, reason.alias("reason"))
+    return rows if on_bad == "raise" else (rows, bad.select(F.col("_file").alias("file"), "reason"))
 
 
 def extract_positions(df: DataFrame, text: str, marker: str, fields: dict, keep=()) -> DataFrame:
@@ -89,6 +95,30 @@ def extract_exhibits(df: DataFrame, text: str, keep=()) -> DataFrame:
             .withColumn("filename", F.trim(F.regexp_extract("_b", r"(?im)^<FILENAME>([^\r\n<]+)", 1))).withColumn("body", F.regexp_extract("_b", r"(?is)<TEXT>(.*)</TEXT>", 1)).drop("_b"))
 
 
+def read_submissions(df: DataFrame, text: str, accession: str, cik: str, keep=()) -> tuple[DataFrame, DataFrame]:
+    """S6. (exhibits, refused): the exhibits of submissions that are whole and say who they are; the others once each, with the first reason that holds.
+
+    IDENTITY_MISMATCH: the header lacks its end, the asked accession number or the asked ten-digit identifier. INCOMPLETE_SUBMISSION: no document count, a document that does not end, or no
+    closing tag at the end. INCOMPLETE_EXHIBIT: an exhibit without file name or text. INVALID_FILENAME: a name that could leave its folder.
+    """
+    t = F.col(text)
+    head = F.regexp_extract(t, r"(?s)^(.*?)</SEC-HEADER>", 1)
+    blocks = F.regexp_extract_all(t, F.lit(r"(?is)<DOCUMENT>\s*(.*?)</DOCUMENT>"), F.lit(1))
+    d = df.select(*keep, t.alias("_t"), head.alias("_h"), F.col(accession).alias("_a"), F.col(cik).alias("_c"), blocks.alias("_b"), F.regexp_extract(head, r"(?im)^PUBLIC DOCUMENT COUNT:\s*(\d+)", 1).alias("_n"))
+    kind = lambda b: F.trim(F.regexp_extract(b, r"(?im)^<TYPE>([^\r\n<]+)", 1))
+    name = lambda b: F.trim(F.regexp_extract(F.regexp_extract(b, r"(?is)^(.*?)(?:<TEXT>|$)", 1), r"(?im)^<FILENAME>([^\r\n<]+)", 1))
+    body = lambda b: F.regexp_extract(b, r"(?is)<TEXT>(.*)</TEXT>", 1)
+    exhibits = F.filter("_b", lambda b: F.rlike(kind(b), F.lit(r"^EX-99(\.\d+)?$")))
+    identity = F.contains("_t", F.lit("</SEC-HEADER>")) & F.array_contains(F.regexp_extract_all("_h", F.lit(r"(?im)^ACCESSION NUMBER:[ \t]*(\S+)[ \t]*$"), F.lit(1)), F.col("_a")) & F.array_contains(F.regexp_extract_all("_h", F.lit(r"(?im)CENTRAL INDEX KEY:\s*(\d{10})"), F.lit(1)), F.col("_c"))
+    whole = (F.col("_n") != "") & (F.size("_b") == F.regexp_count("_t", F.lit("<DOCUMENT>"))) & F.rlike("_t", F.lit(r"</SEC-DOCUMENT>\s*$"))
+    reason = (F.when(~F.coalesce(identity, F.lit(False)), "IDENTITY_MISMATCH").when(~F.coalesce(whole, F.lit(False)), "INCOMPLETE_SUBMISSION")
+              .when(F.exists("_x", lambda b: (name(b) == "") | ~F.rlike(b, F.lit(r"(?is)<TEXT>.*</TEXT>"))), "INCOMPLETE_EXHIBIT").when(F.exists("_x", lambda b: ~F.rlike(name(b), F.lit(r"^[A-Za-z0-9_.-]+$"))), "INVALID_FILENAME"))
+    d = d.withColumn("_x", exhibits).withColumn("reason", reason)
+    made = F.transform("_x", lambda b: F.struct(kind(b).alias("form_type"), name(b).alias("filename"), body(b).alias("body")))
+    found = d.filter("reason is null").select(*keep, F.col("_n").cast("int").alias("listed"), F.size("_b").alias("available"), F.inline(made))
+    return found, d.filter("reason is not null").select(*keep, "reason")
+
+
 def unescape(c: Column) -> Column:
     """Character references to characters: every named one that ends in a semicolon, and numeric ones (128 to 159 as in windows-1252, numbers of no character as U+FFFD).
 
@@ -130,6 +160,41 @@ def tag_values(pages: DataFrame, pattern: str, html: str = "html", keep=()) -> D
     return pages.select(*keep, F.explode(hits).alias("_h")).select(*keep, part(1).alias("context"), F.lower(part(2)).alias("name"), F.trim(F.regexp_replace(part(3), r"\s+", " ")).alias("value"))
 
 
+def inline_facts(pages: DataFrame, html: str = "html", keep=()) -> DataFrame:
+    """S8. (context, name, value) of every `ix:nonNumeric` fact with a name and a context, names without their prefix and in lower case.
+
+    Markup is cut into tags and text; a fold over the fact and continuation tags with a stack pairs each opening tag with its own end, so facts may hold facts, and a fact's value is all text
+    between its tags. Text goes on in `ix:continuation` elements, chained by `continuedAt`. An element that never ends is not read; an end without a beginning is passed over.
+    """
+    tokens = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+|<"), F.lit(0))
+    d = pages.select(*keep, tokens.alias("_t"))
+    numbered = F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.lower(F.regexp_extract(t, r"(?is)^<(/?)ix:(nonnumeric|continuation)\b", 2)).alias("kind"), F.startswith(t, F.lit("</")).alias("ends"), F.rlike(t, F.lit(r"/\s*>$")).alias("empty")))
+    d = d.withColumn("_x", F.filter(numbered, lambda x: (x["kind"] != "") & ~x["empty"]))
+    stack = "struct<stack:array<struct<i:int,kind:string>>,pairs:array<struct<a:int,b:int,kind:string>>>"
+
+    def step(acc, x):
+        top = F.get(acc["stack"], F.lit(0))
+        push = F.struct(F.concat(F.array(F.struct(x["i"].alias("i"), x["kind"].alias("kind"))), acc["stack"]).alias("stack"), acc["pairs"].alias("pairs"))
+        pop = F.struct(F.slice(acc["stack"], F.lit(2), F.greatest(F.size(acc["stack"]), F.lit(1))).alias("stack"), F.concat(acc["pairs"], F.array(F.struct(top["i"].alias("a"), x["i"].alias("b"), x["kind"].alias("kind")))).alias("pairs"))
+        return F.when(~x["ends"], push.cast(stack)).when(top["kind"] == x["kind"], pop.cast(stack)).otherwise(acc)
+
+    empty = F.from_json(F.lit('{"stack": [], "pairs": []}'), stack)
+    d = d.withColumn("_p", F.aggregate("_x", empty, step)["pairs"])
+    attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    inside = lambda p: F.array_join(F.filter(F.slice("_t", p["a"] + 2, p["b"] - p["a"] - 1), lambda t: ~F.rlike(t, F.lit("(?s)^<."))), "")
+    tag = lambda p: F.get("_t", p["a"])
+    parts = F.transform("_p", lambda p: F.struct(p["kind"].alias("kind"), attribute(tag(p), "id").alias("id"), attribute(tag(p), "continuedAt").alias("next"), attribute(tag(p), "contextRef").alias("context"),
+                                                 F.element_at(F.split(F.lower(attribute(tag(p), "name")), ":"), -1).alias("name"), inside(p).alias("text")))
+    d = d.select(*keep, parts.alias("_q"))
+    more = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.filter("_q", lambda q: (q["kind"] == "continuation") & (q["id"] != "")), lambda q: q["id"])),
+                                          lambda k: F.struct(k.alias("id"), F.get(F.filter("_q", lambda q: (q["kind"] == "continuation") & (q["id"] == k)), F.lit(0)).alias("q"))))
+    d = d.withColumn("_more", more).withColumn("_f", F.explode(F.filter("_q", lambda q: (q["kind"] == "nonnumeric") & (q["name"] != "") & (q["context"] != ""))))
+    chain = "struct<text:string,next:string>"
+    follow = lambda acc, _: F.when(F.map_contains_key("_more", acc["next"]), F.struct(F.concat(acc["text"], F.try_element_at("_more", acc["next"])["text"]).alias("text"), F.try_element_at("_more", acc["next"])["next"].alias("next")).cast(chain)).otherwise(acc)
+    whole = F.aggregate(F.sequence(F.lit(0), F.size("_more")), F.struct(F.col("_f.text").alias("text"), F.col("_f.next").alias("next")).cast(chain), follow)["text"]
+    return d.select(*keep, F.col("_f.context").alias("context"), F.col("_f.name").alias("name"), F.trim(F.regexp_replace(unescape(whole), r"(?U)\s+", " ")).alias("value"))
+
+
 def pivot_tag_contexts(tags: DataFrame, names, keep=()) -> DataFrame:
     """S8. Contexts that carry every wanted name with exactly one value each. Distinct values are counted, not gathered."""
     one = [F.count_distinct(F.when(F.col("name") == n, F.col("value"))).alias("_n_" + n) for n in names]
@@ -172,8 +237,8 @@ def read_payload_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("payload_file"), F.col("content").alias("payload"))
 
 
-def line_context(lines: DataFrame, by, before=6, after=2, order="line_no", text="line") -> DataFrame:
-    """W20. The lines before and after each line of a document.
+def line_context(lines: DataFrame, by, before=6, after=2, order="line_no", text="line", near=None) -> DataFrame:
+    """W20. The lines before and after each line of a document; with `near` also an array `excerpt` of so many lines on both sides and the line itself.
 
     A document may hold any number of lines, so no window spans it: lines lie in blocks, each block also receives copies of the few neighbours it needs, and a window
     covers one block.
@@ -186,6 +251,10 @@ def line_context(lines: DataFrame, by, before=6, after=2, order="line_no", text=
     w = W.partitionBy(*by, "_b").orderBy(order)
     out = (spread.withColumn("before", F.array_join(F.collect_list(text).over(w.rowsBetween(-before, -1)), " "))
            .withColumn("after", F.array_join(F.collect_list(text).over(w.rowsBetween(0, after)), " ")))
+    if near is not None:
+        if near > min(before, after):
+            raise ValueError("near reaches further than before and after")
+        out = out.withColumn("excerpt", F.collect_list(text).over(w.rowsBetween(-near, near)))
     return out.filter("_b = _home").drop("_b", "_home")
 
 
@@ -196,8 +265,8 @@ HORIZON = r"(?i)\b(?:full.{0,3}year|fiscal year|entire year|annual|FY\s*20\d{2}|
 
 
 def outlook_excerpts(lines: DataFrame, by, keep=14, revenue=REVENUE, anchor=ANCHOR, horizon=HORIZON, figure=r"\d") -> DataFrame:
-    """O6. Up to `keep` candidate lines per document by score, then line: a revenue line near an outlook word with a figure nearby. A missing hit excludes nobody."""
-    c = line_context(lines, by)
+    """O6. Up to `keep` candidate lines per document by score, then line, each with its `excerpt` of two lines before and after: a revenue line near an outlook word with a figure nearby. A missing hit excludes nobody."""
+    c = line_context(lines, by, near=2)
     around = F.concat_ws(" ", "before", "after")
     hit = F.rlike("line", F.lit(revenue)) & F.rlike(around, F.lit(anchor)) & (F.rlike("line", F.lit(figure)) | F.contains("after", F.lit("$")))
     score = 2 * F.rlike(around, F.lit(horizon)).cast("int") + F.contains("after", F.lit("$")).cast("int") + F.rlike("line", F.lit(anchor)).cast("int")
