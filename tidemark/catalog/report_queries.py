@@ -60,12 +60,16 @@ def w07(spark, sf):
     return t.select("security_id", "session", *["why_" + n for n in S.STRUCTURE], *[r(n, 7) for n in S.STRUCTURE if n != "adv_20"], F.round("adv_20", 2).alias("adv_20"))
 
 
-@query("w13_regime_features", """
-SELECT session, round(a, 7) + 0.0 AS spy_return_20, wa AS why_spy_return_20, round(b - c, 7) + 0.0 AS breadth_proxy, coalesce(wb, wc) AS why_breadth_proxy FROM (
+VIEWS["v_regimes"] = (("v_lgrid",), """
+SELECT session, a AS spy_return_20, wa AS why_spy_return_20, b - c AS breadth_proxy, coalesce(wb, wc) AS why_breadth_proxy FROM (
 SELECT session, max(v) FILTER (security_id = '0') AS a, max(w) FILTER (security_id = '0') AS wa, max(v) FILTER (security_id = '1') AS b, max(w) FILTER (security_id = '1') AS wb, max(v) FILTER (security_id = '2') AS c, max(w) FILTER (security_id = '2') AS wc FROM (
- SELECT security_id, session, w, CASE WHEN w IS NULL THEN rr END AS v FROM (SELECT *, """ + _why(21, ("close",)) + f""" AS w FROM (SELECT *, close / nullif(lag(close, 20) OVER ({_W}), 0) - 1 AS rr, first_value(session) OVER ({_W} ROWS 20 PRECEDING) AS first_21, count(close) OVER ({_W} ROWS 20 PRECEDING) AS n_21 FROM v_lgrid) g)) GROUP BY 1)""", ["v_lgrid"])
+ SELECT security_id, session, w, CASE WHEN w IS NULL THEN rr END AS v FROM (SELECT *, """ + _why(21, ("close",)) + f""" AS w FROM (SELECT *, close / nullif(lag(close, 20) OVER ({_W}), 0) - 1 AS rr, first_value(session) OVER ({_W} ROWS 20 PRECEDING) AS first_21, count(close) OVER ({_W} ROWS 20 PRECEDING) AS n_21 FROM v_lgrid) g)) GROUP BY 1)""")
+REGIMES = {"spy_return_20": "0"}, {"breadth_proxy": ("1", "2")}
+
+
+@query("w13_regime_features", "SELECT session, round(spy_return_20, 7) + 0.0 AS spy_return_20, why_spy_return_20, round(breadth_proxy, 7) + 0.0 AS breadth_proxy, why_breadth_proxy FROM v_regimes", ["v_regimes"])
 def w13(spark, sf):
-    t = S.regime_table(long_grid(spark, sf)[0], {"spy_return_20": "0"}, {"breadth_proxy": ("1", "2")})
+    t = S.regime_table(long_grid(spark, sf)[0], *REGIMES)
     return t.select("session", r("spy_return_20", 7), "why_spy_return_20", r("breadth_proxy", 7), "why_breadth_proxy")
 
 
@@ -76,13 +80,19 @@ SELECT o.o_orderkey, t.* EXCLUDE (security_id, session, idx) REPLACE (""" + ", "
 def order_features(spark, sf):
     grid, sessions = long_grid(spark, sf)
     e = I.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 5).cast("string").alias("security_id"), F.to_date("o_orderdate").alias("day"))
-    return S.structure_features(e, S.structure_table(grid), sessions)
+    return S.structure_features(e, S.structure_table(grid), sessions, regimes=S.regime_table(grid, *REGIMES))
+
+
+VIEWS["v_lregimes"] = (("v_regimes",), """
+SELECT o_orderkey, spy_return_20, CASE WHEN d0 IS NULL THEN 'insufficient_history' ELSE why_spy_return_20 END AS why_spy_return_20, breadth_proxy, CASE WHEN d0 IS NULL THEN 'insufficient_history' ELSE why_breadth_proxy END AS why_breadth_proxy
+FROM (SELECT o_orderkey, (SELECT max(s.session) FROM v_lsessions s WHERE s.session < CAST(o_orderdate AS DATE)) AS d0 FROM orders) o LEFT JOIN v_regimes t ON t.session = o.d0""")
 
 
-@query("l15_structure_features", "SELECT o_orderkey, round(return_5, 7) + 0.0 AS return_5, why_return_5, round(rv_20, 7) + 0.0 AS rv_20, why_rv_20, round(distance_252_high, 7) + 0.0 AS distance_252_high, why_distance_252_high FROM v_lfeatures", ["v_lfeatures"])
+@query("l15_structure_features", "SELECT o_orderkey, round(return_5, 7) + 0.0 AS return_5, why_return_5, round(rv_20, 7) + 0.0 AS rv_20, why_rv_20, round(distance_252_high, 7) + 0.0 AS distance_252_high, why_distance_252_high, round(spy_return_20, 7) + 0.0 AS spy_return_20, why_spy_return_20, round(breadth_proxy, 7) + 0.0 AS breadth_proxy, why_breadth_proxy FROM v_lfeatures JOIN v_lregimes USING (o_orderkey)", ["v_lfeatures", "v_lregimes"])
 def l15(spark, sf):
     """Each order's day as an event of one of five symbols."""
-    return order_features(spark, sf).select("o_orderkey", r("return_5", 7), "why_return_5", r("rv_20", 7), "why_rv_20", r("distance_252_high", 7), "why_distance_252_high")
+    return order_features(spark, sf).select("o_orderkey", r("return_5", 7), "why_return_5", r("rv_20", 7), "why_rv_20", r("distance_252_high", 7), "why_distance_252_high",
+                                             r("spy_return_20", 7), "why_spy_return_20", r("breadth_proxy", 7), "why_breadth_proxy")
 
 
 @query("a22_feature_coverage", " UNION ALL ".join(f"SELECT '{n}' AS feature, coalesce(why_{n}, 'available') AS state, count(*) AS n FROM v_structure GROUP BY 2" for n in S.STRUCTURE), ["v_structure"])

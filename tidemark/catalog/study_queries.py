@@ -248,6 +248,18 @@ def a24(spark, sf):
     return N.pool_report(pool(spark, sf))
 
 
+@query("l14_members_of_all", """
+SELECT p.target AS target_id, p.label, q.state, count(*) AS members, CAST(q.distance_reached AS DOUBLE) AS distance_reached, min(p.event_id) AS first_event, max(p.event_id) AS last_event, count_if(p.distance = 0) AS nearest, round(coalesce(sum(p.num), 0), 6) + 0.0 AS total
+FROM v_pairs p JOIN v_pool q USING (target, label) WHERE p.x1 IS NULL AND p.distance <= q.distance_reached GROUP BY ALL""", ["v_pairs", "v_pool"])
+def l14_all(spark, sf):
+    """The members of every event as a target of its own, read from the cells its expansion reaches."""
+    labels = study_labels(spark, sf)
+    t = labels.filter("label = 'day1_close_return'").select(F.col("event_id").alias("target_id"), F.col("cluster_id").alias("target_cluster"), F.col("timing").alias("t_timing"), F.col("sic_division").alias("t_division"), F.col("sic_major_group").alias("t_group"), F.col("cutoff").alias("t_cutoff"))
+    m = N.analogue_members(t, labels)
+    return m.groupBy("target_id", "label", "state", "distance_reached").agg(F.count(F.lit(1)).alias("members"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.count_if(F.col("distance") == 0).alias("nearest"),
+                                                                            (F.round(F.coalesce(F.sum("num"), F.lit(0.0)), 6) + 0.0).alias("total"))
+
+
 # New targets described by timing and sector and asked about at one moment, as an analyst would: a fixed, short list, so the answer grows with the events only.
 DESCRIPTORS = [("n1", "premarket", "D", "23"), ("n2", "after_hours", "I", "73"), ("n3", "premarket", "G", "55"), ("n4", "after_hours", "A", "05")]
 DESCRIPTOR_SQL = ", ".join(f"('{i}', '{t}', '{d}', '{g}')" for i, t, d, g in DESCRIPTORS)

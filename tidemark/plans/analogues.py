@@ -132,6 +132,57 @@ def analogues(targets: DataFrame, labels: DataFrame, policy=POLICY) -> DataFrame
             .withColumn("state", F.coalesce("state", F.lit(INSUFFICIENT))).withColumn("gate_n", F.coalesce("gate_n", F.lit(0))))
 
 
+READ = ("tg", "td", "t", "g")  # the cells an expansion can read
+
+
+def cell_index(labels: DataFrame) -> DataFrame:
+    """L14. An inverted index: the event each cluster may contribute to a label, once in each cell (timing with major group, timing with division, timing, major group, and the two totals)."""
+    reps = representatives(labels).withColumn("_at", F.col("matures_at"))
+    return reps.withColumn("_s", F.explode(_scopes())).select("*", "_s.scope", "_s.scope_key").drop("_s")
+
+
+def analogue_members(targets: DataFrame, labels: DataFrame, policy=POLICY) -> DataFrame:
+    """L14, W3, O7. The chosen members of any number of targets: target_id, t_cutoff, label, event_id and the event's columns, distance, distance_reached, members and state.
+
+    Needs target_id, target_cluster, t_timing, t_division, t_group, t_cutoff. How far a target's expansion must reach follows from counts: cumulative counts of each cell as of the
+    cutoff, by as-of sums. Then only the cells it reaches are read, by equality on (label, cell): at distance 0 the one of its timing and major group, at the next level that of its timing and division, at
+    the last its timing's and its major group's. What moves is the answer (and what of its cells matures later), never target by event. As in `pool_table`, a cluster is stood for by its earliest event.
+    """
+    sector, miss, most = policy["sector_mismatch"], policy["timing_mismatch"], policy["max_distance"]
+    if policy["count_unit"] != "event" or sector["same_major_group"] != 0 or not 0 < sector["same_division"] < most or sector["other"] > most or miss > most or miss + sector["same_division"] <= most:
+        raise ValueError("the cells read here answer for the registered policy; use `analogues`")
+    index = cell_index(labels)
+    asked = targets.withColumn("label", F.explode(F.array(*[F.lit(x) for x in LABELS])))
+    named = asked.withColumnsRenamed({"t_timing": "timing", "t_division": "sic_division", "t_group": "sic_major_group"})
+    asks = named.withColumn("_s", F.explode(F.filter(_scopes(), lambda s: s["scope"].isin(*READ)))).select("target_id", "label", "target_cluster", "timing", "sic_division", "sic_major_group", "t_cutoff", "_s.scope", "_s.scope_key")
+    known = asof_sums(index, asks, ["label", "scope", "scope_key"], "_at", "t_cutoff", {"c": F.lit(1)})
+    keys = ["target_id", "label", "target_cluster", "timing", "sic_division", "sic_major_group", "t_cutoff"]
+    wide = asks.join(known, ["label", "scope", "scope_key", "t_cutoff"], "left").groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("scope") == s, F.col("c"))), F.lit(0)).alias("c_" + s) for s in READ])
+    own = index.filter("scope = 'all'").select("label", F.col("cluster_id").alias("target_cluster"), F.col("timing").alias("_t"), F.col("sic_division").alias("_d"), F.col("sic_major_group").alias("_g"), "_at")
+    wide = wide.join(own, ["label", "target_cluster"], "left")
+    mine = F.coalesce(F.col("_at") <= F.col("t_cutoff"), F.lit(False))
+    same = {"t": F.col("_t") == F.col("timing"), "d": F.col("_d") == F.col("sic_division"), "g": F.col("_g") == F.col("sic_major_group")}
+    for s in READ:
+        hit = mine
+        for c in s:
+            hit = hit & F.coalesce(same[c], F.lit(False))
+        wide = wide.withColumn("c_" + s, F.col("c_" + s) - hit.cast("int"))
+    near, mid, far = F.col("c_tg"), F.col("c_td"), F.col("c_t") + F.col("c_g") - F.col("c_tg")
+    enough = policy["min_members"]
+    level = F.when(near >= enough, 0).when(mid >= enough, 1).when(far > mid, 2).when(mid > near, 1).when(near > 0, 0)
+    wide = wide.withColumn("_level", level).withColumn("members", F.when(F.col("_level") == 0, near).when(F.col("_level") == 1, mid).when(F.col("_level") == 2, far).otherwise(0))
+    cells = F.when(F.col("_level") == 0, F.array(F.lit("tg"))).when(F.col("_level") == 1, F.array(F.lit("td"))).otherwise(F.array(F.lit("t"), F.lit("g")))
+    key = F.when(F.col("scope") == "tg", F.concat_ws("|", F.lit("tg"), "timing", "sic_major_group")).when(F.col("scope") == "td", F.concat_ws("|", F.lit("td"), "timing", "sic_division")).when(F.col("scope") == "t", F.concat_ws("|", F.lit("t"), "timing")).otherwise(F.concat_ws("|", F.lit("g"), "sic_major_group"))
+    reads = wide.filter("_level is not null").withColumn("scope", F.explode(cells)).select("target_id", "label", "target_cluster", F.col("timing").alias("t_timing"), F.col("sic_division").alias("t_division"), F.col("sic_major_group").alias("t_group"), "t_cutoff", "members",
+                                                                                         "_level", "scope", key.alias("scope_key"))
+    found = index.join(reads, ["label", "scope", "scope_key"]).filter((F.col("_at") <= F.col("t_cutoff")) & ~F.coalesce(F.col("cluster_id") == F.col("target_cluster"), F.lit(False)))
+    found = found.filter((F.col("scope") != "g") | (F.col("timing") != F.col("t_timing")))  # those of its own timing came by the other cell
+    d = distance(F.col("t_timing"), F.col("t_division"), F.col("t_group"), F.col("timing"), F.col("sic_division"), F.col("sic_major_group"), policy)
+    reached = F.when(F.col("_level") == 0, 0.0).when(F.col("_level") == 1, sector["same_division"]).otherwise(max(sector["other"], miss))
+    return (found.withColumn("distance", d).withColumn("distance_reached", F.round(reached, 12)).withColumn("state", F.when(F.col("members") >= enough, FOUND).otherwise(INSUFFICIENT))
+            .drop("scope", "scope_key", "_at", "_level"))
+
+
 def summarize(rows: DataFrame, policy=POLICY) -> DataFrame:
     """L14. Summary of each found set: rate with Wilson bounds, or mean, median and quantiles, under the reporting minimums; nothing when the set falls short."""
     members = rows.filter(F.col("exclusion").isNull() & (F.col("state") == FOUND))

@@ -90,21 +90,25 @@ def regime_table(grid: DataFrame, singles, spreads, key="security_id", n=20) ->
     return wide.select("idx", "session", *cols)
 
 
-def structure_features(events: DataFrame, table: DataFrame, sessions: DataFrame, day="day", key="security_id") -> DataFrame:
+def structure_features(events: DataFrame, table: DataFrame, sessions: DataFrame, day="day", key="security_id", regimes: DataFrame = None) -> DataFrame:
     """L15. The features of each event's symbol as of the last session before its day; the grid row is met by equality on (symbol, ordinal).
 
-    A day after the last session reads the last one, however much later it is; a day on or before the first has insufficient history.
+    A day after the last session reads the last one, however much later it is; a day on or before the first has insufficient history. With `regimes` (`regime_table`) the levels and spreads of the
+    reference symbols as of the same session come with their reasons, met by the ordinal: one row per session, bounded by the calendar.
     """
     # days between two sessions -> ordinal of the earlier one; one row per calendar day
     nxt = F.lead("session").over(W.orderBy("session"))
     spans = sessions.withColumn("_n", nxt).filter("_n is not null")
     before = spans.select(F.col("idx").alias("_between"), F.explode(F.sequence(F.date_add("session", 1), F.col("_n"))).alias(day))
-    ends = sessions.agg(F.max_by("idx", "session").alias("_last"), F.max("session").alias("_end")).withColumn("_one", F.lit(1))
-    asked = events.join(F.broadcast(before), day, "left").withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")
-    asked = asked.withColumn("_before", F.coalesce("_between", F.when(F.col(day) > F.col("_end"), F.col("_last")))).drop("_between", "_last", "_end", "_one")
+    last, end = sessions.agg(F.max_by("idx", "session")).scalar(), sessions.agg(F.max("session")).scalar()
+    asked = events.join(F.broadcast(before), day, "left").withColumn("_before", F.coalesce("_between", F.when(F.col(day) > end, last))).drop("_between")
     out = asked.join(table.withColumnRenamed("idx", "_before").drop("session"), [key, "_before"], "left")
+    reasons = [c for c in table.columns if c.startswith("why_")]
+    if regimes is not None:
+        out = out.join(F.broadcast(regimes.withColumnRenamed("idx", "_before").drop("session")), "_before", "left")
+        reasons += [c for c in regimes.columns if c.startswith("why_")]
     early = F.col("_before").isNull() & F.col(day).isNotNull()
-    return out.withColumns({c: F.when(early, F.lit("insufficient_history")).otherwise(F.col(c)) for c in table.columns if c.startswith("why_")}).drop("_before")
+    return out.withColumns({c: F.when(early, F.lit("insufficient_history")).otherwise(F.col(c)) for c in reasons}).drop("_before")
 
 
 def feature_coverage(df: DataFrame, names, by=()) -> DataFrame:
