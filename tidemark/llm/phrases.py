@@ -4,8 +4,9 @@ A shard's words become numbers (0 stands between pieces), its suffixes and those
 Burrows-Wheeler transform of both. A phrase is an interval in each. Extending it by a word to the right is a backward step in the reversed text's transform, to the left one in the
 text's own; the other interval follows from the counts of the smaller words beside it, so both stay in step, and all phrases of one length are extended together.
 
-Counts are summed across shards length by length. A phrase can be frequent only if its first and last words but one are, so every length is told by joins which of a shard's
-phrases are frequent in the whole table, and extends only those. A phrase is known by the numbers of its two parts of one word less, never by a hash of its text.
+Counts are summed across shards in three rounds: words, pairs of frequent words, and phrases of three and four words whose pairs are all frequent; nothing else can be frequent. A round sums
+by one shuffle over the phrases of all shards, and what is frequent goes back to the shards that hold it by shard number. Phrases are known by exact numbers, never by a hash of their text: a
+word or a pair by the first place (shard and number in the shard) that holds it, a longer phrase by the numbers of its pairs.
 """
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ class Shard:
         return np.where(keys[at] == asked, at, -1) if len(keys) else np.full(len(asked), -1)
 
     def grow_right(self):
-        """Phrases one word longer: frequent ones extended to the right, where the words but the first are frequent too."""
+        """Phrases one word longer: frequent ones extended to the right, where the words but the first are frequent too. Returns the numbers of both parts and the count."""
         top = self.levels[-1]
         live = np.flatnonzero(top["known"])
         owner, word, n, back, skip = self.backward.extend(top["back"][live], top["back"][live] + top["n"][live])
@@ -97,23 +98,13 @@ class Shard:
         return top["known"][head], top["known"][tail], n
 
     def grow_left(self):
-        """The same by extension to the left. The new phrases are in order of their last words; only their counts are asked for, so this is the last step."""
-        top = self.levels[-1]
-        live = np.flatnonzero(top["known"])
-        owner, word, n, _, _ = self.forward.extend(top["low"][live], top["low"][live] + top["n"][live])
-        keep = word > 0
-        owner, word, n = owner[keep], word[keep], n[keep]
-        tail = live[owner]
-        head = word - 1
-        chain, at = [], tail
-        for level in range(len(self.levels) - 1, 0, -1):  # the words of the tail but its last, from the last to the first
-            at = self.levels[level]["head"][at]
-            chain.append(at)
-        for level, short in zip(range(1, len(self.levels)), reversed(chain)):
-            added = short + 1 if level == 1 else self.levels[level - 1]["word"][short]
-            head = np.where(head >= 0, self._place(level, np.maximum(head, 0), added), -1)
-        keep = (head >= 0) & (top["known"][head] > 0)
-        return top["known"][head[keep]], top["known"][tail[keep]], n[keep]
+        """Phrases of four words: those of three, extended to the left where the new first pair is frequent. Returns the numbers of the three pairs and the count."""
+        pairs, threes = self.levels[1], self.levels[2]
+        owner, word, n, _, _ = self.forward.extend(threes["low"], threes["low"] + threes["n"])
+        first, last = threes["head"][owner], threes["tail"][owner]
+        pair = np.where(word > 0, self._place(1, np.maximum(word - 1, 0), pairs["head"][first] + 1), -1)
+        keep = (pair >= 0) & (pairs["known"][pair] > 0)
+        return pairs["known"][pair[keep]], pairs["known"][first[keep]], pairs["known"][last[keep]], n[keep]
 
 
 def _pack(numbers):
@@ -138,7 +129,7 @@ def _build(shard_words):
 
     def run(batches):
         from pyspark import TaskContext
-        shard = TaskContext.get().partitionId() << 32
+        shard = (TaskContext.get().partitionId() << 12) + 1  # from 1 on, so that no place is 0
         ids, names, numbers, langs, lang_of = [0], [], {}, [], []
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -159,53 +150,103 @@ def _build(shard_words):
     return run
 
 
-def _extend(words):
-    """One shard's phrases of `words` words: its index and the numbers of its frequent shorter phrases, met by the shard's number."""
-    empty = pa.table({"shard": pa.array([], pa.int64()), "place": pa.array([], pa.int32()), "head": pa.array([], pa.int64()), "tail": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+PLACES = 28  # bits of a place in its shard
+
+
+def _shard(index: pa.Table, known: pa.Table) -> Shard:
+    """A shard's index with the numbers of its frequent words, and of its frequent pairs if they are known."""
+    row = {c: index.column(c)[0].as_py() for c in ("forward", "backward", "length", "symbols")}
+    shard = Shard(_unpack(row["forward"], row["length"]), _unpack(row["backward"], row["length"]), row["symbols"])
+    at, number = (known.column(c).to_numpy() for c in ("at", "number"))
+    level, place = known.column("words").to_numpy(), at & ((1 << PLACES) - 1)
+    shard.know(place[level == 1], number[level == 1])
+    return shard, level, place, number
+
 
+_PAIRS = pa.schema([("at", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64())])
+_LONGER = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("third", pa.int64()), ("n", pa.int64())])
+
+
+def _pairs(index: pa.Table, known: pa.Table) -> pa.Table:
+    """The pairs of frequent words of one shard."""
+    if not index.num_rows or not known.num_rows:
+        return _PAIRS.empty_table()
+    head, tail, n = _shard(index, known)[0].grow_right()
+    at = (index.column("shard")[0].as_py() << PLACES) + np.arange(len(n))
+    return pa.table([pa.array(x.astype(np.int64)) for x in (at, head, tail, n)], schema=_PAIRS)
+
+
+def _longer(longest):
+    """The phrases of three words, and of four, all of whose pairs are frequent: the numbers of their pairs and their count in the shard."""
     def run(index: pa.Table, known: pa.Table) -> pa.Table:
         if not index.num_rows or not known.num_rows:
-            return empty
-        row = {c: index.column(c)[0].as_py() for c in index.column_names}
-        shard = Shard(_unpack(row["forward"], row["length"]), _unpack(row["backward"], row["length"]), row["symbols"])
-        level, place, number = (known.column(c).to_numpy() for c in ("level", "place", "number"))
-        for made in range(1, words):
-            shard.know(place[level == made], number[level == made])
-            head, tail, n = shard.grow_left() if made == DEPTH else shard.grow_right()
-        return pa.table({"shard": pa.array(np.full(len(n), row["shard"])), "place": pa.array(np.arange(len(n)), pa.int32()), "head": pa.array(head), "tail": pa.array(tail), "n": pa.array(n.astype(np.int64))})
+            return _LONGER.empty_table()
+        shard, level, place, number = _shard(index, known)
+        shard.grow_right()
+        shard.know(place[level == 2], number[level == 2])
+        first, second, n = shard.grow_right()
+        parts = [pa.table([pa.array(first), pa.array(second), pa.nulls(len(n), pa.int64()), pa.array(n.astype(np.int64))], schema=_LONGER)]
+        if longest > 3:
+            parts.append(pa.table([pa.array(x.astype(np.int64)) for x in shard.grow_left()], schema=_LONGER))
+        return pa.concat_tables(parts)
     return run
 
 
+def _frequent(rows: DataFrame, keys, least) -> DataFrame:
+    """The rows of phrases that stand `least` times in all, with that count `f` and the phrase's number, the least `at` that holds it: one shuffle, and a group has a row a shard at most."""
+    w = W.partitionBy(*keys)
+    return rows.withColumns({"f": F.sum("n").over(w), "number": F.min("at").over(w)}).filter(F.col("f") >= least).drop("n")
+
+
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shard_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): every phrase of 1 to `longest` words that stands at least `least` times in its language, and the number of words of each language.
 
-    phrases: number, words, lang, phrase, f, head and tail (numbers of the phrases without its last and its first word), heads and tails (f of its first and last 1, 2, ... words).
-    `longest` is at most 4. A shard holds whole documents, about `shard_words` words.
+    phrases: words, number (unique among those of as many words), lang, phrase, f, head and tail (numbers of the phrases without its last and its first word), heads and tails (f of its
+    first and last 1, 2, ... words). `longest` is at most 4. A shard holds whole documents, about `shard_words` words; places in a shard take 28 bits, shards of a task 12.
     """
     if not 1 <= longest <= DEPTH + 1:
         raise ValueError(f"longest must be 1 to {DEPTH + 1}")
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     index = saved(source.mapInArrow(_build(shard_words), _INDEX))
+    shards = max(1, index.count())
     words = index.select("shard", "langs", F.posexplode(F.arrays_zip("words", "counts", "lang_of")).alias("place", "w")).select(
-        "shard", "place", F.get("langs", F.col("w.lang_of")).alias("lang"), F.col("w.words").cast("string").alias("phrase"), F.col("w.counts").alias("n"))
-    sums = saved(words.groupBy("lang", "phrase").agg(F.sum("n").alias("f")))
-    totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
-    number = lambda words: (F.monotonically_increasing_id() * (DEPTH + 1) + words).alias("number")
-    cols = ["number", "words", "lang", "phrase", "f", "head", "tail", "last", "heads", "tails"]
+        F.get("langs", F.col("w.lang_of")).alias("lang"), F.col("w.words").cast("string").alias("phrase"), (F.shiftleft("shard", PLACES) + F.col("place")).alias("at"), F.col("w.counts").alias("n"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    cols = ["words", "number", "lang", "phrase", "f", "head", "tail", "heads", "tails"]
     none = F.lit(None).cast("long")
-    found = saved(sums.filter(F.col("f") >= least).select(number(1), F.lit(1).alias("words"), "lang", "phrase", "f", none.alias("head"), none.alias("tail"), F.col("phrase").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails")))
-    every, known, made, keys = found, None, words, ["lang", "phrase"]
-    for n in range(2, longest + 1):
-        new = made.join(found.select(*keys, "number"), keys).select("shard", F.lit(n - 1).alias("level"), "place", "number")
-        known = saved(new) if known is None else known.unionByName(saved(new))
-        made = saved(index.select("shard", "length", "symbols", "forward", "backward").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_extend(n), "shard long, place int, head long, tail long, n long"))
-        frequent = made.groupBy("head", "tail").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        a = found.select(F.col("number").alias("head"), "lang", F.col("phrase").alias("_first"), F.col("heads").alias("_heads"))
-        b = found.select(F.col("number").alias("tail"), F.col("last"), F.col("tails").alias("_tails"))
-        found = saved(frequent.join(a, "head").join(b, "tail").select(number(n), F.lit(n).alias("words"), "lang", F.concat_ws(" ", "_first", "last").alias("phrase"), "f", "head", "tail", "last",
-                                                                     F.concat("_heads", F.array("f")).alias("heads"), F.concat("_tails", F.array("f")).alias("tails")))
-        every, keys = every.unionByName(found), ["head", "tail"]
-    return every.select(*[c for c in cols if c != "last"]), totals
+    held = saved(_frequent(words, ["lang", "phrase"], least))
+    ones = held.filter("at = number").select(F.lit(1).alias("words"), "number", "lang", "phrase", "f", none.alias("head"), none.alias("tail"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+    if longest == 1:
+        return ones, totals
+    placed = lambda df, words: df.select(F.shiftright("at", PLACES).alias("shard"), F.lit(words).alias("words"), "at", "number")
+    bwt = index.select("shard", "length", "symbols", "forward", "backward")
+    # a partition a shard or so, on both sides
+    meet = lambda known, run, schema: bwt.repartition(shards, "shard").groupBy("shard").cogroup(known.repartition(shards, "shard").groupBy("shard")).applyInArrow(run, schema)
+    known = placed(held, 1)
+    pairs = saved(_frequent(meet(known, _pairs, "at long, head long, tail long, n long"), ["head", "tail"], least))
+    a = ones.select(F.col("number").alias("head"), "lang", F.col("phrase").alias("_first"), F.col("heads").alias("_heads"))
+    b = ones.select(F.col("number").alias("tail"), F.col("phrase").alias("_last"), F.col("tails").alias("_tails"))
+    longer = lambda joined, words, number: joined.select(F.lit(words).alias("words"), number.alias("number"), "lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), "f", "head", "tail",
+                                                         F.concat("_heads", F.array("f")).alias("heads"), F.concat("_tails", F.array("f")).alias("tails"), "_last")
+    twos = saved(longer(pairs.filter("at = number").join(a, "head").join(b, "tail"), 2, F.col("number")))
+    every = ones.unionByName(twos.select(*cols))
+    if longest == 2:
+        return every, totals
+    known = known.unionByName(placed(pairs, 2))
+    rest = saved(meet(known, _longer(longest), "first long, second long, third long, n long").groupBy("first", "second", "third").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+                 .withColumn("number", F.monotonically_increasing_id()))
+    last = twos.select(F.col("number").alias("tail"), "_last", F.col("tails").alias("_tails"))
+    a = twos.select(F.col("number").alias("head"), "lang", F.col("phrase").alias("_first"), F.col("heads").alias("_heads"))
+    three = rest.filter("third is null").select("number", F.col("first").alias("head"), F.col("second").alias("tail"), "f")
+    threes = saved(longer(three.join(a, "head").join(last, "tail"), 3, F.col("number")))
+    every = every.unionByName(threes.select(*cols))
+    if longest == 3:
+        return every, totals
+    four = rest.filter("third is not null").withColumnsRenamed({"number": "_number", "f": "_f"})
+    a = threes.select(F.col("head").alias("first"), F.col("tail").alias("second"), F.col("number").alias("head"), "lang", F.col("phrase").alias("_first"), F.col("heads").alias("_heads"))
+    b = threes.select(F.col("head").alias("second"), F.col("tail").alias("third"), F.col("number").alias("tail"), "_last", F.col("tails").alias("_tails"))
+    fours = longer(four.join(a, ["first", "second"]).join(b, ["second", "third"]).withColumnRenamed("_f", "f"), 4, F.col("_number"))
+    return every.unionByName(fours.select(*cols)), totals
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, inside_percent: int = 80, scale: int = 2000000, shard_words: int = 1 << 20) -> DataFrame:
@@ -217,11 +258,12 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     ids and other columns play no part; repeated rows count each time.
     """
     phrases, totals = frequent_phrases(docs, least, longest, shard_words)
+    phrases = saved(phrases)
     longer = phrases.filter("words > 2")
-    beside = (longer.select(F.col("head").alias("number"), F.col("f").alias("right"), F.lit(0).cast("long").alias("left")).unionByName(longer.select(F.col("tail").alias("number"), F.lit(0).cast("long").alias("right"), F.col("f").alias("left")))
-              .groupBy("number").agg(F.max("left").alias("most_left"), F.max("right").alias("most_right")))
-    zero = F.lit(0).cast("long")
-    kept = phrases.filter("words > 1").join(beside, "number", "left").withColumns({c: F.coalesce(c, zero) for c in ("most_left", "most_right")})
+    zero, shorter = F.lit(0).cast("long"), (F.col("words") - 1).alias("words")
+    beside = (longer.select(shorter, F.col("head").alias("number"), F.col("f").alias("right"), zero.alias("left")).unionByName(longer.select(shorter, F.col("tail").alias("number"), zero.alias("right"), F.col("f").alias("left")))
+              .groupBy("words", "number").agg(F.max("left").alias("most_left"), F.max("right").alias("most_right")))
+    kept = phrases.filter("words > 1").join(beside, ["words", "number"], "left").withColumns({c: F.coalesce(c, zero) for c in ("most_left", "most_right")})
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     kept = kept.filter(F.greatest(wide("most_left"), wide("most_right")) * 100 < wide("f") * inside_percent)
     cuts = F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.struct(F.get("heads", k - 1).alias("l"), F.get("tails", F.col("words") - k - 1).alias("r"), k.alias("k")))
