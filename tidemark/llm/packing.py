@@ -239,7 +239,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end: int = 2, with_ids: bool = F
 
 def sequences(packed: DataFrame) -> DataFrame:
     """sequence_id, ids (array of int), pieces: the packed token sequences themselves, from `pack(..., with_ids=True)`. A group holds one sequence."""
-    ids = F.transform(F.sequence(F.lit(0), F.col("length").cast("int") - 1), lambda i: F.conv(F.hex(F.reverse(F.substring(F.col("ids"), i * 4 + 1, F.lit(4)))), 16, 10).cast("int"))
+    digits = lambda i, byte: F.substring(F.hex("ids"), i * 8 + 2 * byte + 1, F.lit(2))
+    ids = F.transform(F.sequence(F.lit(0), F.col("length").cast("int") - 1), lambda i: F.conv(F.concat(*[digits(i, byte) for byte in (3, 2, 1, 0)]), 16, 10).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct("offset", F.col("doc_id"), F.col("piece"), ids.alias("ids"))))
     rows = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     return rows.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"))).alias("pieces"))
