@@ -488,6 +488,27 @@ def x13(spark, sf):
                                                                              F.count_if(F.col("n_own") == 0).alias("without_own_history"), F.count_if(F.col("n_all") == 0).alias("without_any_history"))
 
 
+_IND = {"after_hours": "timing = 'after_hours'", "is_I": "sic_division = 'I'", "is_other": "sic_division NOT IN ('D', 'I')", "is_open": "open IS NOT NULL"}
+
+
+@query("x13_before_scoring", f"""
+WITH d AS (SELECT f.*, h.n_own, h.n_all, {', '.join(f"CASE WHEN f.{e} THEN 1 ELSE 0 END AS {i}" for i, e in _IND.items())} FROM v_folds f JOIN v_history h ON h.event_id = f.event_id AND h.target = f.target AND h.role = 'test' WHERE f.y IS NOT NULL AND f.target IN ('gap_ge_3pct', 'gap_ge_5pct', 'day1_close_return')),
+c AS (SELECT target, version, fold, cell, value, count(*) FILTER (role = 'train') AS a, count(*) FILTER (role = 'test') AS b FROM (SELECT *, unnest(['timing', 'sic_division']) AS cell, unnest([timing, sic_division]) AS value FROM d) GROUP BY ALL),
+w AS (SELECT target, version, fold, count(*) FILTER (cell = 'timing' AND a BETWEEN 1 AND 9) AS small_timing, count(*) FILTER (cell = 'sic_division' AND a BETWEEN 1 AND 9) AS small_division, coalesce(sum(b) FILTER (cell = 'timing' AND a < 10), 0) AS fall_timing, coalesce(sum(b) FILTER (cell = 'sic_division' AND a < 10), 0) AS fall_division FROM c GROUP BY 1, 2, 3)
+SELECT target, version, CAST(fold AS BIGINT) AS fold, count(*) FILTER (role = 'train') AS train_events, count(*) FILTER (role = 'test') AS test_events, count(*) FILTER (role = 'train' AND n_all = 0) AS train_without_any, count(*) FILTER (role = 'test' AND n_all = 0) AS test_without_any,
+ count(*) FILTER (role = 'test' AND n_own = 0) AS test_without_own, concat_ws(',', {', '.join(f"CASE WHEN coalesce(sum({i}) FILTER (role = 'train'), 0) IN (0, count(*) FILTER (role = 'train')) THEN '{i}' END" for i in sorted(_IND))}) AS constant_indicators, count(*) FILTER (role = 'train' AND event_no % 3 = 0) AS train_undefined_gap,
+ count(*) FILTER (role = 'test' AND event_no % 3 = 0) AS test_undefined_gap, any_value(small_timing) AS small_timing, CAST(any_value(fall_timing) AS BIGINT) AS fall_timing, any_value(small_division) AS small_division, CAST(any_value(fall_division) AS BIGINT) AS fall_division FROM d JOIN w USING (target, version, fold) GROUP BY 1, 2, 3""", ["v_folds", "v_history"])
+def x13_audit(spark, sf):
+    """The library form over three targets in both versions; every third event stands for one without an opening gap."""
+    t = version_rows(spark, sf, HIST).join(study_events(spark, sf).select("event_id", F.col("open").isNotNull().alias("is_open")), "event_id")
+    g = F.col("sic_division")
+    t = cut_lineage(t.withColumns({"after_hours": F.col("timing") == "after_hours", "is_I": g == "I", "is_other": ~g.isin("D", "I"), "gap": F.when(F.col("event_no") % 3 != 0, 1)}).withColumns({i: F.col(i).cast("int") for i in _IND}))
+    hist = P.history_sums(P.with_clocks(target_rows(spark, sf, HIST))).filter("role = 'test'")
+    a = P.structure_audit(t, hist, indicators=tuple(_IND), gap="gap")
+    return a.select("target", "version", F.col("fold").cast("bigint").alias("fold"), "train_events", "test_events", "train_without_any", "test_without_any", "test_without_own", F.array_join("constant_indicators", ",").alias("constant_indicators"), "train_undefined_gap", "test_undefined_gap",
+                    F.col("small_cells_timing").alias("small_timing"), F.col("fallbacks_timing").alias("fall_timing"), F.col("small_cells_sic_division").alias("small_division"), F.col("fallbacks_sic_division").alias("fall_division")).filter("train_events + test_events > 0")
+
+
 @query("p10_nested_cap", """
 SELECT b.event_id, CAST(b.fold AS BIGINT) AS fold, CASE WHEN a.p IS NOT NULL THEN round(least(b.p, a.p), 8) END AS p, coalesce(b.p > a.p, false) AS repaired, a.p IS NULL AS looser_missing FROM v_preds b LEFT JOIN v_preds a ON a.event_id = b.event_id AND a.fold = b.fold AND a.target = 'gap_ge_3pct' WHERE b.target = 'gap_ge_5pct'""", ["v_preds"])
 def p10(spark, sf):

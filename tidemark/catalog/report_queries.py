@@ -13,7 +13,7 @@ from tidemark.catalog.study_queries import CELLS_AS_OF, WILSON, study_events, st
 from tidemark.operators import sessions as cal, validate as V
 from tidemark.plans import audit as Q, cells as C, enrich as E, folds as P, structure as S, summaries as R
 from tidemark.plans.outcomes import LABELS
-from tidemark.runtime import shared_folder
+from tidemark.runtime import cut_lineage, shared_folder
 from tidemark.sources import documents as D, snapshots as N
 
 # ---- market structure over the long bars ----
@@ -519,6 +519,29 @@ def q02(spark, sf):
     return Q.audit_cohort(facts, {"events": 10, "issuers": 5}).select("events", "complete", "issuers", F.array_join("failed_gates", ",").alias("failed_gates"))
 
 
+@query("q02_cohort_facts", """
+WITH o AS (SELECT *, precision <> 'day' AND CAST(published_at - INTERVAL 5 HOUR AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-29' AS inside, state = 'MAPPED' AND why_10 IS NULL AS whole FROM v_outcomes),
+c AS (SELECT event_no AS candidate_id, CASE WHEN event_no % 11 = 1 THEN 'excluded' ELSE 'included' END AS disposition, CASE WHEN event_no % 11 = 1 AND event_no % 4 <> 1 THEN 'why' END AS reason, CASE WHEN event_no % 11 <> 1 THEN CASE WHEN event_no % 97 = 5 THEN 'nowhere' ELSE event_id END END AS event_id FROM o
+ UNION ALL SELECT -event_no, 'included', NULL, event_id FROM o WHERE event_no % 50 = 7),
+s AS (SELECT *, coalesce(disposition = 'included' AND event_id IN (SELECT event_id FROM o), false) AS ok FROM c)
+SELECT (SELECT count(*) FROM o) AS events, (SELECT count_if(inside) FROM o) AS in_window, (SELECT count_if(inside AND whole) FROM o) AS complete, (SELECT count(DISTINCT CASE WHEN inside AND whole THEN cik END) FROM o) AS issuers, (SELECT count(*) FROM c) AS candidates,
+ (SELECT count_if(NOT ok AND NOT coalesce(disposition = 'excluded' AND reason IS NOT NULL AND event_id IS NULL, false)) FROM s) AS bad_candidates, (SELECT count(*) FROM o WHERE event_id NOT IN (SELECT event_id FROM s WHERE ok)) AS unrepresented,
+ (SELECT count(*) FROM (SELECT event_id FROM s WHERE ok GROUP BY 1 HAVING count(*) > 1)) AS twice, (SELECT count_if(candidate_id % 13 = 0) FROM c) AS unsourced_candidates, true AS membership_matches""", ["v_outcomes"])
+def q02_facts(spark, sf):
+    """Facts recomputed from events, candidates and sources: some candidates left out without a reason, some for events that are not there, some twice, some without a source."""
+    o = cut_lineage(outcomes(spark, sf))
+    n, e = F.col("event_no"), F.col("event_id")
+    out = n % 11 == 1
+    c = o.select(n.alias("candidate_id"), F.when(out, "excluded").otherwise("included").alias("disposition"), F.when(out & (n % 4 != 1), "why").alias("reason"), F.when(~out, F.when(n % 97 == 5, "nowhere").otherwise(e)).alias("event_id"))
+    c = c.unionByName(o.filter(n % 50 == 7).select((-n).alias("candidate_id"), F.lit("included").alias("disposition"), F.lit(None).cast("string").alias("reason"), "event_id"))
+    sources = o.select(F.concat(F.lit("text of "), n.cast("string")).alias("text")).withColumn("sha256", F.sha2("text", 256))
+    c = cut_lineage(c.withColumn("source_sha256", F.sha2(F.concat(F.when(F.col("candidate_id") % 13 == 0, "lost text of ").otherwise("text of "), F.abs("candidate_id").cast("string")), 256)))
+    frozen = Q.members_digest(c.repartition(3)).first()[0]
+    checks = Q.spot_checks(reviews(spark, sf), study_events(spark, sf))
+    f = Q.cohort_facts(o, c, sources, checks, frozen, ("2024-01-02", "2024-01-29"), I.ZONE)
+    return f.select("events", "in_window", "complete", "issuers", "candidates", "bad_candidates", "unrepresented", "twice", "unsourced_candidates", "membership_matches")
+
+
 def reviews(spark, sf):
     n = study_events(spark, sf)
     return n.select("event_id", F.when(F.col("event_no") % 3 == 0, F.array(F.lit("A. Reviewer"))).otherwise(F.array(F.lit(" "))).alias("reviewers"), F.lit("page 1").alias("evidence"))

@@ -51,12 +51,55 @@ def check_commitments(labels: DataFrame, pins: DataFrame, key="event_id") -> Dat
                                                                        .when(F.col("digest") == F.col("pinned"), "MATCHES").otherwise("DIFFERS"))
 
 
+def candidate_states(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """Q2. (bad_candidates, unrepresented, twice): candidates that are not accounted for, events no included candidate stands for, and events for which several do. One row.
+
+    A candidate is accounted for if it is included with an event of the cohort, or excluded or quarantined with a reason and without an event.
+    """
+    known = events.select("event_id", F.lit(True).alias("_e")).distinct()
+    c = candidates.join(known, "event_id", "left")
+    included = F.coalesce((F.col("disposition") == "included") & F.col("_e"), F.lit(False))
+    left_out = F.coalesce(F.col("disposition").isin("excluded", "quarantined") & (F.trim(F.coalesce("reason", F.lit(""))) != "") & F.col("event_id").isNull(), F.lit(False))
+    per = c.filter(included).groupBy("event_id").agg(F.count(F.lit(1)).alias("_n"))
+    represented = known.join(per, "event_id", "left").agg(F.count_if(F.col("_n").isNull()).alias("unrepresented"), F.count_if(F.col("_n") > 1).alias("twice"))
+    return c.agg(F.count_if(~included & ~left_out).alias("bad_candidates"), F.count(F.lit(1)).alias("candidates")).withColumns({n: represented.select(n).scalar() for n in ("unrepresented", "twice")})
+
+
+def cohort_facts(outcomes: DataFrame, candidates: DataFrame, sources: DataFrame, checks: DataFrame, membership_digest: str, window, zone: str, category="earnings", horizon="reason_10") -> DataFrame:
+    """Q2. One row of counts recomputed from the tables, for `audit_cohort`: events and what holds of them, candidates, sources against their digests, unchecked timing classes, and whether the
+    candidates' membership (id and source digest, in order) has the frozen digest. `window` is (first day, last day), local in `zone`.
+    """
+    from tidemark.functions.text import local_day
+    complete = (F.col("state") == "MAPPED") & F.col(horizon).isNull()
+    inside = (F.col("precision") != "day") & local_day("published_at", zone).between(F.lit(window[0]).cast("date"), F.lit(window[1]).cast("date"))
+    valid = F.coalesce(F.rlike("cik", F.lit(r"^\d{1,10}$")) & (F.col("cik").cast("bigint") > 0), F.lit(False))
+    facts = outcomes.agg(F.count(F.lit(1)).alias("events"), F.count_if(inside).alias("in_window"), F.count_if(F.col("category") == category).alias("of_category"), F.count_if(complete & valid & inside).alias("complete"),
+                         F.count_distinct(F.when(complete & valid & inside, F.lpad("cik", 10, "0"))).alias("issuers"), F.count_if(valid).alias("valid_identity"))
+    bad = sources.agg(F.count_if(~F.coalesce(F.col("sha256") == F.sha2("text", 256), F.lit(False)))).scalar()
+    held = sources.select(F.sha2("text", 256).alias("source_sha256"), F.lit(True).alias("_s")).distinct()
+    loose = candidates.join(held, "source_sha256", "left").agg(F.count_if(F.col("_s").isNull())).scalar()
+    frozen = members_digest(candidates)
+    states = candidate_states(candidates, outcomes)
+    return facts.withColumns({"bad_sources": bad, "unsourced_candidates": loose, "classes_unchecked": checks.agg(F.count_if(~F.col("passed"))).scalar(), "membership_matches": frozen.scalar() == F.lit(membership_digest),
+                              **{n: states.select(n).scalar() for n in ("bad_candidates", "candidates", "unrepresented", "twice")}})
+
+
+def members_digest(candidates: DataFrame) -> DataFrame:
+    """Digest of a membership whatever its order and size: the sum of the rows' digests (first 60 bits of each) and their number, in one row."""
+    row = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("candidate_id").cast("string"), "source_sha256"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return candidates.agg(F.sha2(F.concat_ws("|", F.coalesce(F.sum(row), F.lit(0)).cast("string"), F.count(F.lit(1)).cast("string")), 256))
+
+
 def audit_cohort(facts: DataFrame, floors: dict) -> DataFrame:
-    """Q2. Named acceptance gates over one row of recomputed counts; see `cohort_facts`."""
+    """Q2. Named acceptance gates over one row of recomputed counts (`cohort_facts`); a count that was not taken fails its gate only if the fact is there."""
+    has = set(facts.columns)
     rules = [("events_present", F.col("events") > 0), ("candidate_accounting", F.col("bad_candidates") == 0), ("all_events_in_window", F.col("in_window") == F.col("events")),
              ("category_only", F.col("of_category") == F.col("events")), ("issuer_identity", F.col("valid_identity") == F.col("events")),
              ("source_hashes", F.col("bad_sources") == 0), ("minimum_events", F.col("complete") >= floors["events"]), ("minimum_issuers", F.col("issuers") >= floors["issuers"]),
              ("spot_checks", F.col("classes_unchecked") == 0)]
+    if {"unrepresented", "twice", "candidates"} <= has:
+        rules.append(("candidates_stand_for_events", (F.col("candidates") > 0) & (F.col("unrepresented") == 0) & (F.col("twice") == 0)))
+    rules += [(name, cond) for name, column, cond in (("candidate_sources", "unsourced_candidates", F.col("unsourced_candidates") == 0), ("frozen_membership", "membership_matches", F.col("membership_matches"))) if column in has]
     return gates(facts, rules)
 
 

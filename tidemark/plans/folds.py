@@ -166,6 +166,30 @@ def walk_forward(rows: DataFrame) -> DataFrame:
     return f.withColumn("role", F.when(late, "late").otherwise(F.col("role")))
 
 
+def structure_audit(rows: DataFrame, history: DataFrame, cells=("timing", "sic_division"), indicators=(), gap=None, minimum=CELL_MINIMUM) -> DataFrame:
+    """X13. Per (target, version, fold), before any scoring: rows with the target defined, cells below the minimum and test events that fall back on them, test events without history (own, any),
+    indicators that are constant in training, and undefined opening gaps. Only whether an outcome is there is read, never its value.
+
+    `rows` stand once, `history` holds n_own and n_all of each (event, target) as a test event. Everything is a sum per block; cells are summed by value, so a hot cell is one row a task.
+    """
+    keys = ["target", "version"]
+    defined = rows.filter(F.col("y").isNotNull()).drop("y")
+    one = lambda c: F.coalesce(c.cast("int").cast("long"), F.lit(0))
+    known = defined.join(history.select("event_id", "target", "n_own", "n_all"), ["event_id", "target"], "left")
+    measures = {"events": F.lit(1), "without_own": one(F.coalesce("n_own", F.lit(0)) == 0), "without_any": one(F.coalesce("n_all", F.lit(0)) == 0), **{"is_" + i: F.col(i).cast("long") for i in indicators}}
+    if gap is not None:
+        measures["undefined_gap"] = one(F.col(gap).isNull())
+    sides = fold_sums(known, keys, measures)
+    constant = F.array_compact(F.array(*[F.when(F.col("train_is_" + i).isin(0) | (F.col("train_is_" + i) == F.col("train_events")), F.lit(i)) for i in sorted(indicators)]))
+    each = defined.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in cells]))).select("*", "_c.*")
+    small = F.col("train_n") < minimum
+    by_cell = fold_sums(each, [*keys, "cell", "value"], {"n": F.lit(1)}).groupBy(*keys, "fold", "cell").agg(F.count_if(small & (F.col("train_n") > 0)).alias("small_cells"), F.sum(F.when(small, F.col("test_n")).otherwise(0)).alias("fallbacks"))
+    wide = by_cell.groupBy(*keys, "fold").agg(*[F.coalesce(F.max(F.when(F.col("cell") == c, F.col(m))), F.lit(0)).alias(f"{m}_{c}") for c in cells for m in ("small_cells", "fallbacks")])
+    gaps = ["train_undefined_gap", "test_undefined_gap"] if gap is not None else []
+    return (sides.join(wide, [*keys, "fold"], "left").withColumn("constant_indicators", constant)
+            .select(*keys, "fold", "stage", "train_events", "test_events", "train_without_any", "test_without_any", "test_without_own", "constant_indicators", *gaps, *[c for c in wide.columns if c not in (*keys, "fold")]))
+
+
 def disjointness(f: DataFrame, keys=("reaction_session", "cluster_id", "block")) -> DataFrame:
     """J13. Per fold and key: how many values appear on both sides. Must be zero."""
     both = [F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys]
