@@ -12,7 +12,9 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 SPREAD = ["k03_classify_instant", "k08_session_coverage", "v06_source_chronology", "l01_event_outcome", "l01_sixteen_labels_forward", "j01_asof_features", "a08_partial_pooling", "l13_target_fingerprint", "j09_analogue_candidates",
           "l14_analogue_summary", "p04_sufficiency", "j08_history_sums_strict", "w18_recent_analogues", "x04_cluster_bootstrap", "w14_reliability_bins", "w07_w12_market_structure", "l08_surprise_for_filing", "j10_latest_filing_before",
           "s07_html_lines", "w20_line_context", "u04_candidate_accounting", "q01_table_digest", "t02_stream_official_open", "t05_stream_label_release", "d01_user_predictor",
-          "p08_logistic", "p18_ablation", "j12_maturity_gate", "l11_growth_evidence", "s04_pipe_listing", "l15_structure_features", "x06_contrasts"]
+          "p08_logistic", "p18_ablation", "j12_maturity_gate", "l11_growth_evidence", "s04_pipe_listing", "l15_structure_features", "x06_contrasts",
+          "j08_fold_boundary", "p09_residual_quantiles", "p11_single_tree", "p17_gated_fits", "p17_paired_folds", "o05_random_ranking", "l14_members_of_all", "s04_refused_files", "s06_refused_submissions", "s08_inline_facts", "x13_before_scoring",
+          "q02_cohort_facts", "a26_shift_summary"]
 
 
 @pytest.fixture(scope="module")
