@@ -114,11 +114,13 @@ def _texts(df):
     return df.select(F.col("text").cast("binary").alias("text"))
 
 
-def head_of(docs: DataFrame, buckets: int, head_words: int = 1 << 15, head_pairs: int = 1 << 16, longest: int = 64) -> Head:
-    """The head of a corpus: at most `head_words` words and `head_pairs` pairs of words of at most `longest` bytes, so that its size is bounded whatever the corpus."""
+def head_of(docs: DataFrame, buckets: int, share: int = 1 << 17, longest: int = 64) -> Head:
+    """The head of a corpus: words, and pairs of words, of at most `longest` bytes that make up one in `share` of all of them. There can be no more than `share` of each, whatever the corpus."""
     counted = saved(_texts(docs).mapInArrow(_count(longest), "word binary, after binary, n long").groupBy("word", "after").agg(F.sum("n").alias("n")))
-    top = lambda df, k: [(bytes(r["word"]), r["after"] and bytes(r["after"])) for r in df.orderBy(F.desc("n"), "word", "after").limit(k).collect()]
-    return Head([w for w, _ in top(counted.filter("after is null"), head_words)], top(counted.filter("after is not null"), head_pairs), buckets)
+    total = counted.filter("after is null").agg(F.sum("n")).first()[0] or 0
+    found = [(-r["n"], bytes(r["word"]), r["after"] and bytes(r["after"])) for r in counted.filter(F.col("n") * share >= total).collect()]
+    found.sort(key=lambda x: (x[0], x[1], x[2] or b""))
+    return Head([w for _, w, after in found if after is None], [(w, after) for _, w, after in found if after is not None], buckets)
 
 
 def _totals(head):
@@ -163,13 +165,13 @@ def _weigh(head, gain):
     return run
 
 
-def importance(docs: DataFrame, target: DataFrame, buckets: int = 10000, head_words: int = 1 << 15, head_pairs: int = 1 << 16) -> DataFrame:
+def importance(docs: DataFrame, target: DataFrame, buckets: int = 10000, share: int = 1 << 17) -> DataFrame:
     """doc_id, n_words, n_features, weight: one row per row of `docs`; weight is the floored mean gain of its features (none: 0).
 
     Words are compared with A-Z lower-cased. Null and empty texts have no features; null ids and repeated rows are kept; other columns are ignored; an empty target or corpus
     counts no features. Collected to the driver are only `buckets` totals of each table and the head.
     """
-    head = head_of(docs, buckets, head_words, head_pairs)
+    head = head_of(docs, buckets, share)
     corpus, wanted = ({r["bucket"]: r["n"] for r in bucket_totals(df, head).collect()} for df in (docs, target))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return source.mapInArrow(_weigh(head, gains(corpus, wanted, buckets)), "doc_id long, n_words long, n_features long, weight long")
