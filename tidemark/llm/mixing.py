@@ -51,14 +51,14 @@ def mix(docs: DataFrame, block_words: int = 8, shard_words: int = 1 << 16, most_
     Null and empty texts have size 0 and are never taken; null ids and null sources are values like any other; an empty table gives no rows; other columns are ignored.
     Every word stands in at most `most_repeats` blocks. Same rows and seed, same result, however the rows are dealt.
     """
-    sizes = saved(docs.select("doc_id", "source", word_count("text").alias("size")))
+    sizes = saved(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("doc_id", "text").alias("_row")))  # by id and text, so that rows without an id spread over the shards too
     sources = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), most_repeats)
     blocks = sources.agg(F.ceil(F.sum("source_size") / block_words)).scalar()
     seated = sainte_lague(saved(sources.withColumns({"one": F.lit(1), "blocks": blocks})), ["one"], "src", "target", "blocks")
     seated = saved(seated.select("source", "src", "source_size", "target", F.col("won").alias("source_blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("n_shards")))
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
-    rows = sizes.alias("d").join(seated.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.src", "s.source_size", "s.target", "s.source_blocks", "s.n_shards")
-    rows = rows.withColumn("_o", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), "n_shards"))
+    rows = sizes.alias("d").join(seated.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "d._row", "s.src", "s.source_size", "s.target", "s.source_blocks", "s.n_shards")
+    rows = rows.withColumn("_o", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_row"), "n_shards"))
     shards = rows.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
     quota = sainte_lague(shards, ["src"], "shard", "shard_size", "source_blocks")
     quota = quota.select("src", "shard", "shard_size", F.least(F.col("won"), F.floor(F.col("shard_size") * most_repeats / block_words)).alias("quota"))
