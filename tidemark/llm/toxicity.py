@@ -200,7 +200,7 @@ def _design(model, place):
 
 
 def fit(sample: DataFrame, model, most_features: int = 3000) -> dict:
-    """Logistic regression on the presence of the features that most favour toxic documents of the sample (text, y). What reaches the driver is bounded by the sample."""
+    """Logistic regression on the presence of the at most `most_features` features that most favour toxic documents of the sample (text, y), which bounds the model; what reaches the driver is bounded by the sample."""
     counts = sample.mapInArrow(_feature_counts(model), "feature string, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     sizes = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n1, n0 = sizes["t"], sizes["n"] - sizes["t"]
@@ -250,27 +250,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: i
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")  # at most `most_rows` pairs of numbers are broadcast
 
 
-def score(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_features: int = 3000) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5), one row per row of `docs`.
 
-    The language model counts every text; the classifier is fitted on at most `most_rows` labelled documents. Null and empty texts get the score of a text without
+    The language model counts every text; the classifier is fitted on at most `most_rows` labelled documents and the `most_features` features that tell most among those that stand for toxicity
+    (a bound of the fit; texts are scored whole). Null and empty texts get the score of a text without
     features. With no labels, or of one class only, every score is the smoothed rate of toxic labels. Repeated labels of an id count once, toxic if any is; a null id is
     not held out (remainder 0 reads as held out only for real ids). Repeated rows give repeated rows; an empty table gives none.
     """
     from tidemark.llm.common import saved
     model = language_model(docs)
-    fitted = fit(saved(labelled_sample(docs, labels, "toxic", most_rows)), model)
+    fitted = fit(saved(labelled_sample(docs, labels, "toxic", most_rows)), model, most_features)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
     return rows.mapInArrow(_score(model, fitted), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, each judged by its own text."""
+def drop_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_features: int = 3000) -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, each judged by its own text, with all their columns; bounds of the fit as in `score`.
+
+    Null and empty texts are judged as texts without features, rows without an id or with a repeated one like any other; an empty table gives none.
+    """
     from pyspark.sql import types as T
     from tidemark.llm.common import saved
     model = language_model(docs)
-    fitted = fit(saved(labelled_sample(docs, labels, "toxic", 6000)), model)
+    fitted = fit(saved(labelled_sample(docs, labels, "toxic", most_rows)), model, most_features)
     schema = T.StructType(docs.schema.fields)
     return docs.mapInArrow(_keep(model, fitted), schema)
 
