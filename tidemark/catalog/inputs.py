@@ -195,15 +195,21 @@ def trades(spark, sf) -> DataFrame:
 def trades_of(events) -> DataFrame:
     e = events.filter(F.col("event_type") == "click")
     n = F.col("event_id")
-    day = F.to_date("ts")
+    day, odd = F.to_date("ts"), F.col("user_id") % 2 == 1
     opening = F.to_utc_timestamp(F.to_timestamp(F.concat(day.cast("string"), F.lit(" 09:30:00"))), ZONE)
     t = opening + F.make_dt_interval(secs=(n % 90).cast("decimal(18,6)"))
     return e.select(F.col("user_id").alias("symbol"), day.alias("session"), t.alias("t"), F.col("value").alias("price"), n.alias("trade_id"),
-                    F.when(n % 5 == 0, "C").otherwise("Q").alias("tape_venue"),
+                    F.when(n % 5 == 0, "X").when(odd, "N").otherwise("Q").alias("print_venue"), F.when(n % 7 == 0, "B").when(odd, "A").otherwise("C").alias("print_tape"),
                     F.when(n % 4 == 0, F.array(F.lit("@"))).otherwise(F.array(F.lit("@"), F.lit("Q"))).alias("conditions"),
                     F.when(n % 53 == 0, "X").alias("correction"), (t + F.make_dt_interval(secs=(n % 8).cast("decimal(18,6)"))).alias("received_at"))
 
 
+def listings(spark, sf) -> DataFrame:
+    """Every symbol that trades (a user) with the exchange of its security."""
+    own = table(spark, sf, "events").select(F.col("user_id").alias("symbol"), security_id().alias("security_id")).distinct()
+    return own.join(securities(spark, sf), "security_id").select("symbol", "exchange")
+
+
 def event_stream(session, sf) -> DataFrame:
     """The events table as a file stream, with timestamps a watermark accepts."""
     path = f"{sf}/events.parquet"

@@ -447,11 +447,11 @@ def scratch(spark, name):
 
 @query("t01_opening_monitor", """
 SELECT symbol, session, CASE WHEN t < open_utc OR received_at < t OR received_at > open_utc + INTERVAL 60 SECOND OR received_at > t + INTERVAL 5 SECOND THEN 'outside_timing_limits' ELSE 'observed' END AS status, count(*) AS n
-FROM v_trades JOIN v_sessions USING (session) WHERE tape_venue = 'Q' AND list_contains(conditions, 'Q') AND received_at <= open_utc + INTERVAL 60 SECOND GROUP BY 1, 2, 3""", ["v_trades", "v_sessions"])
+FROM v_prints WHERE received_at <= open_utc + INTERVAL 60 SECOND GROUP BY 1, 2, 3""", ["v_prints"])
 def t01(spark, sf):
     s = stream_session(spark)
     out, ck = scratch(spark, "t01")
-    T.run_to_table(T.stream_opening(I.trades_of(I.event_stream(s, sf)), opens(s)).withColumn("minute", F.col("window.start")).drop("window"), out, ck, "update")
+    T.run_to_table(T.stream_opening(I.trades_of(I.event_stream(s, sf)), opens(s), I.listings(s, sf)).withColumn("minute", F.col("window.start")).drop("window"), out, ck, "update")
     last = T.last_update(spark, out, ["minute", "symbol", "session", "status"])
     return last.groupBy("symbol", "session", "status").agg(F.sum("n").alias("n"))
 
@@ -464,7 +464,7 @@ def t02(spark, sf):
     trades = I.trades_of(I.table(spark, sf, "events"))
     trades.repartition(3).write.parquet(src)  # several files, rows in no order
     trades.limit(1).withColumns({"t": F.col("t") + F.expr("interval 4000 days"), "received_at": F.col("received_at") + F.expr("interval 4000 days"), "symbol": F.lit(-1).cast(trades.schema["symbol"].dataType)}).write.mode("append").parquet(src)
-    T.run_to_table(T.stream_official_open(s.readStream.schema(trades.schema).parquet(src), opens(s)), out, ck)
+    T.run_to_table(T.stream_official_open(s.readStream.schema(trades.schema).parquet(src), opens(s), I.listings(s, sf)), out, ck)
     return spark.read.parquet(out).select("symbol", "session", "reason", "official_open")
 
 

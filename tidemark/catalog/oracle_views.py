@@ -77,9 +77,13 @@ SELECT * FROM (
     last_day("end" + INTERVAL 12 MONTH) + 30, '10-Q', 'Revenues' FROM e WHERE entity % 3 = 0)"""),
     "v_trades": ((), """
 SELECT user_id AS symbol, CAST(ts AS DATE) AS session, date_trunc('day', ts) + INTERVAL 870 MINUTE + to_seconds(event_id % 90) AS t, value AS price, event_id AS trade_id,
-  CASE WHEN event_id % 5 = 0 THEN 'C' ELSE 'Q' END AS tape_venue, CASE WHEN event_id % 4 = 0 THEN ['@'] ELSE ['@', 'Q'] END AS conditions,
+  CASE WHEN event_id % 5 = 0 THEN 'X' WHEN user_id % 2 = 1 THEN 'N' ELSE 'Q' END AS print_venue, CASE WHEN event_id % 7 = 0 THEN 'B' WHEN user_id % 2 = 1 THEN 'A' ELSE 'C' END AS print_tape, CASE WHEN event_id % 4 = 0 THEN ['@'] ELSE ['@', 'Q'] END AS conditions,
   CASE WHEN event_id % 53 = 0 THEN 'X' END AS correction, date_trunc('day', ts) + INTERVAL 870 MINUTE + to_seconds(event_id % 90) + to_seconds(event_id % 8) AS received_at
 FROM events WHERE event_type = 'click'"""),
+    "v_listings": (("v_securities",), "SELECT DISTINCT user_id AS symbol, exchange FROM events JOIN v_securities ON security_id = CAST(user_id % 10 AS VARCHAR)"),
+    "v_prints": (("v_trades", "v_listings", "v_sessions"), """
+SELECT t.*, open_utc FROM v_trades t JOIN v_listings USING (symbol) JOIN v_sessions USING (session)
+WHERE list_contains(conditions, 'Q') AND ((exchange = 'NYSE' AND print_venue = 'N' AND print_tape = 'A') OR (exchange = 'NASDAQ' AND print_venue = 'Q' AND print_tape = 'C'))"""),
 }
 
 

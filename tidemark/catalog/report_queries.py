@@ -4,6 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.catalog import inputs as I
+from tidemark.catalog.calendar_queries import CLASSIFY
 from tidemark.catalog.enrich_queries import _pick, _sqlpick
 from tidemark.catalog.fold_queries import GAP, caveats, fold_rows, r, target_rows
 from tidemark.catalog.label_queries import outcomes
@@ -103,27 +104,48 @@ def a22(spark, sf):
 # ---- opening prints ----
 OPEN_SQL = """SELECT symbol, session, CASE WHEN suspects > 0 OR prints > 1 THEN 'ambiguous_official_open' WHEN prints = 0 THEN 'no_official_open' END AS reason, CASE WHEN suspects = 0 AND prints = 1 THEN price END AS official_open FROM (
 SELECT symbol, session, count_if(correction IS NOT NULL OR NOT price > 0) AS suspects, count(DISTINCT CASE WHEN correction IS NULL AND price > 0 THEN {'a': trade_id, 'b': t, 'c': price} END) AS prints, max(CASE WHEN correction IS NULL AND price > 0 THEN price END) AS price
-FROM v_trades JOIN v_sessions USING (session) WHERE t >= open_utc AND t < open_utc + INTERVAL 60 SECOND AND tape_venue = 'Q' AND list_contains(conditions, 'Q') GROUP BY 1, 2)"""
-VIEWS["v_opens"] = (("v_trades", "v_sessions"), OPEN_SQL)
+FROM v_prints WHERE t >= open_utc AND t < open_utc + INTERVAL 60 SECOND GROUP BY 1, 2)"""
+VIEWS["v_opens"] = (("v_prints",), OPEN_SQL)
 
 
 def opens(spark):
-    return I.calendar(spark).sessions.select("session", "open_utc", F.lit("Q").alias("venue"))
+    return I.calendar(spark).sessions.select("session", "open_utc")
+
+
+def official_opens(spark, sf):
+    return E.official_open(I.trades(spark, sf), opens(spark), I.listings(spark, sf), ["symbol", "session"])
 
 
 @query("l16_official_open", "SELECT * FROM v_opens", ["v_opens"])
 def l16(spark, sf):
-    return E.official_open(I.trades(spark, sf), opens(spark), ["symbol", "session"]).select("symbol", "session", "reason", "official_open")
+    return official_opens(spark, sf).select("symbol", "session", "reason", "official_open")
 
 
 @query("l17_opening_gap", """
 SELECT coalesce(o.reason, CASE WHEN b.close IS NULL THEN 'missing_anchor' END, 'verified_open') AS disposition, count(*) AS n, round(sum(CASE WHEN o.reason IS NULL THEN o.official_open / b.close - 1 END), 6) + 0.0 AS gap_sum
 FROM v_opens o JOIN v_sessions s ON s.session = o.session LEFT JOIN v_bars b ON b.security_id = CAST(o.symbol % 10 AS VARCHAR) AND b.idx = s.idx - 1 GROUP BY 1""", ["v_opens", "v_bars"])
 def l17(spark, sf):
-    o = E.official_open(I.trades(spark, sf), opens(spark), ["symbol", "session"]).withColumn("security_id", (F.col("symbol") % 10).cast("string"))
+    o = official_opens(spark, sf).withColumn("security_id", (F.col("symbol") % 10).cast("string"))
     return E.opening_gaps(o, I.bars(spark, sf), I.calendar(spark)).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("opening_gap"), 6) + 0.0).alias("gap_sum"))
 
 
+
+@query("l17_event_openings", f"""
+SELECT disposition, count(*) AS n, round(sum(CASE WHEN disposition = 'verified_open' THEN official_open / close - 1 END), 6) + 0.0 AS gap_sum FROM (
+SELECT o.official_open, b.close, CASE WHEN l.exchange NOT IN ('NYSE', 'NASDAQ') THEN 'unsupported_listing' WHEN s.idx IS NULL OR e.timing IS NULL OR e.timing NOT IN ('premarket', 'after_hours') OR e.cutoff >= s.open_utc THEN 'unsupported_clock'
+ WHEN a.idx IS NULL OR c.available_at > a.close_utc THEN 'anchor_identity_unverified' WHEN b.close IS NULL THEN 'missing_anchor' WHEN o.symbol IS NULL THEN 'no_official_open' ELSE coalesce(o.reason, 'verified_open') END AS disposition
+FROM (SELECT n.event_id, n.user_id AS symbol, n.security_id, n.cutoff, k.timing, k.reaction_idx FROM v_news n JOIN ({CLASSIFY}) k USING (event_id)) e JOIN v_securities c USING (security_id) LEFT JOIN v_listings l ON l.symbol = e.symbol LEFT JOIN v_sessions s ON s.idx = e.reaction_idx
+LEFT JOIN v_sessions a ON a.idx = s.idx - 1 LEFT JOIN v_bars b ON b.security_id = e.security_id AND b.idx = a.idx LEFT JOIN v_opens o ON o.symbol = e.symbol AND o.session = s.session) GROUP BY 1""", ["v_news", "v_days", "v_sessions", "v_listings", "v_securities", "v_bars", "v_opens"])
+def l17_events(spark, sf):
+    """Every event of the news table: opening gap of its reaction session or why there is none. Symbols are written as S and the user's number."""
+    named = lambda df: df.withColumn("symbol", F.concat(F.lit("S"), F.col("symbol").cast("string")))
+    e = cal.classify(I.news(spark, sf), "published_at", I.calendar(spark))
+    known = I.securities(spark, sf).select("security_id", F.greatest("valid_from", "available_at").alias("listed_from"))
+    e = named(e.withColumn("symbol", F.col("user_id"))).join(known, "security_id").select("event_id", "symbol", "security_id", "cutoff", "timing", "reaction_idx", "listed_from")
+    out = E.event_openings(e, named(official_opens(spark, sf)), named(I.listings(spark, sf)), I.bars(spark, sf), I.calendar(spark))
+    return out.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("opening_gap"), 6) + 0.0).alias("gap_sum"))
+
+
 # ---- reports ----
 @query("a17_target_summary", f"""
 SELECT *, CASE WHEN least(positives, n_defined - positives) >= 30 THEN 'estimable_with_wide_uncertainty' WHEN positives >= 10 AND n_defined - positives >= 10 THEN 'thin' ELSE 'insufficient' END AS bucket FROM (

@@ -25,6 +25,8 @@ TRIAL_STATUS = {
     "NO_LONGER_AVAILABLE": "administrative", "AVAILABLE": "administrative", "TEMPORARILY_NOT_AVAILABLE": "administrative",
 }
 TRIAL_PHASES = ("NA", "EARLY_PHASE1", "PHASE1", "PHASE2", "PHASE3", "PHASE4")
+# Venue and tape that carry the opening print of a listing.
+LISTED_ON = {"NYSE": ("N", "A"), "NASDAQ": ("Q", "C")}
 # Drug application prefixes (the longer first), submission status, type and class.
 APPLICATION_PREFIXES = (("ANDA", "abbreviated_new_drug_application"), ("NDA", "new_drug_application"), ("BLA", "biologics_license_application"))
 SUBMISSION_STATUS = {"AP": "approved", "TA": "tentative_approval"}
@@ -363,6 +365,28 @@ def opening_gaps(opens: DataFrame, bars: DataFrame, calendar) -> DataFrame:
     return j.withColumn("disposition", state).withColumn("opening_gap", F.when(state == "verified_open", F.col("official_open") / F.nullif("anchor_close", F.lit(0.0)) - 1)).drop("idx")
 
 
+def event_openings(events: DataFrame, opens: DataFrame, listings: DataFrame, bars: DataFrame, calendar) -> DataFrame:
+    """L17. Every event with the opening gap of its reaction session, or the first reason why there is none.
+
+    `events` has event_id, symbol, security_id, cutoff, timing, reaction_idx and listed_from (since when the listing is known); `opens` is the result of `official_open`,
+    `listings` (symbol, exchange). In order: unsupported_listing, unsupported_clock (no session, another timing than before or after hours, or frozen at or after the open),
+    anchor_identity_unverified (listed after the anchor session's close), missing_anchor, ambiguous_official_open, no_official_open; else verified_open.
+    """
+    days = calendar.sessions.select("idx", "session", "open_utc", "close_utc")
+    react = F.broadcast(days.select(F.col("idx").alias("reaction_idx"), "session", "open_utc"))
+    anchor = F.broadcast(days.select((F.col("idx") + 1).alias("reaction_idx"), F.col("close_utc").alias("_anchor_close_at")))
+    closes = bars.select("security_id", (F.col("idx") + 1).alias("reaction_idx"), F.col("close").alias("anchor_close"))
+    e = events.join(react, "reaction_idx", "left").join(anchor, "reaction_idx", "left").join(listing_venues(listings).select("symbol", "venue"), "symbol", "left")
+    j = e.join(closes, ["security_id", "reaction_idx"], "left").join(opens.select("symbol", "session", "official_open", "reason", F.lit(True).alias("_seen")), ["symbol", "session"], "left")
+    clock = F.coalesce(F.col("timing").isin("premarket", "after_hours") & (F.col("cutoff") < F.col("open_utc")), F.lit(False))
+    finite = (F.col("anchor_close") > 0) & (F.col("anchor_close") < float("inf"))
+    state = (F.when(F.col("venue").isNull() | ~F.rlike("symbol", F.lit(r"^[A-Z][A-Z0-9.]{0,9}$")), "unsupported_listing").when(~clock, "unsupported_clock")
+             .when(~F.coalesce(F.col("listed_from") <= F.col("_anchor_close_at"), F.lit(False)), "anchor_identity_unverified")
+             .when(~F.coalesce(finite, F.lit(False)), "missing_anchor").when(F.col("_seen").isNull(), "no_official_open").otherwise(F.coalesce("reason", F.lit("verified_open"))))
+    return (j.withColumn("disposition", state).withColumn("opening_gap", F.when(state == "verified_open", F.col("official_open") / F.col("anchor_close") - 1))
+            .select(*events.columns, "session", "disposition", "opening_gap"))
+
+
 def action_counts(actions: DataFrame, by=("security_id", "type")) -> DataFrame:
     """A28."""
     return actions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -373,15 +397,33 @@ def latest_period(filings: DataFrame, by, period: Column, available: Column, val
     return filings.groupBy(*by).agg(F.max_by(value, F.struct(period, -F.unix_micros(available), -tie)).alias(value))
 
 
-def official_open(trades: DataFrame, opens: DataFrame, by, zone_open="open_utc", seconds=60) -> DataFrame:
-    """L16. The unique official opening print of each (symbol, session): right venue, condition Q, inside [open, open + 60 s). Suspect or several different prints are ambiguous.
+def listing_venues(listings: DataFrame) -> DataFrame:
+    """L16. symbol, venue and tape of every listing whose exchange has an official opening print; other exchanges are left out."""
+    at = lambda k: lookup("exchange", {name: pair[k] for name, pair in LISTED_ON.items()})
+    return listings.select("symbol", at(0).alias("venue"), at(1).alias("tape")).filter("venue is not null").distinct()
+
 
-    `opens` holds one row per session, or per (symbol, session) where venues differ by symbol; the planner chooses the join by its size.
+def opening_prints(trades: DataFrame, opens: DataFrame, listings: DataFrame) -> DataFrame:
+    """L16, T1, T2. Prints with condition Q on the venue and the tape of their symbol's listing, with their session's open; of a trade batch or stream.
+
+    `opens` holds one row per session, `listings` (symbol, exchange) one per symbol; the planner chooses the joins by their sizes. A print on the right venue but reported on
+    another tape, or the reverse, is none of the listing's own.
     """
-    on = [c for c in ("symbol", "session") if c in opens.columns]
-    t = trades.join(opens, on).filter((F.col("t") >= F.col(zone_open)) & (F.col("t") < F.col(zone_open) + F.make_dt_interval(secs=F.lit(seconds)))
-                                                          & (F.col("tape_venue") == F.col("venue")) & F.array_contains("conditions", "Q"))
-    suspect = F.col("correction").isNotNull() | F.col("trade_id").isNull() | F.col("price").isNull() | F.isnan("price") | ~(F.col("price") > 0)
+    t = trades.filter(F.array_contains("conditions", "Q")).join(opens, "session")
+    own = listing_venues(listings).withColumnsRenamed({"venue": "print_venue", "tape": "print_tape"})
+    return t.join(own, ["symbol", "print_venue", "print_tape"])
+
+
+def suspect_print() -> Column:
+    """L16, T2. Corrected prints, and those without an id or a finite positive price."""
+    price = F.col("price")
+    return F.col("correction").isNotNull() | F.col("trade_id").isNull() | price.isNull() | F.isnan(price) | ~((price > 0) & (price < float("inf")))
+
+
+def official_open(trades: DataFrame, opens: DataFrame, listings: DataFrame, by, zone_open="open_utc", seconds=60) -> DataFrame:
+    """L16. The unique official opening print of each (symbol, session): venue and tape of the listing, condition Q, inside [open, open + 60 s). Suspect or several different prints are ambiguous."""
+    t = opening_prints(trades, opens, listings).filter((F.col("t") >= F.col(zone_open)) & (F.col("t") < F.col(zone_open) + F.make_dt_interval(secs=F.lit(seconds))))
+    suspect = suspect_print()
     g = t.groupBy(*by).agg(F.count_if(suspect).alias("suspects"), F.count_distinct(F.when(~suspect, F.struct("trade_id", "t", "price"))).alias("prints"), F.max(F.when(~suspect, F.col("price"))).alias("price"))
     reason = F.when((F.col("suspects") > 0) | (F.col("prints") > 1), "ambiguous_official_open").when(F.col("prints") == 0, "no_official_open")
     return g.withColumn("reason", reason).withColumn("official_open", F.when(F.col("reason").isNull(), F.col("price"))).select(*by, "official_open", "reason")

@@ -5,6 +5,8 @@ Python runs per row.
 """
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.plans.enrich import opening_prints, suspect_print
+
 LATENESS = "65 seconds"
 
 
@@ -15,29 +17,23 @@ def opening_status(open_col="open_utc", seconds=60, lag=5) -> Column:
     return F.when(late, "outside_timing_limits").otherwise("observed")
 
 
-def qualifying(trades: DataFrame, opens: DataFrame) -> DataFrame:
-    """Prints of the right venue carrying condition Q, with their session's open. `opens` may hold a row per session or per (symbol, session); Spark picks the join by size."""
-    on = [c for c in ("symbol", "session") if c in opens.columns]
-    return trades.join(opens, on).filter((F.col("tape_venue") == F.col("venue")) & F.array_contains("conditions", "Q"))
-
-
-def stream_opening(trades: DataFrame, opens: DataFrame, lateness=LATENESS) -> DataFrame:
+def stream_opening(trades: DataFrame, opens: DataFrame, listings: DataFrame, lateness=LATENESS) -> DataFrame:
     """T1. Counts per symbol, session and status over tumbling minutes of receipt; prints received after the opening window are not counted.
 
     The watermark follows the receipt clock, on which rows arrive nearly in order, so a print reported long after its exchange time is counted as outside the limits and
     not dropped as late.
     """
-    q = qualifying(trades.withWatermark("received_at", lateness), opens).withColumn("status", opening_status()).filter(F.col("received_at") <= F.col("open_utc") + F.make_dt_interval(secs=F.lit(60)))
+    q = opening_prints(trades.withWatermark("received_at", lateness), opens, listings).withColumn("status", opening_status()).filter(F.col("received_at") <= F.col("open_utc") + F.make_dt_interval(secs=F.lit(60)))
     return q.groupBy(F.window("received_at", "1 minute"), "symbol", "session", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_official_open(trades: DataFrame, opens: DataFrame, lateness=LATENESS, seconds=60) -> DataFrame:
+def stream_official_open(trades: DataFrame, opens: DataFrame, listings: DataFrame, lateness=LATENESS, seconds=60) -> DataFrame:
     """T2. The unique qualifying open of each (symbol, session), emitted once, in append mode, when the watermark passes the end of the opening minute.
 
     Prints differ exactly when the smallest and the largest (id, time, price) differ, so two built-in aggregates hold the whole state of a key.
     """
-    q = qualifying(trades.withWatermark("t", lateness), opens).filter((F.col("t") >= F.col("open_utc")) & (F.col("t") < F.col("open_utc") + F.make_dt_interval(secs=F.lit(seconds))))
-    suspect = F.col("correction").isNotNull() | ~(F.col("price") > 0)
+    q = opening_prints(trades.withWatermark("t", lateness), opens, listings).filter((F.col("t") >= F.col("open_utc")) & (F.col("t") < F.col("open_utc") + F.make_dt_interval(secs=F.lit(seconds))))
+    suspect = suspect_print()
     print_ = F.when(~suspect, F.struct("trade_id", "t", "price"))
     g = q.groupBy(F.window("t", "1 minute"), "symbol", "session").agg(F.count_if(suspect).alias("suspects"), F.min(print_).alias("_a"), F.max(print_).alias("_b"))
     reason = F.when((F.col("suspects") > 0) | (F.col("_a") != F.col("_b")), "ambiguous_official_open").when(F.col("_a").isNull(), "no_official_open")
