@@ -169,7 +169,7 @@ _sqlpick = lambda values, n: "[" + ", ".join("NULL" if v is None else f"'{v}'" f
 
 
 @query("l04_trial_classification", f"""
-SELECT 'NCT' || o_orderkey AS nct_id, st AS status, {case('st', E.TRIAL_STATUS, 'unclassified')} AS status_category, CASE WHEN o_orderkey % 9 = 0 THEN 'PHASE9' ELSE '' END AS unknown_phases, o_orderpriority AS condition, 'Sponsor ' || o_custkey AS sponsor
+SELECT 'NCT' || o_orderkey AS nct_id, st AS status, {case('st', E.TRIAL_STATUS, 'unclassified')} AS status_category, {case('st', E.TRIAL_NOTES)} AS status_note, CASE WHEN o_orderkey % 9 = 0 THEN 'UNKNOWN_PHASE' END AS refusal, CASE WHEN o_orderkey % 9 = 0 THEN 'PHASE9' ELSE '' END AS unknown_phases, o_orderpriority AS condition, 'Sponsor ' || o_custkey AS sponsor
 FROM (SELECT *, {_sqlpick(STATUSES, 'o_orderkey')} AS st FROM orders)""")
 def l04(spark, sf):
     """Trial records as nested JSON text, one per order."""
@@ -179,7 +179,7 @@ def l04(spark, sf):
         F.struct(F.when(k % 9 == 0, F.array(F.lit("PHASE1"), F.lit("PHASE9"))).otherwise(F.array(F.lit("PHASE2"))).alias("phases")).alias("designModule"), F.struct(F.array("o_orderpriority").alias("conditions")).alias("conditionsModule"),
         F.struct(F.struct(F.concat(F.lit("Sponsor "), F.col("o_custkey").cast("string")).alias("name")).alias("leadSponsor")).alias("sponsorCollaboratorsModule")))
     t = E.classify_trials(o.select(record.alias("record")))
-    return t.select("nct_id", "status", "status_category", F.array_join("unknown_phases", ",").alias("unknown_phases"), F.element_at("conditions", 1).alias("condition"), "sponsor")
+    return t.select("nct_id", "status", "status_category", "status_note", "refusal", F.array_join("unknown_phases", ",").alias("unknown_phases"), F.element_at("conditions", 1).alias("condition"), "sponsor")
 
 
 APPS, TYPES, CLASSES, STATES = ["ANDA", "NDA", "BLA", "XX"], ["ORIG", "SUPPL", "OTHER"], list(E.SUBMISSION_CLASS) + ["UNKNOWN"], ["AP", "TA", "WD"]

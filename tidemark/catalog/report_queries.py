@@ -365,6 +365,31 @@ def s05(spark, sf):
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
+@query("s05_position_checks", """
+SELECT s_suppkey, position, country, CASE WHEN s_suppkey % 17 = 0 AND position = 2 THEN 'MISSING_FIELD:country' WHEN s_suppkey % 11 = 0 AND position = 1 THEN 'INVALID_IDENTIFIER' WHEN s_suppkey % 13 = 0 AND s_suppkey % 11 <> 0 THEN 'DUPLICATE_IDENTIFIER' END AS reason,
+ CASE WHEN s_suppkey % 17 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 13 = 0 THEN 'FAULTY_POSITIONS' END AS filing_reason
+FROM (SELECT s_suppkey, n AS position, CASE WHEN s_suppkey % 17 <> 0 OR n = 1 THEN 'US' END AS country FROM supplier, (VALUES (1), (2)) v(n) WHERE s_suppkey % 19 <> 0)
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL, 'NO_POSITIONS' FROM supplier WHERE s_suppkey % 19 = 0""")
+def s05_checks(spark, sf):
+    """Filings of two positions each, of which some lack a field, misspell or repeat an identifier, or hold no position; a second identifier stands behind each header."""
+    s, k, nl = I.table(spark, sf, "supplier"), F.col("s_suppkey"), F.lit("\n")
+    number = F.lpad(k.cast("string"), 9, "0")
+
+    def part(name, isin, country):
+        return F.concat_ws("\n", F.lit("Item C.1. Identification of investment."), F.lit("a. Name of issuer (if any)."), name, F.lit("c. Title of issue"), F.lit("common"), F.lit("ISIN"), isin,
+                           F.lit("Item C.2. Amount of each investment."), F.lit("ISIN"), F.lit("of collateral"), country)
+    first = F.concat(F.when(k % 11 == 0, "u").otherwise("U"), F.lit("S"), number, F.lit("1"))
+    second = F.concat(F.lit("US"), number, F.when(k % 13 == 0, "1").otherwise("2"))
+    country = lambda there: F.when(there, F.lit("Country\nUS\n")).otherwise("\n")
+    text = F.when(k % 19 == 0, "no portfolio").otherwise(F.concat(F.lit("head\n"), part(F.col("s_name"), first, country(F.lit(True))), part(F.lit("second"), second, country(k % 17 != 0))))
+    filings = s.select("s_suppkey", text.alias("text"))
+    found = D.extract_positions(filings, "text", "Item C.1. Identification of investment.", {"name": "a. Name of issuer (if any).", "title": "c. Title of issue", "isin": "ISIN", "country": "Country"},
+                                keep=("s_suppkey",), header_end="Item C.2. Amount of each investment.", whole=("country",))
+    checked, judged = D.check_positions(filings, found, "s_suppkey")
+    out = judged.withColumnRenamed("reason", "filing_reason").join(checked, "s_suppkey", "left")
+    return out.select("s_suppkey", F.col("position").cast("int").alias("position"), "country", "reason", "filing_reason")
+
+
 @query("s06_submission_exhibits", """
 SELECT doc_id, 'EX-99.' || (doc_id % 2 + 1) AS form_type, 'ex' || doc_id || '.htm' AS filename, 3 AS listed, 2 AS available, length(text) AS body_length FROM documents WHERE doc_id % 3 <> 0""")
 def s06(spark, sf):
@@ -626,3 +651,56 @@ def l18(spark, sf):
                  (p * 1.1).alias("lo"), (p * F.when(k % 13 == 0, 1.0).otherwise(1.3)).alias("hi"), k.alias("k"), (k % 3).alias("block"), F.when(k % 19 == 0, -1).otherwise(k % 3).alias("fold_block"), F.when(k % 23 == 0, "NYSE").otherwise("Nasdaq GS").alias("listed"))
     d = d.withColumn("revision", (F.col("lo") + F.col("hi")) / (F.col("prior_lo") + F.col("prior_hi")) - 1 + F.when(F.col("k") % 17 == 0, 0.01).otherwise(0.0))
     return V.violation_counts(d, Q.guidance_rules())
+
+
+# Stated clocks of the news events, some of them wrong; ranges by number; openings per (symbol, session), some missing or not verified.
+VIEWS["v_guidance"] = (("v_news", "v_days", "v_sessions"), f"""
+SELECT n.event_no, n.user_id AS symbol, n.user_id AS cik, s.session AS reaction_session, n.event_no % 5 AS block, CAST(n.event_no % 3 - 1 AS DOUBLE) * 5 AS d, 2 * (100 + n.event_no % 50) + 10 AS prior_sum,
+ s.session IS NULL OR n.event_no % 31 = 0 AS SESSION_DISAGREES, k.timing IS NULL OR n.event_no % 37 = 0 AS TIMING_DISAGREES, s.session IS NULL OR n.event_no % 41 = 0 AS SCHEDULED_OPEN_DISAGREES,
+ s.session IS NULL OR n.event_no % 43 = 0 AS CUTOFF_DISAGREES,
+ coalesce(n.published_at + INTERVAL 1 MINUTE >= s.open_utc - INTERVAL 15 MINUTE - CASE WHEN n.event_no % 43 = 0 THEN INTERVAL 1 MINUTE ELSE INTERVAL 0 MINUTE END, true) AS CLOCK_ORDER,
+ n.event_no % 13 = 0 AS INVALID_RANGE, n.event_no % 17 = 0 AS MIDPOINT_ARITHMETIC, n.event_no % 19 = 0 AS BLOCK_DISAGREES, n.event_no % 23 = 0 AS LISTING_UNVERIFIED
+FROM v_news n JOIN ({CLASSIFY}) k USING (event_id) LEFT JOIN v_sessions s ON s.idx = k.reaction_idx""")
+GUIDANCE_RULES = "SESSION_DISAGREES TIMING_DISAGREES SCHEDULED_OPEN_DISAGREES CUTOFF_DISAGREES CLOCK_ORDER INVALID_RANGE MIDPOINT_ARITHMETIC BLOCK_DISAGREES LISTING_UNVERIFIED".split()
+VIEWS["v_verified"] = (("v_guidance",), f"SELECT * FROM v_guidance WHERE NOT ({' OR '.join(GUIDANCE_RULES)})")
+VIEWS["v_openings"] = (("v_verified",), "SELECT symbol, reaction_session, min(event_no) % 4 <> 0 AS ok FROM v_verified GROUP BY 1, 2 HAVING min(event_no) % 29 <> 0")
+VIEWS["v_opened"] = (("v_verified", "v_openings"), "SELECT v.*, coalesce(o.ok, false) AS opened FROM v_verified v LEFT JOIN v_openings o USING (symbol, reaction_session)")
+
+
+def guidance(spark, sf):
+    c, k = I.calendar(spark), F.col("event_no")
+    days = F.broadcast(c.sessions.select(F.col("idx").alias("reaction_idx"), "session", "open_utc"))
+    e = cal.classify(I.news(spark, sf), "published_at", c).join(days, "reaction_idx", "left")
+    late = lambda n: F.when(k % n == 0, F.expr("interval 1 minute")).otherwise(F.expr("interval 0 minute"))
+    lo, shift = (100 + k % 50).cast("double"), (k % 3 - 1).cast("double") * 5
+    e = e.select("event_no", F.col("user_id").alias("symbol"), F.col("user_id").alias("cik"), F.date_add("session", F.when(k % 31 == 0, 1).otherwise(0)).alias("reaction_session"), F.when(k % 37 == 0, "noon").otherwise(F.col("timing")).alias("timing"),
+                 (F.col("open_utc") + late(41)).alias("scheduled_open_at"), (F.col("open_utc") - F.expr("interval 15 minutes") - late(43)).alias("cutoff"), (F.col("published_at") - F.expr("interval 90 days")).alias("prior_at"),
+                 F.col("published_at").alias("source_at"), (F.col("published_at") + F.expr("interval 1 minute")).alias("available_at"), lo.alias("prior_lo"), (lo + 10).alias("prior_hi"),
+                 (lo + shift).alias("lo"), F.when(k % 13 == 0, F.lit(0.0)).otherwise(lo + 10 + shift).alias("hi"), (k % 5).alias("block"), F.when(k % 19 == 0, -1).otherwise(k % 5).alias("fold_block"), F.when(k % 23 == 0, "NYSE").otherwise("Nasdaq GS").alias("listed"))
+    return e.withColumn("revision", (F.col("lo") + F.col("hi")) / (F.col("prior_lo") + F.col("prior_hi")) - 1 + F.when(k % 17 == 0, 0.001).otherwise(0.0))
+
+
+@query("l18_guidance_clocks", f"SELECT rule, n FROM (SELECT {', '.join(f'count_if({x}) AS {x}' for x in GUIDANCE_RULES)} FROM v_guidance) UNPIVOT (n FOR rule IN ({', '.join(GUIDANCE_RULES)}))", ["v_guidance"])
+def l18_clocks(spark, sf):
+    """How many news events break each rule, stated clocks against the calendar included."""
+    d, clocks = Q.guidance_clocks(guidance(spark, sf), I.calendar(spark))
+    return V.violation_counts(d, clocks + Q.guidance_rules())
+
+
+def openings_of(verified):
+    o = verified.groupBy("symbol", "reaction_session").agg(F.min("event_no").alias("_m")).filter("_m % 29 <> 0")
+    return o.select("symbol", "reaction_session", F.when(F.col("_m") % 4 == 0, "no_official_open").otherwise("verified_open").alias("status"))
+
+
+@query("l18_guidance_support", """
+SELECT *, concat_ws(',', CASE WHEN disagree <> 0 THEN 'openings_match_membership' END, CASE WHEN rows < 100 THEN 'minimum_rows' END, CASE WHEN issuers < 20 THEN 'minimum_issuers' END, CASE WHEN sessions < 10 THEN 'minimum_sessions' END,
+ CASE WHEN full_blocks < 3 THEN 'minimum_blocks' END, CASE WHEN raises = 0 THEN 'raises_present' END, CASE WHEN cuts = 0 THEN 'cuts_present' END) AS failed FROM (
+SELECT count(*) AS screened, count_if(opened) AS rows, count(DISTINCT CASE WHEN opened THEN cik END) AS issuers, count(DISTINCT CASE WHEN opened THEN reaction_session END) AS sessions, count_if(opened AND d > 0) AS raises, count_if(opened AND d < 0) AS cuts,
+ count_if(opened AND d = 0) AS unchanged, count(DISTINCT CASE WHEN opened AND d < 0 THEN cik END) AS cut_issuers, (SELECT count(*) FROM (SELECT count(*) AS n, any_value(o.ok) AS ok FROM v_verified LEFT JOIN v_openings o USING (symbol, reaction_session) GROUP BY symbol, reaction_session) WHERE n <> 1 OR ok IS NULL) AS disagree,
+ count(DISTINCT CASE WHEN opened THEN block END) AS blocks, (SELECT count(*) FROM (SELECT block FROM v_opened WHERE opened GROUP BY block HAVING count(*) >= 8)) AS full_blocks FROM v_opened)""", ["v_verified", "v_openings", "v_opened"])
+def l18_support(spark, sf):
+    """What verified clocks, ranges and openings leave of the news events, against floors."""
+    ok, _ = Q.verify_guidance(guidance(spark, sf), I.calendar(spark))
+    ok = cut_lineage(ok)  # read by the openings, the membership and the blocks
+    out = Q.guidance_gate(Q.guidance_support(ok, openings_of(ok), 8), {"rows": 100, "issuers": 20, "sessions": 10, "blocks": 3})
+    return out.select("screened", "rows", "issuers", "sessions", "raises", "cuts", "unchanged", "cut_issuers", "disagree", "blocks", "full_blocks", F.array_join("failed_gates", ",").alias("failed"))

@@ -1,6 +1,9 @@
 """Audit gates: cohort acceptance, spot checks, review queues, export audits, commitments, chains and readiness."""
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.text import feature_cutoff
+from tidemark.operators.sessions import classify
+from tidemark.operators.validate import validate
 from tidemark.plans.metrics import gates
 
 
@@ -110,11 +113,63 @@ def readiness(support: DataFrame, floors: dict) -> DataFrame:
 
 
 def guidance_rules():
-    """L18. Clock, range and arithmetic rules of a guidance revision; needs prior_at, source_at, available_at, cutoff, lo, hi, prior_lo, prior_hi, revision, block, fold_block, listed."""
+    """L18. Clock, range and arithmetic rules of a guidance revision; needs prior_at, source_at, available_at, cutoff, lo, hi, prior_lo, prior_hi, revision, block, fold_block, listed.
+
+    A rule that cannot be evaluated for a null is broken.
+    """
     good = lambda *cs: [F.col(c).isNotNull() & ~F.isnan(c) for c in cs]
     lo, hi, plo, phi = (F.col(c) for c in ("lo", "hi", "prior_lo", "prior_hi"))
     finite = good("lo", "hi", "prior_lo", "prior_hi")
-    return [("CLOCK_ORDER", ~((F.col("prior_at") < F.col("source_at")) & (F.col("source_at") < F.col("available_at")) & (F.col("available_at") < F.col("cutoff")))),
+    midpoint = (lo + hi) / F.nullif(plo + phi, F.lit(0.0)) - 1
+    rules = [("CLOCK_ORDER", ~((F.col("prior_at") < F.col("source_at")) & (F.col("source_at") < F.col("available_at")) & (F.col("available_at") < F.col("cutoff")))),
             ("INVALID_RANGE", ~(finite[0] & finite[1] & finite[2] & finite[3] & (plo >= 0) & (plo <= phi) & (plo + phi > 0) & (lo >= 0) & (lo <= hi))),
-            ("MIDPOINT_ARITHMETIC", F.abs((lo + hi) / F.nullif(plo + phi, F.lit(0.0)) - 1 - F.col("revision")) > F.greatest(1e-12 * F.abs("revision"), F.lit(1e-14)) + 1e-9),
+            ("MIDPOINT_ARITHMETIC", F.abs(midpoint - F.col("revision")) > F.greatest(1e-12 * F.abs("revision"), 1e-12 * F.abs(midpoint), F.lit(1e-14))),
             ("BLOCK_DISAGREES", ~F.col("block").eqNullSafe(F.col("fold_block"))), ("LISTING_UNVERIFIED", ~F.contains(F.lower("listed"), F.lit("nasdaq")))]
+    return [(name, F.coalesce(cond, F.lit(True))) for name, cond in rules]
+
+
+def guidance_clocks(events: DataFrame, calendar, lead=15):
+    """L18. (rows with the recomputed session, timing, open and cutoff of source_at, rules that the stated ones must meet); `lead` is minutes of the cutoff before the open."""
+    react = calendar.sessions.select(F.col("idx").alias("_own_reaction_idx"), F.col("session").alias("_session"), F.col("open_utc").alias("_open_at"))
+    d = classify(events, "source_at", calendar, "_own_").join(F.broadcast(react), "_own_reaction_idx", "left").withColumn("_cutoff_at", feature_cutoff("_open_at", lead))
+    stated = {"SESSION_DISAGREES": ("reaction_session", "_session"), "TIMING_DISAGREES": ("timing", "_own_timing"), "SCHEDULED_OPEN_DISAGREES": ("scheduled_open_at", "_open_at"), "CUTOFF_DISAGREES": ("cutoff", "_cutoff_at")}
+    return d, [(name, ~F.coalesce(F.col(a) == F.col(b), F.lit(False))) for name, (a, b) in stated.items()]
+
+
+def verify_guidance(events: DataFrame, calendar, lead=15):
+    """L18. (accepted, rejected with `violations`): guidance revisions whose stated clocks are those of the calendar and that meet every rule of `guidance_rules`."""
+    d, clocks = guidance_clocks(events, calendar, lead)
+    return tuple(part.drop("_own_reaction_idx", "_own_timing", "_session", "_open_at", "_cutoff_at") for part in validate(d, clocks + guidance_rules()))
+
+
+def with_openings(events: DataFrame, openings: DataFrame, keys=("symbol", "reaction_session")) -> DataFrame:
+    """L18. Events with `opened`: whether the one opening of their key is a verified one (false if it has none or several)."""
+    o = openings.groupBy(*keys).agg((F.count(F.lit(1)) == 1).alias("_one"), F.bool_and(F.col("status") == "verified_open").alias("_ok"))
+    return events.join(o, list(keys), "left").withColumn("opened", F.coalesce(F.col("_one") & F.col("_ok"), F.lit(False))).drop("_one", "_ok")
+
+
+def guidance_support(events: DataFrame, openings: DataFrame, block_rows: int, keys=("symbol", "reaction_session")) -> DataFrame:
+    """L18. One row: what the verified openings leave of the verified events, for `guidance_gate`.
+
+    `screened` events; `disagree`, the keys that do not stand once on either side; of the events with a verified opening the rows, issuers, sessions, signs (raises, cuts,
+    unchanged), issuers with a cut, blocks, and blocks of at least `block_rows`. `openings` has one row per key with its status.
+    """
+    sides = events.select(*keys, F.lit(1).alias("_e"), F.lit(0).alias("_o")).unionByName(openings.select(*keys, F.lit(0).alias("_e"), F.lit(1).alias("_o")))
+    disagree = sides.groupBy(*keys).agg(F.sum("_e").alias("_e"), F.sum("_o").alias("_o")).agg(F.count_if((F.col("_e") != 1) | (F.col("_o") != 1)))
+    joined = with_openings(events, openings, keys)
+    per = guidance_blocks(joined.filter("opened"))
+    up, ok = F.col("revision"), F.col("opened")
+    facts = joined.agg(F.count(F.lit(1)).alias("screened"), F.count_if(ok).alias("rows"), F.count_distinct(F.when(ok, F.col("cik"))).alias("issuers"), F.count_distinct(F.when(ok, F.col(keys[1]))).alias("sessions"),
+                       F.count_if(ok & (up > 0)).alias("raises"), F.count_if(ok & (up < 0)).alias("cuts"), F.count_if(ok & (up == 0)).alias("unchanged"), F.count_distinct(F.when(ok & (up < 0), F.col("cik"))).alias("cut_issuers"))
+    return facts.withColumns({"disagree": disagree.scalar(), "blocks": per.agg(F.count(F.lit(1))).scalar(), "full_blocks": per.agg(F.count_if(F.col("rows") >= block_rows)).scalar()})
+
+
+def guidance_blocks(verified: DataFrame) -> DataFrame:
+    """L18. Rows and signs per held block."""
+    return verified.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("revision") > 0).alias("raises"), F.count_if(F.col("revision") < 0).alias("cuts"))
+
+
+def guidance_gate(support: DataFrame, floors: dict) -> DataFrame:
+    """L18. Coverage gate over `guidance_support`; floors are rows, issuers, sessions and blocks."""
+    return gates(support, [("openings_match_membership", F.col("disagree") == 0), *[("minimum_" + name, F.col(column) >= floors[name]) for name, column in (("rows", "rows"), ("issuers", "issuers"), ("sessions", "sessions"), ("blocks", "full_blocks"))],
+                           ("raises_present", F.col("raises") > 0), ("cuts_present", F.col("cuts") > 0)])

@@ -24,6 +24,15 @@ TRIAL_STATUS = {
     "ACTIVE_NOT_RECRUITING": "ongoing", "ENROLLING_BY_INVITATION": "ongoing", "APPROVED_FOR_MARKETING": "regulatory_milestone", "UNKNOWN": "administrative", "WITHHELD": "administrative",
     "NO_LONGER_AVAILABLE": "administrative", "AVAILABLE": "administrative", "TEMPORARILY_NOT_AVAILABLE": "administrative",
 }
+# What a status leaves open.
+TRIAL_NOTES = {
+    "COMPLETED": "Finished; whether the primary endpoint was met needs the trial's own separate results data, not this status alone.",
+    "TERMINATED": "Stopped early after already starting.",
+    "WITHDRAWN": "Stopped before enrolling any participant.",
+    "SUSPENDED": "Halted; not necessarily permanently.",
+    "APPROVED_FOR_MARKETING": "The intervention itself reached market.",
+    "UNKNOWN": "Status not verified within ClinicalTrials.gov's own required window -- a reporting gap, not a scientific or regulatory outcome.",
+}
 TRIAL_PHASES = ("NA", "EARLY_PHASE1", "PHASE1", "PHASE2", "PHASE3", "PHASE4")
 # Venue and tape that carry the opening print of a listing.
 LISTED_ON = {"NYSE": ("N", "A"), "NASDAQ": ("Q", "C")}
@@ -116,14 +125,20 @@ def classify_filings(df: DataFrame) -> DataFrame:
 
 
 def classify_trials(df: DataFrame) -> DataFrame:
-    """L4. From nested trial JSON in `record`: identity, status category, phases (unknown ones listed), conditions, sponsor."""
+    """L4. From nested trial JSON in `record`: identity, title, status category and note, phases (unknown ones listed), conditions, sponsor.
+
+    `refusal` says why a record is not to be used: no trial id, or a phase outside the vocabulary.
+    """
     shape = ("identificationModule struct<nctId:string,briefTitle:string>, statusModule struct<overallStatus:string>, designModule struct<phases:array<string>>, "
              "conditionsModule struct<conditions:array<string>>, sponsorCollaboratorsModule struct<leadSponsor:struct<name:string>>")
     d = df.withColumn("_p", F.from_json("record", shape))
     phases = F.coalesce(F.col("_p.designModule.phases"), F.array().cast("array<string>"))
-    return d.select(*df.columns, F.col("_p.identificationModule.nctId").alias("nct_id"), F.col("_p.statusModule.overallStatus").alias("status"),
-                    lookup(F.col("_p.statusModule.overallStatus"), TRIAL_STATUS, "unclassified").alias("status_category"), phases.alias("phases"),
-                    F.array_except(phases, F.array(*[F.lit(x) for x in TRIAL_PHASES])).alias("unknown_phases"),
+    unknown = F.array_except(phases, F.array(*[F.lit(x) for x in TRIAL_PHASES]))
+    refusal = F.when(F.coalesce("_p.identificationModule.nctId", F.lit("")) == "", "MISSING_TRIAL_ID").when(F.size(unknown) > 0, "UNKNOWN_PHASE")
+    return d.select(*df.columns, F.col("_p.identificationModule.nctId").alias("nct_id"), F.col("_p.identificationModule.briefTitle").alias("brief_title"), F.col("_p.statusModule.overallStatus").alias("status"),
+                    lookup(F.col("_p.statusModule.overallStatus"), TRIAL_STATUS, "unclassified").alias("status_category"),
+                    lookup(F.col("_p.statusModule.overallStatus"), TRIAL_NOTES).alias("status_note"), phases.alias("phases"),
+                    unknown.alias("unknown_phases"), refusal.alias("refusal"),
                     F.coalesce(F.col("_p.conditionsModule.conditions"), F.array().cast("array<string>")).alias("conditions"),
                     F.col("_p.sponsorCollaboratorsModule.leadSponsor.name").alias("sponsor"))
 

@@ -73,16 +73,47 @@ def read_listing(spark: SparkSession, path: str, columns, key=None, on_bad="rais
     return rows if on_bad == "raise" else (rows, bad.select(F.col("_file").alias("file"), "reason"))
 
 
-def extract_positions(df: DataFrame, text: str, marker: str, fields: dict, keep=()) -> DataFrame:
-    """S5. Cut a filing at a section marker and take labelled fields of each section; a field must occur exactly once, else it is null."""
+# Fixed value: shape of a security identifier.
+ISIN = r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
+
+
+def extract_positions(df: DataFrame, text: str, marker: str, fields: dict, keep=(), header_end: str = None, whole=()) -> DataFrame:
+    """S5. Cut a filing at a section marker and take labelled fields of each section; a field must occur exactly once, else it is null.
+
+    With `header_end`, fields are looked for in what stands before it; those named in `whole` in the whole section.
+    """
     parts = F.split(F.col(text), F.regexp_replace(F.lit(marker), r"([.\\(\\)])", r"\\$1"))
     s = df.select(*keep, F.posexplode(parts).alias("_n", "_s")).filter("_n > 0")
+    s = s.withColumn("_h", F.substring_index("_s", header_end, 1) if header_end else F.col("_s"))
 
-    def field(label):
-        found = F.regexp_extract_all("_s", F.lit(r"(?m)^" + label.replace(".", r"\.").replace("(", r"\(").replace(")", r"\)") + r"[^\S\n]*\n([^\n]+)"), F.lit(1))
+    def field(name, label):
+        found = F.regexp_extract_all("_s" if name in whole else "_h", F.lit(r"(?m)^" + label.replace(".", r"\.").replace("(", r"\(").replace(")", r"\)") + r"[^\S\n]*\n([^\n]+)"), F.lit(1))
         return F.when(F.size(found) == 1, F.trim(F.element_at(found, 1)))
 
-    return s.select(*keep, F.col("_n").alias("position"), *[field(label).alias(name) for name, label in fields.items()])
+    return s.select(*keep, F.col("_n").alias("position"), *[field(name, label).alias(name) for name, label in fields.items()])
+
+
+def check_positions(filings: DataFrame, positions: DataFrame, by, identifier="isin", required=("name", "title", "isin", "country")):
+    """S5. (positions with `reason`, filings with their number of positions, faults and `reason`).
+
+    A position lacks a required field, its identifier has another shape, or the filing names the identifier more than once. A filing is refused (its reason is set) if it has
+    no position or a faulty one; `by` is the key of a filing.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    often = positions.filter(F.col(identifier).isNotNull()).groupBy(*by, identifier).agg((F.count(F.lit(1)) > 1).alias("_often"))
+    lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in required]))
+    reason = (F.when(F.size(lacking) > 0, F.concat(F.lit("MISSING_FIELD:"), F.array_join(lacking, ","))).when(~F.rlike(identifier, F.lit(ISIN)), "INVALID_IDENTIFIER")
+              .when(F.col("_often"), "DUPLICATE_IDENTIFIER"))
+    checked = positions.join(often, [*by, identifier], "left").withColumn("reason", reason).drop("_often")
+    per = checked.groupBy(*by).agg(F.count(F.lit(1)).alias("positions"), F.count("reason").alias("faults"))
+    state = F.when(F.col("positions") == 0, "NO_POSITIONS").when(F.col("faults") > 0, "FAULTY_POSITIONS")
+    return checked, filings.select(*by).distinct().join(per, by, "left").fillna({"positions": 0, "faults": 0}).withColumn("reason", state)
+
+
+def issuer_roster(checked: DataFrame, by, identifier="isin", name="name", fields=("title", "country")) -> DataFrame:
+    """S5. Issuers of each filing with their securities in order of the identifier; an issuer's securities in one filing are few."""
+    by = [by] if isinstance(by, str) else list(by)
+    return checked.groupBy(*by, name).agg(F.array_sort(F.collect_list(F.struct(identifier, *fields))).alias("securities"))
 
 
 def extract_exhibits(df: DataFrame, text: str, keep=()) -> DataFrame:
