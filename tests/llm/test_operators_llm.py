@@ -1,6 +1,8 @@
 """The ten operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -374,6 +376,51 @@ def test_quality_on_held_out_labels(spark):
     assert auc(y, s) > 0.93 and np.mean(np.array(y) == np.array(p)) > 0.9
 
 
+def plain_score(text, m):
+    """Encoder, gated attention and logistic unit of one text in plain loops."""
+    words = (text or "").encode().split()
+    seen, rows = set(), []
+    for a in range(0, max(1, len(words)), quality.PASSAGE):
+        part = words[a:a + quality.PASSAGE]
+        if not part:
+            rows.append([0.0] * quality.WIDTH)
+            continue
+        joined, kinds = b" ".join(part), set(part)
+        kind_of = lambda c: (11 if c >= 128 else 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 if c <= 32 else
+                             {"|": 4, "!": 5, ".": 6, ",": 7, **dict.fromkeys("%&*$#", 8), **dict.fromkeys("'\"()[]{}<>", 9)}.get(chr(c), 10))
+        counts = collections.Counter(map(kind_of, joined))
+        sizes = [len(w) for w in part]
+        mean = sum(sizes) / len(sizes)
+        spread = (sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5
+        rows.append([counts[c] / len(joined) for c in range(quality.CLASSES)] + [mean / 10, spread / 5, len(kinds) / len(part), len(kinds - seen) / len(kinds), sum(s <= 3 for s in sizes) / len(part), sum(s >= 12 for s in sizes) / len(part),
+                    counts[6] / len(part), math.log(1 + len(part)) / 4, math.log(1 + len(words)) / 8])
+        seen |= kinds
+    p = m.p
+    sigma = lambda v: 1 / (1 + math.exp(-v))
+    codes, gates = [], []
+    for x in rows:
+        x = [(v - u) / s for v, u, s in zip(x, m.mean, m.scale)]
+        e = [math.tanh(sum(v * p["W"][i][k] for i, v in enumerate(x)) + p["b"][k]) for k in range(len(p["b"]))]
+        g = sum(p["w"][j] * math.tanh(sum(v * p["V"][i][j] for i, v in enumerate(e))) * sigma(sum(v * p["U"][i][j] for i, v in enumerate(e))) for j in range(len(p["w"])))
+        codes.append(e), gates.append(g)
+    weights = [math.exp(g - max(gates)) for g in gates]
+    z = [sum(w * e[k] for w, e in zip(weights, codes)) / sum(weights) for k in range(len(codes[0]))]
+    return sigma(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0])
+
+
+def test_quality_equals_plain_loops(spark):
+    """Every document of the small table, scored by the operator and by loops over the same fitted parameters."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "Ünï côdé | !!"), (-4, "a " * 64), (-5, "a " * 65)], "doc_id long, text string"))
+    m = quality.fit(docs, labels, 5000, 128)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        want = plain_score(text, m)
+        assert abs(got[i]["score"] - want) < 1e-4 and (got[i]["predicted"] == int(want >= 0.3) or abs(want - 0.3) < 1e-4), i
+
+
 def test_quality_edges(edges, nothing, labels):
     got = quality.score(edges, labels).collect()
     assert len(got) == len(edge_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
@@ -446,6 +493,62 @@ def test_mixture_shares():
     assert (langid.shares(like[:150]) == [1, 0, 0]).all()
 
 
+def test_mixture_equals_a_plain_loop():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n, k = int(rng.integers(1, 30)), int(rng.integers(1, 5))
+        units = rng.normal(-40, 6, (n, k))
+        share = [1 / k] * k
+        for _ in range(25):
+            own = []
+            for u in units:
+                top = max(u)
+                part = [s * math.exp(v - top) for s, v in zip(share, u)]
+                own.append([x / sum(part) for x in part])
+            new = [sum(o[j] for o in own) / n for j in range(k)]
+            settled = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+            share = new
+            if settled:
+                break
+        value = sum(max(u) + math.log(sum(s * math.exp(v - max(u)) for s, v in zip(share, u))) for u in units)
+        got, ll = langid.mixture(units)
+        assert np.allclose(got, share, atol=1e-9) and abs(ll - value) < 1e-6
+
+
+def test_chosen_languages_are_the_best_of_all_subsets():
+    """Units of one, two or three of five languages: the set found by growing is the one with the best penalised likelihood of all."""
+    rng = np.random.default_rng(6)
+    for case in range(40):
+        k, n = 5, int(rng.integers(12, 80))
+        true = rng.choice(k, size=1 + case % 3, replace=False)
+        units = rng.normal(-60, 2, (n, k))
+        units[np.arange(n), true[np.arange(n) % len(true)]] += 15
+        value = {}
+        for size in range(1, k + 1):
+            for part in itertools.combinations(range(k), size):
+                value[part] = langid.mixture(units[:, list(part)])[1] - 2.0 * math.log(1 + n) * (size - 1)
+        best = max(value, key=value.get)
+        s = langid.shares(units)
+        assert set(np.flatnonzero(s > 0)) <= set(best) and abs(s.sum() - 1) < 1e-6 and set(best) == set(true.tolist()), case
+        assert int(s.argmax()) in best
+
+
+def test_language_equals_a_plain_count(spark):
+    """Trigram tables counted by a dictionary give the operator's predictions."""
+    train = [(0, "der hund und die katze im haus", "de", "a"), (1, "the dog and the cat in the house", "en", "a"), (3, "le chien et le chat dans la maison", "fr", "a"), (4, "und der mann geht in das haus", "de", "a"), (7, "and the man goes into the house", "en", "a")]
+    ask = [(100, "der mann und die katze", None, "a"), (101, "the man and the dog", None, "a"), (102, "le chat et le chien", None, "a")]
+    counts = {}
+    for _, text, lang, _ in train:
+        for g in langid.trigrams(text.encode()).tolist():
+            counts.setdefault(lang, collections.Counter())[g] += 1
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.5 * langid.BUCKETS for x in langs}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, ask), frame(spark, train)).collect()}
+    for i, text, _, _ in ask:
+        score = {x: sum(math.log((counts[x][g] + 0.5) / total[x]) for g in langid.trigrams(text.encode()).tolist()) for x in langs}
+        assert got[i] == max(score, key=score.get)
+
+
 def test_language_edges(edges, nothing):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(edges).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (8, "und")} <= got and all(p in ("en", "de", "fr", "und") for _, p in got)
@@ -519,6 +622,36 @@ def test_reputation_shrinks_to_the_level_above(spark):
     assert verdicts == {"spam.bad.org": "block", "ads.bad.org": "block", "new.bad.org": "block", "a.good.org": "allow", "new.good.org": "allow", "b.fine.com": "allow"}
 
 
+@pytest.mark.parametrize("suffixes", [urls.LONG_SUFFIXES, ["co.uk", "k12.ca.us", "ca.us"], []])
+def test_registered_domains(spark, suffixes):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "uk", "", "x.y.k12.ca.us", "k12.ca.us", "z.ca.us", "www.example.com", "..", "a."]
+    got = {r["host"]: (r["d"], r["s"]) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *[c.alias(n) for c, n in zip(urls.registered_domain(F.col("host"), suffixes), "ds")]).collect()}
+    for h in hosts:
+        labels = h.split(".")
+        k = max([s.count(".") + 1 for s in suffixes if h == s or h.endswith("." + s)], default=1)
+        assert got[h] == (".".join(labels[-k - 1:]), ".".join(labels[-k:])), h
+
+
+def test_verdicts_equal_the_sql_under_long_suffixes(spark, tmp_path):
+    """An unlabelled host under a bad registered domain of a two-label suffix, beside good ones under the same suffix."""
+    rng = random.Random(3)
+    hosts = [f"h{k}.a{a}.{s}" for k in range(4) for a in range(5) for s in ("co.uk", "com", "org.au", "uk")] + ["new.a0.co.uk", "new.a1.co.uk", "new.a0.uk"]
+    pages = [(i, f"https://{h}/p") for i, h in enumerate(h for h in hosts for _ in range(6))]
+    bad = {u: 0.95 if ".a0." in u else 0.05 for _, u in pages}
+    labels = [(i, int(rng.random() >= bad[u]), 0) for i, u in pages if "new." not in u]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rel = con.execute(queries.SQL["op8_url_filter"])
+    names = [d[0] for d in rel.description]
+    want = {dict(zip(names, r))["page_id"]: tuple(dict(zip(names, r))[c] for c in ("host", "path", "rule", "verdict")) for r in rel.fetchall()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in queries.queries()["op8_url_filter"](spark, tmp_path).collect()}
+    assert got == want
+    assert {v[3] for v in got.values() if v[0] == "new.a0.co.uk"} == {"block"} and {v[3] for v in got.values() if v[0] == "new.a1.co.uk"} == {"allow"}
+
+
 # ---- 9: suffix dedup
 
 def brute_bytes(texts, length=200):

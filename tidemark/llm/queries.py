@@ -89,8 +89,10 @@ SQL = {
         ruled AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parts JOIN rules
                   ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY page_id),
         known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id),
-        hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, any_value(array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')) AS domain,
-                         any_value(list_extract(string_split(host, '.'), -1)) AS suffix FROM parts LEFT JOIN known ON doc_id = page_id GROUP BY host),
+        hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, any_value(array_to_string(list_slice(string_split(host, '.'), -1 - labels, -1), '.')) AS domain,
+                         any_value(array_to_string(list_slice(string_split(host, '.'), -labels, -1), '.')) AS suffix
+                  FROM (SELECT *, CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'com.cn')
+                                       THEN 2 ELSE 1 END AS labels FROM parts) LEFT JOIN known ON doc_id = page_id GROUP BY host),
         total AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS p FROM hosts),
         s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p) AS p FROM hosts, total GROUP BY suffix),
         k1 AS (SELECT CASE WHEN r > 0 THEN least(1000.0, greatest(1.0, 1 / r - 1)) ELSE 1000.0 END AS k FROM (SELECT (sum(n * (bad / n - p) ** 2) - sum(p * (1 - p))) / nullif(sum(n * p * (1 - p)) - sum(p * (1 - p)), 0) AS r FROM s1 WHERE n > 0)),

@@ -10,8 +10,8 @@ from tidemark.llm.common import ascii_lower, saved
 
 # Fixed values: (rule, verdict) in the order given.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-# Public suffixes of two labels; any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn"]
+# The public suffixes of more than one label known without a table of the caller's; any other suffix is the last label.
+LONG_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn"]
 
 
 def url_host(url: str) -> Column:
@@ -36,11 +36,20 @@ def matching_rule(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def registered_domain(host: Column, suffixes=tuple(TWO_LABEL_SUFFIXES)) -> tuple[Column, Column]:
-    """(domain, suffix): the public suffix and the label before it; a bare suffix is its own domain."""
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(list(suffixes))
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
+def registered_domain(host: Column, suffixes=tuple(LONG_SUFFIXES)) -> tuple[Column, Column]:
+    """(domain, suffix): the public suffix and the label before it; a bare suffix is its own domain.
+
+    The suffix is the longest one of `suffixes` (of any number of labels, some ten thousand at most: they are literals of the plan) that ends the host, else its last label.
+    """
+    last = lambda k: F.substring_index(host, ".", -k)
+    domain, suffix = last(2), last(1)
+    by_labels = {}
+    for s in suffixes:
+        by_labels.setdefault(s.count(".") + 1, []).append(s)
+    for k in sorted(by_labels):  # the longest is tested first, being outermost
+        fits = last(k).isin(by_labels[k])
+        domain, suffix = F.when(fits, last(k + 1)).otherwise(domain), F.when(fits, last(k)).otherwise(suffix)
+    return domain, suffix
 
 
 def _strength(rows: DataFrame, prior: str, name: str, most: float) -> DataFrame:
@@ -51,9 +60,9 @@ def _strength(rows: DataFrame, prior: str, name: str, most: float) -> DataFrame:
     return s.select("one", F.coalesce(F.when(rho > 0, F.least(F.lit(most), F.greatest(F.lit(1.0), 1 / rho - 1))), F.lit(most)).alias(name))
 
 
-def host_reputation(hosts: DataFrame, most_strength: float = 1000.0) -> DataFrame:
+def host_reputation(hosts: DataFrame, most_strength: float = 1000.0, suffixes=tuple(LONG_SUFFIXES)) -> DataFrame:
     """Rows (host, n, bad) get mean and weight of the posterior of the host's bad rate. Without any labelled page the rate is 1/2 with the least weight."""
-    domain, suffix = registered_domain(F.col("host"))
+    domain, suffix = registered_domain(F.col("host"), suffixes)
     hosts = saved(hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix"), F.lit(1).alias("one")))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     total = hosts.groupBy("one").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("prior"))
@@ -68,15 +77,15 @@ def host_reputation(hosts: DataFrame, most_strength: float = 1000.0) -> DataFram
     return rows.select("host", "mean", "weight")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=tuple(RULES), limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=tuple(RULES), limit: float = 0.5, z: float = 1.645, suffixes=tuple(LONG_SUFFIXES)) -> DataFrame:
     """page_id, host, path, rule, verdict, one row per row of `pages`; `outcomes` has page_id and bad (0/1, null: not labelled).
 
     Null urls and urls without :// have empty host and path; they share the empty host's reputation. A page with several outcomes is bad if one of them is. Rows without an
-    id have a verdict but no outcome. Empty tables give no rows, or priors only; other columns are ignored.
+    id have a verdict but no outcome. `suffixes` is the caller's table of public suffixes of more than one label. Empty tables give no rows, or priors only; other columns are ignored.
     """
     rows = pages.select("page_id", "url").select("page_id", F.coalesce(url_host("url"), F.lit("")).alias("host"), F.coalesce(url_path("url"), F.lit("")).alias("path"))
     known = outcomes.filter("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     hosts = rows.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    good = host_reputation(hosts).select("host", F.when(F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1)) > limit, "block").otherwise("allow").alias("_by_host"))
+    good = host_reputation(hosts, suffixes=suffixes).select("host", F.when(F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1)) > limit, "block").otherwise("allow").alias("_by_host"))
     met = rows.join(good, "host", "left").withColumn("_m", matching_rule(F.col("host"), F.col("path"), rules))
     return met.select("page_id", "host", "path", F.col("_m.rule").alias("rule"), F.coalesce(F.col("_m.verdict"), F.col("_by_host"), F.lit("allow")).alias("verdict"))
