@@ -700,6 +700,21 @@ def test_long_texts_in_pieces_give_the_same_anchors():
     assert rows(whole) == rows(pieces)
 
 
+def test_classes_of_surroundings_are_classes_of_bytes():
+    """Same class if and only if the bytes around the anchor, up to the ends of the text, are the same; whatever the polynomial hash says."""
+    rng = random.Random(12)
+    part = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    shared = [part(450) for _ in range(4)]
+    texts = [b"".join(rng.choice([part(rng.randrange(150)), rng.choice(shared)]) for _ in range(6)) for _ in range(40)] + [b"a" * 900, b"a" * 700, shared[0][:300]]
+    number, place, gram, around = suffix.anchors(enumerate(texts))
+    by_class, by_bytes = collections.defaultdict(set), collections.defaultdict(set)
+    for i, p, g, d in zip(number.tolist(), place.tolist(), gram.tolist(), around.tolist()):
+        low = max(0, p - (suffix.LENGTH - suffix.GRAM))
+        seen = (texts[i][low:p], texts[i][p:p + suffix.LENGTH])
+        by_class[g, d].add(seen), by_bytes[seen].add((g, d))
+    assert len(by_class) == len(by_bytes) < len(place) and all(len(v) == 1 for v in [*by_class.values(), *by_bytes.values()])
+
+
 def test_suffix_edges(edges, nothing):
     rows = edge_rows()
     got = sorted(map(tuple, suffix.repeated_substrings(edges).collect()), key=str)

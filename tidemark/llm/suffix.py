@@ -2,7 +2,8 @@
 
 Prefix polynomial hashes (mod 2^64) give every byte string's hash in constant time. Of the `GRAM`-byte strings that start in a `LENGTH`-byte window, the one with the least
 hash is its anchor; equal windows have equal anchors in equal places, so a repeated window always shows as a repeated anchor. Per anchor, occurrences with the same
-surroundings form one class, found by grouping on hashes (combined before the shuffle): a class of two occurrences is repeated in full. Only anchors with several
+surroundings form one class, found by grouping on the anchor's hash and a BLAKE2b digest of the surrounding bytes (combined before the shuffle), so that no collision
+of the polynomial hash joins what differs: a class of two occurrences is repeated in full. Only anchors with several
 classes need comparison: the classes' suffixes and reversed prefixes from the anchor are sorted by a mergesort whose comparisons find the common extension by binary
 search over prefix hashes, common extensions of neighbours are verified byte by byte, and a window is repeated if another class agrees with it on both sides.
 
@@ -57,7 +58,7 @@ def _spread(h):
 
 
 def anchors(texts, length=LENGTH, gram=GRAM, piece=PIECE):
-    """Of texts (number, bytes): arrays (number, place, gram hash, hash of the surroundings) of all anchors. Long texts go in overlapping pieces, short ones together."""
+    """Of texts (number, bytes): arrays (number, place, gram hash, digest of the surroundings) of all anchors. Long texts go in overlapping pieces, short ones together."""
     out = []
     held, size = [], 0
     for number, text in texts:
@@ -80,7 +81,8 @@ def anchors(texts, length=LENGTH, gram=GRAM, piece=PIECE):
 
 def _anchors_of(held, length, gram):
     wide = length - gram + 1
-    data = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
+    raw = b"".join(x[2] for x in held)
+    data = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(x[2]) for x in held])
     begin = np.cumsum(sizes) - sizes
     total = len(data)
@@ -98,7 +100,8 @@ def _anchors_of(held, length, gram):
     of = np.searchsorted(begin, place, "right") - 1
     left = np.maximum(place - (length - gram), begin[of])
     right = np.minimum(place + length, begin[of] + sizes[of])
-    around = _spread((h[right] - h[left]) * down[left] + (place - left).astype(np.uint64) * np.uint64(1 << 20) + (right - place).astype(np.uint64))
+    digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(left.tolist(), right.tolist())])
+    around = np.frombuffer(digest, np.uint64) ^ _spread((place - left).astype(np.uint64) * np.uint64(1 << 20) + (right - place).astype(np.uint64))  # cut off by the text's ends at the same distances
     base = np.array([x[1] for x in held]) - begin
     return np.array([x[0] for x in held])[of], (place + base[of]).astype(np.int32), _spread(own[place]).view(np.int64), around.view(np.int64)
 
