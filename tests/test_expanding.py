@@ -85,6 +85,12 @@ def test_fold_sums_equal_the_sums_over_folds(spark):
     assert got == {(r["version"], r["fold"]): (r["a"], r["b"], round(r["s"], 9), r["stage"]) for r in f.collect()} and len(got) == 10
 
 
+def test_fold_two_of_a_single_block_is_no_holdout(spark):
+    rows = fold_table(spark, n=30, blocks=1)
+    assert {(r["fold"], r["stage"], r["train_n"], r["test_n"]) for r in P.fold_sums(rows, ["target"], {"n": F.lit(1)}).collect()} == {(2, "development", 30, 0)}
+    assert {(r["fold"], r["stage"], r["role"]) for r in P.folds(rows).collect()} == {(2, "development", "train")}
+
+
 def test_expanding_ridge_takes_only_labels_known_in_time(spark):
     rows = fold_table(spark)
     feats = ["a", "z", "constant"]

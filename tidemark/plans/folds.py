@@ -103,19 +103,20 @@ def fold_sums(rows: DataFrame, keys, measures: dict, train_block="block") -> Dat
     """P3. Additive statistics of every fold without a copy of a row per fold: `train_<m>` over the blocks before it, `test_<m>` over its own, from one sum per block.
 
     A fold's training side is a prefix of the blocks, so its sums are running sums over blocks (one row per key and block, bounded by the calendar). `train_block` may name a column that
-    lets a row in later than its own block does (`walk_forward_entry`); null never lets it in. Folds run from 2, or the key's first block, to the last block of all.
+    lets a row in later than its own block does (`walk_forward_entry`); null never lets it in. Folds run from 2, or the key's first block, to the last block of all; fold 2 of a single
+    block tests nothing and is no holdout.
     """
     keys = list(keys)
     sums = [F.sum(c).alias(m) for m, c in measures.items()]
     own = rows.groupBy(*keys, "block").agg(*sums, F.max("n_blocks").alias("n_blocks"))
-    span = own.groupBy(*keys).agg(F.min("block").alias("_from"), F.greatest(F.max("n_blocks"), F.lit(2)).alias("_to"))
+    span = own.groupBy(*keys).agg(F.min("block").alias("_from"), F.greatest(F.max("n_blocks"), F.lit(2)).alias("_to"), F.max("n_blocks").alias("_blocks"))
     test = own.select(*keys, "block", *[F.col(m).alias("test_" + m) for m in measures])
     train = own if train_block == "block" else rows.filter(F.col(train_block).isNotNull()).groupBy(*keys, F.col(train_block).alias("block")).agg(*sums)
     train = train.select(*keys, "block", *[F.col(m).alias("_" + m) for m in measures])
     grid = span.withColumn("block", F.explode(F.sequence(F.lit(1), "_to"))).join(train, [*keys, "block"], "left").join(test, [*keys, "block"], "left")
     before = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = grid.select(*keys, F.col("block").alias("fold"), "_from", (F.col("block") == F.col("_to")).alias("_last"), *[zero(F.sum("_" + m).over(before)).alias("train_" + m) for m in measures], *[zero(F.col("test_" + m)).alias("test_" + m) for m in measures])
+    out = grid.select(*keys, F.col("block").alias("fold"), "_from", (F.col("block") == F.col("_blocks")).alias("_last"), *[zero(F.sum("_" + m).over(before)).alias("train_" + m) for m in measures], *[zero(F.col("test_" + m)).alias("test_" + m) for m in measures])
     return out.filter(F.col("fold") >= F.greatest(F.col("_from"), F.lit(2))).withColumn("stage", F.when(F.col("_last"), "holdout").otherwise("development")).drop("_from", "_last")
 
 
