@@ -307,6 +307,13 @@ def test_logistic_gradient_vanishes_and_constant_columns_drop(spark):
     assert np.abs(grad).max() < 1e-7 and beta[3] == 0.0
 
 
+def test_scores_of_a_feature_without_spread(spark):
+    """Zero for a fit; for a report the quotient by zero, as SQL has it."""
+    rows = spark.createDataFrame([("g", role, x, y) for role, x, y in (("train", 2.0, 1.0), ("train", 2.0, 0.0), ("test", 2.0, None), ("test", 5.0, None), ("test", 1.0, None), ("test", None, None))], "k string, role string, x double, y double")
+    read = lambda **how: [str(r["z_x"]) for r in M.standardize(rows, ["x"], ["k"], **how).orderBy("role", "x").collect()]
+    assert read() == ["0.0"] * 6 and read(undefined=True) == ["None", "-inf", "nan", "inf", "nan", "nan"]
+
+
 def test_ridge_matches_the_closed_form_and_forecasts_have_three_levels(spark):
     feats = ["a", "b"]
     z = M.standardize(design(spark), feats, ["k"])

@@ -28,13 +28,19 @@ def encode(train_and_test: DataFrame, features, keys) -> DataFrame:
     return out.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col("_m_" + f), F.lit(0.0)) for f in names}).drop(*["_m_" + f for f in names])
 
 
-def standardize(rows: DataFrame, features, keys) -> DataFrame:
-    """P6. z_<feature> by the training mean and population deviation of the group; a near-constant feature is dropped (its z is null-free zero and `kept` says so)."""
+def standardize(rows: DataFrame, features, keys, undefined=False) -> DataFrame:
+    """P6. z_<feature> by the training mean and population deviation of the group; a near-constant feature is dropped (its z is null-free zero and `kept` says so).
+
+    With `undefined` the z of a dropped feature is the plain quotient, for reports: by a deviation of zero NaN at the mean and infinite off it.
+    """
     train = rows.filter("role = 'train' and y is not null")
     stats = train.groupBy(*keys).agg(*[F.avg(f).alias("_m_" + f) for f in features], *[F.stddev_pop(f).alias("_s_" + f) for f in features])
     out = rows.join(stats, list(keys))
     kept = lambda f: F.col("_s_" + f) > ZERO_SD * F.greatest(F.lit(1.0), F.abs("_m_" + f))
-    z = {"z_" + f: F.when(kept(f), (F.col(f) - F.col("_m_" + f)) / F.nullif("_s_" + f, F.lit(0.0))).otherwise(0.0) for f in features}
+    off = lambda f: F.col(f) - F.col("_m_" + f)
+    quotient = lambda f: off(f) / F.nullif("_s_" + f, F.lit(0.0))
+    flat = lambda f: F.when(off(f) == 0, float("nan")).when(off(f).isNotNull(), F.signum(off(f)) * float("inf"))
+    z = {"z_" + f: F.when(kept(f), quotient(f)).otherwise(F.coalesce(quotient(f), flat(f)) if undefined else 0.0) for f in features}
     return out.withColumns({**z, **{"kept_" + f: kept(f) for f in features}}).drop(*["_m_" + f for f in features], *["_s_" + f for f in features])
 
 
