@@ -119,3 +119,17 @@ def test_trial_records_carry_notes_and_refusals(spark):
     assert [tuple(r)[2:] for r in got] == [("discontinued", "Halted; not necessarily permanently.", None), ("ongoing", None, None), ("completed", E.TRIAL_NOTES["COMPLETED"], "MISSING_TRIAL_ID"), ("unclassified", None, "UNKNOWN_PHASE"),
                                            ("unclassified", None, "MISSING_TRIAL_ID"), ("unclassified", None, "MISSING_TRIAL_ID")]
     assert got[0]["brief_title"] == "T"
+
+
+def test_an_accession_may_stand_in_the_index_more_than_once(spark):
+    """Every exhibit is judged once, by the index row that agrees with it, whatever other rows carry its accession."""
+    a, b, c = "0000000001-24-000001", "0000000001-24-000002", "0000000001-24-000003"
+    when, day, url = at(0), OPEN.date(), "https://www.sec.gov/Archives/edgar/data/1/{}/x.htm"
+    pair = (2000, 1000, dt.date(2023, 12, 31), dt.date(2022, 12, 31))
+    exhibits = spark.createDataFrame([(n, k, "0000000001", "8-K", "99.1", "USD", url.format(k.replace("-", "")), when, day, None, *pair) for n, k in ((1, a), (2, b), (3, c))],
+                                     "event_id int, accession string, cik string, form string, exhibit string, currency string, release_url string, accepted_at timestamp, filing_date date, comparison_caveat string, current_usd int, prior_usd int, period_end date, prior_end date")
+    events = spark.createDataFrame([(n, k, "0000000001", at(-60), at(7200)) for n, k in ((1, a), (2, b), (3, c))], "event_id int, accession string, cik string, published_at timestamp, deadline timestamp")
+    index = [(a, "8-K", when, day), (a, "8-K", when, day), (a, "10-Q", at(60), day), (b, "8-K/A", when, day), (b, "8-K", at(60), day), (None, "8-K", when, day)]
+    submissions = spark.createDataFrame(index, "accession string, form string, accepted_at timestamp, filing_date date")
+    got = sorted((r["event_id"], r["reason"], r["growth"]) for r in E.exhibit_growth(exhibits, events, submissions, I.ZONE).collect())
+    assert got == [(1, None, 1.0), (2, "TIMING_MISMATCH", None), (3, "TIMING_MISMATCH", None)]
