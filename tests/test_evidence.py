@@ -4,8 +4,11 @@ import datetime as dt
 import json
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from check_oracles import rows_of
 from tidemark.catalog import inputs as I
 from tidemark.plans import audit as Q, enrich as E
 from tidemark.sources import documents as D
@@ -133,3 +136,22 @@ def test_an_accession_may_stand_in_the_index_more_than_once(spark):
     submissions = spark.createDataFrame(index, "accession string, form string, accepted_at timestamp, filing_date date")
     got = sorted((r["event_id"], r["reason"], r["growth"]) for r in E.exhibit_growth(exhibits, events, submissions, I.ZONE).collect())
     assert got == [(1, None, 1.0), (2, "TIMING_MISMATCH", None), (3, "TIMING_MISMATCH", None)]
+
+
+def equals_its_sql(spark, tmp_path, name, table):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    df = entry.queries()[name](spark, str(tmp_path))
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got == rows_of([d[0] for d in want.description], want.fetchall())
+    return got[1]
+
+
+def test_filings_beyond_a_million_orders_are_told_apart(spark, tmp_path):
+    """Accessions hold six digits of the order's number: 40 and 1000040 of one customer share theirs, and so do 41 and 1000041."""
+    rows = spark.sql("SELECT id o_orderkey, id % 2 o_custkey, 'O' o_orderstatus, 1.0D o_totalprice, timestamp_ntz'1998-03-02' o_orderdate, '5-LOW' o_orderpriority FROM range(100) UNION ALL "
+                     "SELECT id + 1000000, id % 2, 'O', 1.0D, timestamp_ntz'1998-03-02', '5-LOW' FROM range(100)")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    assert len(equals_its_sql(spark, tmp_path, "u03_reconcile", "orders")) == 2
+    assert equals_its_sql(spark, tmp_path, "l11_growth_evidence", "orders")

@@ -408,7 +408,7 @@ def u02(spark, sf):
 SELECT cik_no, count_if(a AND b) AS shared, count_if(a AND NOT b) AS missing, count_if(NOT a AND b) AS extra, CASE WHEN count_if(a <> b) = 0 THEN 'MATCHED' ELSE 'REVIEW_REQUIRED' END AS state FROM (SELECT cik_no, order_no % 40 <> 0 AS a, order_no % 41 <> 0 AS b FROM v_filings) WHERE a OR b GROUP BY 1""", ["v_filings"])
 def u03(spark, sf):
     f = I.filings(spark, sf)
-    return U.reconcile(f.filter("order_no % 40 <> 0"), f.filter("order_no % 41 <> 0"), "accession", "cik_no")
+    return U.reconcile(f.filter("order_no % 40 <> 0"), f.filter("order_no % 41 <> 0"), "order_no", "cik_no")  # accessions hold six digits of the number and repeat beyond a million orders
 
 
 @query("u04_candidate_accounting", """
