@@ -155,3 +155,10 @@ def test_filings_beyond_a_million_orders_are_told_apart(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/orders.parquet")
     assert len(equals_its_sql(spark, tmp_path, "u03_reconcile", "orders")) == 2
     assert equals_its_sql(spark, tmp_path, "l11_growth_evidence", "orders")
+
+
+def test_the_last_minute_ends_whatever_the_first_trade_is(spark, tmp_path):
+    """The first click has no condition Q, and an earlier one stands eleven years back."""
+    rows = [(n, dt.datetime(2024, 1, 3, 12), u, "click", 10.0 + n, "{}") for n, u in ((4, 1), (9, 1), (11, 1), (13, 3))] + [(8, dt.datetime(2011, 1, 3, 12), 5, "click", 1.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert len(equals_its_sql(spark, tmp_path, "t02_stream_official_open", "events")) == 2

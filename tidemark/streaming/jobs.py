@@ -30,7 +30,8 @@ def stream_opening(trades: DataFrame, opens: DataFrame, listings: DataFrame, lat
 def stream_official_open(trades: DataFrame, opens: DataFrame, listings: DataFrame, lateness=LATENESS, seconds=60) -> DataFrame:
     """T2. The unique qualifying open of each (symbol, session), emitted once, in append mode, when the watermark passes the end of the opening minute.
 
-    Prints differ exactly when the smallest and the largest (id, time, price) differ, so two built-in aggregates hold the whole state of a key.
+    Prints differ exactly when the smallest and the largest (id, time, price) differ, so two built-in aggregates hold the whole state of a key. Only prints with condition Q move
+    the watermark: their filter does not read the clock, so the optimizer puts it below.
     """
     q = opening_prints(trades.withWatermark("t", lateness), opens, listings).filter((F.col("t") >= F.col("open_utc")) & (F.col("t") < F.col("open_utc") + F.make_dt_interval(secs=F.lit(seconds))))
     suspect = suspect_print()
