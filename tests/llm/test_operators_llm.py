@@ -5,10 +5,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -715,6 +717,31 @@ def test_classes_of_surroundings_are_classes_of_bytes():
     assert len(by_class) == len(by_bytes) < len(place) and all(len(v) == 1 for v in [*by_class.values(), *by_bytes.values()])
 
 
+def test_comparing_takes_little_memory_whatever_the_batch():
+    """30,000 rows of 10,000 anchors in one batch: the same windows as compared at once, in a part of the memory."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for key in range(10_000):
+        text = rng.integers(97, 123, 336).astype(np.uint8)
+        for k in range(3):
+            text[rng.integers(0, 136)] = 65
+            rows.append((key, key, k, 0, 136, text[:136].tobytes(), text[136:].tobytes()))
+    columns = list(zip(*rows))
+    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], suffix.SNIPPET)
+    tracemalloc.start()
+    got = {(g, k): mask for out in suffix._compare([batch]) for g, k, mask in zip(*(out.column(i).to_pylist() for i in range(3)))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    at = slice(0, 3000)
+    whole = suffix.repeated_offsets(np.array(columns[0][at]), columns[5][at], columns[6][at], np.array(columns[3][at]), np.array(columns[4][at]))
+    for (_, gram, k, *_), found in zip(rows, whole):
+        bits = np.unpackbits(np.frombuffer(got.get((gram, k), b""), np.uint8), bitorder="little")
+        assert set(np.flatnonzero(bits)) == set(np.flatnonzero(found))
+    assert 1000 < len(got)
+
+
 def test_suffix_edges(edges, nothing):
     rows = edge_rows()
     got = sorted(map(tuple, suffix.repeated_substrings(edges).collect()), key=str)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import saved
 
-LENGTH, GRAM, PIECE = 200, 64, 1 << 19
+LENGTH, GRAM, PIECE, CHUNK = 200, 64, 1 << 19, 1 << 12
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -47,8 +47,10 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """h[i]: sum of (byte + 1) * base^j over the first i bytes."""
     up, _ = Powers.to(len(data) + 1)
     h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=h[1:])
-    return h
+    h[1:] = data
+    h[1:] += np.uint64(1)
+    h[1:] *= up[:len(data)]
+    return np.cumsum(h, out=h)
 
 
 def _spread(h):
@@ -222,15 +224,22 @@ def repeated_offsets(keys, left, right, low, high, length=LENGTH):
     return out
 
 
-def _anchor_rows(batches):
+def _slices(batches, rows=1 << 10):
+    """The batches in short pieces, so that a worker turns few rows at a time into Python objects."""
     for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def _anchor_rows(batches):
+    for batch in _slices(batches):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         number, place, gram, around = anchors(enumerate(t or b"" for t in batch.column(1).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(keys[number], pa.int64()), pa.array(place, pa.int32()), pa.array(gram, pa.int64()), pa.array(around, pa.int64())], ["rk", "place", "gram", "around"])
 
 
 def _snippets(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         cols = [[] for _ in range(4)]
         for text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for x in need:
@@ -244,7 +253,7 @@ SNIPPET = ["key", "gram", "around", "low", "high", "before", "after"]
 
 
 def _compare(batches):
-    """Partitions sorted by key; whole keys are compared together, as many as fit a chunk."""
+    """Partitions sorted by key; whole keys are compared together, as many as make `CHUNK` rows, since a row of a chunk takes some kilobytes of arrays."""
     held = {c: [] for c in SNIPPET}
 
     def flush(n):
@@ -256,10 +265,10 @@ def _compare(batches):
         masks = [np.packbits(found[i], bitorder="little").tobytes() for i in some]
         return pa.RecordBatch.from_arrays([pa.array([part["gram"][i] for i in some], pa.int64()), pa.array([part["around"][i] for i in some], pa.int64()), pa.array(masks, pa.binary())], ["gram", "around", "mask"])
 
-    for batch in batches:
+    for batch in _slices(batches):
         for c in SNIPPET:
             held[c] += batch.column(batch.schema.get_field_index(c)).to_pylist()
-        if len(held["key"]) >= 1 << 15:
+        if len(held["key"]) >= CHUNK:
             last = held["key"][-1]
             n = len(held["key"])
             while n and held["key"][n - 1] == last:
@@ -319,7 +328,7 @@ def covered(n: int, marks) -> np.ndarray:
 
 
 def _finish(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         cols = [[] for _ in range(4)]
         for text, marks, rows in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
             text = text or b""
